@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postscope.session import literal_rows
+
 # Links of the posts, chosen by event id.
 MEDIA = [
     (0, "https://i.redd.it/a.jpg", "i.redd.it"),
@@ -85,7 +87,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and documents of the same id as posts, each with one of the twelve links."""
     events = table(spark, sf_dir, "events")
     documents = table(spark, sf_dir, "documents")
-    media = spark.createDataFrame(MEDIA, "m bigint, url string, domain string")
+    media = literal_rows(spark, MEDIA, "m bigint, url string, domain string")
     k = F.get_json_object("props", "$.k").cast("bigint")
     shift = F.make_dt_interval(days=(F.col("event_id") * 37 % 400).cast("int"))
     return (
@@ -117,8 +119,8 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LEXICON, "word string, valence double")
+    return literal_rows(spark, LEXICON, "word string, valence double")
 
 
 def modifiers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MODIFIERS, "word string, boost double, negates boolean")
+    return literal_rows(spark, MODIFIERS, "word string, boost double, negates boolean")

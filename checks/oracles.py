@@ -138,7 +138,7 @@ pushed AS (
   SELECT post_id, total + emphasis * sign(total) AS s FROM sums JOIN emphases USING (post_id)
 ),
 sentiment AS (
-  SELECT p.post_id, coalesce(round(s / sqrt(s * s + 15), 4), 0e0) AS compound
+  SELECT p.post_id, coalesce(round(s / sqrt(s * s + 15), 4), 0e0) + 0e0 AS compound
   FROM posts p LEFT JOIN pushed USING (post_id)
 ),
 scored AS (
@@ -724,9 +724,9 @@ days AS (SELECT *, TRY_CAST(peak_date AS DATE) AS d FROM peaks)""",
 SELECT 'briefing' AS kind,
        'Write an analyst briefing about posts that match: harbour' || chr(10) ||
        'Posts: ' || total || ', from ' || start_date || ' to ' || end_date || chr(10) ||
-       'Score mean ' || printf('%.2f', avg_score) || ', median ' || printf('%.2f', median_score) ||
-       ', 90th percentile ' || printf('%.2f', p90_score) || ', deviation ' ||
-       printf('%.2f', score_std) || ', from ' || min_score || ' to ' || max_score || chr(10) ||
+       'Score mean ' || printf('%.2f', round(avg_score, 2)) || ', median ' || printf('%.2f', round(median_score, 2)) ||
+       ', 90th percentile ' || printf('%.2f', round(p90_score, 2)) || ', deviation ' ||
+       printf('%.2f', round(score_std, 2)) || ', from ' || min_score || ' to ' || max_score || chr(10) ||
        'Busiest day ' || peak_date || ' with ' || peak_posts || ' posts, quietest day ' ||
        trough_date || ' with ' || trough_posts || chr(10) ||
        'Leading communities: ' || top_subreddits || chr(10) ||

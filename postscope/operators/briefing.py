@@ -118,7 +118,7 @@ def chat_context(posts: DataFrame) -> DataFrame:
 
 
 def _number(column: str) -> Column:
-    return F.coalesce(F.format_string("%.2f", F.col(column).cast("double")), F.lit("n/a"))
+    return F.coalesce(F.format_string("%.2f", F.round(F.col(column).cast("double"), 2)), F.lit("n/a"))
 
 
 def _plain(column: str) -> Column:

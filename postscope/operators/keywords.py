@@ -1,9 +1,9 @@
 """TF-IDF keywords of titles.
 
-Two routes share the vocabulary, which is one aggregate with map-side combine.
-``tfidf_weights`` gives the weights as a long table and moves the vocabulary hits
-once. ``tfidf_vectors`` keeps them as sparse vectors beside their post and moves
-nothing; ``top_keywords`` and the clustering build on it.
+The vocabulary is one aggregate with map-side combine. Once it is known, weighing a
+post needs nothing but the post: counts, weights and unit length are a projection
+to a sparse vector, and the long table of weights is that vector unfolded. Neither
+moves a row.
 """
 
 from __future__ import annotations
@@ -12,18 +12,13 @@ from collections.abc import Callable, Sequence
 from functools import lru_cache
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
 from postscope.functions.text import clean_title, with_bigrams, words
 
-# A vocabulary up to this size is small enough to be sent to every task.
-_BROADCAST_TERMS = 50_000
-
 
 @lru_cache(maxsize=1)
 def _english() -> tuple[str, ...]:
@@ -73,7 +68,10 @@ def prune_vocabulary(
         ),
     )
     counts = (
-        terms.select(F.inline(marks))
+        # The outer form keeps Catalyst from tokenizing every title twice, once for a
+        # filter on the array's size.
+        terms.select(F.inline_outer(marks))
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
     )
@@ -81,56 +79,55 @@ def prune_vocabulary(
     return kept.orderBy(F.desc("tf"), "term").limit(max_features)
 
 
-def _idf(df: Column, total: Column) -> Column:
-    return F.log((1 + total) / (1 + df)) + 1
-
-
-def with_idf(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
-    """The vocabulary with its smoothed inverse document frequency."""
-    total = terms.agg(F.count(F.lit(1))).scalar()
-    return vocabulary.withColumn("idf", _idf(F.col("df"), total))
-
-
-def tfidf_weights(
-    terms: DataFrame, vocabulary: DataFrame, max_features: int = fv.KEYWORD_MAX_FEATURES
-) -> DataFrame:
-    """``(post_id, term, tf, tfidf)`` with unit length per post.
+def _vocabulary_rows(terms: DataFrame, vocabulary: DataFrame) -> list:
+    """The vocabulary with its smoothed inverse document frequency, in term order.
 
-    Only hits of the vocabulary leave their task. They are placed by ``post_id``
-    once; counting per term and the length per post both work on that placement.
+    Collected: the limit of the vocabulary bounds it.
     """
-    known = with_idf(vocabulary, terms).select("term", "idf")
-    if max_features <= _BROADCAST_TERMS:
-        known = F.broadcast(known)
-    hits = (
-        terms.select("post_id", F.explode("terms").alias("term"))
-        .join(known, "term")
-        .repartition("post_id")
-    )
-    counted = hits.groupBy("post_id", "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
-    weighted = counted.withColumn("raw", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("post_id")))
-    return weighted.select("post_id", "term", "tf", (F.col("raw") / length).alias("tfidf"))
+    total = terms.agg(F.count(F.lit(1))).scalar()
+    idf = F.log((1 + total) / (1 + F.col("df"))) + 1
+    return sorted(vocabulary.select("term", idf.alias("idf")).collect())
 
 
 def tfidf_vectors(terms: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``(post_id, features)`` as sparse unit vectors, and the term of each position.
+    """``(post_id, counts, features)`` as sparse vectors, and the term of each position.
 
-    Collects the vocabulary, whose size its own limit bounds. The vectors are a
-    projection of the terms: no shuffle.
+    ``counts`` holds term counts and ``features`` the weights at unit length.
     """
-    rows = with_idf(vocabulary, terms).select("term", "idf").collect()
-    rows.sort(key=lambda row: row.term)
+    rows = _vocabulary_rows(terms, vocabulary)
     names = [row.term for row in rows]
-    if not names:
-        return terms.limit(0).select("post_id", F.lit(None).alias("features")), names
-    counter = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="counts")
+    # A model needs one term at least; this one occurs in no text.
+    counter = CountVectorizerModel.from_vocabulary(
+        names or [" "], inputCol="terms", outputCol="counts"
+    )
     weigh = ElementwiseProduct(
-        scalingVec=Vectors.dense([row.idf for row in rows]), inputCol="counts", outputCol="raw"
+        scalingVec=Vectors.dense([row.idf for row in rows] or [0.0]),
+        inputCol="counts",
+        outputCol="raw",
     )
     scale = Normalizer(p=2.0, inputCol="raw", outputCol="features")
     vectors = scale.transform(weigh.transform(counter.transform(terms)))
-    return vectors.select("post_id", "features"), names
+    return vectors.select("post_id", "counts", "features"), names
+
+
+def tfidf_weights(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``(post_id, term, tf, tfidf)`` with unit length per post."""
+    vectors, names = tfidf_vectors(terms, vocabulary)
+    counts, features = F.unwrap_udt("counts"), F.unwrap_udt("features")
+    parts = vectors.select(
+        "post_id",
+        F.arrays_zip(
+            counts["indices"].alias("at"),
+            counts["values"].alias("tf"),
+            features["values"].alias("tfidf"),
+        ).alias("entries"),
+    )
+    entries = parts.select("post_id", F.inline_outer("entries").alias("at", "tf", "tfidf"))
+    # One literal, split once at planning; terms hold word characters and blanks only.
+    spelled = F.get(F.split(F.lit("|".join(names)), "[|]"), F.col("at"))
+    return entries.filter(F.col("at").isNotNull()).select(
+        "post_id", spelled.alias("term"), F.col("tf").cast("bigint").alias("tf"), "tfidf"
+    )
 
 
 def top_keywords(
@@ -143,14 +140,6 @@ def top_keywords(
 ) -> DataFrame:
     """``(term, weight)``: the n terms with the largest sum of weights; none if all are pruned."""
     terms = tokenize_ngrams(posts, stop_words)
-    vectors, names = tfidf_vectors(terms, prune_vocabulary(terms, min_df, max_df, max_features))
-    if not names:
-        return posts.sparkSession.createDataFrame([], "term string, weight double")
-    # One vector of sums per task, merged as a tree.
-    sums = vectors.agg(Summarizer.sum(F.col("features")).alias("sums"))
-    pairs = F.arrays_zip(
-        F.array(*[F.lit(name) for name in names]).alias("term"),
-        vector_to_array("sums").alias("weight"),
-    )
-    ranked = sums.select(F.inline(pairs)).toDF("term", "weight")
-    return ranked.orderBy(F.desc("weight"), "term").limit(n)
+    weights = tfidf_weights(terms, prune_vocabulary(terms, min_df, max_df, max_features))
+    sums = weights.groupBy("term").agg(F.sum("tfidf").alias("weight"))
+    return sums.orderBy(F.desc("weight"), "term").limit(n)

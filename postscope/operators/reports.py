@@ -118,7 +118,8 @@ def sharing_network(posts: DataFrame, keywords: list[str] | None = None) -> Data
         )
     return (
         posts.filter(F.col("author").isNotNull())
-        .select("author", F.inline(F.array_distinct(F.concat(*found))))
+        .select("author", F.inline_outer(F.array_distinct(F.concat(*found))))
+        .filter(F.col("item").isNotNull())
         .groupBy("author", "kind", "item")
         .agg(F.count(F.lit(1)).alias("posts"))
     )

@@ -11,9 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from postscope import fixed_values as fv
-from postscope.functions.vectors import cosine, dot
+from postscope.functions.vectors import as_vector, cosine, dot
 from postscope.operators.filters import filter_date_range
 
 # A result of up to this many rows is small enough to be sent to every task.
@@ -30,8 +32,15 @@ def vector_of(vectors: DataFrame, post_id) -> Column:
     return vectors.filter(F.col("post_id") == post_id).select("embedding").scalar()
 
 
-def _score(posts: DataFrame, vectors: DataFrame, score: Column) -> DataFrame:
-    scored = vectors.select("post_id", score.alias("similarity_score"))
+def _score(
+    posts: DataFrame, vectors: DataFrame, query_vector: Column | Sequence[float], measure
+) -> DataFrame:
+    # A query vector taken from a table is a subquery, which has to be a column of
+    # its own before an array function may use it.
+    asked = vectors.select("post_id", "embedding", as_vector(query_vector).alias("asked"))
+    scored = asked.select(
+        "post_id", measure(F.col("embedding"), F.col("asked")).alias("similarity_score")
+    )
     # An inner join on the unique id, not a semi join: Catalyst would move a semi
     # join below the projection and shuffle the vectors in place of the scores.
     return scored.join(posts.select("post_id"), "post_id")
@@ -41,7 +50,7 @@ def similarity_scores(
     posts: DataFrame, vectors: DataFrame, query_vector: Column | Sequence[float]
 ) -> DataFrame:
     """``(post_id, similarity_score)`` for every post with a vector; plain dot product."""
-    return _score(posts, vectors, dot(F.col("embedding"), query_vector))
+    return _score(posts, vectors, query_vector, dot)
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
@@ -87,7 +96,7 @@ def cosine_top_k(
     k: int = fv.DEFAULT_TOP_K,
 ) -> DataFrame:
     """As ``search_top_k`` with lengths divided out, for vectors that are not of unit length."""
-    scores = _score(posts, vectors, cosine(F.col("embedding"), query_vector))
+    scores = _score(posts, vectors, query_vector, cosine)
     return _with_posts(_best(scores.dropna(subset=["similarity_score"]), k), posts, k)
 
 
@@ -126,9 +135,15 @@ def _local_candidates(aligned: DataFrame, queries: DataFrame, k: int) -> DataFra
     rows = queries.select("query_id", "embedding").collect()  # at most about one block
     query_ids = [row.query_id for row in rows]
     query_vectors = [list(row.embedding) for row in rows]
-    id_type = aligned.schema["post_id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query_type}, post_id {id_type}, similarity_score double"
+    schema = T.StructType(
+        [
+            queries.schema["query_id"],
+            aligned.schema["post_id"],
+            T.StructField("similarity_score", T.DoubleType()),
+        ]
+    )
+    query_type = to_arrow_type(queries.schema["query_id"].dataType)
+    id_type = to_arrow_type(aligned.schema["post_id"].dataType)
 
     def candidates(arrow_batches):
         import numpy as np
@@ -142,6 +157,7 @@ def _local_candidates(aligned: DataFrame, queries: DataFrame, k: int) -> DataFra
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             scores = np.round(flat.reshape(batch.num_rows, -1).astype("float64") @ matrix, 9)
             ids = batch.column("post_id").to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if ids.dtype == object else ids
             for q in range(len(query_ids)):
                 best_ids, best_scores = ids, scores[:, q]
                 if q in kept:
@@ -155,12 +171,13 @@ def _local_candidates(aligned: DataFrame, queries: DataFrame, k: int) -> DataFra
                     best_ids, best_scores = best_ids[order], best_scores[order]
                 kept[q] = (best_ids, best_scores)
         for q, (best_ids, best_scores) in kept.items():
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": [query_ids[q]] * len(best_ids),
-                    "post_id": best_ids,
-                    "similarity_score": best_scores,
-                }
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([query_ids[q]] * len(best_ids), query_type),
+                    pa.array(best_ids.tolist(), id_type),
+                    pa.array(best_scores),
+                ],
+                names=["query_id", "post_id", "similarity_score"],
             )
 
     return aligned.mapInArrow(candidates, schema)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
 from postscope.functions.text import whitespace_tokens
+from postscope.session import literal_rows
 
 
 def default_modifiers(spark: SparkSession) -> DataFrame:
@@ -23,7 +24,7 @@ def default_modifiers(spark: SparkSession) -> DataFrame:
         + [(word, -fv.BOOST, False) for word in fv.DAMPENERS]
         + [(word, 0.0, True) for word in fv.NEGATIONS]
     )
-    return spark.createDataFrame(rows, "word string, boost double, negates boolean")
+    return literal_rows(spark, rows, "word string, boost double, negates boolean")
 
 
 def _full_text(posts: DataFrame) -> Column:
@@ -52,40 +53,70 @@ def _emphasis(text: Column) -> Column:
     )
 
 
+def _bare(token: Column) -> Column:
+    """The token without punctuation at its ends, unless it would shrink to two characters.
+
+    The look at both ends is cheap and spares most tokens the trimming.
+    """
+    marks = F.lit(fv.PUNCTUATION)
+    ends = marks.contains(F.substring(token, 1, 1)) | marks.contains(F.substring(token, -1, 1))
+    stripped = F.btrim(token, marks)
+    return F.when(ends & (F.length(stripped) > 2), stripped).otherwise(token)
+
+
 def _tokens(posts: DataFrame) -> DataFrame:
     """One row per token: itself, the three before it, and what its post says about it."""
+    texts = posts.select("post_id", _full_text(posts).alias("text"))
+    split = texts.select("post_id", "text", whitespace_tokens(F.col("text")).alias("tokens"))
+    text, tokens = F.col("text"), F.col("tokens")
 
-    def bare(token: Column) -> Column:
-        # Tokens that would shrink to two characters or less are kept: emoticons.
-        stripped = F.btrim(token, F.lit(fv.PUNCTUATION))
-        return F.when(F.length(stripped) <= 2, token).otherwise(stripped)
+    def shifted(by: int) -> Column:
+        return F.concat(F.array_repeat(F.lit(""), by), tokens)
 
-    texts = posts.select("post_id", _full_text(posts).alias("text"))
-    split = texts.select(
-        "post_id",
-        _emphasis(F.col("text")).alias("emphasis"),
-        F.transform(whitespace_tokens(F.col("text")), bare).alias("tokens"),
-    )
-    tokens = F.col("tokens")
     described = split.select(
         "post_id",
-        "emphasis",
+        _emphasis(text).alias("emphasis"),
         (F.exists(tokens, _is_capitals) & F.exists(tokens, lambda t: ~_is_capitals(t))).alias(
             "mixed_case"
         ),
-        F.array_position(F.transform(tokens, F.lower), fv.CONTRAST_WORD).alias("contrast_at"),
-        F.transform(
-            tokens,
-            lambda token, i: F.struct(
-                (i + 1).alias("at"),
-                token.alias("token"),
-                F.get(tokens, i - 1).alias("before1"),
-                F.get(tokens, i - 2).alias("before2"),
-                F.get(tokens, i - 3).alias("before3"),
+        # Only a text that holds the contrast word is searched for its place.
+        F.when(
+            F.lower(text).contains(fv.CONTRAST_WORD) & text.rlike(rf"(?i)\b{fv.CONTRAST_WORD}\b"),
+            F.array_position(
+                F.transform(tokens, lambda t: F.lower(_bare(t))), fv.CONTRAST_WORD
             ),
+        )
+        .otherwise(0)
+        .alias("contrast_at"),
+        # The shifted lists are longer; their rows past the end have no token.
+        F.arrays_zip(
+            tokens.alias("token"),
+            shifted(1).alias("before1"),
+            shifted(2).alias("before2"),
+            shifted(3).alias("before3"),
         ).alias("context"),
     )
-    return described.select("post_id", "emphasis", "mixed_case", "contrast_at", F.inline("context"))
+    # The outer form on purpose: for the inner one Catalyst adds a filter on the array's
+    # size and pushes it to the scan, where every text would be split once more.
+    rows = described.select(
+        "post_id",
+        "emphasis",
+        "mixed_case",
+        "contrast_at",
+        F.posexplode_outer("context").alias("at", "context"),
+    )
+    return rows.select(
+        "post_id",
+        "emphasis",
+        "mixed_case",
+        "contrast_at",
+        (F.col("at") + 1).alias("at"),
+        # Never null, or the join would test every token for null by trimming it twice.
+        F.coalesce(_bare(F.col("context.token")), F.lit("")).alias("token"),
+        "context.before1",
+        "context.before2",
+        "context.before3",
+    )
 
 
 def sentiment_lexicon_join(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -104,7 +135,8 @@ def _apply_rules(hits: DataFrame, modifiers: DataFrame) -> DataFrame:
     current = F.col("valence") + F.when(
         F.col("mixed_case") & _is_capitals(F.col("token")), raised
     ).otherwise(0.0)
-    hits = hits.withColumn("current", current)
+    names = [f"before{number}" for number in range(1, len(fv.DISTANCE_DAMPING) + 1)]
+    hits = hits.withColumns({"current": current, **{n: _bare(F.col(n)) for n in names}})
     for number, damping in enumerate(fv.DISTANCE_DAMPING, start=1):
         before = F.col(f"before{number}")
         found = modifiers.select(
@@ -137,7 +169,8 @@ def _apply_rules(hits: DataFrame, modifiers: DataFrame) -> DataFrame:
 
 def _normalised(total: Column, emphasis: Column) -> Column:
     pushed = total + emphasis * F.signum(total)
-    return F.round(pushed / F.sqrt(pushed * pushed + fv.NORMALISATION_ALPHA), 4)
+    # Adding zero turns a negative zero into a plain one.
+    return F.round(pushed / F.sqrt(pushed * pushed + fv.NORMALISATION_ALPHA), 4) + 0.0
 
 
 def _compounds(posts: DataFrame, lexicon: DataFrame, modifiers: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def topic_vectors(
     terms = tokenize_ngrams(filter_nonblank_title(posts), stop_words, clean=None)
     vocabulary = prune_vocabulary(terms, min_df=1, max_df=1.0, max_features=max_features)
     vectors, names = tfidf_vectors(terms, vocabulary)
-    return vectors if names else None
+    return vectors.select("post_id", "features") if names else None
 
 
 def topic_clusters(
@@ -46,6 +48,7 @@ def topic_clusters(
     max_clusters: int = fv.TOPIC_MAX_CLUSTERS,
     starts: int = fv.TOPIC_STARTS,
     seed: int = fv.TOPIC_SEED,
+    parallelism: int = 4,
 ) -> DataFrame:
     """``(post_id, cluster_id)`` from the best of several k-means starts.
 
@@ -55,16 +58,16 @@ def topic_clusters(
     kept = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         k = cluster_count_rule(kept.count(), max_clusters)
-        best = None
-        for start in range(starts):
-            model = KMeans(
-                k=k,
-                seed=seed + start,
-                featuresCol="features",
-                predictionCol="cluster_id",
+
+        def train(start: int):
+            return KMeans(
+                k=k, seed=seed + start, featuresCol="features", predictionCol="cluster_id"
             ).fit(kept)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
+
+        # The starts are independent jobs over the same kept vectors.
+        with ThreadPool(min(parallelism, starts)) as pool:
+            models = pool.map(inheritable_thread_target(kept.sparkSession)(train), range(starts))
+        best = min(models, key=lambda model: model.summary.trainingCost)
     finally:
         kept.unpersist()
     return best.transform(vectors).select("post_id", "cluster_id")
@@ -127,18 +130,31 @@ def cluster_examples(labelled: DataFrame, n: int = fv.TOPIC_EXAMPLES) -> DataFra
 def project_2d(vectors: DataFrame) -> DataFrame:
     """``(post_id, x, y)``: the first two principal components.
 
-    The covariance of at most some thousand columns fits on the driver; the pass
-    over the posts that builds it is distributed.
+    One distributed pass builds the covariance, whose side is the vocabulary (2,000
+    terms at most by default) and not the number of posts. Its two leading axes are
+    found on the driver; placing a post multiplies its few non-zero entries with them.
     """
-    kept = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = PCA(k=2, inputCol="features", outputCol="place").fit(kept)
-    finally:
-        kept.unpersist()
-    place = vector_to_array("place")
-    return model.transform(vectors).select(
-        "post_id", place[0].alias("x"), place[1].alias("y")
-    )
+    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features"))
+    axes = _leading_axes(rows.computeCovariance().toArray())
+    entries = F.unwrap_udt("features")
+
+    def place(axis) -> Column:
+        weight = F.split(F.lit(",".join(map(repr, axis.tolist()))), ",").cast("array<double>")
+        products = F.zip_with(
+            entries["indices"], entries["values"], lambda at, value: F.get(weight, at) * value
+        )
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    return vectors.select("post_id", place(axes[0]).alias("x"), place(axes[1]).alias("y"))
+
+
+def _leading_axes(covariance: np.ndarray) -> np.ndarray:
+    """The two axes of largest variance, each turned so that its largest entry is positive."""
+    _, axes = np.linalg.eigh(covariance)
+    leading = np.zeros((2, len(covariance)))
+    leading[: min(2, len(covariance))] = axes[:, ::-1][:, :2].T
+    turn = np.sign([axis[np.argmax(np.abs(axis))] for axis in leading])
+    return leading * np.where(turn == 0, 1, turn)[:, None]
 
 
 def topic_map(points: DataFrame, labels: DataFrame, posts: DataFrame) -> DataFrame:

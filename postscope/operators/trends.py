@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
 from postscope.functions import dates
+from postscope.session import literal_rows
 
 
 def _count_by(posts: DataFrame, *keys: Column) -> DataFrame:
@@ -90,7 +91,7 @@ def reindex_weekdays(counts: DataFrame) -> DataFrame:
     A weekday without posts keeps a null count.
     """
     names = [(i, name) for i, name in enumerate(fv.WEEKDAYS)]
-    week = counts.sparkSession.createDataFrame(names, "day_of_week int, day string")
+    week = literal_rows(counts.sparkSession, names, "day_of_week int, day string")
     return (
         week.join(counts, "day_of_week", "left")
         .select("day_of_week", "day", "posts")
@@ -113,15 +114,16 @@ def keyword_weekly_trend(posts: DataFrame, keywords: Sequence[str]) -> DataFrame
     counted before the shuffle.
     """
     if not keywords:
-        return posts.sparkSession.createDataFrame([], "week date, keyword string, posts bigint")
+        keywords = ["$."]  # matches no title, so that the result is empty with its columns
     title = F.col("title")
     matched = F.array_compact(
         F.array(*[F.when(title.rlike(f"(?i){kw}"), F.lit(kw)) for kw in dict.fromkeys(keywords)])
     )
+    # The outer form keeps Catalyst from testing every title twice, once as a filter.
     hits = posts.select(
-        dates.week_end(F.col("timestamp")).alias("week"), F.explode(matched).alias("keyword")
+        dates.week_end(F.col("timestamp")).alias("week"), F.explode_outer(matched).alias("keyword")
     )
-    weekly = _count_by(hits, F.col("keyword"), F.col("week"))
+    weekly = _count_by(hits.filter(F.col("keyword").isNotNull()), F.col("keyword"), F.col("week"))
     # The weeks of one keyword are few enough for a row: at most some thousands.
     spans = weekly.groupBy("keyword").agg(
         F.sequence(F.min("week"), F.max("week"), F.expr("interval 7 days")).alias("weeks"),

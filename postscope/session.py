@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(
@@ -34,6 +35,23 @@ def build_session(
     return builder.getOrCreate()
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few fixed rows as a constant of the plan, of known size and without Python tasks."""
+
+    def cell(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return repr(value) + "D" if isinstance(value, float) else str(value)
+
+    names = [part.split()[0] for part in schema.split(",")]
+    values = ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
+    table = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    types = [part.split()[1] for part in schema.split(",")]
+    return table.select(*[F.col(n).cast(t).alias(n) for n, t in zip(names, types)])
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder path below the shared folder that the cluster names.
 

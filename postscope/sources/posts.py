@@ -8,6 +8,9 @@ from pyspark.sql import types as T
 
 CORRUPT_COLUMN = "_corrupt_record"
 
+# Fixed value: JSON time format; the default of the writer stops at milliseconds.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def read_posts(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
@@ -32,7 +35,7 @@ def read_posts(
 
 def write_posts_json(posts: DataFrame, path: str) -> None:
     """Write one JSON record per line, nulls left out."""
-    posts.write.mode("errorifexists").json(path)
+    posts.write.mode("errorifexists").option("timestampNTZFormat", TIME_FORMAT).json(path)
 
 
 def write_posts_table(posts: DataFrame, table: str, buckets: int) -> None:
