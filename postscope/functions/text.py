@@ -45,5 +45,10 @@ def with_bigrams(tokens: Column) -> Column:
     return F.concat(tokens, F.array_compact(pairs))
 
 
+def matches_any_case(text: Column, pattern: str) -> Column:
+    """Whether the regular expression occurs; case and word classes follow Unicode, not ASCII."""
+    return text.rlike(f"(?iU){pattern}")
+
+
 def whitespace_tokens(text: Column) -> Column:
     return F.split(text, WHITESPACE)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
+from postscope.functions.text import matches_any_case
 
 
 def date_bounds(posts: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def filter_viral(posts: DataFrame, above: int = fv.VIRAL_SCORE) -> DataFrame:
 
 def filter_title_keyword(posts: DataFrame, pattern: str) -> DataFrame:
     """Posts whose title holds the pattern, a regular expression, in any case."""
-    return posts.filter(F.coalesce(F.col("title").rlike(f"(?i){pattern}"), F.lit(False)))
+    return posts.filter(F.coalesce(matches_any_case(F.col("title"), pattern), F.lit(False)))
 
 
 def filter_nonblank_title(posts: DataFrame) -> DataFrame:

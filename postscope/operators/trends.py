@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
 from postscope.functions import dates
+from postscope.functions.text import matches_any_case
 from postscope.session import literal_rows
 
 
@@ -117,7 +118,7 @@ def keyword_weekly_trend(posts: DataFrame, keywords: Sequence[str]) -> DataFrame
         keywords = ["$."]  # matches no title, so that the result is empty with its columns
     title = F.col("title")
     matched = F.array_compact(
-        F.array(*[F.when(title.rlike(f"(?i){kw}"), F.lit(kw)) for kw in dict.fromkeys(keywords)])
+        F.array(*[F.when(matches_any_case(title, kw), F.lit(kw)) for kw in dict.fromkeys(keywords)])
     )
     # The outer form keeps Catalyst from testing every title twice, once as a filter.
     hits = posts.select(

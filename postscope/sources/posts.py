@@ -54,9 +54,12 @@ def write_posts_table(posts: DataFrame, table: str, buckets: int) -> None:
 
 
 def split_corrupt(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good records without the corrupt column, and the texts of the bad lines."""
+    """Good records without the corrupt column, and the bad ones with it.
+
+    The bad ones keep all columns: Spark refuses to read the corrupt column alone.
+    """
     if CORRUPT_COLUMN not in records.columns:
-        return records, records.limit(0).select(F.lit("").alias(CORRUPT_COLUMN))
+        bad = records.limit(0).withColumn(CORRUPT_COLUMN, F.lit(None).cast("string"))
+        return records, bad
     good = records.filter(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
-    bad = records.filter(F.col(CORRUPT_COLUMN).isNotNull()).select(CORRUPT_COLUMN)
-    return good, bad
+    return good, records.filter(F.col(CORRUPT_COLUMN).isNotNull())
