@@ -24,12 +24,16 @@ def stream_posts(spark: SparkSession, path: str, schema: T.StructType | str) ->
 def stream_posts_by_day_subreddit(posts: DataFrame, late: str = "1 day") -> DataFrame:
     """``(date, subreddit, posts)``; a day is final once the watermark has passed it.
 
-    State is one count per open day and community.
+    State is one count per open day and community. Watermarks need an instant, so the
+    zone-less times are read as UTC, where days of a window begin too.
     """
-    named = posts.filter(F.col("subreddit").isNotNull())
+    instant = F.to_timestamp(F.concat(F.col("timestamp").cast("string"), F.lit("Z")))
     counts = (
-        named.withWatermark("timestamp", late)
-        .groupBy(F.window("timestamp", "1 day"), "subreddit")
+        posts.filter(F.col("subreddit").isNotNull())
+        .select("subreddit", instant.alias("instant"))
+        .withWatermark("instant", late)
+        .groupBy(F.window("instant", "1 day"), "subreddit")
         .agg(F.count(F.lit(1)).alias("posts"))
     )
-    return counts.select(F.to_date("window.start").alias("date"), "subreddit", "posts")
+    start = F.to_utc_timestamp("window.start", F.current_timezone())
+    return counts.select(F.to_date(start).alias("date"), "subreddit", "posts")
