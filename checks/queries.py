@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixture as fx
-from postscope.functions import classify, text
+from postscope.functions import text
 from postscope.operators import (
     briefing,
     embedding_jobs,
@@ -258,13 +258,11 @@ def semi_join_top_authors(spark, sf_dir):
 
 @query
 def reindex_weekdays(spark, sf_dir):
-    # Saturdays are taken out, so that one weekday has no row to join.
     weekday = F.weekday("timestamp")
     counts = (
         fx.posts(spark, sf_dir)
         .groupBy(weekday.alias("day_of_week"))
         .agg(F.count(F.lit(1)).alias("posts"))
-        .filter(F.col("day_of_week") != 5)
     )
     return trends.reindex_weekdays(counts).withColumn(
         "posts", F.coalesce(F.col("posts").cast("string"), F.lit("missing"))
@@ -510,7 +508,8 @@ def cluster_count_rule(spark, sf_dir):
 
 @query
 def topic_clusters(spark, sf_dir):
-    return topics.topic_clusters(topics.topic_vectors(fx.posts(spark, sf_dir), fx.STOP_WORDS))
+    vectors, _ = topics.topic_vectors(fx.posts(spark, sf_dir), fx.STOP_WORDS)
+    return topics.topic_clusters(vectors).select("post_id", "cluster_id")
 
 
 @query
@@ -537,7 +536,8 @@ def cluster_examples(spark, sf_dir):
 
 @query
 def project_2d(spark, sf_dir):
-    return topics.project_2d(topics.topic_vectors(fx.posts(spark, sf_dir), fx.STOP_WORDS))
+    vectors, _ = topics.topic_vectors(fx.posts(spark, sf_dir), fx.STOP_WORDS)
+    return topics.project_2d(vectors).select("post_id", "x", "y")
 
 
 @query
@@ -555,16 +555,12 @@ def projection_centroids(spark, sf_dir):
 
 @query
 def categorize_domain(spark, sf_dir):
-    return fx.posts(spark, sf_dir).select(
-        "post_id", "domain", classify.categorize_domain(F.col("domain")).alias("category")
-    )
+    return rankings.with_category(fx.posts(spark, sf_dir)).select("post_id", "domain", "category")
 
 
 @query
 def detect_media_type(spark, sf_dir):
-    return fx.posts(spark, sf_dir).select(
-        "post_id", "url", classify.detect_media_type(F.col("url")).alias("media_type")
-    )
+    return rankings.with_media_type(fx.posts(spark, sf_dir)).select("post_id", "url", "media_type")
 
 
 @query

@@ -15,9 +15,21 @@ def _contains_any(text: Column, marks) -> Column:
     return reduce(or_, [text.contains(mark) for mark in marks])
 
 
+def normal_domain(domain: Column) -> Column:
+    return F.coalesce(F.lower(F.btrim(domain, F.lit(" \t\n\r\f\x0b"))), F.lit(""))
+
+
+def normal_link(url: Column) -> Column:
+    return F.coalesce(F.lower(url), F.lit(""))
+
+
 def categorize_domain(domain: Column) -> Column:
     """Content category of a domain. A missing domain counts as an external link."""
-    text = F.coalesce(F.lower(F.btrim(domain, F.lit(" \t\n\r\f\x0b"))), F.lit(""))
+    return category_of(normal_domain(domain))
+
+
+def category_of(text: Column) -> Column:
+    """Content category of a domain in normal form."""
     rule = F.when(
         text.startswith(fv.SELF_PREFIX) | _contains_any(text, fv.SELF_MARKS), fv.CATEGORY_SELF
     )
@@ -28,7 +40,11 @@ def categorize_domain(domain: Column) -> Column:
 
 def detect_media_type(url: Column) -> Column:
     """Media type of a link. A missing link counts as a link to an article."""
-    text = F.coalesce(F.lower(url), F.lit(""))
+    return media_type_of(normal_link(url))
+
+
+def media_type_of(text: Column) -> Column:
+    """Media type of a link in normal form."""
     (first, first_marks), *others = fv.MEDIA_MARKS
     rule = F.when(_contains_any(text, first_marks), first)
     for label, marks in others:

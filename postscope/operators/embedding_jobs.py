@@ -12,7 +12,10 @@ from postscope.functions.text import whitespace_tokens
 
 def clean_embedding_text(text: Column) -> Column:
     """Newlines and tabs become blanks, ends are trimmed, blank text becomes a marker."""
-    flat = F.trim(F.translate(F.coalesce(text, F.lit("")), "\n\t", "  "))
+    flat = F.coalesce(text, F.lit(""))
+    for blank in ("\n", "\t"):
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
+    flat = F.trim(flat)
     return F.when(flat == "", fv.NO_CONTENT).otherwise(flat)
 
 
@@ -46,14 +49,14 @@ def token_budget_batches(
     Texts are taken in id order inside each shard; a text that would overflow the
     open batch starts the next one. With one shard this is one global pass, with
     more the shards run in parallel and only the batch borders at their ends
-    differ. Choose ``shards`` so that each holds what one task can stream: the
-    packing step keeps one Arrow batch and two counters, never a whole shard.
+    differ. Each shard is one task, which keeps one Arrow batch and two counters
+    and never a whole shard; choose ``shards`` by how much one task should stream.
     """
     ordered = (
         prepared.select(
             shard_of(F.col("post_id"), shards).alias("shard"), "post_id", "n_tokens", "text"
         )
-        .repartition(shards, "shard")
+        .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "post_id")
     )
     schema = T.StructType(

@@ -112,21 +112,26 @@ def tfidf_vectors(terms: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, l
 
 def tfidf_weights(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``(post_id, term, tf, tfidf)`` with unit length per post."""
-    vectors, names = tfidf_vectors(terms, vocabulary)
+    return unfold_weights(*tfidf_vectors(terms, vocabulary))
+
+
+def unfold_weights(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The vectors as one row per post and term; other columns of the vectors stay."""
     counts, features = F.unwrap_udt("counts"), F.unwrap_udt("features")
+    kept = [name for name in vectors.columns if name not in ("counts", "features")]
     parts = vectors.select(
-        "post_id",
+        *kept,
         F.arrays_zip(
             counts["indices"].alias("at"),
             counts["values"].alias("tf"),
             features["values"].alias("tfidf"),
         ).alias("entries"),
     )
-    entries = parts.select("post_id", F.inline_outer("entries").alias("at", "tf", "tfidf"))
+    entries = parts.select(*kept, F.inline_outer("entries").alias("at", "tf", "tfidf"))
     # One literal, split once at planning; terms hold word characters and blanks only.
     spelled = F.get(F.split(F.lit("|".join(names)), "[|]"), F.col("at"))
     return entries.filter(F.col("at").isNotNull()).select(
-        "post_id", spelled.alias("term"), F.col("tf").cast("bigint").alias("tf"), "tfidf"
+        *kept, spelled.alias("term"), F.col("tf").cast("bigint").alias("tf"), "tfidf"
     )
 
 

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
-from postscope.functions.classify import categorize_domain, detect_media_type
+from postscope.functions.classify import (
+    category_of,
+    media_type_of,
+    normal_domain,
+    normal_link,
+)
 from postscope.operators.ingest import column_or
 
 # Scores are counted in buckets of 2**10 neighbouring values to find a rank.
@@ -67,6 +72,8 @@ def exact_percentiles(posts: DataFrame, column: str, points: dict[str, float]) -
         .groupBy(F.col(column).cast("bigint").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("bucket", F.shiftright("value", _RANK_BITS))
+        # Said once for both uses below, so that they share one scan and shuffle.
+        .filter(F.col("bucket").isNotNull())
     )
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
     before = F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")
@@ -133,7 +140,9 @@ def score_stats(posts: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def with_media_type(posts: DataFrame) -> DataFrame:
-    return posts.withColumn("media_type", detect_media_type(F.col("url")))
+    # The lower-cased link is a column of its own, made once and not once per rule.
+    lowered = posts.withColumn("_link", normal_link(F.col("url")))
+    return lowered.withColumn("media_type", media_type_of(F.col("_link"))).drop("_link")
 
 
 def media_impact(posts: DataFrame) -> DataFrame:
@@ -152,8 +161,9 @@ def top_images(posts: DataFrame, n: int = fv.TOP_IMAGES) -> DataFrame:
 
 
 def with_category(posts: DataFrame) -> DataFrame:
-    domain = column_or(posts, "domain", fv.DEFAULT_DOMAIN)
-    return posts.withColumn("category", categorize_domain(domain))
+    domain = normal_domain(column_or(posts, "domain", fv.DEFAULT_DOMAIN))
+    lowered = posts.withColumn("_domain", domain)
+    return lowered.withColumn("category", category_of(F.col("_domain"))).drop("_domain")
 
 
 def content_composition(posts: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def cosine_top_k(
 
 
 def search_many(
-    posts: DataFrame,
+    posts: DataFrame | None,
     vectors: DataFrame,
     queries: DataFrame,
     k: int = fv.DEFAULT_TOP_K,
@@ -113,10 +113,13 @@ def search_many(
     batches with the matrix of the queries and keeps k candidates per query, so
     the shuffle carries at most k rows per query and task. The matrix is limited
     to ``block`` queries; more queries are answered block by block with one more
-    pass over the vectors each. Scores are rounded to nine digits before they are
+    pass over the vectors each. The join with the posts moves the vectors, unless
+    both are bucketed alike; give no posts where all vectors are known to have one. Scores are rounded to nine digits before they are
     ranked, so that copies of a vector tie and their ids decide.
     """
-    aligned = vectors.join(posts.select("post_id"), "post_id").select("post_id", "embedding")
+    aligned = vectors.select("post_id", "embedding")
+    if posts is not None:
+        aligned = aligned.join(posts.select("post_id"), "post_id")
     blocks = max(1, -(-queries.count() // block))
     results = None
     for number in range(blocks):

@@ -144,7 +144,7 @@ def _apply_rules(hits: DataFrame, modifiers: DataFrame) -> DataFrame:
             F.col("boost").alias("m_boost"),
             F.col("negates").alias("m_negates"),
         )
-        hits = hits.join(F.broadcast(found), F.lower(before) == F.col("modifier"), "left")
+        hits = hits.join(found, F.lower(before) == F.col("modifier"), "left")
         boost = F.coalesce("m_boost", F.lit(0.0))
         loud = F.when(
             (boost != 0) & F.col("mixed_case") & _is_capitals(before), fv.CAPITALS_BOOST

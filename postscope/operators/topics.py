@@ -33,14 +33,17 @@ def topic_vectors(
     posts: DataFrame,
     stop_words: Sequence[str] | None = None,
     max_features: int = fv.TOPIC_MAX_FEATURES,
-) -> DataFrame | None:
-    """TF-IDF vectors of the non-blank titles; None below five titles or without terms."""
+) -> tuple[DataFrame, list[str]] | None:
+    """TF-IDF vectors of the non-blank titles and the term of each of their positions.
+
+    None below five titles or without any term.
+    """
     if not enough_titles(posts):
         return None
     terms = tokenize_ngrams(filter_nonblank_title(posts), stop_words, clean=None)
     vocabulary = prune_vocabulary(terms, min_df=1, max_df=1.0, max_features=max_features)
     vectors, names = tfidf_vectors(terms, vocabulary)
-    return vectors.select("post_id", "features") if names else None
+    return (vectors, names) if names else None
 
 
 def topic_clusters(
@@ -50,12 +53,12 @@ def topic_clusters(
     seed: int = fv.TOPIC_SEED,
     parallelism: int = 4,
 ) -> DataFrame:
-    """``(post_id, cluster_id)`` from the best of several k-means starts.
+    """The vectors with their ``cluster_id`` from the best of several k-means starts.
 
     The vectors are kept for the time of the training, on disk where memory is
     short; a lost block is computed again from the posts.
     """
-    kept = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         k = cluster_count_rule(kept.count(), max_clusters)
 
@@ -70,7 +73,7 @@ def topic_clusters(
         best = min(models, key=lambda model: model.summary.trainingCost)
     finally:
         kept.unpersist()
-    return best.transform(vectors).select("post_id", "cluster_id")
+    return best.transform(vectors)
 
 
 def cluster_label(cluster: Column) -> Column:
@@ -83,11 +86,14 @@ def cluster_top_terms(
     """``(cluster_id, rank, term, weight)``: terms with the highest mean weight per cluster.
 
     The mean is over all posts of the cluster, with or without the term. Ranking
-    sees one row per cluster and vocabulary term.
+    sees one row per cluster and vocabulary term. Weights unfolded from vectors that
+    carry their ``cluster_id`` are not joined with the labels again.
     """
+    if "cluster_id" not in weights.columns:
+        weights = weights.join(labels.select("post_id", "cluster_id"), "post_id")
     sizes = labels.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     sums = (
-        weights.join(labels.select("post_id", "cluster_id"), "post_id")
+        weights.filter(F.col("cluster_id").isNotNull())
         .groupBy("cluster_id", "term")
         .agg(F.sum("tfidf").alias("total"))
     )
@@ -128,7 +134,7 @@ def cluster_examples(labelled: DataFrame, n: int = fv.TOPIC_EXAMPLES) -> DataFra
 
 
 def project_2d(vectors: DataFrame) -> DataFrame:
-    """``(post_id, x, y)``: the first two principal components.
+    """The vectors with ``x`` and ``y``, their first two principal components.
 
     One distributed pass builds the covariance, whose side is the vocabulary (2,000
     terms at most by default) and not the number of posts. Its two leading axes are
@@ -145,7 +151,7 @@ def project_2d(vectors: DataFrame) -> DataFrame:
         )
         return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
 
-    return vectors.select("post_id", place(axes[0]).alias("x"), place(axes[1]).alias("y"))
+    return vectors.withColumns({"x": place(axes[0]), "y": place(axes[1])})
 
 
 def _leading_axes(covariance: np.ndarray) -> np.ndarray:
@@ -157,12 +163,12 @@ def _leading_axes(covariance: np.ndarray) -> np.ndarray:
     return leading * np.where(turn == 0, 1, turn)[:, None]
 
 
-def topic_map(points: DataFrame, labels: DataFrame, posts: DataFrame) -> DataFrame:
+def topic_map(points: DataFrame, posts: DataFrame) -> DataFrame:
     """Every post with its place, its cluster and the fields shown on the map."""
     url = F.coalesce(column_or(posts, "url", fv.DEFAULT_URL), F.lit(fv.DEFAULT_URL))
     shown = posts.select("post_id", "title", "subreddit", "score", "sent_label", url.alias("url"))
     return (
-        points.join(labels, "post_id")
+        points.select("post_id", "cluster_id", "x", "y")
         .join(shown, "post_id")
         .withColumn("cluster_label", cluster_label(F.col("cluster_id")))
     )

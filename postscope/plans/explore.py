@@ -80,15 +80,15 @@ def topic_tables(
 ) -> dict[str, DataFrame]:
     """Clusters with profile, map, centroids and sentiment shares; empty below five titles."""
     used = filters.filter_nonblank_title(matched)
-    vectors = topics.topic_vectors(used, stop_words)
-    if vectors is None:
+    found = topics.topic_vectors(used, stop_words)
+    if found is None:
         return {}
-    terms = keywords.tokenize_ngrams(used, stop_words, clean=None)
-    weights = keywords.tfidf_weights(
-        terms, keywords.prune_vocabulary(terms, 1, 1.0, fv.TOPIC_MAX_FEATURES)
-    )
-    labels = topics.topic_clusters(vectors)
-    points = topics.topic_map(topics.project_2d(vectors), labels, used)
+    vectors, names = found
+    # Clusters and places are added beside the vectors, so neither is joined to them.
+    clustered = topics.topic_clusters(vectors)
+    labels = clustered.select("post_id", "cluster_id")
+    weights = keywords.unfold_weights(clustered, names)
+    points = topics.topic_map(topics.project_2d(clustered), used)
     return {
         "clusters": topics.cluster_records(used, weights, labels),
         "map": points,

@@ -115,7 +115,8 @@ def test_too_few_titles(spark):
 
 def test_clusters_separate_topics_and_repeat(spark):
     posts = topic_posts(spark)
-    vectors = topics.topic_vectors(posts, STOP)
+    vectors, names = topics.topic_vectors(posts, STOP)
+    assert "stock market" in names
     labels = {r.post_id: r.cluster_id for r in topics.topic_clusters(vectors).collect()}
     assert sorted(labels) == list(range(30))  # blank titles are not clustered
     assert len(set(labels.values())) == 3
@@ -127,7 +128,7 @@ def test_clusters_separate_topics_and_repeat(spark):
 
 def test_projection_equals_numpy(spark):
     posts = topic_posts(spark)
-    vectors = topics.topic_vectors(posts, STOP)
+    vectors, _ = topics.topic_vectors(posts, STOP)
     rows = sorted((r.post_id, r.features.toArray()) for r in vectors.collect())
     matrix = np.array([v for _, v in rows])
     _, axes = np.linalg.eigh(np.cov(matrix.T))
@@ -154,7 +155,7 @@ def test_cluster_tables(spark):
     assert [e.post_id for e in records[2].examples] == [29, 26, 23]
     assert records[1].positive_share == 1.0 and records[1].avg_compound == 0.5
     points = used.select("post_id", F.lit(1.0).alias("x"), F.lit(2.0).alias("y"))
-    shown = topics.topic_map(points, labels, used)
+    shown = topics.topic_map(points.join(labels, "post_id"), used)
     assert {r.url for r in shown.collect()} == {"#"}
     centroids = topics.projection_centroids(shown).collect()
     assert {(r.cluster_label, r.x, r.y) for r in centroids} == {
