@@ -74,13 +74,13 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _epoch(time: Column) -> Column:
-    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.timestamp_diff("MICROSECOND", start, time) / 1e6
+    passed = time - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return passed.cast("interval second").cast("decimal(18,6)")
 
 
 def _raw_records(posts: DataFrame) -> DataFrame:
     """Posts as records: epoch seconds as text, some of them bad or missing."""
-    number = F.format_string("%.6f", _epoch(F.col("timestamp")))
+    number = _epoch(F.col("timestamp")).cast("string")
     seconds = (
         F.when(F.col("post_id") % 7 == 3, "not a time")
         .when(F.col("post_id") % 11 == 5, F.lit(None))
