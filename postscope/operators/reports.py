@@ -99,26 +99,32 @@ def sharing_network(posts: DataFrame, keywords: list[str] | None = None) -> Data
     Edges run between an author and an item, never between all authors of an
     item. An item counts once per post.
     """
-    text = F.concat_ws(" ", "title", "selftext")
+    # Made once per post; a plain search for the mark spares most texts the pattern.
+    texts = posts.filter(F.col("author").isNotNull()).select(
+        "author",
+        F.lower(F.concat_ws(" ", "title", "selftext")).alias("lowered"),
+        F.concat_ws(" ", "title", "selftext", "url").alias("linked"),
+    )
+    lowered, linked = F.col("lowered"), F.col("linked")
 
     def tagged(kind: str, items: Column) -> Column:
         return F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
 
-    def every(pattern: str, source: Column) -> Column:
-        return F.regexp_extract_all(source, F.lit(f"({pattern})"), F.lit(1))
+    def every(pattern: str, mark: str, source: Column) -> Column:
+        found = F.regexp_extract_all(source, F.lit(f"({pattern})"), F.lit(1))
+        return F.when(source.contains(mark), found).otherwise(F.array().cast("array<string>"))
 
     found = [
-        tagged("hashtag", every(HASHTAG, F.lower(text))),
-        tagged("url", every(SHARED_LINK, F.concat_ws(" ", text, "url"))),
+        tagged("hashtag", every(HASHTAG, "#", lowered)),
+        tagged("url", every(SHARED_LINK, "://", linked)),
     ]
     for keyword in keywords or []:
-        hit = F.lower(text).contains(keyword.lower())
+        hit = lowered.contains(keyword.lower())
         found.append(
             tagged("keyword", F.array_compact(F.array(F.when(hit, F.lit(keyword)))))
         )
     return (
-        posts.filter(F.col("author").isNotNull())
-        .select("author", F.inline_outer(F.array_distinct(F.concat(*found))))
+        texts.select("author", F.inline_outer(F.array_distinct(F.concat(*found))))
         .filter(F.col("item").isNotNull())
         .groupBy("author", "kind", "item")
         .agg(F.count(F.lit(1)).alias("posts"))

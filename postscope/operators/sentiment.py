@@ -88,7 +88,7 @@ def _tokens(posts: DataFrame) -> DataFrame:
         )
         .otherwise(0)
         .alias("contrast_at"),
-        # The shifted lists are longer; their rows past the end have no token.
+        # The shifted lists are longer; their rows past the end have no token and go below.
         F.arrays_zip(
             tokens.alias("token"),
             shifted(1).alias("before1"),
@@ -105,7 +105,7 @@ def _tokens(posts: DataFrame) -> DataFrame:
         "contrast_at",
         F.posexplode_outer("context").alias("at", "context"),
     )
-    return rows.select(
+    return rows.filter(F.col("context.token") != "").select(
         "post_id",
         "emphasis",
         "mixed_case",
