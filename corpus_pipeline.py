@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postscope.llm.jaccard import jaccard_components, one_of_each
 from postscope.llm.mixing import mix_sources, mixed_documents
 from postscope.llm.pieces import piece_digests
 from postscope.llm.quality import clean_documents, quality_rules
 from postscope.llm.queries import piece_model
 from postscope.llm.shared import shared_path
+from postscope.llm.suffix_trees import documents_without_repeats, remove_repeated_words
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +20,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return clean_documents(docs, quality_rules(docs))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id stays (shingles of five words, 0.8)."""
+    return one_of_each(docs, jaccard_components(docs, shingle=5, percent=80))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more stay in the document with the smallest id only."""
+    return documents_without_repeats(docs, remove_repeated_words(docs))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixed_documents(docs, mix_sources(docs))
@@ -30,6 +42,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", keep_quality),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_trees", cut_repeats),
     ("mix_sources", mix),
     ("pieces", encode),
 ]

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postscope.llm.jaccard import jaccard_components
 from postscope.llm.langid import identify_language
 from postscope.llm.mixing import mix_sources
 from postscope.llm.pieces import piece_digests
 from postscope.llm.quality import quality_rules
+from postscope.llm.radix import remove_repeated_bytes
+from postscope.llm.suffix_trees import remove_repeated_words
 from postscope.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +60,19 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), piece_model())
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op8_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = remove_repeated_words(table(spark, sf_dir, "documents"))
+    return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
