@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from postscope.llm.jaccard import jaccard_components
 from postscope.llm.langid import identify_language
 from postscope.llm.mixing import mix_sources
+from postscope.llm.packing import pack_tokens
 from postscope.llm.pieces import piece_digests
 from postscope.llm.quality import quality_rules
 from postscope.llm.radix import remove_repeated_bytes
 from postscope.llm.suffix_trees import remove_repeated_words
+from postscope.llm.vectors import near_vectors
 from postscope.llm.warc import warc_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +38,14 @@ def piece_model() -> bytes:
         return file.read()
 
 
+def byte_ranks() -> tuple[bytes, str]:
+    """The public byte-level vocabulary as ranks, and the pattern that splits text before them."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        return file.read(), public_tokenizers.PATTERN
+
+
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines")
@@ -76,3 +86,14 @@ def op6_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = remove_repeated_words(table(spark, sf_dir, "documents"))
     return removed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = byte_ranks()
+    return pack_tokens(table(spark, sf_dir, "documents"), ranks, pattern)
