@@ -111,7 +111,7 @@ def mix_sources(
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in totals]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
-    full = [int(t // s) if s else 0 for t, s in zip(targets, sizes)]
+    full = [int(t / s) if s else 0 for t, s in zip(targets, sizes)]
     plan = literal_rows(
         spark,
         [(i, r["source"], r["size"], targets[i], full[i]) for i, r in enumerate(totals)],
