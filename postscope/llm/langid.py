@@ -73,39 +73,48 @@ class KernelModel:
         return cells @ self.weights / np.sqrt(np.maximum(counts, 1))[:, None] + self.bias
 
 
-def fit(cells: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
-    """Ridge regressions on Nyström features of 0/1 rows; landmarks are taken in turn from each language."""
+def unpacked(bits: np.ndarray) -> np.ndarray:
+    """0/1 rows of packed bits, each divided by its length."""
+    cells = np.unpackbits(bits, axis=1).astype(np.float32)
+    cells /= np.sqrt(np.maximum(cells.sum(axis=1), 1))[:, None]
+    return cells
+
+
+def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
+    """Ridge regressions on Nyström features of packed 0/1 rows, unpacked a block at a time.
+
+    Landmarks are taken in turn from each language.
+    """
     languages = sorted(set(labels))
     truth = np.array([languages.index(x) for x in labels])
     rank = np.zeros(len(labels), np.int64)
     for k in range(len(languages)):
         rank[truth == k] = np.arange((truth == k).sum())
-    chosen = np.lexsort((truth, rank))[:landmarks]
-    unit = cells / np.sqrt(np.maximum(cells.sum(axis=1), 1))[:, None]
-    base = unit[chosen]
+    base = unpacked(bits[np.lexsort((truth, rank))[:landmarks]])
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = values > values.max() * 1e-7
     root = vectors[:, keep] / np.sqrt(values[keep])
-    features = (unit @ base.T).astype(np.float64) @ root
+    kernel = [unpacked(bits[at : at + BATCH_TEXTS]) @ base.T for at in range(0, len(bits), BATCH_TEXTS)]
+    features = np.concatenate(kernel).astype(np.float64) @ root
     target = np.eye(len(languages))[truth]
     middle, share = features.mean(axis=0), target.mean(axis=0)
     shifted = features - middle
     inner = shifted.T @ shifted + ridge * len(labels) * np.eye(shifted.shape[1])
     solved = np.linalg.solve(inner, shifted.T @ (target - share))
-    weights = base.T.astype(np.float64) @ (root @ solved)
-    return KernelModel(languages, weights.astype(np.float32), share - middle @ solved)
+    weights = base.T @ (root @ solved).astype(np.float32)
+    return KernelModel(languages, weights, share - middle @ solved)
 
 
 def training_rows(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[str]]:
-    """N-gram cells and languages of at most ``train_rows`` labelled rows, as many of each language.
+    """N-gram cells, packed to bits, and languages of at most ``train_rows`` labelled rows, as many of each language.
 
-    Rows are chosen by a hash of their id; only ids are ranked, and only 0/1 cells, packed
-    to bits, come to the driver.
+    Rows are chosen by a hash of their id; only ids are ranked, and only the cells (8 KB a
+    row) come to the driver.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang")
     languages = labelled.select("lang").distinct().limit(train_rows + 1).count()
     if not languages:
-        return np.zeros((0, CELLS), np.float32), []
+        return np.zeros((0, CELLS // 8), np.uint8), []
     if languages > train_rows:
         raise ValueError("more languages than training rows")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -127,15 +136,15 @@ def training_rows(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.nda
     found = rows.mapInArrow(pack, "id long, lang string, bits binary").collect()
     found = sorted(found, key=lambda r: (r["lang"], r["id"], r["bits"]))[: 2 * train_rows]
     if not found:
-        return np.zeros((0, CELLS), np.float32), []
+        return np.zeros((0, CELLS // 8), np.uint8), []
     bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), -1)
-    return np.unpackbits(bits, axis=1).astype(np.float32), [r["lang"] for r in found]
+    return bits, [r["lang"] for r in found]
 
 
 def identify_language(docs: DataFrame, train_rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold, then predict every row."""
-    cells, labels = training_rows(docs, train_rows)
-    model = fit(cells, labels, landmarks) if labels else None
+    bits, labels = training_rows(docs, train_rows)
+    model = fit(bits, labels, landmarks) if labels else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
