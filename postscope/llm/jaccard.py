@@ -3,10 +3,10 @@
 A document is the set of its distinct word shingles, as 64-bit hashes. Its parity sketch
 XORs one bit per shingle, so the Hamming distance of two sketches never exceeds the size
 of the symmetric difference. Sizes fall into bands; in a band two sets that reach the
-threshold differ in at most d shingles. Shingles are dealt to d + 1 pieces by hash, and
-the piece's XOR is its key: by the pigeonhole principle at least one piece of two similar
-sets is untouched by their difference, so they share a key. Where a set has an empty piece
-it is dealt once more with another hash, as an untouched empty piece says nothing.
+threshold differ in at most d shingles. Shingles are dealt to d + 1 + e pieces by hash, and
+the piece's XOR is its key: by the pigeonhole principle at least e + 1 pieces of two similar
+sets are untouched by their difference, so a set with at most e empty pieces shares a key
+with every set that it links to. A set with more is dealt once more with another hash.
 
 Candidates of a key are first compared with the key's smallest document only. Keys whose
 documents are then still in several components are compared in blocks by sketch, and the
@@ -35,6 +35,8 @@ SHINGLE = 4
 PERCENT = 85
 BAND_RATIO = 1.5
 LEVELS = 3
+#: Share of a band's pieces that may be empty.
+EMPTY_SHARE = 0.08
 #: Bits of a sketch for each shingle, before rounding up to a power of two.
 SKETCH_BITS = 3
 #: Documents of a key are compared in blocks of so many.
@@ -88,7 +90,9 @@ def piece_keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for band in (own, own + 1):
         if band > own and 100 * n < percent * edges[band]:
             continue
-        pieces = most_different(2 * (edges[band + 1] - 1), percent) + 1
+        least = most_different(2 * (edges[band + 1] - 1), percent) + 1
+        spare = int(np.ceil(EMPTY_SHARE * least))
+        pieces = least + spare
         for level in range(LEVELS):
             salt = np.uint64((band * LEVELS + level + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
             dealt = ((W.mix(elements + salt) >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
@@ -100,7 +104,7 @@ def piece_keys(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
                 filled[:] = True  # the last time an empty piece is a key as well
             names = W.mix(salt + np.arange(pieces, dtype=np.uint64))
             keys.append(W.mix(content[filled] ^ names[filled]))
-            if filled.all():
+            if pieces - filled.sum() <= spare:
                 break
     return np.unique(np.concatenate(keys))
 
@@ -161,7 +165,7 @@ def _keys(shingle: int, percent: int):
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, doc_id): every document with its key's first one."""
+    """Of rows sorted by (key, doc_id): keys of several documents, each document with the first one."""
     last_key, last_hub = None, None
     for batch in batches:
         key, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -175,9 +179,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key, last_hub = key[-1], hubs[-1]
         keep = doc != hubs
         if keep.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[keep]), pa.array(hubs[keep]), pa.array(doc[keep])], names=["key", "hub", "doc_id"]
-            )
+            _, one = np.unique(run[keep], return_index=True)  # the first document itself, once per key
+            key, hubs, doc = key[keep], hubs[keep], doc[keep]
+            columns = [np.concatenate([key, key[one]]), np.concatenate([hubs, hubs[one]]), np.concatenate([doc, hubs[one]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hub", "doc_id"])
 
 
 def _near(percent: int):
@@ -308,14 +313,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     keys = docs.mapInArrow(_keys(shingle, percent), KEYS)
     stars = keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, STARS)
     stars = written(stars, "stars")
-    first = stars.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    first = stars.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     known = copies.select(F.col("v").alias("a"), F.col("u").alias("b"))
     links = _verified(docs, lookup, first.join(known, ["a", "b"], "left_anti"), shingle, percent, "near")
     links = copies.union(links)
     joined = written(components(links), "components")
     # keys whose documents are still apart
-    members = stars.select("key", "doc_id").union(stars.select("key", F.col("hub").alias("doc_id"))).distinct()
-    members = members.join(joined, members["doc_id"] == joined["id"], "left")
+    members = stars.select("key", "doc_id").join(joined, stars["doc_id"] == joined["id"], "left")
     members = members.select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     mixed = members.groupBy("key").agg(
         F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("n")
