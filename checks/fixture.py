@@ -84,14 +84,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events and documents of the same id as posts, each with one of the twelve links."""
+    """Every event as a post, with the text of a document and one of the twelve links.
+
+    Documents are dealt to events in turn, so that no event is left out.
+    """
     events = table(spark, sf_dir, "events")
     documents = table(spark, sf_dir, "documents")
     media = literal_rows(spark, MEDIA, "m bigint, url string, domain string")
     k = F.get_json_object("props", "$.k").cast("bigint")
     shift = F.make_dt_interval(days=(F.col("event_id") * 37 % 400).cast("int"))
     return (
-        events.join(documents, F.col("doc_id") == F.col("event_id"))
+        events.join(documents, F.col("doc_id") == F.col("event_id") % documents.count())
         .join(F.broadcast(media), F.col("m") == F.col("event_id") % 12)
         .select(
             F.col("event_id").alias("post_id"),

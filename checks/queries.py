@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +28,6 @@ from postscope.operators import (
     topics,
     trends,
 )
-from postscope.session import scratch_path
 from postscope.sources import posts as post_files
 from postscope.sources import vectors as vector_files
 
@@ -36,6 +40,16 @@ def query(function: Query) -> Query:
     return function
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder of the cluster; a local session may have its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="postscope-")
+    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return frame.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
@@ -44,7 +58,7 @@ def joined(column: str, separator: str = "|") -> Column:
     return F.array_join(F.col(column), separator).alias(column)
 
 
-def query_vector(spark: SparkSession, sf_dir: str) -> Column:
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return search.vector_of(fx.vectors(spark, sf_dir), fx.QUERY_POST)
 
 
@@ -99,6 +113,33 @@ def read_posts(spark, sf_dir):
     return good.withColumn("selftext", F.md5("selftext"))
 
 
+@query
+def ingest_records(spark, sf_dir):
+    """Nested records with times as texts of all kinds, bad ones, missing ones and corrupt lines."""
+    posts = fx.posts(spark, sf_dir)
+    kind = F.col("post_id") % 10
+    second = F.floor(_epoch(F.col("timestamp"))).cast("bigint")
+    time = (
+        F.when(kind < 2, second.cast("string"))
+        .when(kind == 2, (second * 1000).cast("string"))
+        .when(kind == 3, (second * 1_000_000).cast("string"))
+        .when(kind == 4, (second * 1_000_000_000).cast("string"))
+        .when(kind < 7, F.date_format(F.date_trunc("second", "timestamp"), "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(kind == 7, "not a time")
+    )
+    records = posts.select(
+        F.struct("post_id", time.alias("created_at"), "selftext", "subreddit", "comments").alias("data"),
+        F.when(kind == 9, F.lit('{"data": {"post')).alias(post_files.CORRUPT_COLUMN),
+    )
+    found = ingest.ingest(records, corrupt="drop")
+    return found.select(
+        "post_id", "timestamp", "year_month", "hour", F.md5("text_col").alias("text_md5"), "subreddit", "comments"
+    )
+
+
+QUERIES["ingest"] = QUERIES.pop("ingest_records")
+
+
 @query
 def flatten_struct(spark, sf_dir):
     posts = fx.posts(spark, sf_dir)
@@ -163,13 +204,31 @@ def fill_schema_defaults(spark, sf_dir):
 
 @query
 def load_embeddings(spark, sf_dir):
+    path = scratch_path(spark, "vectors")
+    pairs = search.align_embeddings(fx.posts(spark, sf_dir), fx.vectors(spark, sf_dir))
+    pairs.select("post_id", "embedding").write.parquet(path)
+    loaded = vector_files.load_embeddings(spark, path, pairs)
+    return loaded.select("post_id", F.size("embedding").alias("dims"))
+
+
+@query
+def vector_mismatches(spark, sf_dir):
     return vector_files.vector_mismatches(fx.posts(spark, sf_dir), fx.vectors(spark, sf_dir))
 
 
-def _prepared(spark, sf_dir):
-    return embedding_jobs.prepare_embedding_text(
-        ingest.choose_text_column(fx.posts(spark, sf_dir))
+def _prepared(spark, sf_dir, *limit):
+    """Some texts get white space of all kinds around them, some have nothing else."""
+    kind = F.col("post_id") % 50
+    text = F.when(kind == 7, F.concat(F.lit("\r\n\u00a0\x0b"), "selftext", F.lit("\u2003\x1f\r"))).when(
+        kind == 8, "\r\t \u3000\r"
     )
+    posts = fx.posts(spark, sf_dir).withColumn("selftext", text.otherwise(F.col("selftext")))
+    return embedding_jobs.prepare_embedding_text(ingest.choose_text_column(posts), *limit)
+
+
+@query
+def prepare_embedding_text_cut(spark, sf_dir):
+    return _prepared(spark, sf_dir, 200).select("post_id", "n_tokens", F.md5("text").alias("text_md5"))
 
 
 @query
@@ -225,7 +284,10 @@ def filter_title_keyword(spark, sf_dir):
 @query
 def filter_nonblank_title(spark, sf_dir):
     blanked = fx.posts(spark, sf_dir).withColumn(
-        "title", F.when(F.col("post_id") % 3 == 1, "   ").otherwise(F.col("title"))
+        "title",
+        F.when(F.col("post_id") % 3 == 1, "   ")
+        .when(F.col("post_id") % 9 == 2, "\t\r\n\u00a0\u2003\x1c")
+        .otherwise(F.col("title")),
     )
     return filters.filter_nonblank_title(blanked).select("post_id", "title")
 
@@ -512,6 +574,31 @@ def topic_clusters(spark, sf_dir):
     return topics.topic_clusters(vectors).select("post_id", "cluster_id")
 
 
+@query
+def topic_cluster_checks(spark, sf_dir):
+    """What holds for any right clustering: all posts in it, k by the rule, each at its nearest centre."""
+    vectors, _ = topics.topic_vectors(fx.posts(spark, sf_dir), fx.STOP_WORDS)
+    model = topics.topic_model(vectors)
+    centres = np.array(model.clusterCenters())
+
+    @F.pandas_udf("boolean")
+    def nearest(at: pd.Series, weight: pd.Series, cluster: pd.Series) -> pd.Series:
+        lengths = (centres * centres).sum(axis=1)
+        apart = [lengths - 2 * centres[:, i] @ w for i, w in zip(at, weight)]
+        return pd.Series([d[c] <= d.min() + 1e-9 for d, c in zip(apart, cluster)], dtype="bool")
+
+    parts = F.unwrap_udt("features")
+    found = model.transform(vectors).select(
+        "cluster_id", nearest(parts["indices"], parts["values"], F.col("cluster_id")).alias("right")
+    )
+    return found.agg(
+        F.lit(filters.filter_nonblank_title(fx.posts(spark, sf_dir)).count()).cast("bigint").alias("posts_in"),
+        F.count(F.lit(1)).alias("posts_out"),
+        F.count_distinct("cluster_id").cast("int").alias("clusters"),
+        F.count_if(~F.col("right")).alias("misplaced"),
+    )
+
+
 @query
 def cluster_top_terms(spark, sf_dir):
     posts = fx.posts(spark, sf_dir).select("post_id")
@@ -540,6 +627,22 @@ def project_2d(spark, sf_dir):
     return topics.project_2d(vectors).select("post_id", "x", "y")
 
 
+@query
+def project_2d_checks(spark, sf_dir):
+    """What holds for the two leading axes: no correlation, and more variance than any two terms hold."""
+    vectors, _ = topics.topic_vectors(fx.posts(spark, sf_dir), fx.STOP_WORDS)
+    spread = vectors.select(Summarizer.variance(F.col("features")).alias("v")).first().v
+    most = float(np.sort(spread.toArray())[-2:].sum())
+    found = topics.project_2d(vectors).agg(
+        F.count(F.lit(1)).alias("posts"),
+        F.corr("x", "y").alias("r"),
+        (F.var_samp("x") + F.var_samp("y")).alias("held"),
+    )
+    return found.select(
+        "posts", (F.abs("r") < 1e-6).alias("uncorrelated"), (F.col("held") >= most - 1e-9).alias("best")
+    )
+
+
 @query
 def projection_centroids(spark, sf_dir):
     points = fx.table(spark, sf_dir, "embeddings").select(
@@ -683,4 +786,12 @@ def corrupt_line_report(spark, sf_dir):
 
 @query
 def sharing_network(spark, sf_dir):
-    return reports.sharing_network(fx.posts(spark, sf_dir), fx.KEYWORDS)
+    kind = F.col("post_id") % 11
+    added = (
+        F.when(kind == 1, " see [here](https://a.example/c). #Tag")
+        .when(kind == 2, " (https://a.example/c), https://w.example/x_(y)!")
+        .when(kind == 3, " https://a.example/c#frag #ÄÖ_1, a#b")
+        .otherwise("")
+    )
+    posts = fx.posts(spark, sf_dir).withColumn("selftext", F.concat("selftext", added))
+    return reports.sharing_network(posts, fx.KEYWORDS)

@@ -51,22 +51,46 @@ QUESTION_BOOST = 0.18
 QUESTION_MANY = 3
 QUESTION_MAX = 0.96
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Degree words, negations and phrases of the public VADER sentiment library (MIT licence).
 INTENSIFIERS = (
     "absolutely amazingly awfully completely considerable considerably decidedly deeply "
-    "enormous enormously entirely especially exceptional exceptionally extreme extremely "
-    "fabulously fully greatly highly hugely incredible incredibly intensely major majorly "
-    "more most particularly purely quite really remarkably so substantially thoroughly "
-    "total totally tremendous tremendously uber unbelievably unusually utter utterly very"
-).split()
-DAMPENERS = (
-    "almost barely hardly kinda kindof less little marginal marginally occasional "
-    "occasionally partly scarce scarcely slight slightly somewhat sorta sortof"
+    "effing enormous enormously entirely especially exceptional exceptionally extreme "
+    "extremely fabulously flipping flippin frackin fracking fricking frickin frigging friggin "
+    "fully fuckin fucking fuggin fugging greatly hella highly hugely incredible incredibly "
+    "intensely major majorly more most particularly purely quite really remarkably so "
+    "substantially thoroughly total totally tremendous tremendously uber unbelievably "
+    "unusually utter utterly very"
 ).split()
+DAMPENERS = [
+    *(
+        "almost barely hardly kinda kindof kind-of less little marginal marginally occasional "
+        "occasionally partly scarce scarcely slight slightly somewhat sorta sortof sort-of"
+    ).split(),
+    "just enough",
+    "kind of",
+    "sort of",
+]
 NEGATIONS = (
-    "aint arent cannot cant couldnt darent didnt doesnt dont hadnt hasnt havent isnt "
-    "mightnt mustnt neither neednt never none nope nor not nothing nowhere oughtnt shant "
-    "shouldnt wasnt werent without wont wouldnt rarely seldom despite"
+    "aint ain't arent aren't cannot cant can't couldnt couldn't darent daren't despite didnt "
+    "didn't doesnt doesn't dont don't hadnt hadn't hasnt hasn't havent haven't isnt isn't "
+    "mightnt mightn't mustnt mustn't neednt needn't neither never none nope nor not nothing "
+    "nowhere oughtnt oughtn't rarely seldom shant shan't shouldnt shouldn't uhuh uh-uh wasnt "
+    "wasn't werent weren't without wont won't wouldnt wouldn't"
 ).split()
+IDIOMS = {
+    "the shit": 3.0,
+    "the bomb": 3.0,
+    "bad ass": 1.5,
+    "badass": 1.5,
+    "bus stop": 0.0,
+    "yeah right": -2.0,
+    "kiss of death": -1.5,
+    "to die for": 3.0,
+    "beating heart": 3.1,
+    "broken heart": -2.9,
+}
+RAISED_AFTER_NEVER = ("so", "this")
+NEVER_SO_FACTOR = 1.25
 NEGATION_CONTRACTION = "n't"
 CONTRAST_WORD = "but"
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
+from postscope.functions.text import strip
 
 
 def _contains_any(text: Column, marks) -> Column:
@@ -16,7 +17,7 @@ def _contains_any(text: Column, marks) -> Column:
 
 
 def normal_domain(domain: Column) -> Column:
-    return F.coalesce(F.lower(F.btrim(domain, F.lit(" \t\n\r\f\x0b"))), F.lit(""))
+    return F.coalesce(F.lower(strip(domain)), F.lit(""))
 
 
 def normal_link(url: Column) -> Column:

@@ -18,7 +18,16 @@ DIGITS = r"\p{Nd}+"
 SHORT_WORD = rf"(?<!{WORD_CHAR}){WORD_CHAR}{{1,2}}(?!{WORD_CHAR})"
 LINK = r"http[^\s\x0B\x1C-\x1F\x85\p{Z}]+"
 WORD = rf"{WORD_CHAR}{{2,}}"
-WHITESPACE = r"\s+"
+# White space as Python's str.split and str.strip see it.
+SPACE_CLASS = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACES = "".join(
+    chr(c)
+    for first, last in [
+        (0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+        (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000),
+    ]
+    for c in range(first, last + 1)
+)
 
 
 def clean_title(title: Column) -> Column:
@@ -50,5 +59,17 @@ def matches_any_case(text: Column, pattern: str) -> Column:
     return text.rlike(f"(?iU){pattern}")
 
 
+def strip(text: Column) -> Column:
+    """The text without white space at its ends."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def whitespace_tokens(text: Column) -> Column:
-    return F.split(text, WHITESPACE)
+    """Runs of characters between white space; none in a blank text."""
+    return F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda token: token != "")
+
+
+def first_tokens(text: Column, n: int) -> Column:
+    """The text up to the end of its n-th token, with the white space it has in between."""
+    parts = F.split(text, f"(?<=[{SPACE_CLASS}])(?=[^{SPACE_CLASS}])")
+    return strip(F.concat_ws("", F.slice(parts, 1, n)))

@@ -7,31 +7,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postscope import fixed_values as fv
-from postscope.functions.text import whitespace_tokens
+from postscope.functions.text import first_tokens, strip, whitespace_tokens
+
+# One task packs about so many posts.
+SHARD_POSTS = 1_000_000
 
 
 def clean_embedding_text(text: Column) -> Column:
-    """Newlines and tabs become blanks, ends are trimmed, blank text becomes a marker."""
+    """Newlines and tabs become blanks, white space at the ends goes, blank text becomes a marker."""
     flat = F.coalesce(text, F.lit(""))
     for blank in ("\n", "\t"):
         flat = F.replace(flat, F.lit(blank), F.lit(" "))
-    flat = F.trim(flat)
+    flat = strip(flat)
     return F.when(flat == "", fv.NO_CONTENT).otherwise(flat)
 
 
 def prepare_embedding_text(posts: DataFrame, max_tokens: int = fv.MAX_TOKENS) -> DataFrame:
     """``(post_id, text, n_tokens)`` with every text cut to the token limit of the model.
 
-    A token is a run of characters between blanks.
+    A token is a run of characters between white space. A text beyond the limit keeps
+    an exact prefix, as a text within it is kept exactly.
     """
     cleaned = posts.select("post_id", clean_embedding_text(F.col("text_col")).alias("full"))
-    split = cleaned.withColumn("tokens", whitespace_tokens(F.col("full")))
-    count = F.size("tokens")
-    cut = F.concat_ws(" ", F.slice("tokens", 1, max_tokens))
-    return split.select(
+    counted = cleaned.withColumn("count", F.size(whitespace_tokens(F.col("full"))))
+    return counted.select(
         "post_id",
-        F.when(count > max_tokens, cut).otherwise(F.col("full")).alias("text"),
-        F.least(count, F.lit(max_tokens)).alias("n_tokens"),
+        F.when(F.col("count") > max_tokens, first_tokens(F.col("full"), max_tokens))
+        .otherwise(F.col("full"))
+        .alias("text"),
+        F.least("count", F.lit(max_tokens)).alias("n_tokens"),
     )
 
 
@@ -42,21 +46,27 @@ def shard_of(post_id: Column, shards: int) -> Column:
 
 
 def token_budget_batches(
-    prepared: DataFrame, budget: int = fv.MAX_TOKENS, shards: int = 64
+    prepared: DataFrame,
+    budget: int = fv.MAX_TOKENS,
+    shards: int | None = None,
+    shard_posts: int = SHARD_POSTS,
 ) -> DataFrame:
-    """Give every text the number of its batch; no batch holds more tokens than the budget.
+    """``(shard, batch, post_id, n_tokens)``; no batch holds more tokens than the budget.
 
-    Texts are taken in id order inside each shard; a text that would overflow the
-    open batch starts the next one. With one shard this is one global pass, with
-    more the shards run in parallel and only the batch borders at their ends
-    differ. Each shard is one task, which keeps one Arrow batch and two counters
-    and never a whole shard; choose ``shards`` by how much one task should stream.
+    Texts are taken in id order inside each shard; a text that would overflow the open
+    batch starts the next one, and a text larger than the budget is an error. Packing
+    needs ids and counts only, so texts are not moved: join them by ``post_id``. Without
+    a number of shards there is one per ``shard_posts`` posts, which takes a count. With
+    one shard this is one global pass; with more, the borders at their ends differ.
     """
+    if shards is None:
+        shards = max(1, -(-prepared.count() // shard_posts))
+    fits = F.when(F.col("n_tokens") <= budget, F.col("n_tokens")).otherwise(
+        F.raise_error(F.concat(F.lit("larger than the budget: post "), F.col("post_id").cast("string"))).cast("int")
+    )
     ordered = (
-        prepared.select(
-            shard_of(F.col("post_id"), shards).alias("shard"), "post_id", "n_tokens", "text"
-        )
-        .repartitionById(shards, "shard")
+        prepared.select(shard_of(F.col("post_id"), shards).alias("shard"), "post_id", fits.alias("n_tokens"))
+        .repartition("shard")
         .sortWithinPartitions("shard", "post_id")
     )
     schema = T.StructType(
@@ -65,7 +75,6 @@ def token_budget_batches(
             T.StructField("batch", T.LongType()),
             ordered.schema["post_id"],
             T.StructField("n_tokens", T.IntegerType()),
-            T.StructField("text", T.StringType()),
         ]
     )
 
@@ -84,15 +93,8 @@ def token_budget_batches(
                     number, used = number + 1, 0
                 used += tokens
                 numbers.append(number)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    rows.column("shard"),
-                    pa.array(numbers, pa.int64()),
-                    rows.column("post_id"),
-                    rows.column("n_tokens"),
-                    rows.column("text"),
-                ],
-                names=["shard", "batch", "post_id", "n_tokens", "text"],
-            )
+            columns = [rows.column("shard"), pa.array(numbers, pa.int64())]
+            columns += [rows.column("post_id"), rows.column("n_tokens")]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "batch", "post_id", "n_tokens"])
 
     return ordered.mapInArrow(pack, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
-from postscope.functions.text import matches_any_case
+from postscope.functions.text import matches_any_case, strip
 
 
 def date_bounds(posts: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def filter_title_keyword(posts: DataFrame, pattern: str) -> DataFrame:
 
 
 def filter_nonblank_title(posts: DataFrame) -> DataFrame:
-    return posts.filter(F.trim("title") != "")
+    """Posts whose title has more than white space."""
+    return posts.filter(strip(F.col("title")) != "")
 
 
 def enough_titles(posts: DataFrame, least: int = fv.TOPIC_MIN_TITLES) -> bool:

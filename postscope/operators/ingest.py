@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 
 from postscope import fixed_values as fv
 from postscope.functions import dates
+from postscope.sources.posts import CORRUPT_COLUMN, split_corrupt
 
 # Epoch seconds outside of this span do not fit 64-bit nanoseconds and count as bad.
 _EPOCH_LIMIT = 9_223_372_036
+_TIME_RANGE = ("1677-09-21 00:12:44", "2262-04-11 23:47:16")
 
 
 def _leaf_columns(schema: T.StructType, path: str, name: str) -> list[Column]:
@@ -46,24 +48,46 @@ def resolve_timestamp_column(records: DataFrame) -> str:
     raise ValueError(f"no timestamp column, expected one of {', '.join(fv.TIMESTAMP_COLUMNS)}")
 
 
-def epoch_to_timestamp(seconds: Column) -> Column:
-    """Seconds since 1970 as a zone-less UTC timestamp; null where bad or out of range."""
-    number = seconds.cast("string").try_cast("double")
-    inside = number.between(-_EPOCH_LIMIT, _EPOCH_LIMIT)
-    span = F.make_dt_interval(secs=F.when(inside, number).cast("decimal(18,6)"))
+def epoch_to_timestamp(epoch: Column) -> Column:
+    """A number since 1970 as a zone-less UTC timestamp; null where bad or out of range.
+
+    Its size tells the unit: seconds up to 1e11, then milli-, micro- and nanoseconds.
+    """
+    number = epoch.cast("string").try_cast("double")
+    size = F.abs(number)
+    seconds = (
+        F.when(size < 1e11, number)
+        .when(size < 1e14, number / 1e3)
+        .when(size < 1e17, number / 1e6)
+        .otherwise(number / 1e9)
+    )
+    inside = seconds.between(-_EPOCH_LIMIT, _EPOCH_LIMIT)
+    span = F.make_dt_interval(secs=F.when(inside, seconds).cast("decimal(18,6)"))
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + span
 
 
+def parsed_timestamp(records: DataFrame, column: str) -> Column:
+    """The column as a zone-less timestamp; null where it does not parse or is out of range.
+
+    Numbers, and texts that are a number of nine digits or more, are epochs in every
+    column; the epoch column takes any number. Texts have the same range as epochs.
+    """
+    kind = records.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.col(column).cast("timestamp_ntz")
+    epoch = epoch_to_timestamp(F.col(column))
+    if column == fv.EPOCH_COLUMN or isinstance(kind, T.NumericType):
+        return epoch
+    text = F.col(column).cast("string")
+    time = text.try_cast("timestamp_ntz")
+    first, last = (F.lit(x).cast("timestamp_ntz") for x in _TIME_RANGE)
+    inside = F.when(time.between(first, last), time)
+    return F.when(text.rlike(r"^\s*[+-]?\d{9,}(\.\d*)?\s*$"), epoch).otherwise(inside)
+
+
 def parse_timestamp(records: DataFrame, column: str) -> DataFrame:
     """Turn the column into a zone-less timestamp; what does not parse becomes null."""
-    kind = records.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        parsed = F.col(column).cast("timestamp_ntz")
-    elif column == fv.EPOCH_COLUMN:
-        parsed = epoch_to_timestamp(F.col(column))
-    else:
-        parsed = F.col(column).cast("string").try_cast("timestamp_ntz")
-    return records.withColumn(column, parsed)
+    return records.withColumn(column, parsed_timestamp(records, column))
 
 
 def drop_undated(records: DataFrame, column: str) -> DataFrame:
@@ -124,9 +148,26 @@ def column_or(posts: DataFrame, name: str, default) -> Column:
     return F.col(name) if name in posts.columns else F.lit(default)
 
 
-def ingest(records: DataFrame) -> DataFrame:
+def without_corrupt(records: DataFrame, corrupt: str = "raise") -> DataFrame:
+    """Records without corrupt lines and without the column that holds them.
+
+    ``raise`` fails with the line when a corrupt one is met while rows are read, without a
+    pass of its own; ``drop`` leaves them out (``split_corrupt`` and the line report keep them).
+    """
+    if corrupt not in ("raise", "drop"):
+        raise ValueError("corrupt must be raise or drop")
+    if CORRUPT_COLUMN not in records.columns:
+        return records
+    line = F.col(CORRUPT_COLUMN)
+    if corrupt == "drop":
+        return split_corrupt(records)[0]
+    failed = F.raise_error(F.concat(F.lit("corrupt line: "), F.substring(line, 1, 200))).cast("boolean")
+    return records.filter(F.when(line.isNull(), True).otherwise(failed)).drop(CORRUPT_COLUMN)
+
+
+def ingest(records: DataFrame, corrupt: str = "raise") -> DataFrame:
     """All ingest steps in order: raw records in, posts out."""
-    flat = flatten_struct(records)
+    flat = flatten_struct(without_corrupt(records, corrupt))
     column = resolve_timestamp_column(flat)
     dated = drop_undated(parse_timestamp(flat, column), column)
     return fill_schema_defaults(derive_calendar(choose_text_column(dated)))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postscope import fixed_values as fv
 from postscope.functions.classify import (
@@ -18,6 +19,7 @@ from postscope.operators.ingest import column_or
 
 # Scores are counted in buckets of 2**10 neighbouring values to find a rank.
 _RANK_BITS = 10
+_RANGE_BITS = 20
 
 
 def dataset_overview(posts: DataFrame, approximate: bool = False) -> DataFrame:
@@ -60,13 +62,15 @@ def community_share(posts: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(posts: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
-    """One row with linearly interpolated percentiles of an integer column.
+    """One row with linearly interpolated percentiles of a numeric column.
 
-    The built-in exact percentile gathers every distinct value in one task. Here
-    equal values are counted first, buckets of neighbouring values give each
-    value its rank, and only the values at the wanted ranks go on. The widest
-    single step is the running total over buckets, one row per 1,024 values.
+    The built-in exact percentile gathers every distinct value in one task; it serves
+    fractional columns only. Equal integers are counted first, buckets of 1,024 values and
+    ranges of 2 ** 20 give each value its rank, and only the values at the wanted ranks go
+    on. The widest single step is the running total over ranges.
     """
+    if not isinstance(posts.schema[column].dataType, T.IntegralType):
+        return posts.agg(*[F.percentile(column, F.lit(share)).alias(name) for name, share in points.items()])
     counts = (
         posts.filter(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("bigint").alias("value"))
@@ -76,9 +80,16 @@ def exact_percentiles(posts: DataFrame, column: str, points: dict[str, float]) -
         .filter(F.col("bucket").isNotNull())
     )
     buckets = counts.groupBy("bucket").agg(F.sum("n").alias("in_bucket"))
-    before = F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")
-    total = F.sum("in_bucket").over(Window.partitionBy())
-    placed = buckets.select("bucket", before.alias("before_bucket"), total.alias("total"))
+    buckets = buckets.withColumn("range", F.shiftright("bucket", _RANGE_BITS - _RANK_BITS))
+    ranges = buckets.groupBy("range").agg(F.sum("in_bucket").alias("in_range"))
+    ranges = ranges.select(
+        "range",
+        (F.sum("in_range").over(Window.orderBy("range")) - F.col("in_range")).alias("before_range"),
+        F.sum("in_range").over(Window.partitionBy()).alias("total"),
+    )
+    before = F.sum("in_bucket").over(Window.partitionBy("range").orderBy("bucket")) - F.col("in_bucket")
+    placed = buckets.withColumn("before", before).join(ranges, "range")
+    placed = placed.select("bucket", (F.col("before_range") + F.col("before")).alias("before_bucket"), "total")
     within = Window.partitionBy("bucket").orderBy("value")
     ranked = counts.join(placed, "bucket").select(
         "value",

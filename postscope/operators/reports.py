@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postscope.functions.text import WORD_CHAR
+from postscope import fixed_values as fv
+from postscope.functions.text import SPACE_CLASS, WORD_CHAR
+from postscope.operators.ingest import parsed_timestamp
 from postscope.operators.rankings import subreddit_counts
 from postscope.operators.trends import posts_by_day
 from postscope.sources.posts import CORRUPT_COLUMN
 
 # Patterns of shared items.
-HASHTAG = rf"#{WORD_CHAR}+"
-SHARED_LINK = r"https?://[^\s\p{Z}]+"
+# A hashtag stands at the start or behind white space; a link ends before a bracket that it
+# does not open itself, and without the punctuation behind it.
+HASHTAG = rf"(?<![^{SPACE_CLASS}])#{WORD_CHAR}+"
+LINK_CHAR = r"[^\s\p{Z}()<>\[\]\"]"
+SHARED_LINK = rf"https?://(?:{LINK_CHAR}|\({LINK_CHAR}*\))+"
+LINK_END = r"[.,;:!?'*_~`]+$"
 
 
 def top_posts(posts: DataFrame, n: int = 10) -> DataFrame:
@@ -73,7 +79,7 @@ def write_metadata(posts: DataFrame, folder: str) -> None:
 
 
 def corrupt_line_report(records: DataFrame, required: list[str]) -> DataFrame:
-    """``(problem, lines)``: corrupt lines, and good lines that lack each required field.
+    """``(problem, lines)``: corrupt lines, good lines that lack each required field, bad times.
 
     One pass; every line is tested for all problems at once.
     """
@@ -84,6 +90,9 @@ def corrupt_line_report(records: DataFrame, required: list[str]) -> DataFrame:
     for name in required:
         missing = F.col(name).isNull() if name in records.columns else F.lit(True)
         checks[f"missing {name}"] = ~corrupt & missing
+    times = [name for name in fv.TIMESTAMP_COLUMNS if name in records.columns][:1]
+    for name in times:  # there, but not a time within range: ingest drops such records
+        checks[f"bad {name}"] = ~corrupt & F.col(name).isNotNull() & parsed_timestamp(records, name).isNull()
     names = list(checks)
     totals = records.agg(*[F.count_if(checks[n]).alias(f"c{i}") for i, n in enumerate(names)])
     pairs = F.array(
@@ -116,7 +125,10 @@ def sharing_network(posts: DataFrame, keywords: list[str] | None = None) -> Data
 
     found = [
         tagged("hashtag", every(HASHTAG, "#", lowered)),
-        tagged("url", every(SHARED_LINK, "://", linked)),
+        tagged(
+            "url",
+            F.transform(every(SHARED_LINK, "://", linked), lambda x: F.regexp_replace(x, LINK_END, "")),
+        ),
     ]
     for keyword in keywords or []:
         hit = lowered.contains(keyword.lower())

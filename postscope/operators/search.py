@@ -1,7 +1,7 @@
 """Similarity search of posts by their vectors.
 
-Vectors are wide (thousands of bytes) and scores are eight bytes, so every search
-scores first, where the vectors are read, and only ids and scores move after that.
+Vectors are wide (thousands of bytes) and scores are eight bytes, so a search for one
+query scores first, where the vectors are read, and only ids and scores move after that.
 """
 
 from __future__ import annotations
@@ -9,17 +9,19 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from postscope import fixed_values as fv
-from postscope.functions.vectors import as_vector, cosine, dot
 from postscope.operators.filters import filter_date_range
 
 # A result of up to this many rows is small enough to be sent to every task.
 _BROADCAST_ROWS = 10_000
+# Scores are rounded before they are ranked, so that copies of a vector tie and ids decide.
+SCORE_DIGITS = 9
+_QUERIES_AT_ONCE = 256
 
 
 def align_embeddings(posts: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -27,30 +29,73 @@ def align_embeddings(posts: DataFrame, vectors: DataFrame) -> DataFrame:
     return posts.join(vectors.select("post_id", "embedding"), "post_id")
 
 
-def vector_of(vectors: DataFrame, post_id) -> Column:
-    """The vector of one post as a query vector."""
-    return vectors.filter(F.col("post_id") == post_id).select("embedding").scalar()
+def vector_of(vectors: DataFrame, post_id) -> list[float]:
+    """The vector of one post, read now, as a query vector."""
+    row = vectors.filter(F.col("post_id") == post_id).select("embedding").first()
+    if row is None or row.embedding is None:
+        raise ValueError(f"post {post_id} has no vector")
+    return [float(x) for x in row.embedding]
 
 
-def _score(
-    posts: DataFrame, vectors: DataFrame, query_vector: Column | Sequence[float], measure
-) -> DataFrame:
-    # A query vector taken from a table is a subquery, which has to be a column of
-    # its own before an array function may use it.
-    asked = vectors.select("post_id", "embedding", as_vector(query_vector).alias("asked"))
-    scored = asked.select(
-        "post_id", measure(F.col("embedding"), F.col("asked")).alias("similarity_score")
-    )
-    # An inner join on the unique id, not a semi join: Catalyst would move a semi
-    # join below the projection and shuffle the vectors in place of the scores.
-    return scored.join(posts.select("post_id"), "post_id")
+def _matrix(batch, size: int):
+    """Ids and vectors of an Arrow batch, without null vectors and those with null entries."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    batch = batch.filter(batch.column("embedding").is_valid())
+    lengths = pc.list_value_length(batch.column("embedding")).to_numpy(zero_copy_only=False)
+    wrong = np.flatnonzero(lengths != size)
+    if len(wrong):
+        first = batch.column("post_id")[int(wrong[0])].as_py()
+        raise ValueError(f"the vector of post {first} has {lengths[wrong[0]]} entries, not {size}")
+    flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype("float64")
+    rows = flat.reshape(batch.num_rows, size)
+    whole = ~np.isnan(rows).any(axis=1)
+    ids = batch.column("post_id").to_numpy(zero_copy_only=False)
+    return (ids.astype(str) if ids.dtype == object else ids)[whole], rows[whole]
+
+
+def _scores(vectors: DataFrame, query_vector: Sequence[float], cosine: bool) -> DataFrame:
+    """``(post_id, similarity_score)`` of every usable vector, a batch times the query at a time."""
+    asked = [float(x) for x in query_vector]
+    aligned = vectors.select("post_id", "embedding")
+    id_type = to_arrow_type(aligned.schema["post_id"].dataType)
+    schema = T.StructType([aligned.schema["post_id"], T.StructField("similarity_score", T.DoubleType())])
+
+    def score(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        column = np.array(asked)
+        if cosine:
+            column = column / np.linalg.norm(column)
+        for batch in batches:
+            ids, rows = _matrix(batch, len(asked))
+            found = rows @ column
+            if cosine:
+                lengths = np.linalg.norm(rows, axis=1)
+                ids, found, lengths = ids[lengths > 0], found[lengths > 0], lengths[lengths > 0]
+                found = found / lengths
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids.tolist(), id_type), pa.array(found)], names=["post_id", "similarity_score"]
+            )
+
+    return aligned.mapInArrow(score, schema)
 
 
 def similarity_scores(
-    posts: DataFrame, vectors: DataFrame, query_vector: Column | Sequence[float]
+    posts: DataFrame | None, vectors: DataFrame, query_vector: Sequence[float], cosine: bool = False
 ) -> DataFrame:
-    """``(post_id, similarity_score)`` for every post with a vector; plain dot product."""
-    return _score(posts, vectors, query_vector, dot)
+    """``(post_id, similarity_score)`` for every post with a vector; plain dot product.
+
+    Without posts every vector is scored and nothing is joined, for vectors that
+    ``load_embeddings`` has found to match the posts. Null vectors have no score; a vector
+    of another length is an error that names its post.
+    """
+    scored = _scores(vectors, query_vector, cosine)
+    # An inner join on the unique id, not a semi join: Catalyst would move a semi
+    # join below the scores and shuffle the vectors in their place.
+    return scored if posts is None else scored.join(posts.select("post_id"), "post_id")
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
@@ -66,21 +111,26 @@ def _with_posts(best: DataFrame, posts: DataFrame, k: int) -> DataFrame:
 def search_top_k(
     posts: DataFrame,
     vectors: DataFrame,
-    query_vector: Column | Sequence[float],
+    query_vector: Sequence[float],
     k: int = fv.DEFAULT_TOP_K,
+    matched: bool = False,
+    cosine: bool = False,
 ) -> DataFrame:
     """The k best posts, best first, equal scores by id, with ``similarity_score``.
 
-    Ids and scores decide the winners; the posts' other columns are read once
-    more for the k winners only and are never shuffled.
+    Ids and scores decide the winners; the posts' other columns are read once more for
+    the winners only and are never shuffled. With ``matched`` the posts are all posts and
+    each has its vector, so ids need no join before the winners are known.
     """
-    return _with_posts(_best(similarity_scores(posts, vectors, query_vector), k), posts, k)
+    scores = similarity_scores(None if matched else posts, vectors, query_vector, cosine)
+    ranked = scores.withColumn("similarity_score", F.round("similarity_score", SCORE_DIGITS))
+    return _with_posts(_best(ranked, k), posts, k)
 
 
 def search_filtered(
     posts: DataFrame,
     vectors: DataFrame,
-    query_vector: Column | Sequence[float],
+    query_vector: Sequence[float],
     start: dt.date,
     end: dt.date,
     k: int = fv.DEFAULT_TOP_K,
@@ -92,12 +142,12 @@ def search_filtered(
 def cosine_top_k(
     posts: DataFrame,
     vectors: DataFrame,
-    query_vector: Column | Sequence[float],
+    query_vector: Sequence[float],
     k: int = fv.DEFAULT_TOP_K,
+    matched: bool = False,
 ) -> DataFrame:
     """As ``search_top_k`` with lengths divided out, for vectors that are not of unit length."""
-    scores = _score(posts, vectors, query_vector, cosine)
-    return _with_posts(_best(scores.dropna(subset=["similarity_score"]), k), posts, k)
+    return search_top_k(posts, vectors, query_vector, k, matched, cosine=True)
 
 
 def search_many(
@@ -105,25 +155,26 @@ def search_many(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = fv.DEFAULT_TOP_K,
-    block: int = 256,
+    block: int = 10_000,
 ) -> DataFrame:
     """Top k of every query: ``(query_id, rank, post_id, similarity_score)``.
 
-    ``queries`` has ``query_id`` and ``embedding``. Each task multiplies its Arrow
-    batches with the matrix of the queries and keeps k candidates per query, so
-    the shuffle carries at most k rows per query and task. The matrix is limited
-    to ``block`` queries; more queries are answered block by block with one more
-    pass over the vectors each. The join with the posts moves the vectors, unless
-    both are bucketed alike; give no posts where all vectors are known to have one. Scores are rounded to nine digits before they are
-    ranked, so that copies of a vector tie and their ids decide.
+    ``queries`` has ``query_id`` and ``embedding``; null query vectors are left out. Each
+    task multiplies its Arrow batches with the queries, some hundred at a time, and keeps k
+    candidates per query, so the shuffle carries at most k rows per query and task. One
+    pass over the vectors answers ``block`` queries, which are read and sent to the tasks;
+    more queries take further passes. Posts, where given, are joined with the candidates'
+    ids before ranking only if they are fewer than the vectors: then the join moves the
+    vectors, unless both are bucketed alike.
     """
     aligned = vectors.select("post_id", "embedding")
     if posts is not None:
         aligned = aligned.join(posts.select("post_id"), "post_id")
-    blocks = max(1, -(-queries.count() // block))
+    asked = queries.filter(F.col("embedding").isNotNull())
+    blocks = max(1, -(-asked.count() // block))
     results = None
     for number in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
         found = _local_candidates(aligned, part, k)
         results = found if results is None else results.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), "post_id")
@@ -136,8 +187,9 @@ def search_many(
 
 def _local_candidates(aligned: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = queries.select("query_id", "embedding").collect()  # at most about one block
-    query_ids = [row.query_id for row in rows]
-    query_vectors = [list(row.embedding) for row in rows]
+    shared = aligned.sparkSession.sparkContext.broadcast(
+        ([row.query_id for row in rows], [list(row.embedding) for row in rows])
+    )
     schema = T.StructType(
         [
             queries.schema["query_id"],
@@ -152,27 +204,28 @@ def _local_candidates(aligned: DataFrame, queries: DataFrame, k: int) -> DataFra
         import numpy as np
         import pyarrow as pa
 
+        query_ids, query_vectors = shared.value
         matrix = np.array(query_vectors, dtype="float64").T
         kept = {}
         for batch in arrow_batches:
             if batch.num_rows == 0 or not query_ids:
                 continue
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
-            scores = np.round(flat.reshape(batch.num_rows, -1).astype("float64") @ matrix, 9)
-            ids = batch.column("post_id").to_numpy(zero_copy_only=False)
-            ids = ids.astype(str) if ids.dtype == object else ids
-            for q in range(len(query_ids)):
-                best_ids, best_scores = ids, scores[:, q]
-                if q in kept:
-                    best_ids = np.concatenate([kept[q][0], best_ids])
-                    best_scores = np.concatenate([kept[q][1], best_scores])
-                if len(best_ids) > k:
-                    limit = np.partition(best_scores, -k)[-k]
-                    inside = best_scores >= limit
-                    best_ids, best_scores = best_ids[inside], best_scores[inside]
-                    order = np.lexsort((best_ids, -best_scores))[:k]
-                    best_ids, best_scores = best_ids[order], best_scores[order]
-                kept[q] = (best_ids, best_scores)
+            ids, vectors = _matrix(batch, len(matrix))
+            for first in range(0, len(query_ids), _QUERIES_AT_ONCE):
+                some = matrix[:, first : first + _QUERIES_AT_ONCE]
+                scores = np.round(vectors @ some, SCORE_DIGITS)
+                for q in range(first, first + some.shape[1]):
+                    best_ids, best_scores = ids, scores[:, q - first]
+                    if q in kept:
+                        best_ids = np.concatenate([kept[q][0], best_ids])
+                        best_scores = np.concatenate([kept[q][1], best_scores])
+                    if len(best_ids) > k:
+                        limit = np.partition(best_scores, -k)[-k]
+                        inside = best_scores >= limit
+                        best_ids, best_scores = best_ids[inside], best_scores[inside]
+                        order = np.lexsort((best_ids, -best_scores))[:k]
+                        best_ids, best_scores = best_ids[order], best_scores[order]
+                    kept[q] = (best_ids, best_scores)
         for q, (best_ids, best_scores) in kept.items():
             yield pa.RecordBatch.from_arrays(
                 [

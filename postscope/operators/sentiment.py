@@ -1,21 +1,28 @@
-"""Lexicon sentiment by the published valence rules, as joins and expressions.
+"""Lexicon sentiment by the published valence rules, scored where a text is read.
 
-Inputs are ``lexicon(word, valence)`` and, where the built-in word lists do not
-fit, ``modifiers(word, boost, negates)``. Each text is split once; each token
-carries the three tokens before it, so no token is ever sorted or looked up by
-position. Only tokens found in the lexicon go on, and they are summed per post
-where they were read before anything is shuffled.
+Inputs are ``lexicon(word, valence)`` and, where the built-in word lists do not fit,
+``modifiers(word, boost, negates)``. Both are word lists of bounded size: they are read on
+the driver while the plan is built and sent to every task. Only the text of a post goes
+through Arrow, its score comes back in the same row, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
-from postscope.functions.text import whitespace_tokens
 from postscope.session import literal_rows
 
+# A longer word list is an error: it would no longer be small for driver and tasks.
+MAX_WORDS = 1_000_000
+# Spellings remembered by a task.
+_MEMO = 500_000
+
 
 def default_modifiers(spark: SparkSession) -> DataFrame:
     """Degree words and negations of the published rules."""
@@ -32,155 +39,157 @@ def _full_text(posts: DataFrame) -> Column:
         F.coalesce(F.col(name), F.lit("")) if name in posts.columns else F.lit("")
         for name in ("title", "selftext")
     ]
-    return F.trim(F.concat(parts[0], F.lit(" "), parts[1]))
-
-
-def _is_capitals(word: Column) -> Column:
-    return (word == F.upper(word)) & (word != F.lower(word))
-
-
-def _count_of(text: Column, mark: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
-
-
-def _emphasis(text: Column) -> Column:
-    exclamations = F.least(_count_of(text, "!"), F.lit(fv.EXCLAMATION_MAX)) * fv.EXCLAMATION_BOOST
-    questions = _count_of(text, "?")
-    return exclamations + (
-        F.when(questions > fv.QUESTION_MANY, fv.QUESTION_MAX)
-        .when(questions > 1, questions * fv.QUESTION_BOOST)
-        .otherwise(0.0)
-    )
-
-
-def _bare(token: Column) -> Column:
-    """The token without punctuation at its ends, unless it would shrink to two characters.
-
-    The look at both ends is cheap and spares most tokens the trimming.
-    """
-    marks = F.lit(fv.PUNCTUATION)
-    ends = marks.contains(F.substring(token, 1, 1)) | marks.contains(F.substring(token, -1, 1))
-    stripped = F.btrim(token, marks)
-    return F.when(ends & (F.length(stripped) > 2), stripped).otherwise(token)
-
-
-def _tokens(posts: DataFrame) -> DataFrame:
-    """One row per token: itself, the three before it, and what its post says about it."""
-    texts = posts.select("post_id", _full_text(posts).alias("text"))
-    split = texts.select("post_id", "text", whitespace_tokens(F.col("text")).alias("tokens"))
-    text, tokens = F.col("text"), F.col("tokens")
-
-    def shifted(by: int) -> Column:
-        return F.concat(F.array_repeat(F.lit(""), by), tokens)
-
-    described = split.select(
-        "post_id",
-        _emphasis(text).alias("emphasis"),
-        (F.exists(tokens, _is_capitals) & F.exists(tokens, lambda t: ~_is_capitals(t))).alias(
-            "mixed_case"
-        ),
-        # Only a text that holds the contrast word is searched for its place.
-        F.when(
-            F.lower(text).contains(fv.CONTRAST_WORD) & text.rlike(rf"(?i)\b{fv.CONTRAST_WORD}\b"),
-            F.array_position(
-                F.transform(tokens, lambda t: F.lower(_bare(t))), fv.CONTRAST_WORD
-            ),
-        )
-        .otherwise(0)
-        .alias("contrast_at"),
-        # The shifted lists are longer; their rows past the end have no token and go below.
-        F.arrays_zip(
-            tokens.alias("token"),
-            shifted(1).alias("before1"),
-            shifted(2).alias("before2"),
-            shifted(3).alias("before3"),
-        ).alias("context"),
-    )
-    # The outer form on purpose: for the inner one Catalyst adds a filter on the array's
-    # size and pushes it to the scan, where every text would be split once more.
-    rows = described.select(
-        "post_id",
-        "emphasis",
-        "mixed_case",
-        "contrast_at",
-        F.posexplode_outer("context").alias("at", "context"),
-    )
-    return rows.filter(F.col("context.token") != "").select(
-        "post_id",
-        "emphasis",
-        "mixed_case",
-        "contrast_at",
-        (F.col("at") + 1).alias("at"),
-        # Never null, or the join would test every token for null by trimming it twice.
-        F.coalesce(_bare(F.col("context.token")), F.lit("")).alias("token"),
-        "context.before1",
-        "context.before2",
-        "context.before3",
-    )
+    return F.concat(parts[0], F.lit(" "), parts[1])
+
+
+class _Spellings(dict):
+    """What tokens as written mean: the bare word in lower case, None if it has no valence."""
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+
+    def __missing__(self, token: str) -> str | None:
+        word = bare(token).lower()
+        found = word if word in self.lexicon else None
+        if len(self) < _MEMO:
+            self[token] = found
+        return found
+
+
+def bare(token: str) -> str:
+    """The token without punctuation at its ends, unless it would shrink to two characters."""
+    stripped = token.strip(fv.PUNCTUATION)
+    return stripped if len(stripped) > 2 else token
+
+
+class Rules:
+    """The published rules over one lexicon and one list of modifiers."""
+
+    def __init__(self, lexicon: dict[str, float], modifiers: list[tuple[str, float, bool]]):
+        self.lexicon = lexicon
+        self.boosts = {word: boost for word, boost, _ in modifiers if boost}
+        self.negations = {word for word, _, negates in modifiers if negates}
+        self.spellings = _Spellings(lexicon)
+
+    def hits(self, text: str) -> list[tuple[int, str]]:
+        """Place and word of every token with a valence."""
+        spellings = self.spellings
+        return [(i, w) for i, w in enumerate([spellings[t] for t in text.split()]) if w is not None]
+
+    def compound(self, text: str) -> float:
+        """Between -1 and 1, rounded to four digits; 0 without a token that counts."""
+        hits = self.hits(text)
+        if not hits:
+            return 0.0
+        words = [bare(token) for token in text.split()]
+        lower = [word.lower() for word in words]
+        loud = sum(word.isupper() for word in words)
+        mixed = 0 < loud < len(words)
+        contrast = lower.index(fv.CONTRAST_WORD) if fv.CONTRAST_WORD in lower else None
+        total = 0.0
+        for at, word in hits:
+            if word in self.boosts or word == "kind" and lower[at + 1 : at + 2] == ["of"]:
+                continue
+            value = self._valence(at, words, lower, mixed)
+            if contrast is not None and at != contrast:
+                value *= fv.BEFORE_BUT if at < contrast else fv.AFTER_BUT
+            total += value
+        emphasis = _emphasis(text)
+        total += emphasis if total > 0 else -emphasis if total < 0 else 0.0
+        return round(total / math.sqrt(total * total + fv.NORMALISATION_ALPHA), 4) + 0.0
+
+    def _valence(self, at: int, words: list[str], lower: list[str], mixed: bool) -> float:
+        back = [lower[at - k] if at >= k else None for k in range(4)]  # the word and three before it
+        value = self.lexicon[back[0]]
+        if back[0] == "no" and at + 1 < len(lower) and lower[at + 1] in self.lexicon:
+            value = 0.0
+        if "no" in back[1:3] or back[3] == "no" and back[1] in ("or", "nor"):
+            value = self.lexicon[back[0]] * fv.NEGATION_FACTOR
+        if mixed and words[at].isupper():
+            value += fv.CAPITALS_BOOST if value > 0 else -fv.CAPITALS_BOOST
+        for k, damping in enumerate(fv.DISTANCE_DAMPING, start=1):
+            if back[k] is None or back[k] in self.lexicon:
+                continue
+            boost = self.boosts.get(back[k], 0.0)
+            if boost:
+                boost = -boost if value < 0 else boost
+                if mixed and words[at - k].isupper():
+                    boost += fv.CAPITALS_BOOST if value > 0 else -fv.CAPITALS_BOOST
+                value += boost * damping
+            value *= self._turn(k, back)
+            if k == 3:
+                value = self._idioms(at, lower, value)
+        if back[1] == "least" and "least" not in self.lexicon and back[2] not in ("at", "very"):
+            value *= fv.NEGATION_FACTOR
+        return value
+
+    def _turn(self, k: int, back: list) -> float:
+        """What the k-th word before does to a valence: 1 nothing, below 0 it negates."""
+        between = back[1:k]
+        if k > 1:
+            # As published, three words back a plain "so" or "this" before the word is enough.
+            raised = back[k] == "never" and back[k - 1] in fv.RAISED_AFTER_NEVER
+            if raised or k == 3 and back[1] in fv.RAISED_AFTER_NEVER:
+                return fv.NEVER_SO_FACTOR
+            if back[k] == "without" and "doubt" in between:
+                return 1.0
+        negates = back[k] in self.negations or fv.NEGATION_CONTRACTION in back[k]
+        return fv.NEGATION_FACTOR if negates else 1.0
+
+    def _idioms(self, at: int, lower: list[str], value: float) -> float:
+        """Fixed phrases around a word that has three words before it."""
+
+        def phrase(first: int, last: int) -> str:
+            return " ".join(lower[at + first : at + last + 1])
+
+        for first, last in ((-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2)):
+            if phrase(first, last) in fv.IDIOMS:
+                value = fv.IDIOMS[phrase(first, last)]
+                break
+        for last in (1, 2):
+            if at + last < len(lower):
+                value = fv.IDIOMS.get(phrase(0, last), value)
+        for first, last in ((-3, -1), (-3, -2), (-2, -1)):
+            value += self.boosts.get(phrase(first, last), 0.0)
+        return value
+
+
+def _emphasis(text: str) -> float:
+    questions = text.count("?")
+    asked = fv.QUESTION_MAX if questions > fv.QUESTION_MANY else questions * fv.QUESTION_BOOST
+    return min(text.count("!"), fv.EXCLAMATION_MAX) * fv.EXCLAMATION_BOOST + (asked if questions > 1 else 0.0)
+
+
+def _listed(frame: DataFrame, *columns: str) -> list[tuple]:
+    rows = frame.select(*columns).limit(MAX_WORDS + 1).collect()
+    if len(rows) > MAX_WORDS:
+        raise ValueError(f"a word list of more than {MAX_WORDS} words")
+    return [tuple(row) for row in rows]
+
+
+def _rules(lexicon: DataFrame, modifiers: DataFrame | None):
+    spark = lexicon.sparkSession
+    words = {word: float(value) for word, value in _listed(lexicon, "word", "valence") if word is not None}
+    changes = _listed(default_modifiers(spark) if modifiers is None else modifiers, "word", "boost", "negates")
+    return spark.sparkContext.broadcast((words, changes))
 
 
 def sentiment_lexicon_join(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Every token found in the lexicon, with its valence and its context.
-
-    The lexicon is not hinted: below the session's broadcast threshold Spark
-    sends it to every task, above it joins by word with skew handling.
-    """
-    tokens = _tokens(posts).withColumn("word", F.lower("token"))
-    return tokens.join(lexicon.select("word", F.col("valence").cast("double")), "word")
-
-
-def _apply_rules(hits: DataFrame, modifiers: DataFrame) -> DataFrame:
-    """The valence of each hit after capitals, degree words, negations and contrast."""
-    raised = F.lit(fv.CAPITALS_BOOST) * F.signum("valence")
-    current = F.col("valence") + F.when(
-        F.col("mixed_case") & _is_capitals(F.col("token")), raised
-    ).otherwise(0.0)
-    names = [f"before{number}" for number in range(1, len(fv.DISTANCE_DAMPING) + 1)]
-    hits = hits.withColumns({"current": current, **{n: _bare(F.col(n)) for n in names}})
-    for number, damping in enumerate(fv.DISTANCE_DAMPING, start=1):
-        before = F.col(f"before{number}")
-        found = modifiers.select(
-            F.col("word").alias("modifier"),
-            F.col("boost").alias("m_boost"),
-            F.col("negates").alias("m_negates"),
-        )
-        hits = hits.join(found, F.lower(before) == F.col("modifier"), "left")
-        boost = F.coalesce("m_boost", F.lit(0.0))
-        loud = F.when(
-            (boost != 0) & F.col("mixed_case") & _is_capitals(before), fv.CAPITALS_BOOST
-        ).otherwise(0.0)
-        moved = F.col("current") + (boost + loud) * damping * F.when(
-            F.col("current") < 0, -1.0
-        ).otherwise(1.0)
-        negated = F.coalesce("m_negates", F.lit(False)) | F.coalesce(
-            F.lower(before).contains(fv.NEGATION_CONTRACTION), F.lit(False)
-        )
-        hits = hits.withColumn(
-            "current", moved * F.when(negated, fv.NEGATION_FACTOR).otherwise(1.0)
-        ).drop("modifier", "m_boost", "m_negates")
-    weight = (
-        F.when(F.col("contrast_at") == 0, 1.0)
-        .when(F.col("at") < F.col("contrast_at"), fv.BEFORE_BUT)
-        .when(F.col("at") > F.col("contrast_at"), fv.AFTER_BUT)
-        .otherwise(1.0)
-    )
-    return hits.withColumn("current", F.col("current") * weight)
+    """``(post_id, at, word, valence)`` of every token found in the lexicon, counted from 1."""
+    shared = _rules(lexicon, None)
 
+    @F.pandas_udf("array<struct<at: int, word: string, valence: double>>")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rules = Rules(*shared.value)
+        for part in texts:
+            yield pd.Series(
+                [[{"at": i + 1, "word": w, "valence": rules.lexicon[w]} for i, w in rules.hits(t)] for t in part]
+            )
 
-def _normalised(total: Column, emphasis: Column) -> Column:
-    pushed = total + emphasis * F.signum(total)
-    # Adding zero turns a negative zero into a plain one.
-    return F.round(pushed / F.sqrt(pushed * pushed + fv.NORMALISATION_ALPHA), 4) + 0.0
-
-
-def _compounds(posts: DataFrame, lexicon: DataFrame, modifiers: DataFrame) -> DataFrame:
-    # A word that carries a valence of its own does not modify others.
-    effective = modifiers.join(lexicon.select("word"), "word", "left_anti")
-    hits = _apply_rules(sentiment_lexicon_join(posts, lexicon), effective)
-    sums = hits.groupBy("post_id").agg(
-        F.sum("current").alias("total"), F.max("emphasis").alias("emphasis")
-    )
-    return sums.select("post_id", _normalised(F.col("total"), F.col("emphasis")).alias("found"))
+    hits = posts.select("post_id", found(_full_text(posts)).alias("hits"))
+    # The outer form: for the inner one a filter on the array would run the function twice.
+    rows = hits.select("post_id", F.inline_outer("hits"))
+    return rows.filter(F.col("word").isNotNull())
 
 
 def sentiment_label(compound: Column) -> Column:
@@ -195,19 +204,19 @@ def sentiment_label(compound: Column) -> Column:
 def attach_sentiment(
     posts: DataFrame, lexicon: DataFrame | None, modifiers: DataFrame | None = None
 ) -> DataFrame:
-    """Posts with ``compound`` and ``sent_label``; without a lexicon all are neutral.
-
-    The scores come back by ``post_id``. Posts bucketed by it join without a shuffle.
-    """
+    """Posts with ``compound`` and ``sent_label``; without a lexicon all are neutral."""
     if lexicon is None:
         return sentiment_neutral_fallback(posts)
-    if modifiers is None:
-        modifiers = default_modifiers(posts.sparkSession)
-    scored = posts.join(_compounds(posts, lexicon, modifiers), "post_id", "left")
-    compound = F.coalesce("found", F.lit(0.0))
-    return scored.withColumns(
-        {"compound": compound, "sent_label": sentiment_label(compound)}
-    ).drop("found")
+    shared = _rules(lexicon, modifiers)
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rules = Rules(*shared.value)
+        for part in texts:
+            yield pd.Series([rules.compound(text) for text in part], dtype="float64")
+
+    scored = posts.withColumn("compound", score(_full_text(posts)))
+    return scored.withColumn("sent_label", sentiment_label(F.col("compound")))
 
 
 def sentiment_compound(

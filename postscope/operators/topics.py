@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,9 @@ from postscope.operators.filters import enough_titles, filter_nonblank_title
 from postscope.operators.ingest import column_or
 from postscope.operators.keywords import prune_vocabulary, tfidf_vectors, tokenize_ngrams
 
+# Vectors of one partition while clusters are trained.
+_TRAIN_ROWS = 50_000
+
 
 def cluster_count_rule(
     titles: int | Column, max_clusters: int = fv.TOPIC_MAX_CLUSTERS
@@ -46,21 +49,26 @@ def topic_vectors(
     return (vectors, names) if names else None
 
 
-def topic_clusters(
+def topic_model(
     vectors: DataFrame,
     max_clusters: int = fv.TOPIC_MAX_CLUSTERS,
     starts: int = fv.TOPIC_STARTS,
     seed: int = fv.TOPIC_SEED,
     parallelism: int = 4,
-) -> DataFrame:
-    """The vectors with their ``cluster_id`` from the best of several k-means starts.
+) -> KMeansModel:
+    """The best of several k-means starts over ``(post_id, features)``.
 
-    The vectors are kept for the time of the training, on disk where memory is
+    Rows are dealt and ordered by ``post_id`` into a number of partitions that follows
+    from their count, so that starts, and with them labels, do not depend on how the data
+    is laid out. They are kept for the time of the training, on disk where memory is
     short; a lost block is computed again from the posts.
     """
-    kept = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = vectors.count()
+    parts = rows // _TRAIN_ROWS + 1
+    kept = vectors.select("post_id", "features").repartition(parts, "post_id").sortWithinPartitions("post_id")
+    kept = kept.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        k = cluster_count_rule(kept.count(), max_clusters)
+        k = cluster_count_rule(rows, max_clusters)
 
         def train(start: int):
             return KMeans(
@@ -70,10 +78,14 @@ def topic_clusters(
         # The starts are independent jobs over the same kept vectors.
         with ThreadPool(min(parallelism, starts)) as pool:
             models = pool.map(inheritable_thread_target(kept.sparkSession)(train), range(starts))
-        best = min(models, key=lambda model: model.summary.trainingCost)
+        return min(models, key=lambda model: model.summary.trainingCost)
     finally:
         kept.unpersist()
-    return best.transform(vectors)
+
+
+def topic_clusters(vectors: DataFrame, **options) -> DataFrame:
+    """The vectors with their ``cluster_id``; options are those of ``topic_model``."""
+    return topic_model(vectors, **options).transform(vectors)
 
 
 def cluster_label(cluster: Column) -> Column:

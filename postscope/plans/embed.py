@@ -15,14 +15,16 @@ from postscope.sources.vectors import write_embeddings
 
 
 def embedding_batches(
-    records: DataFrame, budget: int = fv.MAX_TOKENS, shards: int = 64
+    records: DataFrame, budget: int = fv.MAX_TOKENS, shards: int | None = None
 ) -> DataFrame:
-    """Raw records to ``(shard, batch, post_id, n_tokens, text)``.
+    """Raw records to ``(post_id, shard, batch, n_tokens, text)``.
 
-    Records without a usable time are embedded too.
+    Records without a usable time are embedded too. Batches are packed from counts, then
+    texts join them by id, which needs no shuffle of texts where posts are bucketed by it.
     """
-    texts = choose_text_column(flatten_struct(records))
-    return token_budget_batches(prepare_embedding_text(texts, budget), budget, shards)
+    texts = prepare_embedding_text(choose_text_column(flatten_struct(records)), budget)
+    batches = token_budget_batches(texts, budget, shards)
+    return batches.join(texts.select("post_id", "text"), "post_id")
 
 
 def store_vectors(vectors: DataFrame, records: DataFrame, path: str) -> None:

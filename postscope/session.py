@@ -1,10 +1,7 @@
-"""Session settings and shared scratch space."""
+"""Session settings and small constant tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,15 +47,3 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     table = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
     types = [part.split()[1] for part in schema.split(",")]
     return table.select(*[F.col(n).cast(t).alias(n) for n, t in zip(names, types)])
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder path below the shared folder that the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset,
-    as in local tests, a temporary folder of this machine is used.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="postscope-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -41,7 +41,6 @@ def test_one_shard_is_one_global_pass(spark):
     prepared = spark.createDataFrame(rows, "post_id bigint, text string, n_tokens int")
     found = jobs.token_budget_batches(prepared, budget=50, shards=1).orderBy("post_id").collect()
     assert [r.batch for r in found] == brute_force(sizes, 50)
-    assert [r.text for r in found] == [f"t{i}" for i in range(5000)]
 
 
 @pytest.mark.parametrize("shards", [1, 7, 64])
@@ -78,3 +77,23 @@ def test_write_and_load_check_the_match(spark, tmp_path):
         files.load_embeddings(spark, path, flat.filter("post_id = 1"))
     with pytest.raises(ValueError):
         embed.store_vectors(vectors.limit(1), records, str(tmp_path / "other"))
+
+
+def test_white_space_of_all_kinds_and_exact_prefixes(spark):
+    rows = [(1, "\r\r"), (2, "\u00a0\u2003\x1f"), (3, "\r\nhello"), (4, "\x0b hi there"), (5, "a  b\u00a0 c c d"), (6, "a  b c")]
+    posts = spark.createDataFrame(rows, "post_id bigint, text_col string")
+    found = {r.post_id: (r.text, r.n_tokens) for r in jobs.prepare_embedding_text(posts, max_tokens=3).collect()}
+    none = (fv.NO_CONTENT, 1)
+    assert found == {1: none, 2: none, 3: ("hello", 1), 4: ("hi there", 2), 5: ("a  b\u00a0 c", 3), 6: ("a  b c", 3)}
+
+
+def test_a_text_beyond_the_budget_is_an_error(spark):
+    prepared = spark.createDataFrame([(1, 5), (7, 300)], "post_id bigint, n_tokens int")
+    with pytest.raises(Exception, match="larger than the budget: post 7"):
+        jobs.token_budget_batches(prepared, budget=100).collect()
+
+
+def test_shards_follow_from_the_data(spark):
+    prepared = spark.range(1000).select(F.col("id").alias("post_id"), F.lit(1).alias("n_tokens"))
+    batches = jobs.token_budget_batches(prepared, budget=10, shard_posts=100)
+    assert batches.select("shard").distinct().count() == 10 and batches.count() == 1000

@@ -132,3 +132,33 @@ def test_ingest_whole(spark):
     )
     rows = ingest.ingest(records).collect()
     assert [(r.post_id, str(r.date), r.text_col) for r in rows] == [(1, "2023-11-14", "hello")]
+
+
+@pytest.mark.parametrize("column", ["timestamp", "created_utc", "created_at"])
+def test_epoch_numbers_of_all_units_in_every_column(spark, column):
+    wanted = dt.datetime(2024, 3, 5, 6, 7, 8)
+    second = 1709618828
+    for kind in ("bigint", "string"):
+        rows = [(i, second * unit if kind == "bigint" else str(second * unit)) for i, unit in enumerate([1, 10**3, 10**6, 10**9])]
+        records = spark.createDataFrame(rows, f"post_id int, {column} {kind}")
+        assert [r[column] for r in ingest.parse_timestamp(records, column).collect()] == [wanted] * 4
+    posts = ingest.ingest(spark.createDataFrame([(1, second, "t")], f"post_id int, {column} bigint, title string"))
+    assert posts.first().timestamp == wanted
+
+
+def test_times_out_of_range_are_bad_in_texts_and_epochs(spark):
+    rows = [(1, "1500-01-01"), (2, "2300-01-01T00:00:00"), (3, "2024-01-01 05:00:00"), (4, "20240101x"), (5, None)]
+    records = spark.createDataFrame(rows, "post_id int, created_at string")
+    parsed = {r.post_id: r.created_at for r in ingest.parse_timestamp(records, "created_at").collect()}
+    assert parsed == {1: None, 2: None, 3: dt.datetime(2024, 1, 1, 5), 4: None, 5: None}
+    report = dict(reports.corrupt_line_report(records, ["created_at"]).collect())
+    assert report == {"corrupt": 0, "missing created_at": 1, "bad created_at": 3}
+
+
+def test_corrupt_lines_raise_or_are_dropped(spark, tmp_path):
+    lines = ['{"post_id": 1, "created_utc": 5, "title": "a"}', '{"post_id": 2, "created', '{"post_id": "x", "created_utc": 7, "title": "b"}']
+    records = files.read_posts(spark, write_lines(tmp_path, lines), "post_id int, created_utc long, title string")
+    dropped = ingest.ingest(records, corrupt="drop")
+    assert [r.post_id for r in dropped.collect()] == [1] and files.CORRUPT_COLUMN not in dropped.columns
+    with pytest.raises(Exception, match="corrupt line"):
+        ingest.ingest(records).select("post_id").collect()

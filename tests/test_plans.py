@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from checks import fixture as fx
-from postscope.operators import filters, search, topics, trends
+from postscope.operators import embedding_jobs, filters, search, topics, trends
 from postscope.plans import explore
 from postscope.sources import posts as post_files
 from postscope.sources import vectors as vector_files
@@ -87,10 +87,33 @@ def test_results_do_not_depend_on_the_number_of_partitions(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
+@pytest.mark.parametrize("name", ["topic_cluster_checks", "project_2d_checks"])
+def test_topic_checks_do_not_depend_on_the_number_of_partitions(spark, name):
+    test_results_do_not_depend_on_the_number_of_partitions(spark, name)
+
+
+def test_cluster_labels_do_not_depend_on_the_layout(spark):
+    vectors, _ = topics.topic_vectors(fx.posts(spark, SF_DIR), fx.STOP_WORDS)
+    one, five = (
+        {r.post_id: r.cluster_id for r in topics.topic_clusters(vectors.repartition(n)).collect()} for n in (1, 5)
+    )
+    assert one == five
+
+
+def test_batches_move_no_text_and_search_without_filter_no_ids(spark):
+    posts, vectors = fx.posts(spark, SF_DIR), fx.vectors(spark, SF_DIR)
+    prepared = embedding_jobs.prepare_embedding_text(posts.withColumnRenamed("selftext", "text_col"))
+    batches = embedding_jobs.token_budget_batches(prepared, shards=4)
+    plan = batches._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan[: plan.index("Exchange")].replace("MapInArrow", "")
+    scores = search.similarity_scores(None, vectors, search.vector_of(vectors, 0))
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
 def test_whole_exploration(spark):
     posts, vectors = fx.posts(spark, SF_DIR), fx.vectors(spark, SF_DIR)
     start, end = dt.date(2024, 1, 1), dt.date(2025, 12, 31)
-    assert explore.overview(posts, start, end)["totals"].first().total_posts == 200
+    assert explore.overview(posts, start, end)["totals"].first().total_posts == 1000
     matched = explore.match_topic(
         posts, vectors, search.vector_of(vectors, 0), fx.lexicon(spark), start, end, 60
     )
@@ -132,3 +155,33 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     batch = trends.posts_by_day_subreddit(fx.posts(spark, SF_DIR))
     assert sorted(spark.table("daily").collect()) == sorted(batch.collect())
+
+
+def test_stream_closes_days_and_drops_late_rows(spark, tmp_path):
+    """Append mode: a day comes out once the watermark has passed it, a later row of it is dropped."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def arrive(name, rows):
+        (folder / name).write_text("".join(f'{{"post_id": {i}, "subreddit": "s", "created_at": "{t}"}}\n' for i, t in rows))
+
+    def run():
+        stream = stream_posts(spark, str(folder), "post_id bigint, subreddit string, created_at string")
+        query = (
+            stream_posts_by_day_subreddit(stream, late="1 day")
+            .writeStream.outputMode("append")
+            .format("parquet")
+            .option("path", str(tmp_path / "out"))
+            .option("checkpointLocation", str(tmp_path / "checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination(120)
+        return sorted((str(r.date), r.posts) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    arrive("1.json", [(1, "2024-01-01T10:00:00"), (2, "2024-01-02T09:00:00")])
+    assert run() == []
+    arrive("2.json", [(3, "2024-01-01T23:00:00"), (4, "2024-01-03T12:00:00")])  # within a day: still counted
+    assert run() == [("2024-01-01", 2)]
+    arrive("3.json", [(5, "2024-01-01T11:00:00"), (6, "2024-01-02T20:00:00"), (7, "2024-01-05T00:00:00")])
+    assert run() == [("2024-01-01", 2), ("2024-01-02", 2), ("2024-01-03", 1)]  # row 5 came too late

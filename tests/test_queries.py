@@ -1,5 +1,7 @@
 """Every registered query against its SQL, on the smallest data set."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -22,7 +24,8 @@ def test_query_matches_sql(spark, connection, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"topic_clusters", "project_2d"}
+    own = {name for name in QUERIES if name != "pipeline" and not re.match(r"op\d+_", name)}
+    assert own - set(ORACLES) == {"topic_clusters", "project_2d"}
 
 
 def test_entry(spark):

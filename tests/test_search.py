@@ -108,3 +108,28 @@ def test_viral_is_strict_and_lookup(spark):
     assert [r.post_id for r in filters.filter_viral(posts).collect()] == [2]
     assert filters.lookup_post(posts, 2).first().title == "b"
     assert filters.lookup_post(posts, 9).count() == 0
+
+
+def test_null_vectors_are_no_hits_and_wrong_lengths_are_named(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.5, None]), (4, [0.5, 0.5])]
+    vectors = spark.createDataFrame(rows, "post_id bigint, embedding array<double>")
+    posts = vectors.select("post_id")
+    for search_one in (search.search_top_k, search.cosine_top_k):
+        for matched in (False, True):
+            assert [r.post_id for r in search_one(posts, vectors, [1.0, 0.0], 10, matched).collect()] == [1, 4]
+    queries = vectors.withColumnRenamed("post_id", "query_id")
+    found = search.search_many(posts, vectors, queries.where("query_id <> 3"), k=2).collect()
+    assert sorted((r.query_id, r.rank, r.post_id) for r in found) == [(1, 1, 1), (1, 2, 4), (4, 1, 1), (4, 2, 4)]
+    odd = vectors.union(spark.createDataFrame([(9, [1.0])], vectors.schema))
+    with pytest.raises(Exception, match="vector of post 9 has 1 entries, not 2"):
+        search.search_top_k(posts, odd, [1.0, 0.0], 10, matched=True).collect()
+
+
+def test_ten_thousand_queries_in_one_pass(spark):
+    rng = np.random.default_rng(8)
+    vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "post_id bigint, embedding array<double>")
+    asked = [(i, rng.normal(size=4).tolist()) for i in range(10_000)]
+    queries = spark.createDataFrame(asked, "query_id bigint, embedding array<double>")
+    found = search.search_many(None, vectors, queries, k=1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert found.count() == 10_000

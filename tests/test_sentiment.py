@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postscope.operators import sentiment
 
-LEXICON = [("good", 1.9), ("bad", -2.5), ("no", -1.2), (":)", 2.0)]
+LEXICON = [("good", 1.9), ("bad", -2.5), ("no", -1.2), (":)", 2.0), ("shit", -2.6), ("kind", 2.4), ("hella", 0.4)]
 
 
 def compound(total):
@@ -21,7 +21,7 @@ CASES = {
     "hardly good": 1.9 - 0.293,
     "not good": 1.9 * -0.74,
     "not very good": (1.9 + 0.293) * -0.74,
-    "very kind and good": 1.9 + 0.293 * 0.9,
+    "very big and good": 1.9 + 0.293 * 0.9,
     "isn't good": 1.9 * -0.74,
     "never was it good": 1.9 * -0.74,
     "not that it was good": 1.9,
@@ -36,7 +36,26 @@ CASES = {
     "good but bad": 1.9 * 0.5 - 2.5 * 1.5,
     "good, But, bad": 1.9 * 0.5 - 2.5 * 1.5,
     "butter good": 1.9,
-    "no good": -1.2 + 1.9,
+    "no good": 1.9 * -0.74,
+    "a no": -1.2,
+    "NO good day": 0.0 - 0.733 + 1.9 * -0.74,
+    "no very good": (1.9 * -0.74) - 0.293 - 1.2,
+    "no day or good": 1.9 * -0.74 - 1.2,
+    "never so good": (1.9 + 0.293) * 1.25,
+    "it was never this good": (1.9 * 1.25) * 1.25,
+    "without doubt good": 1.9,
+    "it is without a doubt good": 1.9,
+    "without good": 1.9 * -0.74,
+    "it is kind of good": 1.9 - 0.293,
+    "kind words": 2.4,
+    "effing good": 1.9 + 0.293,
+    "hella good": 1.9,
+    "least good": 1.9 * -0.74,
+    "at least good": 1.9,
+    "the very least good": 1.9 + 0.293 * 0.95,
+    "well it was the shit": 3.0,
+    "don't be bad": -2.5 * -0.74,
+    "\u00a0good\u2003day\r\n": 1.9,
     "(good),": 1.9,
     ":)": 2.0,
     "ok :)": 2.0,
@@ -83,17 +102,10 @@ def test_without_lexicon_all_are_neutral(spark):
     assert (row.compound, row.sent_label) == (0.0, "neutral")
 
 
-def test_lexicon_beyond_the_broadcast_size_gives_the_same(spark, lexicon):
-    posts = spark.createDataFrame(
-        [(i, t, None) for i, t in enumerate(CASES)], "post_id int, title string, selftext string"
-    )
-    wanted = sorted(sentiment.sentiment_compound(posts, lexicon).collect())
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert sorted(sentiment.sentiment_compound(posts, lexicon).collect()) == wanted
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+def test_scores_need_no_shuffle(spark, lexicon):
+    posts = spark.createDataFrame([(1, "good")], "post_id int, title string").repartition(3)
+    plan = sentiment.attach_sentiment(posts, lexicon)._jdf.queryExecution().toString()
+    assert plan.count("Exchange") == posts._jdf.queryExecution().toString().count("Exchange")
 
 
 def test_shares_fill_missing_labels_with_zero(spark):
