@@ -29,6 +29,7 @@ START = dt.date(2024, 3, 1)
 END = dt.date(2024, 8, 31)
 QUERY_POST = 0
 LOOKUP_POST = 42
+SHARED_URL = "HTTPS://youtu.be/2"
 KEYWORDS = ["worthless", "thing", "rewh", "und"]
 TITLE_PATTERN = "th(ing|ere)|ción"
 

@@ -496,6 +496,24 @@ packed AS (
         "round(matched.similarity_score, 6) AS similarity_score FROM matched "
         f"WHERE {IN_RANGE} ORDER BY matched.similarity_score DESC, post_id LIMIT 50",
     ),
+    "search_shared_link": sql(
+        MATCHED,
+        select="SELECT post_id, url, round(matched.similarity_score, 6) AS similarity_score FROM matched "
+        "WHERE url = 'https://youtu.be/2' ORDER BY matched.similarity_score DESC, post_id LIMIT 20",
+    ),
+    "topic_weekly_trend": sql(
+        """
+hits AS (
+  SELECT label AS cluster_id, CAST(CAST(created AS DATE) + (7 - CAST(isodow(created) AS INTEGER)) AS DATE) AS week
+  FROM posts JOIN embeddings ON vec_id = post_id
+),
+spans AS (SELECT cluster_id, min(week) AS a, max(week) AS b FROM hits GROUP BY cluster_id),
+weeks AS (
+  SELECT cluster_id, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS week FROM spans
+)""",
+        select="SELECT w.week, w.cluster_id, count(h.week) AS posts FROM weeks w "
+        "LEFT JOIN hits h ON h.cluster_id = w.cluster_id AND h.week = w.week GROUP BY 1, 2",
+    ),
     "search_many": sql(
         """
 asked AS (

@@ -372,6 +372,19 @@ def search_filtered(spark, sf_dir):
     )
 
 
+@query
+def search_shared_link(spark, sf_dir):
+    sharing = search.posts_sharing_link(fx.posts(spark, sf_dir), fx.SHARED_URL)
+    best = search.search_top_k(sharing, fx.vectors(spark, sf_dir), query_vector(spark, sf_dir), k=20)
+    return rounded(best, "similarity_score").select("post_id", "url", "similarity_score")
+
+
+@query
+def topic_weekly_trend(spark, sf_dir):
+    posts = fx.posts(spark, sf_dir).join(fx.labels(spark, sf_dir), "post_id")
+    return trends.topic_weekly_trend(posts)
+
+
 @query
 def search_many(spark, sf_dir):
     vectors = fx.table(spark, sf_dir, "embeddings")

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postscope import fixed_values as fv
 from postscope.functions.links import encyclopedia_url, news_search_url, parsed_day
 from postscope.operators.ingest import column_or
-from postscope.operators.rankings import score_stats, subreddit_counts, viral_post
-from postscope.operators.trends import peak_and_trough
+from postscope.operators.rankings import (
+    exact_percentiles,
+    percentiles_of_counts,
+    subreddit_counts,
+    viral_post,
+)
+from postscope.operators.trends import extreme_days
 
 
 def _row(frame: DataFrame) -> Column:
@@ -31,31 +37,59 @@ def _in_order(ranked: DataFrame, *values: str) -> Column:
     return ranked.agg(collected.alias("rows")).scalar()
 
 
-def _ranked_subreddits(posts: DataFrame, n: int) -> DataFrame:
-    top = subreddit_counts(posts, n)
-    return top.select(F.struct((-F.col("posts")).alias("p"), "subreddit").alias("at"), "subreddit")
-
-
 def briefing_facts(posts: DataFrame) -> DataFrame:
-    """One row: total, first and last day, score statistics, extremes, top communities."""
+    """One row: total, first and last day, score statistics, extremes, top communities.
+
+    Two passes over the posts: one aggregate, and one set of counts by day, by community
+    and by score, which the three parts below it share.
+    """
+    score = F.col("score")
+    integral = isinstance(posts.schema["score"].dataType, T.IntegralType)
     span = posts.agg(
         F.count(F.lit(1)).alias("total"),
         F.to_date(F.min("timestamp")).alias("start_date"),
         F.to_date(F.max("timestamp")).alias("end_date"),
+        F.avg(score).alias("avg_score"),
+        F.max(score).alias("max_score"),
+        F.min(score).alias("min_score"),
+        F.stddev_samp(score).alias("score_std"),
     )
-    top = _in_order(_ranked_subreddits(posts, fv.BRIEFING_SUBREDDITS), "subreddit")
-    return span.select(
-        "*",
-        _row(score_stats(posts)).alias("scores"),
-        _row(peak_and_trough(posts)).alias("days"),
-        top.alias("top"),
-    ).select(
-        "total",
-        "start_date",
-        "end_date",
-        "scores.*",
-        "days.*",
-        F.col("top.subreddit").alias("top_subreddits"),
+    keys = posts.select(F.to_date("timestamp").alias("date"), "subreddit", "score")
+    counts = keys.groupingSets([["date"], ["subreddit"], ["score"]], "date", "subreddit", "score").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("posts")
+    )
+    by_day, by_community, by_score = (counts.filter(F.col("level") == level) for level in (3, 5, 6))
+    top = (
+        by_community.filter(F.col("subreddit").isNotNull())
+        .orderBy(F.desc("posts"), "subreddit")
+        .limit(fv.BRIEFING_SUBREDDITS)
+        .select(F.struct((-F.col("posts")).alias("p"), "subreddit").alias("at"), "subreddit")
+    )
+    shares = {"median_score": 0.5, "p90_score": 0.9}
+    if integral:
+        by_value = by_score.filter(score.isNotNull()).select(
+            score.cast("bigint").alias("value"), F.col("posts").alias("n")
+        )
+        ranks = percentiles_of_counts(by_value, shares)
+    else:
+        ranks = exact_percentiles(posts, "score", shares)
+    names = ["avg_score", "max_score", "min_score", "median_score", "p90_score", "score_std"]
+    return (
+        span.select(
+            "*",
+            _row(ranks).alias("ranks"),
+            _row(extreme_days(by_day.select("date", "posts"))).alias("days"),
+            _in_order(top, "subreddit").alias("top"),
+        )
+        .select("*", "ranks.*")
+        .select(
+            "total",
+            "start_date",
+            "end_date",
+            *[F.when(F.col("total") == 0, 0).otherwise(F.col(name)).alias(name) for name in names],
+            "days.*",
+            F.col("top.subreddit").alias("top_subreddits"),
+        )
     )
 
 

@@ -65,9 +65,7 @@ def exact_percentiles(posts: DataFrame, column: str, points: dict[str, float]) -
     """One row with linearly interpolated percentiles of a numeric column.
 
     The built-in exact percentile gathers every distinct value in one task; it serves
-    fractional columns only. Equal integers are counted first, buckets of 1,024 values and
-    ranges of 2 ** 20 give each value its rank, and only the values at the wanted ranks go
-    on. The widest single step is the running total over ranges.
+    fractional columns only. Equal integers are counted first and ranked as counts.
     """
     if not isinstance(posts.schema[column].dataType, T.IntegralType):
         return posts.agg(*[F.percentile(column, F.lit(share)).alias(name) for name, share in points.items()])
@@ -75,7 +73,19 @@ def exact_percentiles(posts: DataFrame, column: str, points: dict[str, float]) -
         posts.filter(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("bigint").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.shiftright("value", _RANK_BITS))
+    )
+    return percentiles_of_counts(counts, points)
+
+
+def percentiles_of_counts(counts: DataFrame, points: dict[str, float]) -> DataFrame:
+    """One row of percentiles from ``(value, n)``, one row per distinct integer.
+
+    Buckets of 1,024 values and ranges of 2 ** 20 give each value its rank, and only the
+    values at the wanted ranks go on. The widest single step is the running total over
+    ranges.
+    """
+    counts = (
+        counts.withColumn("bucket", F.shiftright("value", _RANK_BITS))
         # Said once for both uses below, so that they share one scan and shuffle.
         .filter(F.col("bucket").isNotNull())
     )

@@ -45,27 +45,41 @@ def metadata_summary(posts: DataFrame) -> dict[str, DataFrame]:
 
 
 def metadata_table(posts: DataFrame) -> DataFrame:
-    """The summary as one table of section, name and number."""
-    parts = metadata_summary(posts)
+    """The summary as one table of section, name and number.
 
-    def section(name: str, frame: DataFrame, label: Column, number: Column) -> DataFrame:
-        return frame.select(
-            F.lit(name).alias("section"),
-            label.cast("string").alias("name"),
+    One pass counts by community, by day and in all; a second one finds the top posts.
+    """
+    keys = posts.select("subreddit", F.to_date("timestamp").alias("day"), "timestamp")
+    counts = keys.groupingSets([["subreddit"], ["day"], []], "subreddit", "day").agg(
+        F.grouping_id().alias("level"),
+        F.count(F.lit(1)).alias("posts"),
+        F.to_date(F.min("timestamp")).alias("first"),
+        F.to_date(F.max("timestamp")).alias("last"),
+    )
+
+    def row(section: str, name: Column, number: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"),
+            name.cast("string").alias("name"),
             number.cast("bigint").alias("number"),
         )
 
-    span = parts["span"]
-    return (
-        section("total_posts", span, F.lit(None), F.col("total_posts"))
-        .unionByName(section("start_date", span, F.col("start_date"), F.lit(None)))
-        .unionByName(section("end_date", span, F.col("end_date"), F.lit(None)))
-        .unionByName(
-            section("subreddit", parts["subreddits"], F.col("subreddit"), F.col("posts"))
+    level, posts_in, none = F.col("level"), F.col("posts"), F.lit(None)
+    rows = (
+        F.when(
+            level == 3,
+            F.array(
+                row("total_posts", none, posts_in),
+                row("start_date", F.col("first"), none),
+                row("end_date", F.col("last"), none),
+            ),
         )
-        .unionByName(section("day", parts["daily_counts"], F.col("date"), F.col("posts")))
-        .unionByName(section("top_post", parts["top_posts"], F.col("post_id"), F.col("score")))
+        .when(level == 1, F.array(row("subreddit", F.col("subreddit"), posts_in)))
+        .otherwise(F.array(row("day", F.col("day"), posts_in)))
     )
+    named = (level == 3) | ((level == 1) & F.col("subreddit").isNotNull()) | ((level == 2) & F.col("day").isNotNull())
+    top = top_posts(posts).select(F.inline(F.array(row("top_post", F.col("post_id"), F.col("score")))))
+    return counts.filter(named).select(F.inline(rows)).unionByName(top)
 
 
 def write_metadata(posts: DataFrame, folder: str) -> None:

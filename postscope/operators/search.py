@@ -150,6 +150,11 @@ def cosine_top_k(
     return search_top_k(posts, vectors, query_vector, k, matched, cosine=True)
 
 
+def posts_sharing_link(posts: DataFrame, url: str) -> DataFrame:
+    """Posts that share a link, compared without case; the posts of a search within it."""
+    return posts.filter(F.lower("url") == url.lower())
+
+
 def search_many(
     posts: DataFrame | None,
     vectors: DataFrame,

@@ -72,11 +72,15 @@ def peak_day(posts: DataFrame) -> DataFrame:
 
 def peak_and_trough(posts: DataFrame) -> DataFrame:
     """One row: busiest and quietest day with posts; null dates and zeros without posts."""
+    return extreme_days(_daily(posts))
+
+
+def extreme_days(daily: DataFrame) -> DataFrame:
+    """The row of ``peak_and_trough`` from ``(date, posts)``."""
     most = F.max(F.struct("posts", (-F.unix_date("date")).alias("day"), "date"))
     least = F.min(F.struct("posts", "date"))
     return (
-        _daily(posts)
-        .agg(most.alias("most"), least.alias("least"))
+        daily.agg(most.alias("most"), least.alias("least"))
         .select(
             F.col("most.date").alias("peak_date"),
             F.coalesce("most.posts", F.lit(0)).alias("peak_posts"),
@@ -134,3 +138,19 @@ def keyword_weekly_trend(posts: DataFrame, keywords: Sequence[str]) -> DataFrame
     return filled.select(
         "week", "keyword", F.coalesce(F.col("counts")[F.col("week")], F.lit(0)).alias("posts")
     ).orderBy("keyword", "week")
+
+
+def topic_weekly_trend(posts: DataFrame) -> DataFrame:
+    """``(week, cluster_id, posts)`` of posts with a topic, every week of a topic's span.
+
+    Weeks end on Sunday as in ``keyword_weekly_trend``; a week without a post has 0.
+    """
+    counts = (
+        posts.filter(F.col("cluster_id").isNotNull())
+        .groupBy("cluster_id", dates.week_end("timestamp").alias("week"))
+        .agg(F.count(F.lit(1)).alias("posts"))
+    )
+    spans = counts.groupBy("cluster_id").agg(F.min("week").alias("a"), F.max("week").alias("b"))
+    weeks = spans.select("cluster_id", F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("week"))
+    found = weeks.join(counts, ["cluster_id", "week"], "left")
+    return found.select("week", "cluster_id", F.coalesce("posts", F.lit(0)).cast("bigint").alias("posts"))

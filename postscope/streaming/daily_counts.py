@@ -11,12 +11,19 @@ from postscope.operators.ingest import (
     flatten_struct,
     parse_timestamp,
     resolve_timestamp_column,
+    without_corrupt,
 )
+from postscope.sources.posts import CORRUPT_COLUMN
 
 
 def stream_posts(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Posts from JSON files as they arrive in a folder."""
-    records = flatten_struct(spark.readStream.schema(schema).json(path))
+    """Posts from JSON files as they arrive in a folder; corrupt lines are left out."""
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if CORRUPT_COLUMN not in schema.fieldNames():
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT_COLUMN, T.StringType())])
+    reader = spark.readStream.schema(schema).option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
+    records = flatten_struct(without_corrupt(reader.json(path), "drop"))
     column = resolve_timestamp_column(records)
     return drop_undated(parse_timestamp(records, column), column)
 
