@@ -350,9 +350,24 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     )
 
 
+def sent_if_few(rows: DataFrame, label: str) -> DataFrame:
+    """A written table, hinted to be sent to all tasks if it has at most ``SENT_IDS`` rows."""
+    rows = written(rows, label)
+    return F.broadcast(rows) if rows.limit(SENT_IDS + 1).count() <= SENT_IDS else rows
+
+
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, with their own columns."""
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    names = docs.columns
-    ruled = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi").select(*names)
-    return ruled.dropDuplicates(["doc_id"]).select(*names)
+    """The documents that are the smallest of their component, with their own columns.
+
+    What is dropped is looked up, so that the texts that stay need no shuffle as long as
+    the dropped ids are few enough to be sent to all tasks. Of repeated rows (equal id and
+    text) one stays; rows without an id count as one document, the smallest.
+    """
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"))
+    gone = sent_if_few(gone.distinct(), "dropped-ids")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")), "left_anti")
+    again = docs.groupBy(F.col("doc_id").alias("_again_id")).agg(F.count("*").alias("n")).where("n > 1")
+    again = sent_if_few(again.select("_again_id"), "repeated-ids")
+    same = left["doc_id"].eqNullSafe(F.col("_again_id"))
+    once, repeated = left.join(again, same, "left_anti"), left.join(again, same, "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

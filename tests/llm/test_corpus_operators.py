@@ -77,9 +77,8 @@ def test_jaccard_components(docs):
     kept = one_of_each(docs, jaccard_components(docs, 5, 80))
     assert kept.columns == docs.columns
     wanted = brute.jaccard(texts(), 5, 80)
-    assert {r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None} == {
-        d for d, (_, c) in wanted.items() if d == c and d != brute.NULL_ID
-    }
+    wanted = {(r[0], r[1]) for r in ROWS if wanted[brute.no_null(r[0])][1] == brute.no_null(r[0])}
+    assert rows_of(kept, "doc_id", "text") == sorted(wanted, key=repr) and (None, ROWS[0][1]) not in wanted
 
 
 def test_jaccard_in_small_blocks_with_chains(spark, monkeypatch):
@@ -306,7 +305,7 @@ def test_pipeline(spark, docs, tmp_path):
     ok = {d for d, _, _, k, _ in verdict if k}
     rows = [(d, t, s) for (d, _, s), (*_, t) in zip(rows, verdict) if d in ok]
     near = brute.jaccard([(d, t) for d, t, _ in rows], 5, 80)
-    rows = [*{d: (d, t, s) for d, t, s in rows if d is not None and near[d][1] == d}.values()]
+    rows = sorted({(d, t, s) for d, t, s in rows if near[brute.no_null(d)][1] == brute.no_null(d)}, key=repr)
     left = brute.removed_words([(d, t) for d, t, _ in rows])
     rows = [(d, kept if n else t, s) for (d, t, s), (_, _, n, kept) in zip(rows, left)]
     codec = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
