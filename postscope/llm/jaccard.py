@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postscope.llm import words as W
-from postscope.llm.shared import components, written
+from postscope.llm.shared import SENT_IDS, components, sent_if_few, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -41,8 +41,6 @@ EMPTY_SHARE = 0.08
 SKETCH_BITS = 3
 #: Documents of a key are compared in blocks of so many.
 BLOCK = 1000
-#: A list of ids is sent to all tasks up to this length (16 MB).
-SENT_IDS = 2_000_000
 
 SETS = "doc_id long, n_shingles long, digest binary, sketch binary"
 KEYS = "key long, doc_id long"
@@ -350,12 +348,6 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     )
 
 
-def sent_if_few(rows: DataFrame, label: str) -> DataFrame:
-    """A written table, hinted to be sent to all tasks if it has at most ``SENT_IDS`` rows."""
-    rows = written(rows, label)
-    return F.broadcast(rows) if rows.limit(SENT_IDS + 1).count() <= SENT_IDS else rows
-
-
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents that are the smallest of their component, with their own columns.
 

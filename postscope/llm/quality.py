@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postscope.llm import words as W
-from postscope.llm.shared import written
+from postscope.llm.shared import SENT_IDS, sent_if_few, written
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -180,22 +180,30 @@ def clean_documents(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """The kept documents with their own columns, without the removed lines.
 
     Rows that share an id are kept together if one of them is, and lose the same lines.
+    Rejected ids and removed lines are looked up; as long as there are few enough to be
+    sent to all tasks, texts need no shuffle.
     """
     ruled = verdict.groupBy(F.col("doc_id").alias("_ruled_id")).agg(
         F.max("kept").alias("_ruled_kept"), F.flatten(F.collect_list("removed_lines")).alias("_ruled_lines")
     )
+    ruled = written(ruled, "verdicts")
+    gone = sent_if_few(ruled.where(~F.col("_ruled_kept")).select("_ruled_id"), "rejected-ids")
+    cut = ruled.where(F.col("_ruled_kept") & (F.size("_ruled_lines") > 0)).select("_ruled_id", "_ruled_lines")
+    lines = cut.agg(F.sum(F.size("_ruled_lines") + 1)).first()[0] or 0
     names = docs.columns
-    joined = docs.join(ruled.where("_ruled_kept"), docs["doc_id"].cast("long").eqNullSafe(F.col("_ruled_id")))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_ruled_id"))
+    joined = docs.join(gone, same, "left_anti").join(F.broadcast(cut) if lines <= SENT_IDS else cut, same, "left")
+    joined = joined.select(*names, "_ruled_lines")
     schema = joined.schema
     text, host, keys = (joined.columns.index(x) for x in ("text", "source", "_ruled_lines"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = [
-                _without_lines(h.as_py(), t.as_py(), k.as_py()) if k.is_valid and len(k) else t.as_py()
+                _without_lines(h.as_py(), t.as_py(), k.as_py()) if k.is_valid else t.as_py()
                 for h, t, k in zip(batch.column(host), batch.column(text), batch.column(keys))
             ]
             yield batch.set_column(text, batch.schema.field(text), pa.array(new, batch.schema.field(text).type))
 
-    out = joined.mapInArrow(cut, schema).select(*names)
+    out = joined.mapInArrow(run, schema).select(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
