@@ -38,7 +38,7 @@ LEVELS = 3
 #: Share of a band's pieces that may be empty.
 EMPTY_SHARE = 0.08
 #: Bits of a sketch for each shingle, before rounding up to a power of two.
-SKETCH_BITS = 3
+SKETCH_BITS = 1.5
 #: Documents of a key are compared in blocks of so many.
 BLOCK = 1000
 
@@ -320,9 +320,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     members = stars.select("key", "doc_id").join(joined, stars["doc_id"] == joined["id"], "left")
     members = members.select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     mixed = members.groupBy("key").agg(
-        F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("n")
+        F.min("component_id").alias("lo"),
+        F.max("component_id").alias("hi"),
+        F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("doc_id")).alias("one"),
+        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("two"),
     )
-    mixed = mixed.where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    # untouched pieces of a family of copies have the same documents: one key of them will do
+    mixed = mixed.where("lo <> hi").groupBy("n", "one", "two").agg(F.min("key").alias("key"))
+    mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     open_ = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select(
