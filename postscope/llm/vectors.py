@@ -9,8 +9,9 @@ block's component, so copies of a hot bucket never turn into rows of pairs.
 
 Cases: vectors that are null, empty or zero or hold null or non-finite components link with
 nothing and are components of their own; vectors of different length are never compared;
-rows with equal ids count as one vector each in links, and share the result's component.
-An empty table gives an empty result.
+rows with equal ids are vectors of their own in links, and share a component where each is
+the first of its class. A row with a null id has the links and component of its class, and
+no component if no row of the class has an id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,10 +54,14 @@ def usable(row: list | None) -> np.ndarray | None:
     return vector if np.isfinite(vector).all() and vector.any() else None
 
 
+def vector_digest(vector: np.ndarray) -> bytes:
+    return hashlib.blake2b((vector + 0.0).tobytes(), digest_size=16).digest()
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vectors = [usable(x) for x in batch.column(1).to_pylist()]
-        digests = [None if v is None else hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() for v in vectors]
+        digests = [None if v is None else vector_digest(v) for v in vectors]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["vec_id", "digest"])
 
 
@@ -65,9 +70,11 @@ def _signed(bits: int, tables: int):
         planes: dict[int, np.ndarray] = {}
         place = (1 << np.arange(bits, dtype=np.int64))[:, None]
         for batch in batches:
-            ids, copies, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for vec_id, n, row in zip(ids, copies, batch.column(2).to_pylist()):
+            out = []
+            for vec_id, n, digest, row in zip(*(column.to_pylist() for column in batch.columns)):
                 vector = usable(row)
+                if vector is None or vector_digest(vector) != digest:
+                    continue  # another vector of a repeated id
                 dim = len(vector)
                 if dim not in planes:
                     planes[dim] = np.random.Generator(np.random.PCG64(SEED + dim)).standard_normal((dim, tables * bits))
@@ -148,8 +155,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     )
     classes = written(classes.where("first_id IS NOT NULL"), "vector-classes")
     bits, tables = tables_for(classes.count(), threshold, recall)
-    chosen = rows.join(classes.select(F.col("first_id").alias("vec_id"), "copies"), "vec_id").dropDuplicates(["vec_id"])
-    signed = written(chosen.select("vec_id", "copies", "embedding").mapInArrow(_signed(bits, tables), SIGNED), "signs")
+    chosen = rows.join(classes.select(F.col("first_id").alias("vec_id"), "copies", "digest"), "vec_id")
+    chosen = chosen.select("vec_id", "copies", "digest", "embedding").mapInArrow(_signed(bits, tables), SIGNED)
+    signed = written(chosen.dropDuplicates(["vec_id", "vector"]), "signs")
     each = signed.select("vec_id", "dim", F.posexplode("signs").alias("table", "bucket"))
     shared = each.groupBy("dim", "table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
