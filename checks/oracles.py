@@ -3,7 +3,31 @@
 from __future__ import annotations
 
 from checks import fixture as fx
-from postscope import fixed_values as fv
+
+
+class fv:  # noqa: N801
+    """Fixed values that the SQL expects, written out apart from those of the operators."""
+
+    CATEGORY_MARKS = (('Image/Media', ('v.redd.it', 'i.redd.it', 'imgur', 'giphy', 'gfycat')),
+     ('Video', ('youtube', 'youtu.be', 'tiktok', 'twitch', 'vimeo')),
+     ('Social Media', ('twitter', 'x.com', 'instagram', 'facebook', 'linkedin')))
+    CATEGORY_OTHER = 'External Link / News'
+    CATEGORY_SELF = 'Original Discussion'
+    DEFAULT_SUBREDDIT = 'unknown'
+    MAX_TOKENS = 7000
+    MEDIA_MARKS = (('Image', ('.jpg', '.png', '.gif', 'i.redd.it', 'imgur.com')),
+     ('Video', ('youtube', 'youtu.be', 'v.redd.it', 'twitch', 'tiktok')))
+    MEDIA_OTHER = 'Link/Article'
+    MEDIA_TEXT = 'Text/Discussion'
+    MEDIA_TEXT_MARKS = ('reddit.com', 'comments')
+    PUNCTUATION = '!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~'
+    QUESTIONS_WHEN_EMPTY = ('Summarize the main themes', 'What is the sentiment trend?', 'Identify key opinion leaders')
+    QUESTIONS_WHEN_FAILED = ('Analyze the sentiment', 'Who are the top authors?', 'Summarize the controversy')
+    SELF_MARKS = ('reddit.com',)
+    SELF_PREFIX = 'self.'
+    SENTIMENT_DISPLAY = {'negative': '🔴 Negative', 'neutral': '⚪ Neutral', 'positive': '🟢 Positive'}
+    SENTIMENT_LABELS = ('positive', 'negative', 'neutral')
+    WEEKDAYS = ('Monday', 'Tuesday', 'Wednesday', 'Thursday', 'Friday', 'Saturday', 'Sunday')
 
 
 def text(value: str | None) -> str:
