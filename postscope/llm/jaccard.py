@@ -9,8 +9,8 @@ sets are untouched by their difference, so a set with at most e empty pieces sha
 with every set that it links to. A set with more is dealt once more with another hash.
 
 Candidates of a key are first compared with the key's smallest document only. Keys whose
-documents are then still in several components are compared in blocks by sketch, and the
-pairs left are verified as well. So all links that could join two components are tried,
+documents are then still in several components are compared in blocks by sketch: first each
+document with the closest one of another component, then all pairs that are still apart. So all links that could join two components are tried,
 while groups of copies never turn into all their pairs.
 
 Cases: null and empty texts have no shingles and link with nothing; fewer words than a
@@ -219,13 +219,17 @@ def _linked(shingle: int, percent: int):
     return run
 
 
-def _blocks(percent: int):
-    """Of rows sorted by (key, low, high): pairs of other components that sketches do not rule out."""
+def _blocks(percent: int, nearest: bool):
+    """Of rows sorted by (key, low, high): pairs of other components that sketches do not rule out.
+
+    ``nearest`` keeps the closest one of each document only.
+    """
 
     def compare(ids, comps, sizes, sketches, side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(sizes, kind="stable")
-        for i in order:
-            fit = (comps > comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        for i in range(len(ids)):
+            best = None
+            other = comps != comps[i] if nearest else comps > comps[i]
+            fit = other & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
             fit &= side != side[i] if side.any() and not side.all() else True
             others = np.flatnonzero(fit)
             for length in {len(sketches[k]) for k in others}:
@@ -234,8 +238,14 @@ def _blocks(percent: int):
                 size = min(length, len(sketches[i]))
                 mine = folded(np.frombuffer(sketches[i], np.uint8), size)
                 apart = np.bitwise_count(folded(rows, size) ^ mine).sum(axis=1, dtype=np.int64)
-                near = same[apart <= (100 - percent) * (sizes[same] + sizes[i]) // (100 + percent)]
-                yield np.full(len(near), ids[i]), ids[near]
+                close = apart <= (100 - percent) * (sizes[same] + sizes[i]) // (100 + percent)
+                if nearest and close.any():
+                    k = np.flatnonzero(close)[np.argmin(apart[close])]
+                    best = min(best or (np.inf, 0), (apart[k] / (sizes[same[k]] + sizes[i]), same[k]))
+                elif not nearest:
+                    yield np.full(close.sum(), ids[i]), ids[same[close]]
+            if best is not None:
+                yield ids[i : i + 1], ids[best[1]][None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in complete_groups(batches, 3):
@@ -297,26 +307,8 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int,
     return written(rows.mapInArrow(_linked(shingle, percent), "a long, b long").toDF("u", "v"), label + "-links")
 
 
-def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document of (doc_id, text): its set's size and the smallest id linked to it."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    sets = written(docs.mapInArrow(_sets(shingle), SETS), "sets")
-    # copies of a set are one class, joined by its smallest document
-    classes = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    copies = sets.where("n_shingles > 0").join(classes.where("n > 1"), "digest")
-    copies = written(copies.select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")).where("u <> v"), "copies")
-    # one row per id for look-ups: rows with equal ids and other texts are told apart by digest only
-    lookup = sets.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "sketch"), "n_shingles").alias("s"))
-    lookup = lookup.select("doc_id", "s.n_shingles", "s.sketch")
-    keys = docs.mapInArrow(_keys(shingle, percent), KEYS)
-    stars = keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, STARS)
-    stars = written(stars, "stars")
-    first = stars.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    known = copies.select(F.col("v").alias("a"), F.col("u").alias("b"))
-    links = _verified(docs, lookup, first.join(known, ["a", "b"], "left_anti"), shingle, percent, "near")
-    links = copies.union(links)
-    joined = written(components(links), "components")
-    # keys whose documents are still apart
+def _apart(stars: DataFrame, joined: DataFrame, lookup: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of keys whose documents are in several components."""
     members = stars.select("key", "doc_id").join(joined, stars["doc_id"] == joined["id"], "left")
     members = members.select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     mixed = members.groupBy("key").agg(
@@ -343,9 +335,34 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         "key", "low", "high", "doc_id", "component_id", "n_shingles", "sketch", "side"
     )
     placed = open_.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    pairs = placed.mapInArrow(_blocks(percent), "a long, b long").distinct()
-    more = _verified(docs, lookup, pairs, shingle, percent, "rest")
-    joined = components(joined.select(F.col("id").alias("u"), F.col("component_id").alias("v")).union(more))
+    return placed.mapInArrow(_blocks(percent, nearest), "a long, b long").distinct()
+
+
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document of (doc_id, text): its set's size and the smallest id linked to it."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    sets = written(docs.mapInArrow(_sets(shingle), SETS), "sets")
+    # copies of a set are one class, joined by its smallest document
+    classes = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    copies = sets.where("n_shingles > 0").join(classes.where("n > 1"), "digest")
+    copies = written(copies.select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")).where("u <> v"), "copies")
+    # one row per id for look-ups: rows with equal ids and other texts are told apart by digest only
+    lookup = sets.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "sketch"), "n_shingles").alias("s"))
+    lookup = lookup.select("doc_id", "s.n_shingles", "s.sketch")
+    keys = docs.mapInArrow(_keys(shingle, percent), KEYS)
+    stars = keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, STARS)
+    stars = written(stars, "stars")
+    first = stars.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    known = copies.select(F.col("v").alias("a"), F.col("u").alias("b"))
+    links = _verified(docs, lookup, first.join(known, ["a", "b"], "left_anti"), shingle, percent, "near")
+    links = copies.union(links)
+    joined = written(components(links), "components")
+    # The closest document elsewhere joins most of what is still apart; then all pairs left are tried.
+    for nearest in (True, False):
+        pairs = _apart(stars, joined, lookup, percent, nearest)
+        more = _verified(docs, lookup, pairs, shingle, percent, "rest")
+        edges = joined.select(F.col("id").alias("u"), F.col("component_id").alias("v")).union(more)
+        joined = written(components(edges), "components")
     members = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     return members.join(joined, members["doc_id"] == joined["id"], "left").select(
         F.nullif(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"),
