@@ -109,7 +109,9 @@ def training_rows(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.nda
     """N-gram cells, packed to bits, and languages of at most ``train_rows`` labelled rows, as many of each language.
 
     Rows are chosen by a hash of their id; only ids are ranked, and only the cells (8 KB a
-    row) come to the driver.
+    row) come to the driver. Of rows with one id and language the smallest cells are
+    learned from, picked in each task and then over all, so that no more rows than are
+    chosen arrive.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang")
     languages = labelled.select("lang").distinct().limit(train_rows + 1).count()
@@ -126,15 +128,19 @@ def training_rows(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.nda
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((1, CELLS), np.float32)
+        least: dict[tuple[int, str], bytes] = {}  # chosen ids only: at most train_rows
         for batch in batches:
             for page, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text and _LETTER.search(text):
                     presence([text], cells)
                     bits = np.packbits(cells[0] > 0).tobytes()
-                    yield pa.RecordBatch.from_pydict({"id": [page], "lang": [lang], "bits": pa.array([bits], pa.binary())})
+                    least[page, lang] = min(least.get((page, lang), bits), bits)
+        for (page, lang), bits in least.items():
+            yield pa.RecordBatch.from_pydict({"id": [page], "lang": [lang], "bits": pa.array([bits], pa.binary())})
 
-    found = rows.mapInArrow(pack, "id long, lang string, bits binary").collect()
-    found = sorted(found, key=lambda r: (r["lang"], r["id"], r["bits"]))[: 2 * train_rows]
+    packed = rows.mapInArrow(pack, "id long, lang string, bits binary")
+    found = packed.groupBy("id", "lang").agg(F.min("bits").alias("bits")).collect()
+    found = sorted(found, key=lambda r: (r["lang"], r["id"]))
     if not found:
         return np.zeros((0, CELLS // 8), np.uint8), []
     bits = np.frombuffer(b"".join(bytes(r["bits"]) for r in found), np.uint8).reshape(len(found), -1)

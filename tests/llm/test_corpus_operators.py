@@ -176,6 +176,22 @@ def test_language(spark, docs):
     assert langid.identify_language(unlabelled).count() == 0
 
 
+def test_language_of_repeated_rows(spark):
+    """Each row three times, one id a hundred times: every language is learned from, by one row per id."""
+    letters = {"aa": "abcde", "bb": "fghij", "cc": "klmno", "dd": "pqrst"}
+    rows = [
+        (i * 4 + k, " ".join(letters[lang][(i + j) % 5] * (1 + j % 3) for j in range(12)), lang)
+        for i in range(30)
+        for k, lang in enumerate(letters)
+    ]
+    frame = spark.createDataFrame(rows * 3 + rows[:1] * 100, "doc_id long, text string, lang string").repartition(4)
+    bits, labels = langid.training_rows(frame, 40)
+    assert len(bits) == len(labels) and {x: labels.count(x) for x in letters} == dict.fromkeys(letters, 10)
+    truth = {r[0]: r[2] for r in rows}
+    found = langid.identify_language(frame, 40).collect()
+    assert len(found) == len(rows) * 3 + 100 and all(r.lang_pred == truth[r.doc_id] for r in found)
+
+
 @pytest.mark.parametrize("size", ["sf0.01"])
 def test_held_out_languages(spark, size):
     path = f"/root/testdata/{size}"
