@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postscope.llm import words as W
-from postscope.llm.shared import SENT_IDS, sent_if_few, written
+from postscope.llm.shared import SENT_IDS, row_hash, sent_if_few, written
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -38,7 +38,7 @@ LEFT_SHARE = 0.2
 
 PROFILE = (
     "row_id long, doc_id long, host string, n_words long, word_chars long, n_symbols long, "
-    "n_dup_lines long, n_repeat_words long, line_keys array<long>, line_words array<int>"
+    "n_dup_lines long, n_repeat_words long, line_keys array<long>, line_words array<int>, row_hash long"
 )
 
 
@@ -108,6 +108,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(_repeated(W.word_hashes(data, starts, stops), bounds)),
                     pa.array([x[1] for x in lines], pa.list_(pa.int64())),
                     pa.array([x[2] for x in lines], pa.list_(pa.int32())),
+                    batch.column(4)[chunk.first : chunk.last],
                 ],
                 names=[f.split()[0] for f in PROFILE.split(", ")],
             )
@@ -122,11 +123,16 @@ def quality_rules(
 ) -> DataFrame:
     """Counts, verdict and the keys of removed lines for every row of (doc_id, source, text).
 
+    ``row_hash`` names the row's source and text, as rows may share an id.
     Texts are read once. The line keys, a few numbers per text, are written to the
     shared folder; counting and judging work on them alone.
     """
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long"), F.col("source").alias("host"), "text"
+        F.monotonically_increasing_id().alias("row_id"),
+        F.col("doc_id").cast("long"),
+        F.col("source").alias("host"),
+        "text",
+        row_hash("source", "text").alias("row_hash"),
     )
     profile = written(rows.mapInArrow(_profile, PROFILE), "lines")
     each = profile.select("row_id", "doc_id", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("line"))
@@ -165,6 +171,7 @@ def quality_rules(
             (~failed & ~depleted).alias("kept"),
             F.coalesce("removed_words", F.lit(0)).alias("removed_words"),
             "removed_lines",
+            "row_hash",
         )
     )
 
@@ -179,19 +186,19 @@ def _without_lines(host: str | None, text: str | None, keys: list[int] | None) -
 def clean_documents(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """The kept documents with their own columns, without the removed lines.
 
-    Rows that share an id are kept together if one of them is, and lose the same lines.
-    Rejected ids and removed lines are looked up; as long as there are few enough to be
+    A row is judged by its id, source and text; only repeated rows share a verdict.
+    Rejected rows and removed lines are looked up; as long as there are few enough to be
     sent to all tasks, texts need no shuffle.
     """
-    ruled = verdict.groupBy(F.col("doc_id").alias("_ruled_id")).agg(
-        F.max("kept").alias("_ruled_kept"), F.flatten(F.collect_list("removed_lines")).alias("_ruled_lines")
+    ruled = verdict.groupBy(F.col("doc_id").alias("_ruled_id"), F.col("row_hash").alias("_ruled_hash")).agg(
+        F.max("kept").alias("_ruled_kept"), F.max("removed_lines").alias("_ruled_lines")
     )
     ruled = written(ruled, "verdicts")
-    gone = sent_if_few(ruled.where(~F.col("_ruled_kept")).select("_ruled_id"), "rejected-ids")
-    cut = ruled.where(F.col("_ruled_kept") & (F.size("_ruled_lines") > 0)).select("_ruled_id", "_ruled_lines")
-    lines = cut.agg(F.sum(F.size("_ruled_lines") + 1)).first()[0] or 0
+    gone = sent_if_few(ruled.where(~F.col("_ruled_kept")).select("_ruled_id", "_ruled_hash"), "rejected-rows")
+    cut = ruled.where(F.col("_ruled_kept") & (F.size("_ruled_lines") > 0)).select("_ruled_id", "_ruled_hash", "_ruled_lines")
+    lines = cut.agg(F.sum(F.size("_ruled_lines") + 2)).first()[0] or 0
     names = docs.columns
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_ruled_id"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_ruled_id")) & (row_hash("source", "text") == F.col("_ruled_hash"))
     joined = docs.join(gone, same, "left_anti").join(F.broadcast(cut) if lines <= SENT_IDS else cut, same, "left")
     joined = joined.select(*names, "_ruled_lines")
     schema = joined.schema

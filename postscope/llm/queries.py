@@ -48,7 +48,7 @@ def byte_ranks() -> tuple[bytes, str]:
 
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("removed_lines", "row_hash")
 
 
 @query

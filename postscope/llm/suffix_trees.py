@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from postscope.llm import words as W
 from postscope.llm.repeats import NO_ID, PLACES, WINDOW, Contexts, Units, covered, mark_covered
+from postscope.llm.shared import row_hash
 
-RESULT = "doc_id long, n_words long, n_removed long, kept string"
+RESULT = "doc_id long, n_words long, n_removed long, kept string, text_hash long"
 
 
 def word_units(chunk: W.Chunk) -> Units:
@@ -77,30 +78,38 @@ def repeated_suffixes(rows: Contexts) -> tuple[np.ndarray, np.ndarray]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc, text, marks in zip(batch.column(0), batch.column(1), batch.column(2)):
+        for doc, text, marks, text_hash in zip(*batch.columns):
             words = (text.as_py() or "").encode().split()
             gone = mark_covered(len(words), marks.as_py())
             kept = b" ".join(words if not marks.is_valid else [w for w, g in zip(words, gone.tolist()) if not g])
             doc = doc.as_py()
-            out.append((None if doc == NO_ID else doc, len(words), int(gone.sum()), kept.decode()))
-        types = [*[pa.int64()] * 3, pa.string()]
+            out.append((None if doc == NO_ID else doc, len(words), int(gone.sum()), kept.decode(), text_hash.as_py()))
+        types = [*[pa.int64()] * 3, pa.string(), pa.int64()]
         for at in range(0, len(out), 256):
             columns = [pa.array(c, t) for c, t in zip(zip(*out[at : at + 256]), types)]
             yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in RESULT.split(", ")])
 
 
 def remove_repeated_words(docs: DataFrame) -> DataFrame:
-    """Every row of (doc_id, text) with its words that no window of a smaller document covers."""
-    return covered(docs, word_units, np.uint64, repeated_suffixes).mapInArrow(_cut, RESULT)
+    """Every row of (doc_id, text) with its words that no window of a smaller document covers.
+
+    ``text_hash`` names the text that was cut, as rows may share an id.
+    """
+    rows = covered(docs, word_units, np.uint64, repeated_suffixes)
+    return rows.select("doc_id", "text", "marks", row_hash("text").alias("text_hash")).mapInArrow(_cut, RESULT)
 
 
 def documents_without_repeats(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """The documents with their own columns; where words were removed, the kept ones are the text."""
-    short = removed.where("n_removed > 0").select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_cut_text"))
-    short = short.groupBy("_cut_id").agg(F.min("_cut_text").alias("_cut_text"))
+    """The documents with their own columns; where words were removed, the kept ones are the text.
+
+    A row takes what was kept of its own id and text: rows of one id keep their own texts.
+    """
+    short = removed.where("n_removed > 0").groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_hash").alias("_cut_hash"))
+    short = short.agg(F.min("kept").alias("_cut_text"))
     names = docs.columns
-    out = docs.join(short, docs["doc_id"] == F.col("_cut_id"), "left").withColumn("text", F.coalesce("_cut_text", "text"))
+    same = docs["doc_id"].eqNullSafe(F.col("_cut_id")) & (row_hash("text") == F.col("_cut_hash"))
+    out = docs.join(short, same, "left").withColumn("text", F.coalesce("_cut_text", "text"))
     if "n_chars" in names:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_cut_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        out = out.withColumn("n_chars", F.when(F.col("_cut_hash").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return out.select(*names)

@@ -136,6 +136,21 @@ def test_repeated_words(docs, monkeypatch, hot):
     assert cut.columns == docs.columns and cut.count() == len(ROWS)
 
 
+def test_rows_of_one_id_keep_their_own_verdicts_and_texts(spark):
+    def own(tag, n):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    passage = own("p", 60)
+    rows = [(1, passage), (5, own("a", 30) + " " + passage), (5, own("b", 40)), (5, passage + " " + own("c", 25))]
+    rows += [(None, own("d", 30)), (None, "short"), (7, own("e", 30)), (7, "short"), (7, None)]
+    frame = spark.createDataFrame([(d, t, "s", len(t or "")) for d, t in rows], "doc_id long, text string, source string, n_chars int")
+    kept = clean_documents(frame, quality_rules(frame))
+    assert rows_of(kept, "doc_id", "text") == sorted((r for r in rows if r[1] not in ("short", None)), key=repr)
+    out = documents_without_repeats(frame, remove_repeated_words(frame))
+    wanted = [(d, t if d == 1 or t is None else t.replace(passage, "").strip()) for d, t in rows]
+    assert rows_of(out, "doc_id", "text", "n_chars") == sorted(((d, t, len(t or "")) for d, t in wanted), key=repr)
+
+
 def test_mix_sources(docs):
     wanted = brute.mix([(r[0], r[1], r[3]) for r in ROWS])
     mix = mix_sources(docs)
