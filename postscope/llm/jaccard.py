@@ -14,8 +14,10 @@ document with the closest one of another component, then all pairs that are stil
 while groups of copies never turn into all their pairs.
 
 Cases: null and empty texts have no shingles and link with nothing; fewer words than a
-shingle are one shingle; rows with equal ids are one document in the result if their sets
-are equal, and are linked to it otherwise like others. An empty table gives no rows.
+shingle are one shingle. Sets are compared under names of their own (``set_id``, from their
+content), so every text of an id is linked like any other; rows with equal ids, and all rows
+without one, are one document in the result, whose component holds the links of all its
+texts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postscope.llm import words as W
-from postscope.llm.shared import SENT_IDS, components, sent_if_few, written
+from postscope.llm.shared import SENT_IDS, components, row_hash, sent_if_few, written
 
 SHINGLE = 4
 PERCENT = 85
@@ -42,9 +44,9 @@ SKETCH_BITS = 1.5
 #: Documents of a key are compared in blocks of so many.
 BLOCK = 1000
 
-SETS = "doc_id long, n_shingles long, digest binary, sketch binary"
-KEYS = "key long, doc_id long"
-STARS = "key long, hub long, doc_id long"
+SETS = "doc_id long, text_hash long, set_id long, n_shingles long, digest binary, sketch binary"
+KEYS = "key long, set_id long"
+STARS = "key long, hub long, set_id long"
 
 
 def shingle_sets(chunk: W.Chunk, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -64,6 +66,14 @@ def shingle_sets(chunk: W.Chunk, shingle: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
+def set_digest(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
+def set_name(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def band_edges(most: int) -> list[int]:
     """First sizes of the bands up to the one that holds ``most``, and of the next two."""
     edges = [1]
@@ -126,16 +136,19 @@ def folded(sketch: np.ndarray, size: int) -> np.ndarray:
 def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in W.chunks(batch.column(1)):
+            for chunk in W.chunks(batch.column(2)):
                 sets = shingle_sets(chunk, shingle)
+                digests = [set_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[chunk.first : chunk.last],
+                        batch.column(1)[chunk.first : chunk.last],
+                        pa.array([set_name(d) for d in digests], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array(digests, pa.binary()),
                         pa.array([parity_sketch(s) for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "digest", "sketch"],
+                    names=["doc_id", "text_hash", "set_id", "n_shingles", "digest", "sketch"],
                 )
 
     return run
@@ -145,42 +158,45 @@ def _keys(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # sets of this task: copies are joined by digest, one of them gives keys
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for chunk in W.chunks(batch.column(1)):
-                docs, keys = [], []
-                for doc, elements in zip(ids[chunk.first : chunk.last], shingle_sets(chunk, shingle)):
-                    digest = hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+            for chunk in W.chunks(batch.column(0)):
+                names, keys = [], []
+                for elements in shingle_sets(chunk, shingle):
+                    digest = set_digest(elements)
                     if len(elements) and digest not in seen:
                         seen.add(digest)
                         keys.append(piece_keys(elements, percent))
-                        docs.append(np.full(len(keys[-1]), doc, np.int64))
+                        names.append(np.full(len(keys[-1]), set_name(digest), np.int64))
                 if keys:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(W.signed(np.concatenate(keys))), pa.array(np.concatenate(docs))], names=["key", "doc_id"]
+                        [pa.array(W.signed(np.concatenate(keys))), pa.array(np.concatenate(names))], names=["key", "set_id"]
                     )
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, doc_id): keys of several documents, each document with the first one."""
-    last_key, last_hub = None, None
+    """Of rows sorted by (key, set_id): keys of several sets, each set once with the first one."""
+    last_key, last_hub, last_one, last_open = None, None, None, False
     for batch in batches:
-        key, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        key, one = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(key):
             continue
-        first = np.empty(len(key), bool)
+        first, again = np.empty(len(key), bool), np.empty(len(key), bool)
         first[0] = last_key is None or key[0] != last_key
         first[1:] = key[1:] != key[:-1]
+        again[0] = not first[0] and one[0] == last_one
+        again[1:] = ~first[1:] & (one[1:] == one[:-1])
         run = np.cumsum(first)
-        hubs = np.concatenate([[last_hub if last_hub is not None else 0], doc[first]])[run]
-        last_key, last_hub = key[-1], hubs[-1]
-        keep = doc != hubs
+        hubs = np.concatenate([[last_hub if last_hub is not None else 0], one[first]])[run]
+        last_key, last_hub, last_one = key[-1], hubs[-1], one[-1]
+        keep = (one != hubs) & ~again
+        opened, place = np.unique(run[keep], return_index=True)
+        place = place[(opened > 0) | (not last_open)]  # the first set itself, once per key
+        last_open = run[-1] in opened or (run[-1] == 0 and last_open)
         if keep.any():
-            _, one = np.unique(run[keep], return_index=True)  # the first document itself, once per key
-            key, hubs, doc = key[keep], hubs[keep], doc[keep]
-            columns = [np.concatenate([key, key[one]]), np.concatenate([hubs, hubs[one]]), np.concatenate([doc, hubs[one]])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hub", "doc_id"])
+            key, hubs, one = key[keep], hubs[keep], one[keep]
+            columns = [np.concatenate([key, key[place]]), np.concatenate([hubs, hubs[place]]), np.concatenate([one, hubs[place]])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hub", "set_id"])
 
 
 def _near(percent: int):
@@ -283,56 +299,58 @@ def complete_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in a table of distinct ids (column id).
+def set_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One text (set_id, text) of every wanted set (set_id, first_id, first_hash).
 
-    A list of at most ``SENT_IDS`` is sent to all tasks, so that only the wanted texts are
-    shuffled later on; a longer one is joined.
+    A list of few sets is sent to all tasks, so that only the wanted texts are shuffled
+    later on; a longer one is joined. Of repeated rows one text is taken.
     """
-    few = ids.limit(SENT_IDS + 1).count() <= SENT_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
+    few = wanted.limit(SENT_IDS // 3 + 1).count() <= SENT_IDS // 3
+    same = (docs["doc_id"] == wanted["first_id"]) & (docs["text_hash"] == wanted["first_hash"])
+    return docs.join(F.broadcast(wanted) if few else wanted, same).select("set_id", "text").dropDuplicates(["set_id"])
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int, percent: int, label: str) -> DataFrame:
-    """Links (u, v) among candidate pairs (a, b): equal digests at once, others by their texts."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int, label: str) -> DataFrame:
+    """Links (u, v) among candidate pairs (a, b) of sets, by their sketches, then by their texts."""
+    one = classes.select(F.col("set_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    two = classes.select(F.col("set_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "sa", "nb", "sb")
     near = written(both.mapInArrow(_near(percent), "a long, b long"), label)
-    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = with_ids(docs, written(ids, label + "-ids"))
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    ids = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
+    wanted = classes.select("set_id", "first_id", "first_hash").join(ids, "set_id", "left_semi")
+    texts = set_texts(docs, written(wanted, label + "-sets"))
+    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     rows = near.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return written(rows.mapInArrow(_linked(shingle, percent), "a long, b long").toDF("u", "v"), label + "-links")
 
 
-def _apart(stars: DataFrame, joined: DataFrame, lookup: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of keys whose documents are in several components."""
-    members = stars.select("key", "doc_id").join(joined, stars["doc_id"] == joined["id"], "left")
-    members = members.select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+def _apart(stars: DataFrame, joined: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Candidate pairs (a, b) of keys whose sets are in several components."""
+    members = stars.select("key", "set_id").join(joined, stars["set_id"] == joined["id"], "left")
+    members = members.select("key", "set_id", F.coalesce("component_id", "set_id").alias("component_id"))
     mixed = members.groupBy("key").agg(
         F.min("component_id").alias("lo"),
         F.max("component_id").alias("hi"),
         F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("one"),
-        F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("two"),
+        F.bit_xor(F.xxhash64("set_id")).alias("one"),
+        F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("two"),
     )
-    # untouched pieces of a family of copies have the same documents: one key of them will do
+    # untouched pieces of a family of copies have the same sets: one key of them will do
     mixed = mixed.where("lo <> hi").groupBy("n", "one", "two").agg(F.min("key").alias("key"))
     mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    open_ = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select(
         "key",
         F.least("own", "other").alias("low"),
         F.greatest("own", "other").alias("high"),
-        "doc_id",
+        "set_id",
         "component_id",
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    open_ = open_.join(lookup, "doc_id").select(
-        "key", "low", "high", "doc_id", "component_id", "n_shingles", "sketch", "side"
+    open_ = open_.join(classes, "set_id").select(
+        "key", "low", "high", "set_id", "component_id", "n_shingles", "sketch", "side"
     )
     placed = open_.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return placed.mapInArrow(_blocks(percent, nearest), "a long, b long").distinct()
@@ -340,29 +358,37 @@ def _apart(stars: DataFrame, joined: DataFrame, lookup: DataFrame, percent: int,
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document of (doc_id, text): its set's size and the smallest id linked to it."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    no_id = F.lit(-(1 << 63))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), no_id).alias("doc_id"), row_hash("text").alias("text_hash"), "text")
     sets = written(docs.mapInArrow(_sets(shingle), SETS), "sets")
     # copies of a set are one class, joined by its smallest document
-    classes = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    copies = sets.where("n_shingles > 0").join(classes.where("n > 1"), "digest")
-    copies = written(copies.select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")).where("u <> v"), "copies")
-    # one row per id for look-ups: rows with equal ids and other texts are told apart by digest only
-    lookup = sets.groupBy("doc_id").agg(F.max_by(F.struct("n_shingles", "sketch"), "n_shingles").alias("s"))
-    lookup = lookup.select("doc_id", "s.n_shingles", "s.sketch")
-    keys = docs.mapInArrow(_keys(shingle, percent), KEYS)
-    stars = keys.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_stars, STARS)
+    classes = sets.where("n_shingles > 0").groupBy("set_id", "digest", "n_shingles")
+    classes = classes.agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("sketch").alias("sketch"), F.count("*").alias("n")
+    )
+    classes = classes.select(
+        "set_id", "digest", "n_shingles", "sketch", "n", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")
+    )
+    classes = written(classes, "classes")
+    copies = sets.join(classes.where("n > 1").select("digest", "first_id"), "digest")
+    copies = copies.select(F.col("doc_id").alias("u"), F.col("first_id").alias("v")).where("u <> v")
+    keys = docs.select("text").mapInArrow(_keys(shingle, percent), KEYS)
+    stars = keys.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_stars, STARS)
     stars = written(stars, "stars")
-    first = stars.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    known = copies.select(F.col("v").alias("a"), F.col("u").alias("b"))
-    links = _verified(docs, lookup, first.join(known, ["a", "b"], "left_anti"), shingle, percent, "near")
-    links = copies.union(links)
+    first = stars.where("hub <> set_id").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
+    links = _verified(docs, classes, first, shingle, percent, "near")
     joined = written(components(links), "components")
-    # The closest document elsewhere joins most of what is still apart; then all pairs left are tried.
+    # The closest set elsewhere joins most of what is still apart; then all pairs left are tried.
     for nearest in (True, False):
-        pairs = _apart(stars, joined, lookup, percent, nearest)
-        more = _verified(docs, lookup, pairs, shingle, percent, "rest")
+        pairs = _apart(stars, joined, classes, percent, nearest)
+        more = _verified(docs, classes, pairs, shingle, percent, "rest")
         edges = joined.select(F.col("id").alias("u"), F.col("component_id").alias("v")).union(more)
         joined = written(components(edges), "components")
+    # from sets to documents: each set hangs on its smallest document
+    one = classes.select(F.col("set_id").alias("id"), F.col("first_id").alias("u"))
+    two = classes.select(F.col("set_id").alias("component_id"), F.col("first_id").alias("v"))
+    edges = joined.join(one, "id").join(two, "component_id").select("u", "v")
+    joined = written(components(edges.union(copies)), "components")
     members = sets.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     return members.join(joined, members["doc_id"] == joined["id"], "left").select(
         F.nullif(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"),

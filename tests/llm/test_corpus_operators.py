@@ -10,6 +10,7 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -81,6 +82,30 @@ def test_jaccard_components(docs):
     assert rows_of(kept, "doc_id", "text") == sorted(wanted, key=repr) and (None, ROWS[0][1]) not in wanted
 
 
+def test_jaccard_links_every_text_of_an_id(spark):
+    """Near copies of the smaller of two texts with one id, and of rows without an id."""
+    rng = np.random.default_rng(4)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    small, large, lost, other, far = text(100), text(300), text(120), text(200), text(90)
+    rows = [(5, small), (5, large), (9, [*small, "x"]), (8, [*large, "y"]), (12, far), (13, [*far, "z"])]
+    rows += [(None, lost), (None, other), (20, ["q", *lost]), (21, [*other, "r"]), (None, lost)]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(frame).collect()}
+    assert found == {
+        5: (297, 5), 9: (98, 5), 8: (298, 5), 12: (87, 12), 13: (88, 12), None: (197, None), 20: (118, None), 21: (198, None)
+    }
+
+
+def test_stars_hold_each_set_once_per_key():
+    """Repeated rows and keys that go on in the next batch."""
+    rows = [(1, 4), (1, 4), (1, 6), (1, 6), (1, 7), (2, 3), (2, 3), (3, 1), (3, 2)]
+    for size in (1, 2, 3, 9):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*p)], names=["key", "set_id"]) for p in parts]
+        found = [tuple(r.values()) for b in jaccard._stars(iter(batches)) for r in b.to_pylist()]
+        assert sorted(found) == [(1, 4, 4), (1, 4, 6), (1, 4, 7), (3, 1, 1), (3, 1, 2)]
+
+
 def test_jaccard_in_small_blocks_with_chains(spark, monkeypatch):
     """Texts of which each links with its neighbours only, compared in blocks of four."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
