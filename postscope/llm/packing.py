@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postscope.llm.jaccard import complete_groups
+from postscope.llm.shared import written
 
 ROW_IDS = 2048
 #: A shard is about so many bytes of text, whatever the size of the corpus.
@@ -172,7 +173,10 @@ def pack_tokens(docs: DataFrame, ranks: bytes, pattern: str, row_ids: int = ROW_
     table = IdTable(ranks, pattern)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     pieces = rows.mapInArrow(_pieces(sc.broadcast(ranks), pattern, row_ids), PIECES)
-    pieces = pieces.select(F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).alias("shard"), "doc_id", "part", "n", "ids")
+    # numbers are written before the shuffle, so that a task that runs again deals alike
+    pieces = written(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    dealt = F.pmod(F.xxhash64("doc_id", "part", "ids", "number"), F.lit(shards))
+    pieces = pieces.select(dealt.alias("shard"), "doc_id", "part", "n", "ids")
     placed = pieces.repartition("shard").sortWithinPartitions("shard")
     return placed.mapInArrow(_packed(row_ids, table.end, table.kind), PACKED)
 

@@ -325,6 +325,20 @@ def test_packing(docs):
     assert sum(map(len, pieces.values())) == sum(len(r.doc_ids) for r in rows)
 
 
+def test_packing_deals_rows_without_an_id(spark, monkeypatch):
+    """A third of the rows without an id, a third one repeated row: shards stay near their size."""
+    monkeypatch.setattr(packing, "SHARD_BYTES", 4000)
+    rows = [(None, f"no id {i} " + "x " * 20) for i in range(400)] + [(7, "again " * 8)] * 400
+    rows += [(100 + i, f"id {i} " + "y " * 20) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sizes, held = {}, []
+    for r in pack_tokens(frame, *byte_ranks(), row_ids=128).collect():
+        sizes[r.shard] = sizes.get(r.shard, 0) + len(r.doc_ids)
+        held += r.doc_ids
+    assert sorted(held, key=repr) == sorted((r[0] for r in rows), key=repr)
+    assert len(sizes) > 8 and max(sizes.values()) < 3 * len(rows) / len(sizes)
+
+
 def test_best_fit_is_best_fit():
     rng = np.random.default_rng(2)
     for most in (1, 7, 64, 100):
