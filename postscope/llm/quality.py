@@ -32,6 +32,8 @@ MAX_REPEAT_PERCENT = 30
 #: A line is over the limit in more documents of its host than this many and this share.
 MIN_LINE_DOCS = 10
 LINE_SHARE = 0.01
+#: The share asks for no more documents than this, however large the host is.
+MAX_LINE_DOCS = 1000
 #: A document is depleted if fewer words, or a smaller share of its words, are left.
 LEFT_WORDS = 20
 LEFT_SHARE = 0.2
@@ -120,6 +122,7 @@ def quality_rules(
     line_share: float = LINE_SHARE,
     left_words: int = LEFT_WORDS,
     left_share: float = LEFT_SHARE,
+    max_line_docs: int = MAX_LINE_DOCS,
 ) -> DataFrame:
     """Counts, verdict and the keys of removed lines for every row of (doc_id, source, text).
 
@@ -145,7 +148,7 @@ def quality_rules(
     hosts = profile.groupBy("host").agg(F.count("*").alias("host_docs"))
     over = (
         counted.join(hosts, counted["host"].eqNullSafe(hosts["host"]))
-        .where(F.col("docs") > line_share * F.col("host_docs"))
+        .where(F.col("docs") > F.least(line_share * F.col("host_docs"), F.lit(float(max_line_docs))))
         .select("key", "first_id")
     )
     removed = (

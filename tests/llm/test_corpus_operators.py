@@ -71,6 +71,15 @@ def test_quality_rules_reject_depleted_documents(spark):
     assert sorted(d for d, k in kept.items() if not k) == list(range(1, 20))
 
 
+def test_quality_rules_remove_lines_of_a_hot_source(spark):
+    """A line in 1,400 of 150,000 documents, less than one per cent of its source."""
+    rows = spark.range(0, 150_000, 1, 8).selectExpr(
+        "id AS doc_id", "concat('own', id, if(id < 1400, '\\na line of the site', '')) AS text", "'hot' AS source"
+    )
+    removed = quality_rules(rows).where("removed_words > 0").select("doc_id", "removed_words").collect()
+    assert sorted(removed) == [(i, 5) for i in range(1, 1400)]
+
+
 def test_jaccard_components(docs):
     wanted = brute.jaccard(texts())
     found = {brute.no_null(r.doc_id): (r.n_shingles, brute.no_null(r.component_id)) for r in jaccard_components(docs).collect()}
