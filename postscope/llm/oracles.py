@@ -160,3 +160,75 @@ SELECT d.doc_id, d.size, q.size AS source_size, q.target,
   (q.whole + CASE WHEN below IS NULL OR h < below THEN 1 ELSE 0 END)::INT AS copies
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
+
+
+def _rounds(rounds: int) -> str:
+    """Lloyd's rounds one after the other: r0 holds the first centroids, each next one the floored means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+, far{i} AS MATERIALIZED (
+  SELECT vec_id, x, k, list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS far FROM v, r{i}
+), a{i} AS MATERIALIZED (
+  SELECT vec_id, x, arg_min(k, (far, k)) AS k, min(far) AS far FROM far{i} GROUP BY vec_id, x
+)""")
+        if i < rounds:
+            steps.append(f"""
+, r{i + 1} AS MATERIALIZED (
+  SELECT r.k, coalesce(new.m, r.m) AS m FROM r{i} r LEFT JOIN (
+    SELECT k, list(mean ORDER BY d) AS m FROM (
+      SELECT k, d, ((sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS mean
+      FROM (SELECT k, unnest(x) AS c, generate_subscripts(x, 1) AS d FROM a{i}) GROUP BY k, d) GROUP BY k) new ON r.k = new.k
+)""")
+    return "".join(steps)
+
+
+ORACLES["op11_centroids"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), r0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS k, x AS m FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) <= 40
+) {_rounds(5)}
+SELECT vec_id, a5.k::INT AS cluster, far AS distance, (sum(far) OVER (PARTITION BY a5.k))::BIGINT AS cluster_inertia,
+  (sum(far) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a5 JOIN r5 ON a5.k = r5.k
+"""
+
+ORACLES["op12_exact_dedup"] = f"""
+WITH d AS (SELECT doc_id, {LOWER.format("coalesce(text, '')")} AS t FROM documents
+), g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+ORACLES["op13_phrases"] = rf"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(t, '[^\x20\x09]+') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents)
+), grams AS MATERIALIZED (
+  SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces)
+), f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS n FROM grams GROUP BY ALL
+), f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS n FROM grams WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS n FROM grams WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), sizes AS (SELECT lang, sum(n)::BIGINT AS n FROM f1 GROUP BY lang
+), t AS MATERIALIZED (
+  SELECT f3.*, p.n AS n12, q.n AS n23 FROM f3
+  JOIN f2 p ON p.lang = f3.lang AND p.w1 = f3.w1 AND p.w2 = f3.w2 JOIN f2 q ON q.lang = f3.lang AND q.w1 = f3.w2 AND q.w2 = f3.w3
+), covered AS (
+  SELECT lang, w1, w2 FROM t WHERE 100 * n >= 50 * n12 UNION SELECT lang, w2, w3 FROM t WHERE 100 * n >= 50 * n23
+), cuts AS (
+  SELECT p.lang, w1 || ' ' || w2 AS phrase, 1 AS k, p.n AS a, x.n AS l, y.n AS r
+  FROM (SELECT * FROM f2 ANTI JOIN covered USING (lang, w1, w2)) p
+    JOIN f1 x USING (lang, w1) JOIN f1 y ON y.lang = p.lang AND y.w1 = p.w2
+  UNION ALL SELECT t.lang, t.w1 || ' ' || w2 || ' ' || w3, 1, t.n, x.n, n23 FROM t JOIN f1 x USING (lang, w1)
+  UNION ALL SELECT t.lang, t.w1 || ' ' || w2 || ' ' || w3, 2, t.n, n12, y.n FROM t JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w3
+), best AS (
+  SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postscope.llm.centroids import cluster_vectors
+from postscope.llm.exact import exact_duplicates
 from postscope.llm.jaccard import jaccard_components
 from postscope.llm.langid import identify_language
 from postscope.llm.mixing import mix_sources
 from postscope.llm.packing import pack_tokens
+from postscope.llm.phrases import mine_phrases
 from postscope.llm.pieces import piece_digests
 from postscope.llm.quality import quality_rules
 from postscope.llm.radix import remove_repeated_bytes
@@ -97,3 +100,18 @@ def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = byte_ranks()
     return pack_tokens(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))
