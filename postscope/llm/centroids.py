@@ -73,13 +73,13 @@ def _integers(dims: int, seed: str):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Ids and integer matrices; small integers as 64-bit numbers, others as Python's."""
     for batch in batches:
         large = batch.column(2).is_valid()
         for part, exact in ((batch.filter(batch.column(1).is_valid()), False), (batch.filter(large), True)):
-            for at in range(0, part.num_rows, BLOCK):
-                some = part.slice(at, BLOCK)
+            for at in range(0, part.num_rows, size):
+                some = part.slice(at, size)
                 if exact:
                     rows = np.array([[int(x) for x in row] for row in some.column(2).to_pylist()], object)
                 else:
@@ -110,13 +110,13 @@ def _assign(centroids: list[list[int]], rows: np.ndarray) -> tuple[np.ndarray, n
     return cluster, found[np.arange(len(rows)), cluster]
 
 
-def _partial_sums(centroids: list[list[int]]):
+def _partial_sums(centroids: list[list[int]], size: int):
     """Per task: for each centroid its vectors (dim -1) and the sum of each dimension, in limbs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k, dims = len(centroids), len(centroids[0])
         total = np.zeros((k, dims + 1), object)
-        for _, rows in _blocks(batches):
+        for _, rows in _blocks(batches, size):
             cluster, _ = _assign(centroids, rows)
             order = np.argsort(cluster, kind="stable")
             edges = np.flatnonzero(np.concatenate([[True], np.diff(cluster[order]) != 0]))
@@ -143,7 +143,7 @@ def _partial_sums(centroids: list[list[int]]):
 
 def _moved(vectors: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """The centroids after one round: floored means, empty ones as they were."""
-    parts = vectors.mapInArrow(_partial_sums(centroids), SUMS).groupBy("cluster", "dim", "limb")
+    parts = vectors.mapInArrow(_partial_sums(centroids, BLOCK), SUMS).groupBy("cluster", "dim", "limb")
     parts = parts.agg(F.sum(F.col("part").cast("decimal(38,0)")).alias("part"))
     sums: dict[tuple[int, int], int] = {}
     for row in parts.collect():  # one number per centroid, dimension and limb
@@ -156,11 +156,11 @@ def _moved(vectors: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     return moved
 
 
-def _assigned(centroids: list[list[int]]):
+def _assigned(centroids: list[list[int]], size: int):
     top = 10**38 - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, rows in _blocks(batches):
+        for ids, rows in _blocks(batches, size):
             cluster, far = _assign(centroids, rows)
             exact = [int(x) if x <= top else None for x in far]
             yield pa.RecordBatch.from_arrays(
@@ -193,7 +193,7 @@ def cluster_vectors(
     rows = rows.select("vec_id", "small", "large")
     for _ in range(rounds if centroids else 0):
         centroids = _moved(rows, centroids)
-    found = written(rows.mapInArrow(_assigned(centroids or [[0] * dims]), ASSIGNED), "assigned-vectors")
+    found = written(rows.mapInArrow(_assigned(centroids or [[0] * dims], BLOCK), ASSIGNED), "assigned-vectors")
     sums = {row["cluster"]: row["inertia"] for row in found.groupBy("cluster").agg(F.try_sum("distance").alias("inertia")).collect()}
     total = None if None in sums.values() else sum(int(x) for x in sums.values())
 

@@ -105,7 +105,7 @@ def merge_runs(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return prints[places], np.add.reduceat(counts, places) if len(places) else counts
 
 
-def _filters(shard: int):
+def _filters(shard: int, most: int):
     def cut(parts: list[np.ndarray]) -> pa.RecordBatch:
         prints, counts = np.unique(np.concatenate(parts), return_counts=True)
         owner = prints >> np.uint64(64 - shard)
@@ -121,7 +121,7 @@ def _filters(shard: int):
         for batch in batches:
             if batch.num_rows:
                 held.append(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            if sum(map(len, held)) >= TASK_PRINTS:
+            if sum(map(len, held)) >= most:
                 yield cut(held)
                 held = []
         if held:
@@ -161,7 +161,7 @@ def _merged(shard: int):
 def repeated_prints(prints: DataFrame, rows: int) -> DataFrame:
     """``(print, n)`` of every fingerprint in more than one row of (print)."""
     bits = shard_bits(rows)
-    filters = prints.select("print").mapInArrow(_filters(bits), FILTERS)
+    filters = prints.select("print").mapInArrow(_filters(bits, TASK_PRINTS), FILTERS)
     placed = filters.repartition("shard").sortWithinPartitions("shard")
     return placed.mapInArrow(_merged(bits), REPEATED)
 

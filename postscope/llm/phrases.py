@@ -75,9 +75,9 @@ def suffixes(chunk: W.Chunk) -> tuple[np.ndarray, ...]:
     return plain.data, text, starts, stops, hashes, second, third
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, tuple]]:
+def _by_language(batch: pa.RecordBatch, most: int) -> Iterator[tuple[str, tuple]]:
     """Per chunk and language: its data and suffixes. Column 0 is the language, column 1 the text."""
-    for chunk in W.chunks(batch.column(1), CHUNK_BYTES):
+    for chunk in W.chunks(batch.column(1), most):
         data, text, *rest = suffixes(chunk)
         langs = batch.column(0)[chunk.first : chunk.last].dictionary_encode()
         codes = langs.indices.to_numpy(zero_copy_only=False)[text]
@@ -102,42 +102,46 @@ def _grouped(keys: list[np.ndarray], weights: np.ndarray | None = None) -> tuple
     return [key[order][places] for key in keys], counts, order[places]
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(hot_share: float, most: int, task_words: int):
     """Spellings and counts of words (second 0), and pairs that are hot in their stretch of text."""
-    held: dict[tuple[str, int], list] = {}
-
-    def cut(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["lang", "first", "second", "word", "n"]
-        )
-
-    def counted() -> list[tuple]:
-        return [(lang, first, 0, word, n) for (lang, first), (n, word) in held.items()]
-
-    for batch in batches:
-        pairs: list[tuple] = []
-        for lang, (data, starts, stops, first, second, _) in _by_language(batch):
-            raw = data.tobytes()
-            hashes, place, counts = np.unique(first, return_index=True, return_counts=True)
-            for h, a, b, n in zip(W.signed(hashes).tolist(), starts[place].tolist(), stops[place].tolist(), counts.tolist()):
-                known = held.get((lang, h))
-                if known:
-                    known[0] += n
-                else:
-                    held[lang, h] = [n, raw[a:b]]
-            # a pair that has the hot share of all words has it in some stretch as well
-            likely = np.isin(first, hashes[counts >= HOT_SHARE * len(first)]) & (second > 0)
-            (one, two), n, _ = _grouped([first[likely], second[likely]])
-            hot = n >= HOT_SHARE * len(first)
-            pairs += [(lang, a, b, None, c) for a, b, c in zip(W.signed(one[hot]).tolist(), W.signed(two[hot]).tolist(), n[hot].tolist())]
-        if pairs:
-            yield cut(pairs)
-        if len(held) > TASK_WORDS:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+
+        def cut(rows: list[tuple]) -> pa.RecordBatch:
+            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["lang", "first", "second", "word", "n"]
+            )
+
+        def counted() -> list[tuple]:
+            return [(lang, first, 0, word, n) for (lang, first), (n, word) in held.items()]
+
+        for batch in batches:
+            pairs: list[tuple] = []
+            for lang, (data, starts, stops, first, second, _) in _by_language(batch, most):
+                raw = data.tobytes()
+                hashes, place, counts = np.unique(first, return_index=True, return_counts=True)
+                for h, a, b, n in zip(W.signed(hashes).tolist(), starts[place].tolist(), stops[place].tolist(), counts.tolist()):
+                    known = held.get((lang, h))
+                    if known:
+                        known[0] += n
+                    else:
+                        held[lang, h] = [n, raw[a:b]]
+                # a pair that has the hot share of all words has it in some stretch as well
+                likely = np.isin(first, hashes[counts >= hot_share * len(first)]) & (second > 0)
+                (one, two), n, _ = _grouped([first[likely], second[likely]])
+                hot = n >= hot_share * len(first)
+                pairs += [(lang, a, b, None, c) for a, b, c in zip(W.signed(one[hot]).tolist(), W.signed(two[hot]).tolist(), n[hot].tolist())]
+            if pairs:
+                yield cut(pairs)
+            if len(held) > task_words:
+                yield cut(counted())
+                held.clear()
+        if held:
             yield cut(counted())
-            held.clear()
-    if held:
-        yield cut(counted())
+
+    return run
 
 
 def route_of(
@@ -153,7 +157,7 @@ def route_of(
     return (W.mix(at) % np.uint64(groups)).astype(np.int32), deep
 
 
-def _suffixes(hot: dict[str, tuple[np.ndarray, np.ndarray]], groups: int):
+def _suffixes(hot: dict[str, tuple[np.ndarray, np.ndarray]], groups: int, most: int):
     """Distinct suffixes of stretches of text with weights, packed by group."""
     none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
@@ -173,7 +177,7 @@ def _suffixes(hot: dict[str, tuple[np.ndarray, np.ndarray]], groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, (_, _, _, first, second, third) in _by_language(batch):
+            for lang, (_, _, _, first, second, third) in _by_language(batch, most):
                 inside = second > 0  # a single word is no phrase
                 if not inside.any():
                     continue
@@ -286,7 +290,7 @@ def _hot_routes(words: DataFrame, total: int) -> dict[str, tuple[np.ndarray, np.
 def phrase_counts(texts: DataFrame, words: DataFrame, total: int, least: int) -> DataFrame:
     """``(lang, first, second, third, n)`` of frequent pairs (third 0) and triples of (lang, text)."""
     groups = max(LEAST_GROUPS, -(-total // GROUP_SUFFIXES))
-    packed = texts.mapInArrow(_suffixes(_hot_routes(words, total), groups), SUFFIXES)
+    packed = texts.mapInArrow(_suffixes(_hot_routes(words, total), groups, CHUNK_BYTES), SUFFIXES)
     placed = packed.repartition("bucket", "lang", "deep").sortWithinPartitions("bucket", "lang", "deep")
     return placed.mapInArrow(_counted(least), COUNTS)
 
@@ -301,7 +305,7 @@ def scored(a: Column, left: Column, right: Column) -> Column:
 def mine_phrases(docs: DataFrame, least: int = LEAST, top: int = TOP, share_percent: int = SHARE_PERCENT) -> DataFrame:
     """The first ``top`` phrases of each language of (lang, text), with their counts and scores."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    words = texts.mapInArrow(_words, WORDS).groupBy("lang", "first", "second", "word").agg(F.sum("n").alias("n"))
+    words = texts.mapInArrow(_words(HOT_SHARE, CHUNK_BYTES, TASK_WORDS), WORDS).groupBy("lang", "first", "second", "word").agg(F.sum("n").alias("n"))
     words = written(words, "words")
     single = words.where("second = 0")
     sizes = single.groupBy("lang").agg(F.sum("n").alias("total"))
