@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,9 @@ LEAST = 10
 TOP = 2000
 SHARE_PERCENT = 50
 SCALE = 1_000_000
-#: Text whose equal suffixes are put together before they travel.
-CHUNK_BYTES = 8 << 20
+#: Text that is turned into suffixes at once, and suffixes of which equal ones are put together before they travel.
+CHUNK_BYTES = 1 << 20
+BLOCK_SUFFIXES = 1 << 20
 #: A word or pair with this share of all words gets a route by one more word.
 HOT_SHARE = 1 / 512
 #: Suffixes that one group of the sort holds, about.
@@ -50,26 +52,42 @@ CELLS = 256
 
 BREAKS = np.zeros(256, bool)
 BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
+#: What each byte becomes before words are cut: lower case, marks and blanks as blanks.
+PLAIN = np.where(BREAKS, np.uint8(32), W.ASCII_LOWER)
+#: A value per byte for the hash of a word; blanks have none.
+VALUES = np.where(W.SPACES, np.uint64(0), W.BYTE_VALUES)
 
 WORDS = "lang string, first long, second long, word binary, n long"
 SUFFIXES = "bucket int, lang string, deep int, first binary, runs binary, second binary, third binary, weights binary"
 COUNTS = "lang string, first long, second long, third long, n long"
 
 
+def hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash above 0 of the bytes of every word; between words there are only blanks."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    data = data[starts[0] :]
+    at = starts - starts[0]
+    steps = np.diff(np.append(at, len(data)))
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(at, steps)
+    power = W.powers(W.STEP, int(steps.max()))
+    found = W.mix(np.add.reduceat(VALUES[data] * power[place], at) + (stops - starts).astype(np.uint64))
+    found[found == 0] = 1
+    return found
+
+
 def suffixes(chunk: W.Chunk) -> tuple[np.ndarray, ...]:
     """Per word of a chunk: text, start and end, its hash and the next two of its piece (0 for none)."""
-    data = W.ASCII_LOWER[chunk.data]
-    breaks = BREAKS[data]
-    plain = W.Chunk(chunk.first, chunk.last, np.where(breaks, np.uint8(32), data), chunk.bounds)
+    breaks = BREAKS[chunk.data]
+    plain = W.Chunk(chunk.first, chunk.last, PLAIN[chunk.data], chunk.bounds)
     starts, stops, bounds = W.word_bounds(plain)
-    hashes = W.word_hashes(plain.data, starts, stops)
-    hashes[hashes == 0] = 1
+    hashes = hashed(plain.data, starts, stops)
     text = np.repeat(np.arange(chunk.texts), np.diff(bounds))
-    piece = np.cumsum(breaks)[starts] if len(starts) else starts
-    follows = np.zeros(len(starts) + 2, bool)  # whether word i is in the piece of word i - 1
-    follows[1 : len(starts)] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
-    after = np.concatenate([hashes, np.zeros(2, np.uint64)])
+    piece = np.cumsum(breaks, dtype=np.int64)[starts] if len(starts) else starts
     n = len(starts)
+    follows = np.zeros(n + 2, bool)  # whether word i is in the piece of word i - 1
+    follows[1:n] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
+    after = np.concatenate([hashes, np.zeros(2, np.uint64)])
     second = np.where(follows[1 : n + 1], after[1 : n + 1], np.uint64(0))
     third = np.where(follows[1 : n + 1] & follows[2 : n + 2], after[2 : n + 2], np.uint64(0))
     return plain.data, text, starts, stops, hashes, second, third
@@ -77,122 +95,164 @@ def suffixes(chunk: W.Chunk) -> tuple[np.ndarray, ...]:
 
 def _by_language(batch: pa.RecordBatch, most: int) -> Iterator[tuple[str, tuple]]:
     """Per chunk and language: its data and suffixes. Column 0 is the language, column 1 the text."""
+    batch = batch.take(pc.sort_indices(batch.column(0)))  # so that a chunk holds few languages
     for chunk in W.chunks(batch.column(1), most):
         data, text, *rest = suffixes(chunk)
         langs = batch.column(0)[chunk.first : chunk.last].dictionary_encode()
+        if len(langs.dictionary) == 1:
+            yield langs.dictionary[0].as_py(), (data, *rest)
+            continue
         codes = langs.indices.to_numpy(zero_copy_only=False)[text]
         for code, lang in enumerate(langs.dictionary.to_pylist()):
             inside = codes == code
-            if inside.any():
-                yield lang, (data, *[x[inside] for x in rest])
+            yield lang, (data, *[x[inside] for x in rest])
 
 
-def _grouped(keys: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows of the keys in order, their weights, and the place of one of each."""
-    order = np.lexsort(keys[::-1])
+def _distinct(order: np.ndarray, keys: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Neighbours in this order that are equal in all keys put together, with their weights."""
+    keys = [key[order] for key in keys]
     new = np.zeros(len(order), bool)
     new[:1] = True
     for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
+        new[1:] |= key[1:] != key[:-1]
     places = np.flatnonzero(new)
     if weights is None:
         counts = np.diff(np.append(places, len(order)))
     else:
         counts = np.add.reduceat(weights[order], places) if len(places) else weights[:0]
-    return [key[order][places] for key in keys], counts, order[places]
+    return [key[places] for key in keys], counts
+
+
+def _spellings(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """The bytes of some words of a chunk."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(stops - starts, out=offsets[1:])
+    at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], stops - starts)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[at])])
+
+
+def _merged_words(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Hashes, counts and spellings with counts of equal hashes added."""
+    hashes, place, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    counts = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+    return hashes, counts, pa.concat_arrays([p[2] for p in parts]).take(pa.array(place))
 
 
 def _words(hot_share: float, most: int, task_words: int):
     """Spellings and counts of words (second 0), and pairs that are hot in their stretch of text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list] = {}
-
-        def cut(rows: list[tuple]) -> pa.RecordBatch:
-            types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["lang", "first", "second", "word", "n"]
-            )
+    def cut(lang: str, first: np.ndarray, second: np.ndarray, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(first), pa.string()), pa.array(W.signed(first)), pa.array(W.signed(second))]
+        names = ["lang", "first", "second", "word", "n"]
+        return pa.RecordBatch.from_arrays([*columns, words.cast(pa.binary()), pa.array(n, pa.int64())], names=names)
 
-        def counted() -> list[tuple]:
-            return [(lang, first, 0, word, n) for (lang, first), (n, word) in held.items()]
+    def counted(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in held.items():
+            hashes, counts, words = _merged_words(parts)
+            yield cut(lang, hashes, np.zeros_like(hashes), words, counts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[np.ndarray, np.ndarray, pa.Array]]] = {}
         for batch in batches:
-            pairs: list[tuple] = []
             for lang, (data, starts, stops, first, second, _) in _by_language(batch, most):
-                raw = data.tobytes()
+                if not len(first):
+                    continue
                 hashes, place, counts = np.unique(first, return_index=True, return_counts=True)
-                for h, a, b, n in zip(W.signed(hashes).tolist(), starts[place].tolist(), stops[place].tolist(), counts.tolist()):
-                    known = held.get((lang, h))
-                    if known:
-                        known[0] += n
-                    else:
-                        held[lang, h] = [n, raw[a:b]]
+                held.setdefault(lang, []).append((hashes, counts, _spellings(data, starts[place], stops[place])))
                 # a pair that has the hot share of all words has it in some stretch as well
                 likely = np.isin(first, hashes[counts >= hot_share * len(first)]) & (second > 0)
-                (one, two), n, _ = _grouped([first[likely], second[likely]])
+                order = np.lexsort((second[likely], first[likely]))
+                (one, two), n = _distinct(order, [first[likely], second[likely]])
                 hot = n >= hot_share * len(first)
-                pairs += [(lang, a, b, None, c) for a, b, c in zip(W.signed(one[hot]).tolist(), W.signed(two[hot]).tolist(), n[hot].tolist())]
-            if pairs:
-                yield cut(pairs)
-            if len(held) > task_words:
-                yield cut(counted())
-                held.clear()
-        if held:
-            yield cut(counted())
+                if hot.any():
+                    yield cut(lang, one[hot], two[hot], pa.nulls(int(hot.sum()), pa.large_binary()), n[hot])
+                if sum(len(p[0]) for parts in held.values() for p in parts) > task_words:
+                    held = {name: [_merged_words(parts)] for name, parts in held.items()}
+                    if 2 * sum(len(p[0][0]) for p in held.values()) > task_words:
+                        yield from counted(held)
+                        held = {}
+        yield from counted(held)
 
     return run
 
 
-def route_of(
-    first: np.ndarray, second: np.ndarray, third: np.ndarray, hot_words: np.ndarray, hot_pairs: np.ndarray, groups: int
+def routes(
+    first: np.ndarray, second: np.ndarray, third: np.ndarray, hot_words: np.ndarray, hot_pairs: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The group of each suffix, and whether it is routed by all its three words."""
+    """What each suffix is routed by, and whether that is all its three words."""
     at = W.mix(first)
-    pair = W.mix(at ^ (second * W.STEP))
+    if not len(hot_words):
+        return at, np.zeros(len(at), bool)
     finer = np.isin(first, hot_words)
-    deep = finer & np.isin(pair, hot_pairs) & (third > 0)
+    pair = W.mix(at ^ (second * W.STEP))
     at = np.where(finer, pair, at)
-    at = np.where(deep, W.mix(pair ^ (third * W.STEP)), at)
-    return (W.mix(at) % np.uint64(groups)).astype(np.int32), deep
+    deep = finer & np.isin(pair, hot_pairs) & (third > 0)
+    if deep.any():
+        at = np.where(deep, W.mix(pair ^ (third * W.STEP)), at)
+    return at, deep
+
 
+def _packed(lang: str, deep: int, at: np.ndarray, words: list[np.ndarray], weights: np.ndarray | None, groups: int) -> pa.RecordBatch:
+    """Rows of one language, one per group: its distinct suffixes, the first word once per run.
 
-def _suffixes(hot: dict[str, tuple[np.ndarray, np.ndarray]], groups: int, most: int):
+    One sort by route and hash brings equal suffixes together (should hashes meet, an equal
+    suffix is packed twice, and counted right all the same).
+    """
+    first, second, third = words
+    low = W.mix(second ^ (third * W.STEP)) >> np.uint64(32)
+    order = np.argsort((at & np.uint64(0xFFFFFFFF00000000)) | low)
+    (at, first, second, third), weights = _distinct(order, [at, first, second, third], weights)
+    bucket = (((at >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
+    runs = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (bucket[1:] != bucket[:-1])]))
+    lengths = np.diff(np.append(runs, len(first))).astype("<u4")
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    run_edges = np.searchsorted(runs, edges)
+    firsts, weights = first[runs], weights.astype("<u4")
+    columns: list[list] = [[], [], [], [], []]
+    for a, b, c, d in zip(edges[:-1], edges[1:], run_edges[:-1], run_edges[1:]):
+        for column, part in zip(columns, (firsts[c:d], lengths[c:d], second[a:b], third[a:b], weights[a:b])):
+            column.append(part.tobytes())
+    n = len(edges) - 1
+    arrays = [pa.array(bucket[edges[:-1]], pa.int32()), pa.array([lang] * n, pa.string()), pa.array([deep] * n, pa.int32())]
+    names = [field.split()[0] for field in SUFFIXES.split(", ")]
+    return pa.RecordBatch.from_arrays(arrays + [pa.array(c, pa.binary()) for c in columns], names=names)
+
+
+def _suffixes(hot: dict[str, tuple[np.ndarray, np.ndarray]], groups: int, most: int, block: int):
     """Distinct suffixes of stretches of text with weights, packed by group."""
     none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 
-    def packed(lang, bucket, deep, first, second, third, weights) -> pa.RecordBatch:
-        order = np.lexsort((deep, bucket))  # stable: suffixes stay sorted inside a group
-        bucket, deep, first, second, third, weights = (x[order] for x in (bucket, deep, first, second, third, weights))
-        change = (bucket[1:] != bucket[:-1]) | (deep[1:] != deep[:-1])
-        edges = np.flatnonzero(np.concatenate([[True], change, [True]]))
-        rows = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            words, runs = np.unique(first[a:b], return_counts=True)
-            parts = (words, runs.astype("<u4"), second[a:b], third[a:b], weights[a:b].astype("<u4"))
-            rows.append((int(bucket[a]), lang, int(deep[a]), *[x.tobytes() for x in parts]))
-        types = [pa.int32(), pa.string(), pa.int32()] + [pa.binary()] * 5
-        names = [field.split()[0] for field in SUFFIXES.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    def packed(lang: str, parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        words = [np.concatenate(x) for x in zip(*parts)]
+        at, deep = routes(*words, *hot.get(lang, none))
+        if not deep.any():
+            yield _packed(lang, 0, at, words, None, groups)
+            return
+        rest = [x[~deep] for x in words]
+        inside = [x[deep] for x in words]
+        yield _packed(lang, 1, at[deep], inside, None, groups)
+        # the pair itself is counted once, where all of its suffixes would have gone
+        (one, two), total = _distinct(np.lexsort((inside[1], inside[0])), inside[:2])
+        place, _ = routes(one, two, np.zeros_like(one), *hot[lang])
+        words = [np.concatenate([a, b]) for a, b in zip(rest, (one, two, np.zeros_like(one)))]
+        weights = np.concatenate([np.ones(len(rest[0]), np.int64), total])
+        yield _packed(lang, 0, np.concatenate([at[~deep], place]), words, weights, groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[list[np.ndarray]]] = {}
+        size = 0
         for batch in batches:
             for lang, (_, _, _, first, second, third) in _by_language(batch, most):
                 inside = second > 0  # a single word is no phrase
-                if not inside.any():
-                    continue
-                (first, second, third), weights, _ = _grouped([first[inside], second[inside], third[inside]])
-                hot_words, hot_pairs = hot.get(lang, none)
-                bucket, deep = route_of(first, second, third, hot_words, hot_pairs, groups)
-                if deep.any():  # the pair itself is counted where all of its suffixes would have gone
-                    (one, two), total, _ = _grouped([first[deep], second[deep]], weights[deep])
-                    place, _ = route_of(one, two, np.zeros_like(one), hot_words, hot_pairs, groups)
-                    bucket, deep = np.concatenate([bucket, place]), np.concatenate([deep, np.zeros(len(one), bool)])
-                    first, second = np.concatenate([first, one]), np.concatenate([second, two])
-                    third, weights = np.concatenate([third, np.zeros_like(one)]), np.concatenate([weights, total])
-                    order = np.lexsort((third, second, first))
-                    bucket, deep, first, second, third, weights = (x[order] for x in (bucket, deep, first, second, third, weights))
-                yield packed(lang, bucket, deep.astype(np.int8), first, second, third, weights)
+                if inside.any():
+                    held.setdefault(lang, []).append([x[inside] for x in (first, second, third)])
+                    size += int(inside.sum())
+                if size >= block:
+                    for name, parts in held.items():
+                        yield from packed(name, parts)
+                    held, size = {}, 0
+        for name, parts in held.items():
+            yield from packed(name, parts)
 
     return run
 
@@ -290,7 +350,7 @@ def _hot_routes(words: DataFrame, total: int) -> dict[str, tuple[np.ndarray, np.
 def phrase_counts(texts: DataFrame, words: DataFrame, total: int, least: int) -> DataFrame:
     """``(lang, first, second, third, n)`` of frequent pairs (third 0) and triples of (lang, text)."""
     groups = max(LEAST_GROUPS, -(-total // GROUP_SUFFIXES))
-    packed = texts.mapInArrow(_suffixes(_hot_routes(words, total), groups, CHUNK_BYTES), SUFFIXES)
+    packed = texts.mapInArrow(_suffixes(_hot_routes(words, total), groups, CHUNK_BYTES, BLOCK_SUFFIXES), SUFFIXES)
     placed = packed.repartition("bucket", "lang", "deep").sortWithinPartitions("bucket", "lang", "deep")
     return placed.mapInArrow(_counted(least), COUNTS)
 

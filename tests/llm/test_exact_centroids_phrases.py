@@ -215,10 +215,10 @@ def prose(seed: int) -> list[tuple]:
     return rows + [(904, "a a a a " * 5000, "en"), (905, "big x " * 30 + "big y " * 30, "fr")] + rows[:5]
 
 
-@pytest.mark.parametrize("hot, groups, chunk, words", [(1 / 512, 256, 8 << 20, 400_000), (0.004, 7, 2000, 5), (1.1, 1, 50, 1)])
+@pytest.mark.parametrize("hot, groups, chunk, words", [(1 / 512, 256, 1 << 20, 400_000), (0.004, 7, 2000, 5), (1.1, 1, 50, 1)])
 def test_phrases(spark, monkeypatch, hot, groups, chunk, words):
     """With few and many hot words and pairs, groups and stretches of text."""
-    for name, value in {"HOT_SHARE": hot, "LEAST_GROUPS": groups, "CHUNK_BYTES": chunk, "TASK_WORDS": words}.items():
+    for name, value in {"HOT_SHARE": hot, "LEAST_GROUPS": groups, "CHUNK_BYTES": chunk, "BLOCK_SUFFIXES": chunk, "TASK_WORDS": words}.items():
         monkeypatch.setattr(phrases, name, value)
     rows = prose(3)
     frame = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, n int, word string")
