@@ -429,26 +429,21 @@ ORACLES: dict[str, str] = {
     "token_budget_batches": sql(
         PREPARED,
         f"""
-sharded AS (
-  SELECT post_id, n_tokens,
-         CAST(('0x' || substr(md5(CAST(post_id AS VARCHAR)), 1, 8))::BIGINT % 16 AS INTEGER)
-           AS shard
-  FROM prepared
+summed AS (
+  SELECT post_id, n_tokens, row_number() OVER (ORDER BY post_id) AS i, sum(n_tokens) OVER (ORDER BY post_id) AS upto FROM prepared
 ),
-placed AS (
-  SELECT *, row_number() OVER (PARTITION BY shard ORDER BY post_id) AS i FROM sharded
+edges AS (
+  SELECT upto AS x, 0 AS asked, i FROM summed UNION ALL SELECT upto - n_tokens + {fv.MAX_TOKENS}, 1, i FROM summed
 ),
-packed AS (
-  SELECT shard, i, post_id, n_tokens, CAST(0 AS BIGINT) AS batch, n_tokens AS used
-  FROM placed WHERE i = 1
-  UNION ALL
-  SELECT n.shard, n.i, n.post_id, n.n_tokens,
-         p.batch + CASE WHEN p.used + n.n_tokens > {fv.MAX_TOKENS} THEN 1 ELSE 0 END,
-         CASE WHEN p.used + n.n_tokens > {fv.MAX_TOKENS} THEN n.n_tokens
-              ELSE p.used + n.n_tokens END
-  FROM packed p JOIN placed n ON n.shard = p.shard AND n.i = p.i + 1
+following AS (
+  SELECT * FROM (SELECT i, asked, min(CASE WHEN asked = 0 THEN i END) OVER
+    (ORDER BY x, asked ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS j FROM edges) WHERE asked = 1
+),
+begins AS (
+  SELECT CAST(1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS batch
+  UNION ALL SELECT f.j, s.batch + 1 FROM begins s JOIN following f ON f.i = s.i WHERE f.j IS NOT NULL
 )""",
-        select="SELECT post_id, shard, batch, n_tokens FROM packed",
+        select="SELECT post_id, max(batch) OVER (ORDER BY summed.i) AS batch, n_tokens FROM summed LEFT JOIN begins ON begins.i = summed.i",
         recursive=True,
     ),
     "write_embeddings": sql(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -28,6 +26,7 @@ from postscope.operators import (
     topics,
     trends,
 )
+from postscope.scratch import scratch_path
 from postscope.sources import posts as post_files
 from postscope.sources import vectors as vector_files
 
@@ -40,16 +39,6 @@ def query(function: Query) -> Query:
     return function
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder of the cluster; a local session may have its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="postscope-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def rounded(frame: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return frame.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
@@ -238,8 +227,7 @@ def prepare_embedding_text(spark, sf_dir):
 
 @query
 def token_budget_batches(spark, sf_dir):
-    batches = embedding_jobs.token_budget_batches(_prepared(spark, sf_dir), shards=16)
-    return batches.select("post_id", "shard", "batch", "n_tokens")
+    return embedding_jobs.token_budget_batches(_prepared(spark, sf_dir))
 
 
 @query

@@ -62,14 +62,3 @@ def matches_any_case(text: Column, pattern: str) -> Column:
 def strip(text: Column) -> Column:
     """The text without white space at its ends."""
     return F.btrim(text, F.lit(SPACES))
-
-
-def whitespace_tokens(text: Column) -> Column:
-    """Runs of characters between white space; none in a blank text."""
-    return F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda token: token != "")
-
-
-def first_tokens(text: Column, n: int) -> Column:
-    """The text up to the end of its n-th token, with the white space it has in between."""
-    parts = F.split(text, f"(?<=[{SPACE_CLASS}])(?=[^{SPACE_CLASS}])")
-    return strip(F.concat_ws("", F.slice(parts, 1, n)))

@@ -2,99 +2,96 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postscope import fixed_values as fv
-from postscope.functions.text import first_tokens, strip, whitespace_tokens
+from postscope.functions.text import SPACES, strip
+from postscope.operators.next_fit import BLOCK_BITS, next_fit
 
-# One task packs about so many posts.
-SHARD_POSTS = 1_000_000
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[ord(c) for c in SPACES if ord(c) < 128]] = True
+_WIDE_SPACES = [c.encode() for c in SPACES if ord(c) >= 128]
+_LEADS = np.zeros(256, bool)
+_LEADS[[c[0] for c in _WIDE_SPACES]] = True
 
 
 def clean_embedding_text(text: Column) -> Column:
     """Newlines and tabs become blanks, white space at the ends goes, blank text becomes a marker."""
-    flat = F.coalesce(text, F.lit(""))
-    for blank in ("\n", "\t"):
-        flat = F.replace(flat, F.lit(blank), F.lit(" "))
-    flat = strip(flat)
+    flat = strip(F.translate(F.coalesce(text, F.lit("")), "\n\t", "  "))
     return F.when(flat == "", fv.NO_CONTENT).otherwise(flat)
 
 
+def _space_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text are white space, of one byte or more."""
+    space = _ASCII_SPACE[data]
+    leads = np.flatnonzero(_LEADS[data])
+    for wide in _WIDE_SPACES if len(leads) else ():
+        at = leads[leads <= len(data) - len(wide)]
+        for i, byte in enumerate(wide):
+            at = at[data[at + i] == byte]
+        for i in range(len(wide)):
+            space[at + i] = True
+    return space
+
+
+def token_sizes(texts: pa.Array, limit: int) -> pa.Array:
+    """Per text its tokens and, if they are more than the limit, the characters that the first ones take."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]] if len(texts) else np.zeros(0, np.uint8)
+    bounds = offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)
+    full = ~_space_bytes(data)
+    begins = np.empty_like(full)
+    begins[1:] = ~full[:-1]
+    begins[bounds[:-1][bounds[:-1] < len(full)]] = True
+    starts = np.flatnonzero(full & begins)
+    first = np.searchsorted(starts, bounds)
+    counts = np.diff(first)
+    cut = np.full(len(counts), -1, np.int64)
+    for i in np.flatnonzero(counts > limit):
+        text = data[bounds[i] : bounds[i + 1]]
+        last = starts[first[i] + limit - 1] - bounds[i] if limit else 0
+        end = last + int(np.argmin(full[bounds[i] + last : bounds[i + 1]])) if limit else 0
+        cut[i] = int(((text[:end] & 0xC0) != 0x80).sum())
+    arrays = [pa.array(counts, pa.int32()), pa.array(cut, pa.int32(), mask=cut < 0)]
+    return pa.StructArray.from_arrays(arrays, names=["count", "cut"])
+
+
 def prepare_embedding_text(posts: DataFrame, max_tokens: int = fv.MAX_TOKENS) -> DataFrame:
     """``(post_id, text, n_tokens)`` with every text cut to the token limit of the model.
 
     A token is a run of characters between white space. A text beyond the limit keeps
-    an exact prefix, as a text within it is kept exactly.
+    an exact prefix, as a text within it is kept exactly. Tokens are counted on the bytes of
+    a batch of texts at a time; only the counts come back to the rows.
     """
+
+    @F.arrow_udf("struct<count: int, cut: int>")
+    def sizes(texts: pa.Array) -> pa.Array:
+        return token_sizes(texts, max_tokens)
+
     cleaned = posts.select("post_id", clean_embedding_text(F.col("text_col")).alias("full"))
-    counted = cleaned.withColumn("count", F.size(whitespace_tokens(F.col("full"))))
+    counted = cleaned.withColumn("found", sizes("full"))
     return counted.select(
         "post_id",
-        F.when(F.col("count") > max_tokens, first_tokens(F.col("full"), max_tokens))
-        .otherwise(F.col("full"))
-        .alias("text"),
-        F.least("count", F.lit(max_tokens)).alias("n_tokens"),
+        F.when(F.col("found.cut").isNull(), F.col("full")).otherwise(F.substring("full", F.lit(1), F.col("found.cut"))).alias("text"),
+        F.least("found.count", F.lit(max_tokens)).alias("n_tokens"),
     )
 
 
-def shard_of(post_id: Column, shards: int) -> Column:
-    """A shard number that depends on the id alone, not on how the data is laid out."""
-    head = F.substring(F.md5(post_id.cast("string")), 1, 8)
-    return F.pmod(F.conv(head, 16, 10).cast("bigint"), F.lit(shards)).cast("int")
-
+def token_budget_batches(prepared: DataFrame, budget: int = fv.MAX_TOKENS, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``(batch, post_id, n_tokens)``; no batch holds more tokens than the budget.
 
-def token_budget_batches(
-    prepared: DataFrame,
-    budget: int = fv.MAX_TOKENS,
-    shards: int | None = None,
-    shard_posts: int = SHARD_POSTS,
-) -> DataFrame:
-    """``(shard, batch, post_id, n_tokens)``; no batch holds more tokens than the budget.
-
-    Texts are taken in id order inside each shard; a text that would overflow the open
-    batch starts the next one, and a text larger than the budget is an error. Packing
-    needs ids and counts only, so texts are not moved: join them by ``post_id``. Without
-    a number of shards there is one per ``shard_posts`` posts, which takes a count. With
-    one shard this is one global pass; with more, the borders at their ends differ.
+    Texts are taken in id order, rows of one id by size; a text that would overflow the open
+    batch starts the next one, and a text larger than the budget is an error. The batches are
+    those of one pass over all texts, whatever the layout: see ``next_fit``. Packing
+    needs ids and counts only, so texts are not moved: join them by ``post_id``.
     """
-    if shards is None:
-        shards = max(1, -(-prepared.count() // shard_posts))
     fits = F.when(F.col("n_tokens") <= budget, F.col("n_tokens")).otherwise(
         F.raise_error(F.concat(F.lit("larger than the budget: post "), F.col("post_id").cast("string"))).cast("int")
     )
-    ordered = (
-        prepared.select(shard_of(F.col("post_id"), shards).alias("shard"), "post_id", fits.alias("n_tokens"))
-        .repartition("shard")
-        .sortWithinPartitions("shard", "post_id")
-    )
-    schema = T.StructType(
-        [
-            T.StructField("shard", T.IntegerType()),
-            T.StructField("batch", T.LongType()),
-            ordered.schema["post_id"],
-            T.StructField("n_tokens", T.IntegerType()),
-        ]
-    )
-
-    def pack(arrow_batches):
-        import pyarrow as pa
-
-        shard, number, used = None, 0, 0
-        for rows in arrow_batches:
-            numbers = []
-            for row_shard, tokens in zip(
-                rows.column("shard").to_pylist(), rows.column("n_tokens").to_pylist()
-            ):
-                if row_shard != shard:
-                    shard, number, used = row_shard, 0, 0
-                elif used and used + tokens > budget:
-                    number, used = number + 1, 0
-                used += tokens
-                numbers.append(number)
-            columns = [rows.column("shard"), pa.array(numbers, pa.int64())]
-            columns += [rows.column("post_id"), rows.column("n_tokens")]
-            yield pa.RecordBatch.from_arrays(columns, names=["shard", "batch", "post_id", "n_tokens"])
-
-    return ordered.mapInArrow(pack, schema)
+    sizes = prepared.select("post_id", fits.alias("n_tokens"))
+    return next_fit(sizes, ["post_id", "n_tokens"], "n_tokens", budget, block_bits)

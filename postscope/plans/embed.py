@@ -14,16 +14,14 @@ from postscope.operators.ingest import choose_text_column, flatten_struct
 from postscope.sources.vectors import write_embeddings
 
 
-def embedding_batches(
-    records: DataFrame, budget: int = fv.MAX_TOKENS, shards: int | None = None
-) -> DataFrame:
-    """Raw records to ``(post_id, shard, batch, n_tokens, text)``.
+def embedding_batches(records: DataFrame, budget: int = fv.MAX_TOKENS) -> DataFrame:
+    """Raw records to ``(post_id, batch, n_tokens, text)``.
 
     Records without a usable time are embedded too. Batches are packed from counts, then
     texts join them by id, which needs no shuffle of texts where posts are bucketed by it.
     """
     texts = prepare_embedding_text(choose_text_column(flatten_struct(records)), budget)
-    batches = token_budget_batches(texts, budget, shards)
+    batches = token_budget_batches(texts, budget)
     return batches.join(texts.select("post_id", "text"), "post_id")
 
 

@@ -103,7 +103,7 @@ def test_cluster_labels_do_not_depend_on_the_layout(spark):
 def test_batches_move_no_text_and_search_without_filter_no_ids(spark):
     posts, vectors = fx.posts(spark, SF_DIR), fx.vectors(spark, SF_DIR)
     prepared = embedding_jobs.prepare_embedding_text(posts.withColumnRenamed("selftext", "text_col"))
-    batches = embedding_jobs.token_budget_batches(prepared, shards=4)
+    batches = embedding_jobs.token_budget_batches(prepared)
     plan = batches._jdf.queryExecution().executedPlan().toString()
     assert "text" not in plan[: plan.index("Exchange")].replace("MapInArrow", "")
     scores = search.similarity_scores(None, vectors, search.vector_of(vectors, 0))
