@@ -536,8 +536,7 @@ weeks AS (
     "search_many": sql(
         """
 asked AS (
-  SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS v FROM embeddings
-  GROUP BY label
+  SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0
 ),
 pairs AS (
   SELECT query_id, post_id, round(list_dot_product(embedding::DOUBLE[], v), 9) AS s
@@ -642,6 +641,12 @@ weeks AS (
         "round(median_score, 6) AS median_score, round(p90_score, 6) AS p90_score, "
         "round(score_std, 6) AS score_std FROM stats",
     ),
+    "score_stats_fractional": sql(
+        SCORE_STATS.format(source="(SELECT score * upvote_ratio AS score FROM posts)"),
+        select="SELECT round(avg_score, 6) AS avg_score, round(max_score, 6) AS max_score, round(min_score, 6) AS min_score, "
+        "round(median_score, 6) AS median_score, round(p90_score, 6) AS p90_score, "
+        "round(score_std, 6) AS score_std FROM stats",
+    ),
     "media_impact": sql(
         select=f"SELECT {MEDIA_TYPE} AS media_type, round(avg(posts.score), 6) AS score "
         "FROM posts GROUP BY 1"

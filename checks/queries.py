@@ -375,12 +375,11 @@ def topic_weekly_trend(spark, sf_dir):
 
 @query
 def search_many(spark, sf_dir):
-    vectors = fx.table(spark, sf_dir, "embeddings")
-    queries = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    queries = fx.table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
     return search.search_many(
         fx.posts(spark, sf_dir),
         fx.vectors(spark, sf_dir),
-        queries.withColumnRenamed("label", "query_id"),
+        queries.select(F.col("vec_id").alias("query_id"), "embedding"),
         k=20,
     )
 
@@ -488,6 +487,13 @@ def score_stats(spark, sf_dir):
     return rounded(stats, "avg_score", "median_score", "p90_score", "score_std")
 
 
+@query
+def score_stats_fractional(spark, sf_dir):
+    posts = fx.posts(spark, sf_dir).withColumn("score", F.col("score") * F.col("upvote_ratio"))
+    stats = rankings.score_stats(posts)
+    return rounded(stats, *stats.columns)
+
+
 @query
 def media_impact(spark, sf_dir):
     return rounded(rankings.media_impact(fx.posts(spark, sf_dir)), "score")

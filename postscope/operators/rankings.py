@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import struct
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +20,13 @@ from postscope.functions.classify import (
     normal_link,
 )
 from postscope.operators.ingest import column_or
+from postscope.session import literal_rows
 
 # Scores are counted in buckets of 2**10 neighbouring values to find a rank.
 _RANK_BITS = 10
 _RANGE_BITS = 20
+# A fraction's rank is found by so many of its 64 bits at a time.
+_DIGIT_BITS = 16
 
 
 def dataset_overview(posts: DataFrame, approximate: bool = False) -> DataFrame:
@@ -64,11 +71,11 @@ def community_share(posts: DataFrame) -> DataFrame:
 def exact_percentiles(posts: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
     """One row with linearly interpolated percentiles of a numeric column.
 
-    The built-in exact percentile gathers every distinct value in one task; it serves
-    fractional columns only. Equal integers are counted first and ranked as counts.
+    Equal integers are counted first and ranked as counts; fractions are selected digit by digit.
+    Neither way gathers the distinct values in one task, as the built-in exact percentile does.
     """
     if not isinstance(posts.schema[column].dataType, T.IntegralType):
-        return posts.agg(*[F.percentile(column, F.lit(share)).alias(name) for name, share in points.items()])
+        return fractional_percentiles(posts, column, points)
     counts = (
         posts.filter(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("bigint").alias("value"))
@@ -77,6 +84,66 @@ def exact_percentiles(posts: DataFrame, column: str, points: dict[str, float]) -
     return percentiles_of_counts(counts, points)
 
 
+def _ordered_bits(values: Column) -> Column:
+    """A double's 64 bits as a whole number that is ordered as doubles are; NaN above all, as in Spark."""
+
+    @F.arrow_udf("bigint")
+    def ordered(batch: pa.Array) -> pa.Array:
+        bits = batch.fill_null(0.0).to_numpy(zero_copy_only=False).view(np.int64)
+        bits = np.where(np.isnan(bits.view(np.float64)), np.int64(0x7FF8000000000000), bits)
+        keys = np.where(bits < 0, ~bits ^ np.int64(-(1 << 63)), bits)
+        return pa.array(keys, mask=batch.is_null().to_numpy(zero_copy_only=False))
+
+    return ordered(values)
+
+
+def _double_of(ordered: int) -> float:
+    bits = ordered if ordered >= 0 else ~(ordered ^ -(1 << 63))
+    return struct.unpack("<d", struct.pack("<q", bits))[0]
+
+
+def fractional_percentiles(posts: DataFrame, column: str, points: dict[str, float]) -> DataFrame:
+    """One row of percentiles of a column of fractions, by radix selection; it is worked out now.
+
+    A value is four digits of 16 bits. A pass counts one digit of the values that share their
+    leading digits with a wanted rank, all of them at first, and tells which digit each rank
+    has next; so a pass brings back 65,536 counts per wanted rank at most, whatever the table holds,
+    and after four the values are known. Null without a value; a decimal counts as a double.
+    """
+    keys = posts.select(_ordered_bits(F.col(column).cast("double")).alias("key")).filter(F.col("key").isNotNull())
+    ranks: dict[tuple[str, bool], tuple[int, int]] = {}  # (point, upper): leading digits, rank among their values
+    total = 0
+    for shift in range(64 - _DIGIT_BITS, -1, -_DIGIT_BITS):
+        rows = keys
+        if ranks:
+            rows = keys.filter(F.shiftright("key", shift + _DIGIT_BITS).isin(sorted({lead for lead, _ in ranks.values()})))
+        cells = sorted(tuple(r) for r in rows.groupBy(F.shiftright("key", shift).alias("cell")).count().collect())
+        if not ranks:
+            total = sum(n for _, n in cells)
+            if not total:
+                return literal_rows(posts.sparkSession, [tuple([None] * len(points))], ", ".join(f"{p} double" for p in points))
+            for name, share in points.items():
+                spot = share * (total - 1)
+                ranks |= {(name, False): (0, math.floor(spot)), (name, True): (0, math.ceil(spot))}
+        whole = shift + _DIGIT_BITS == 64
+        for point, (lead, rank) in ranks.items():
+            for cell, n in cells:
+                if not whole and cell >> _DIGIT_BITS != lead:
+                    continue
+                if rank < n:
+                    ranks[point] = (cell, rank)
+                    break
+                rank -= n
+    found = []
+    for name, share in points.items():
+        low, high = (_double_of(ranks[name, upper][0]) for upper in (False, True))
+        spot = share * (total - 1)
+        apart = low != high and not (math.isnan(low) or math.isnan(high))
+        found.append((math.ceil(spot) - spot) * low + (spot - math.floor(spot)) * high if apart else high)
+    cells_of = [F.lit(value).alias(name) for name, value in zip(points, found)]
+    return posts.sparkSession.range(1).select(*cells_of)
+
+
 def percentiles_of_counts(counts: DataFrame, points: dict[str, float]) -> DataFrame:
     """One row of percentiles from ``(value, n)``, one row per distinct integer.
 

@@ -14,11 +14,12 @@ from postscope.sources.posts import CORRUPT_COLUMN
 
 # Patterns of shared items.
 # A hashtag stands at the start or behind white space; a link ends before a bracket that it
-# does not open itself, and without the punctuation behind it.
+# does not open itself, and without the punctuation behind it. Repetitions are possessive: the
+# engine takes those in a loop, where others recurse once per character of a long link.
 HASHTAG = rf"(?<![^{SPACE_CLASS}])#{WORD_CHAR}+"
 LINK_CHAR = r"[^\s\p{Z}()<>\[\]\"]"
-SHARED_LINK = rf"https?://(?:{LINK_CHAR}|\({LINK_CHAR}*\))+"
-LINK_END = r"[.,;:!?'*_~`]+$"
+SHARED_LINK = rf"https?://(?:{LINK_CHAR}++|\({LINK_CHAR}*+\))++"
+LINK_END = ".,;:!?'*_~`"
 
 
 def top_posts(posts: DataFrame, n: int = 10) -> DataFrame:
@@ -141,7 +142,7 @@ def sharing_network(posts: DataFrame, keywords: list[str] | None = None) -> Data
         tagged("hashtag", every(HASHTAG, "#", lowered)),
         tagged(
             "url",
-            F.transform(every(SHARED_LINK, "://", linked), lambda x: F.regexp_replace(x, LINK_END, "")),
+            F.transform(every(SHARED_LINK, "://", linked), lambda x: F.rtrim(x, F.lit(LINK_END))),
         ),
     ]
     for keyword in keywords or []:

@@ -160,85 +160,131 @@ def search_many(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = fv.DEFAULT_TOP_K,
-    block: int = 10_000,
+    query_block: int = 16_384,
+    vector_block: int = 1_000_000,
 ) -> DataFrame:
     """Top k of every query: ``(query_id, rank, post_id, similarity_score)``.
 
-    ``queries`` has ``query_id`` and ``embedding``; null query vectors are left out. Each
-    task multiplies its Arrow batches with the queries, some hundred at a time, and keeps k
-    candidates per query, so the shuffle carries at most k rows per query and task. One
-    pass over the vectors answers ``block`` queries, which are read and sent to the tasks;
-    more queries take further passes. Posts, where given, are joined with the candidates'
-    ids before ranking only if they are fewer than the vectors: then the join moves the
-    vectors, unless both are bucketed alike.
+    ``queries`` has ``query_id`` and ``embedding``; null query vectors are left out, and so
+    are those with null entries. Queries and vectors are dealt to blocks, and each pair of blocks is a cell of a
+    grid: a task holds the queries of its cell and streams the cell's vectors past them, so
+    that it returns k candidates per query at most. The best of a query's cells are its
+    result. One plan with one scan of each table serves any number of queries, and no vector
+    passes through the driver, which only counts both sides. Posts, where given, are joined
+    with the vectors first: that moves the vectors, unless both are bucketed alike.
     """
     aligned = vectors.select("post_id", "embedding")
     if posts is not None:
         aligned = aligned.join(posts.select("post_id"), "post_id")
-    asked = queries.filter(F.col("embedding").isNotNull())
-    blocks = max(1, -(-asked.count() // block))
-    results = None
-    for number in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
-        found = _local_candidates(aligned, part, k)
-        results = found if results is None else results.unionByName(found)
+    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    aligned = aligned.filter(F.col("embedding").isNotNull())
+    rows = max(1, -(-asked.count() // query_block))
+    columns = max(1, -(-aligned.count() // vector_block))
+    query_type, id_type = asked.schema["query_id"].dataType, aligned.schema["post_id"].dataType
+
+    def placed(side: DataFrame, key: str, own: int, others: int, vector_side: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64(key), F.lit(own))
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other")
+        dealt = side.select("*", mine.alias("mine"), every)
+        row, column = ("other", "mine") if vector_side else ("mine", "other")
+        return dealt.select(
+            (F.col(row) * columns + F.col(column)).alias("cell"),
+            F.lit(vector_side).alias("vector_side"),
+            (F.lit(None).cast(query_type) if vector_side else F.col("query_id")).alias("query_id"),
+            (F.col("post_id") if vector_side else F.lit(None).cast(id_type)).alias("post_id"),
+            F.col("embedding").cast(vectors.schema["embedding"].dataType).alias("embedding"),
+        )
+
+    grid = placed(asked, "query_id", rows, columns, False).unionByName(placed(aligned, "post_id", columns, rows, True))
+    grid = grid.repartition("cell").sortWithinPartitions("cell", "vector_side")
+    schema = T.StructType(
+        [asked.schema["query_id"], aligned.schema["post_id"], T.StructField("similarity_score", T.DoubleType())]
+    )
+    found = grid.mapInArrow(_cells(k, to_arrow_type(query_type), to_arrow_type(id_type)), schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), "post_id")
     return (
-        results.withColumn("rank", F.row_number().over(best))
+        found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "post_id", "similarity_score")
     )
 
 
-def _local_candidates(aligned: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("query_id", "embedding").collect()  # at most about one block
-    shared = aligned.sparkSession.sparkContext.broadcast(
-        ([row.query_id for row in rows], [list(row.embedding) for row in rows])
-    )
-    schema = T.StructType(
-        [
-            queries.schema["query_id"],
-            aligned.schema["post_id"],
-            T.StructField("similarity_score", T.DoubleType()),
-        ]
-    )
-    query_type = to_arrow_type(queries.schema["query_id"].dataType)
-    id_type = to_arrow_type(aligned.schema["post_id"].dataType)
-
-    def candidates(arrow_batches):
-        import numpy as np
-        import pyarrow as pa
-
-        query_ids, query_vectors = shared.value
-        matrix = np.array(query_vectors, dtype="float64").T
-        kept = {}
-        for batch in arrow_batches:
-            if batch.num_rows == 0 or not query_ids:
-                continue
-            ids, vectors = _matrix(batch, len(matrix))
-            for first in range(0, len(query_ids), _QUERIES_AT_ONCE):
-                some = matrix[:, first : first + _QUERIES_AT_ONCE]
-                scores = np.round(vectors @ some, SCORE_DIGITS)
-                for q in range(first, first + some.shape[1]):
-                    best_ids, best_scores = ids, scores[:, q - first]
-                    if q in kept:
-                        best_ids = np.concatenate([kept[q][0], best_ids])
-                        best_scores = np.concatenate([kept[q][1], best_scores])
-                    if len(best_ids) > k:
-                        limit = np.partition(best_scores, -k)[-k]
-                        inside = best_scores >= limit
-                        best_ids, best_scores = best_ids[inside], best_scores[inside]
-                        order = np.lexsort((best_ids, -best_scores))[:k]
-                        best_ids, best_scores = best_ids[order], best_scores[order]
-                    kept[q] = (best_ids, best_scores)
-        for q, (best_ids, best_scores) in kept.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([query_ids[q]] * len(best_ids), query_type),
-                    pa.array(best_ids.tolist(), id_type),
-                    pa.array(best_scores),
-                ],
+def _cells(k: int, query_type, id_type):
+    """Of rows sorted by (cell, vector_side): the k best posts of every query of a cell."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Best:
+        """Candidates of the queries of a cell; all that may still be among the k best are kept."""
+
+        def __init__(self):
+            self.names: list = []
+            self.parts: list[np.ndarray] = []
+            self.open: list[tuple] = []
+            self.size = 0
+            self.matrix = None
+
+        def ask(self, batch: pa.RecordBatch) -> None:
+            size = len(batch.column("embedding")[0])
+            names, rows = _matrix(batch.select(["query_id", "embedding"]).rename_columns(["post_id", "embedding"]), size)
+            self.names += names.tolist()
+            self.parts.append(rows)
+
+        def score(self, batch: pa.RecordBatch) -> None:
+            if self.matrix is None:
+                self.matrix = np.concatenate(self.parts).T if self.names else np.zeros((0, 0))
+                self.limit = np.full(len(self.names), -np.inf)
+            if not self.names:
+                return
+            ids, rows = _matrix(batch.select(["post_id", "embedding"]), len(self.matrix))
+            for at in range(0, len(ids), 1024):
+                for first in range(0, len(self.names), _QUERIES_AT_ONCE):
+                    chosen = slice(first, first + _QUERIES_AT_ONCE)
+                    scores = np.round(rows[at : at + 1024] @ self.matrix[:, chosen], SCORE_DIGITS)
+                    row, query = np.nonzero(scores >= self.limit[chosen])
+                    self.open.append((query + first, ids[at + row], scores[row, query]))
+                    self.size += len(row)
+                    if self.size > max(1_000_000, 2 * k * len(self.names)):
+                        self.cut()
+
+        def cut(self) -> None:
+            if not self.open:
+                return
+            query, ids, scores = (np.concatenate(x) for x in zip(*self.open))
+            order = np.lexsort((ids, -scores, query))
+            query, ids, scores = query[order], ids[order], scores[order]
+            begin = np.searchsorted(query, query, "left")
+            place = np.arange(len(query)) - begin
+            keep, last = place < k, place == k - 1
+            self.limit[query[last]] = scores[last]
+            self.open, self.size = [(query[keep], ids[keep], scores[keep])], int(keep.sum())
+
+        def rows(self) -> pa.RecordBatch | None:
+            self.cut()
+            if not self.open:
+                return None
+            query, ids, scores = self.open[0]
+            names = [self.names[q] for q in query.tolist()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, query_type), pa.array(ids.tolist(), id_type), pa.array(scores)],
                 names=["query_id", "post_id", "similarity_score"],
             )
 
-    return aligned.mapInArrow(candidates, schema)
+    def run(batches):
+        cell, best = None, Best()
+        for batch in batches:
+            at, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            change = (at[1:] != at[:-1]) | (side[1:] != side[:-1])
+            edges = np.flatnonzero(np.concatenate([[True], change, [True]])) if len(at) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if at[a] != cell:
+                    found = best.rows()
+                    if found is not None:
+                        yield found
+                    cell, best = at[a], Best()
+                (best.score if side[a] else best.ask)(batch.slice(a, b - a))
+        found = best.rows()
+        if found is not None:
+            yield found
+
+    return run

@@ -1,27 +1,28 @@
-"""Lexicon sentiment by the published valence rules, scored where a text is read.
+"""Lexicon sentiment by the published valence rules, as column expressions.
 
 Inputs are ``lexicon(word, valence)`` and, where the built-in word lists do not fit,
 ``modifiers(word, boost, negates)``. Both are word lists of bounded size: they are read on
-the driver while the plan is built and sent to every task. Only the text of a post goes
-through Arrow, its score comes back in the same row, and nothing is shuffled.
+the driver while the plan is built and become look-up tables in the plan. A post's words are
+looked up inside its row; only the hits get the words around them and their valence, and the
+rules are steps over these few hits. Texts stay in the JVM, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import json
+import zlib
+from collections.abc import Callable
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
+from postscope.functions.text import SPACE_CLASS, strip
 from postscope.session import literal_rows
 
 # A longer word list is an error: it would no longer be small for driver and tasks.
 MAX_WORDS = 1_000_000
-# Spellings remembered by a task.
-_MEMO = 500_000
 
 
 def default_modifiers(spark: SparkSession) -> DataFrame:
@@ -42,122 +43,15 @@ def _full_text(posts: DataFrame) -> Column:
     return F.concat(parts[0], F.lit(" "), parts[1])
 
 
-class _Spellings(dict):
-    """What tokens as written mean: the bare word in lower case, None if it has no valence."""
-
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
-
-    def __missing__(self, token: str) -> str | None:
-        word = bare(token).lower()
-        found = word if word in self.lexicon else None
-        if len(self) < _MEMO:
-            self[token] = found
-        return found
+def bare(token: Column) -> Column:
+    """The token without punctuation at its ends, unless it would shrink to two characters."""
+    stripped = F.btrim(token, F.lit(fv.PUNCTUATION))
+    return F.when(F.length(stripped) > 2, stripped).otherwise(token)
 
 
-def bare(token: str) -> str:
-    """The token without punctuation at its ends, unless it would shrink to two characters."""
-    stripped = token.strip(fv.PUNCTUATION)
-    return stripped if len(stripped) > 2 else token
-
-
-class Rules:
-    """The published rules over one lexicon and one list of modifiers."""
-
-    def __init__(self, lexicon: dict[str, float], modifiers: list[tuple[str, float, bool]]):
-        self.lexicon = lexicon
-        self.boosts = {word: boost for word, boost, _ in modifiers if boost}
-        self.negations = {word for word, _, negates in modifiers if negates}
-        self.spellings = _Spellings(lexicon)
-
-    def hits(self, text: str) -> list[tuple[int, str]]:
-        """Place and word of every token with a valence."""
-        spellings = self.spellings
-        return [(i, w) for i, w in enumerate([spellings[t] for t in text.split()]) if w is not None]
-
-    def compound(self, text: str) -> float:
-        """Between -1 and 1, rounded to four digits; 0 without a token that counts."""
-        hits = self.hits(text)
-        if not hits:
-            return 0.0
-        words = [bare(token) for token in text.split()]
-        lower = [word.lower() for word in words]
-        loud = sum(word.isupper() for word in words)
-        mixed = 0 < loud < len(words)
-        contrast = lower.index(fv.CONTRAST_WORD) if fv.CONTRAST_WORD in lower else None
-        total = 0.0
-        for at, word in hits:
-            if word in self.boosts or word == "kind" and lower[at + 1 : at + 2] == ["of"]:
-                continue
-            value = self._valence(at, words, lower, mixed)
-            if contrast is not None and at != contrast:
-                value *= fv.BEFORE_BUT if at < contrast else fv.AFTER_BUT
-            total += value
-        emphasis = _emphasis(text)
-        total += emphasis if total > 0 else -emphasis if total < 0 else 0.0
-        return round(total / math.sqrt(total * total + fv.NORMALISATION_ALPHA), 4) + 0.0
-
-    def _valence(self, at: int, words: list[str], lower: list[str], mixed: bool) -> float:
-        back = [lower[at - k] if at >= k else None for k in range(4)]  # the word and three before it
-        value = self.lexicon[back[0]]
-        if back[0] == "no" and at + 1 < len(lower) and lower[at + 1] in self.lexicon:
-            value = 0.0
-        if "no" in back[1:3] or back[3] == "no" and back[1] in ("or", "nor"):
-            value = self.lexicon[back[0]] * fv.NEGATION_FACTOR
-        if mixed and words[at].isupper():
-            value += fv.CAPITALS_BOOST if value > 0 else -fv.CAPITALS_BOOST
-        for k, damping in enumerate(fv.DISTANCE_DAMPING, start=1):
-            if back[k] is None or back[k] in self.lexicon:
-                continue
-            boost = self.boosts.get(back[k], 0.0)
-            if boost:
-                boost = -boost if value < 0 else boost
-                if mixed and words[at - k].isupper():
-                    boost += fv.CAPITALS_BOOST if value > 0 else -fv.CAPITALS_BOOST
-                value += boost * damping
-            value *= self._turn(k, back)
-            if k == 3:
-                value = self._idioms(at, lower, value)
-        if back[1] == "least" and "least" not in self.lexicon and back[2] not in ("at", "very"):
-            value *= fv.NEGATION_FACTOR
-        return value
-
-    def _turn(self, k: int, back: list) -> float:
-        """What the k-th word before does to a valence: 1 nothing, below 0 it negates."""
-        between = back[1:k]
-        if k > 1:
-            # As published, three words back a plain "so" or "this" before the word is enough.
-            raised = back[k] == "never" and back[k - 1] in fv.RAISED_AFTER_NEVER
-            if raised or k == 3 and back[1] in fv.RAISED_AFTER_NEVER:
-                return fv.NEVER_SO_FACTOR
-            if back[k] == "without" and "doubt" in between:
-                return 1.0
-        negates = back[k] in self.negations or fv.NEGATION_CONTRACTION in back[k]
-        return fv.NEGATION_FACTOR if negates else 1.0
-
-    def _idioms(self, at: int, lower: list[str], value: float) -> float:
-        """Fixed phrases around a word that has three words before it."""
-
-        def phrase(first: int, last: int) -> str:
-            return " ".join(lower[at + first : at + last + 1])
-
-        for first, last in ((-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2)):
-            if phrase(first, last) in fv.IDIOMS:
-                value = fv.IDIOMS[phrase(first, last)]
-                break
-        for last in (1, 2):
-            if at + last < len(lower):
-                value = fv.IDIOMS.get(phrase(0, last), value)
-        for first, last in ((-3, -1), (-3, -2), (-2, -1)):
-            value += self.boosts.get(phrase(first, last), 0.0)
-        return value
-
-
-def _emphasis(text: str) -> float:
-    questions = text.count("?")
-    asked = fv.QUESTION_MAX if questions > fv.QUESTION_MANY else questions * fv.QUESTION_BOOST
-    return min(text.count("!"), fv.EXCLAMATION_MAX) * fv.EXCLAMATION_BOOST + (asked if questions > 1 else 0.0)
+def text_words(text: Column) -> Column:
+    """The bare words of a text in order."""
+    return F.transform(F.split(strip(text), f"[{SPACE_CLASS}]+"), bare)
 
 
 def _listed(frame: DataFrame, *columns: str) -> list[tuple]:
@@ -167,29 +61,172 @@ def _listed(frame: DataFrame, *columns: str) -> list[tuple]:
     return [tuple(row) for row in rows]
 
 
-def _rules(lexicon: DataFrame, modifiers: DataFrame | None):
-    spark = lexicon.sparkSession
-    words = {word: float(value) for word, value in _listed(lexicon, "word", "valence") if word is not None}
-    changes = _listed(default_modifiers(spark) if modifiers is None else modifiers, "word", "boost", "negates")
-    return spark.sparkContext.broadcast((words, changes))
+def looked_up(table: dict[str, float]) -> Callable[[Column], Column]:
+    """A function from a word to its number, null for a word that is not in the table.
 
+    The table is one constant of the plan, an array of small maps; a word's checksum says which.
+    """
+    maps: list[dict[str, float]] = [{} for _ in range(max(1, len(table)))]
+    for word, number in table.items():
+        maps[zlib.crc32(word.encode()) % len(maps)][word] = number
+    held = F.from_json(F.lit(json.dumps(maps)), "array<map<string, double>>")
+
+    def find(word: Column) -> Column:
+        place = F.pmod(F.crc32(word.cast("binary")), F.lit(len(maps))).cast("int")
+        return F.try_element_at(F.get(held, place), word)
+
+    return find
+
+
+def _is_loud(word: Column) -> Column:
+    return F.coalesce((F.upper(word) == word) & (F.lower(word) != word), F.lit(False))
+
+
+def _word_at(words: Column, place: Column) -> Column:
+    return F.coalesce(F.get(words, place), F.lit(""))  # no word is empty
+
+
+class _Tables:
+    """Look-ups in the word lists."""
+
+    def __init__(self, lexicon: DataFrame, modifiers: DataFrame | None):
+        spark = lexicon.sparkSession
+        words = {word: float(value) for word, value in _listed(lexicon, "word", "valence") if word is not None}
+        changes = _listed(default_modifiers(spark) if modifiers is None else modifiers, "word", "boost", "negates")
+        self.valence = looked_up(words)
+        self.boost = looked_up({word: float(boost) for word, boost, _ in changes if boost})
+        self.negation = looked_up({word: 1.0 for word, _, negates in changes if negates})
+        self.idiom = looked_up(fv.IDIOMS)
+        self.knows_least = "least" in words
+
+
+def _with_context(hits: Column, words: Column, lower: Column, tables: _Tables) -> Column:
+    """Each hit with the three words before it (back1 to back3), what they are, and the two after it."""
+
+    def spelled(at: Column) -> Column:
+        back = [_word_at(lower, at - k).alias(f"back{k}") for k in range(4)]
+        loud = [_is_loud(F.get(words, at - k)).alias(f"loud{k}") for k in range(4)]
+        return F.struct(at.alias("at"), *back, *loud, *[_word_at(lower, at + k).alias(f"next{k}") for k in (1, 2)])
+
+    def known(hit: Column) -> Column:
+        out = hit.withField("base", tables.valence(hit["back0"]))
+        for k in (1, 2, 3):
+            out = out.withField(f"boost{k}", F.coalesce(tables.boost(hit[f"back{k}"]), F.lit(0.0)))
+            # a word before counts unless there is none or it has a valence itself
+            out = out.withField(f"counts{k}", (hit[f"back{k}"] != "") & tables.valence(hit[f"back{k}"]).isNull())
+        return out
+
+    found = F.transform(F.transform(hits, spelled), known)
+    # degree words have no valence of their own, and "kind" has none in "kind of"
+    return F.filter(
+        found, lambda h: tables.boost(h["back0"]).isNull() & ~((h["back0"] == "kind") & (h["next1"] == "of"))
+    )
+
+
+def _first_value(hit: Column, mixed: Column, tables: _Tables) -> Column:
+    """The valence with what "no" does to it, louder in capitals."""
+    refused = hit["back1"].isin("no") | hit["back2"].isin("no") | (hit["back3"].isin("no") & hit["back1"].isin("or", "nor"))
+    value = (
+        F.when(refused, hit["base"] * fv.NEGATION_FACTOR)
+        .when((hit["back0"] == "no") & tables.valence(hit["next1"]).isNotNull(), 0.0)
+        .otherwise(hit["base"])
+    )
+    return hit.withField("value", value).withField("louder", mixed & hit["loud0"])
 
-def sentiment_lexicon_join(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``(post_id, at, word, valence)`` of every token found in the lexicon, counted from 1."""
-    shared = _rules(lexicon, None)
 
-    @F.pandas_udf("array<struct<at: int, word: string, valence: double>>")
-    def found(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rules = Rules(*shared.value)
-        for part in texts:
-            yield pd.Series(
-                [[{"at": i + 1, "word": w, "valence": rules.lexicon[w]} for i, w in rules.hits(t)] for t in part]
-            )
+def _toward(value: Column, size: float) -> Column:
+    return F.when(value > 0, size).otherwise(-size)
 
-    hits = posts.select("post_id", found(_full_text(posts)).alias("hits"))
-    # The outer form: for the inner one a filter on the array would run the function twice.
-    rows = hits.select("post_id", F.inline_outer("hits"))
-    return rows.filter(F.col("word").isNotNull())
+
+def _boosted(k: int, mixed: Column, hit: Column) -> Column:
+    """The value moved by a degree word k words before."""
+    value, boost = hit["value"], hit[f"boost{k}"]
+    signed = F.when(value < 0, -boost).otherwise(boost)
+    signed = signed + F.when(mixed & hit[f"loud{k}"], _toward(value, fv.CAPITALS_BOOST)).otherwise(0.0)
+    moved = value + F.when(boost != 0, signed * fv.DISTANCE_DAMPING[k - 1]).otherwise(0.0)
+    return hit.withField("value", F.when(hit[f"counts{k}"], moved).otherwise(value))
+
+
+def _turned(k: int, tables: _Tables, hit: Column) -> Column:
+    """The value after the k-th word before, which may negate it."""
+    back = hit[f"back{k}"]
+    negates = tables.negation(back).isNotNull() | back.contains(fv.NEGATION_CONTRACTION)
+    factor = F.when(negates, fv.NEGATION_FACTOR).otherwise(1.0)
+    if k > 1:
+        raised = (back == "never") & hit[f"back{k - 1}"].isin(*fv.RAISED_AFTER_NEVER)
+        if k == 3:  # as published, three words back a plain "so" or "this" before the word is enough
+            raised = raised | hit["back1"].isin(*fv.RAISED_AFTER_NEVER)
+        doubt = hit["back1"].isin("doubt") if k == 2 else hit["back1"].isin("doubt") | hit["back2"].isin("doubt")
+        without = (back == "without") & doubt
+        factor = F.when(raised, fv.NEVER_SO_FACTOR).when(without, 1.0).otherwise(factor)
+    return hit.withField("value", F.when(hit[f"counts{k}"], hit["value"] * factor).otherwise(hit["value"]))
+
+
+def _in_idioms(hit: Column, tables: _Tables) -> Column:
+    """Fixed phrases around a word that has three words before it."""
+
+    def phrase(first: int, last: int) -> Column:
+        names = [f"back{-k}" if k <= 0 else f"next{k}" for k in range(first, last + 1)]
+        return F.concat_ws(" ", *[hit[name] for name in names])
+
+    around = ((-1, 0), (-2, 0), (-2, -1), (-3, -1), (-3, -2))
+    value = F.coalesce(*[tables.idiom(phrase(*span)) for span in around], hit["value"])
+    for last in (1, 2):
+        value = F.coalesce(F.when(hit[f"next{last}"] != "", tables.idiom(phrase(0, last))), value)
+    for span in ((-3, -1), (-3, -2), (-2, -1)):
+        value = value + F.coalesce(tables.boost(phrase(*span)), F.lit(0.0))
+    return hit.withField("value", F.when(hit["counts3"], value).otherwise(hit["value"]))
+
+
+def _after_least(hit: Column, tables: _Tables) -> Column:
+    if tables.knows_least:
+        return hit["value"]
+    least = (hit["back1"] == "least") & ~hit["back2"].isin("at", "very")
+    return F.when(least, hit["value"] * fv.NEGATION_FACTOR).otherwise(hit["value"])
+
+
+def _hit_total(hits: Column, words: Column, lower: Column, mixed: Column, tables: _Tables) -> Column:
+    """Sum of the valences of all hits of a post. One step over the hits per rule, so that no value is worked out twice."""
+    found = _with_context(hits, words, lower, tables)
+    found = F.transform(found, lambda h: _first_value(h, mixed, tables))
+    louder = lambda h: h["value"] + F.when(h["louder"], _toward(h["value"], fv.CAPITALS_BOOST)).otherwise(0.0)
+    found = F.transform(found, lambda h: h.withField("value", louder(h)))
+    for k in (1, 2, 3):
+        found = F.transform(found, partial(_boosted, k, mixed))
+        found = F.transform(found, partial(_turned, k, tables))
+    found = F.transform(found, lambda h: _in_idioms(h, tables))
+    turn = F.array_position(lower, F.lit(fv.CONTRAST_WORD)) - 1  # -1 without the word
+
+    def weighed(h: Column) -> Column:
+        weight = F.when((turn < 0) | (h["at"] == turn), 1.0).when(h["at"] < turn, fv.BEFORE_BUT).otherwise(fv.AFTER_BUT)
+        return _after_least(h, tables) * weight
+
+    return F.aggregate(F.transform(found, weighed), F.lit(0.0), lambda total, x: total + x)
+
+
+def _emphasis(text: Column) -> Column:
+    def count(mark: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+    questions = count("?")
+    asked = F.when(questions > fv.QUESTION_MANY, fv.QUESTION_MAX).when(questions > 1, questions * fv.QUESTION_BOOST).otherwise(0.0)
+    return F.least(count("!"), F.lit(fv.EXCLAMATION_MAX)) * fv.EXCLAMATION_BOOST + asked
+
+
+def sentiment_lexicon_join(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``(post_id, at, word, valence)`` of every token found in the lexicon, counted from 1.
+
+    Words are joined with the lexicon, which is sent to all tasks if it is as short as
+    lexicons are, so that only hits move on.
+    """
+    known = lexicon.filter(F.col("word").isNotNull()).dropDuplicates(["word"])
+    known = known.select("word", F.col("valence").cast("double").alias("valence"))
+    if known.limit(MAX_WORDS + 1).count() <= MAX_WORDS:
+        known = F.broadcast(known)
+    words = F.transform(text_words(_full_text(posts)), F.lower)
+    # The outer form: for the inner one a filter on the array would split the text twice.
+    each = posts.select("post_id", F.posexplode_outer(words).alias("at", "word")).filter(F.col("word").isNotNull())
+    return each.join(known, "word").select("post_id", (F.col("at") + 1).alias("at"), "word", "valence")
 
 
 def sentiment_label(compound: Column) -> Column:
@@ -207,15 +244,21 @@ def attach_sentiment(
     """Posts with ``compound`` and ``sent_label``; without a lexicon all are neutral."""
     if lexicon is None:
         return sentiment_neutral_fallback(posts)
-    shared = _rules(lexicon, modifiers)
-
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rules = Rules(*shared.value)
-        for part in texts:
-            yield pd.Series([rules.compound(text) for text in part], dtype="float64")
-
-    scored = posts.withColumn("compound", score(_full_text(posts)))
+    tables = _Tables(lexicon, modifiers)
+    text, words, lower, hits = (F.col(f"_{name}") for name in ("text", "words", "lower", "hits"))
+    found = posts.withColumn("_text", _full_text(posts)).withColumn("_words", text_words(text))
+    found = found.withColumn("_lower", F.transform(words, F.lower))
+    places = F.transform(lower, lambda word, i: F.when(tables.valence(word).isNotNull(), i))
+    found = found.withColumn("_hits", F.array_compact(places))
+    # Some words, but not all, are in capitals; a text without any capital is told apart at once.
+    loud = (F.lower(text) != text) & F.exists(words, _is_loud) & F.exists(words, lambda w: ~_is_loud(w))
+    found = found.withColumn("_mixed", (F.size(hits) > 0) & loud)
+    found = found.withColumn("_total", F.when(F.size(hits) > 0, _hit_total(hits, words, lower, F.col("_mixed"), tables)))
+    total = F.col("_total")
+    found = found.withColumn("_total", total + F.signum(total) * _emphasis(text))
+    compound = F.round(total / F.sqrt(total * total + fv.NORMALISATION_ALPHA), 4) + 0.0
+    scored = found.withColumn("compound", F.coalesce(compound, F.lit(0.0)))
+    scored = scored.drop("_text", "_words", "_lower", "_hits", "_mixed", "_total")
     return scored.withColumn("sent_label", sentiment_label(F.col("compound")))
 
 

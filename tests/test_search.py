@@ -51,13 +51,13 @@ def test_filtered_search_ranks_inside_the_range(posts, vectors):
     assert [r.post_id for r in found] == brute_force(MATRIX[7], 50, range(48, 72))
 
 
-@pytest.mark.parametrize("block", [2, 256])
-def test_many_queries_in_any_number_of_blocks(spark, posts, vectors, block):
+@pytest.mark.parametrize("block, vector_block", [(2, 60), (256, 10**6), (2, 1000), (100, 7)])
+def test_many_queries_in_any_number_of_blocks(spark, posts, vectors, block, vector_block):
     asked = [1, 7, 50, 120, 399]
     queries = vectors.filter(F.col("post_id").isin(asked)).select(
         F.concat(F.lit("q"), "post_id").alias("query_id"), "embedding"
     )
-    rows = search.search_many(posts, vectors, queries, k=30, block=block).collect()
+    rows = search.search_many(posts, vectors, queries, 30, block, vector_block).collect()
     for i in asked:
         ranked = sorted((r.rank, r.post_id) for r in rows if r.query_id == f"q{i}")
         assert [p for _, p in ranked] == brute_force(MATRIX[i], 30)
@@ -125,6 +125,17 @@ def test_null_vectors_are_no_hits_and_wrong_lengths_are_named(spark):
         search.search_top_k(posts, odd, [1.0, 0.0], 10, matched=True).collect()
 
 
+def test_many_queries_never_pass_the_driver(spark, posts, vectors, monkeypatch):
+    """No collect while planning, one plan of one scan of each side for any number of blocks; ties by id."""
+    monkeypatch.setattr(type(vectors), "collect", None)
+    found = search.search_many(None, vectors, vectors.withColumnRenamed("post_id", "query_id"), 3, 10, 10)
+    monkeypatch.undo()
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    best = {(r.query_id, r.rank): r.post_id for r in found.collect()}
+    assert all([best[i, k + 1] for k in range(3)] == brute_force(MATRIX[i], 3, range(400)) for i in range(0, 400, 9))
+    assert search.search_many(None, vectors, vectors.where("false").withColumnRenamed("post_id", "query_id")).collect() == []
+
+
 def test_ten_thousand_queries_in_one_pass(spark):
     rng = np.random.default_rng(8)
     vectors = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "post_id bigint, embedding array<double>")

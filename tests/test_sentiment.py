@@ -102,9 +102,25 @@ def test_without_lexicon_all_are_neutral(spark):
     assert (row.compound, row.sent_label) == (0.0, "neutral")
 
 
+def test_tables_of_any_size(spark):
+    table = {f"w{i}": i / 7 for i in range(5000)} | {"é'\"\\": 1.5, "日本": -2.0}
+    find = sentiment.looked_up(table)
+    words = [(w,) for w in [*table, "x", "", None, "w5000"]]
+    rows = spark.createDataFrame(words, "word string").select("word", find(F.col("word")).alias("n")).collect()
+    assert {r.word: r.n for r in rows if r.n is not None} == table and len(rows) == len(words)
+    assert spark.range(1).select(sentiment.looked_up({})(F.lit("a"))).first()[0] is None
+
+
+def test_lexicon_join_counts_from_one(spark, lexicon):
+    posts = spark.createDataFrame([(1, "good, GOOD", " bad :)"), (2, None, "x")], "post_id int, title string, selftext string")
+    found = sentiment.sentiment_lexicon_join(posts, lexicon).collect()
+    assert sorted(map(tuple, found)) == [(1, 1, "good", 1.9), (1, 2, "good", 1.9), (1, 3, "bad", -2.5), (1, 4, ":)", 2.0)]
+
+
 def test_scores_need_no_shuffle(spark, lexicon):
     posts = spark.createDataFrame([(1, "good")], "post_id int, title string").repartition(3)
     plan = sentiment.attach_sentiment(posts, lexicon)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
     assert plan.count("Exchange") == posts._jdf.queryExecution().toString().count("Exchange")
 
 

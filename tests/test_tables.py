@@ -105,6 +105,30 @@ def test_percentiles_equal_linear_interpolation(spark, size):
         assert row.score_std == pytest.approx(np.std(scores, ddof=1))
 
 
+def test_fractional_percentiles_by_radix_selection(spark):
+    """Equal to the built-in percentile over signs, sizes, ties, infinities, nulls and one value."""
+    rng = np.random.default_rng(6)
+    wide = [float(x) for x in rng.standard_normal(3000) * 10.0 ** rng.integers(-300, 300, 3000)]
+    sets = [wide, [0.1] * 500 + [-0.0, 0.0, 0.30000000000000004, 0.3], [5e-324, -5e-324], [2.5], [1.5, None, -1.5, None], [float("inf"), 1.0, -7.25]]
+    points = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
+    for values in sets:
+        posts = spark.createDataFrame([(v,) for v in values], "score double").repartition(3)
+        wanted = posts.agg(*[F.percentile("score", F.lit(p)).alias(n) for n, p in points.items()]).first()
+        assert rankings.exact_percentiles(posts, "score", points).first() == wanted
+    empty = spark.createDataFrame([(None,)], "score double")
+    assert tuple(rankings.exact_percentiles(empty, "score", points).first()) == (None,) * 5
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "score float")
+    assert rankings.exact_percentiles(nan, "score", {"m": 0.5}).first().m == 2.0
+
+
+def test_sharing_network_survives_any_link(spark):
+    """Links of 100,000 characters, brackets and marks, each in one post, which ended the session once."""
+    texts = ["https://a.b/" + "x" * 100_000, "http://a.b/" + "(y)" * 50_000, "http://c.d/" + "." * 100_000 + " (http://e.f/g)(http://h.i/j_(k)),"]
+    posts = frame(spark, [post(i, title=t, url=None) for i, t in enumerate([*texts, "http://(", "http://x(y)z(", "http://x)http://w"])])
+    items = {r.item for r in reports.sharing_network(posts.withColumn("selftext", F.lit(""))).collect()}
+    assert items == {*texts[:2], "http://c.d/", "http://e.f/g", "http://h.i/j_(k)", "http://x(y)z", "http://x", "http://w"}
+
+
 def test_score_stats_without_posts_are_zero(spark):
     posts = spark.createDataFrame([], "score bigint")
     assert [float(x) for x in rankings.score_stats(posts).first()] == [0.0] * 6
