@@ -49,9 +49,14 @@ def bare(token: Column) -> Column:
     return F.when(F.length(stripped) > 2, stripped).otherwise(token)
 
 
-def text_words(text: Column) -> Column:
-    """The bare words of a text in order."""
-    return F.transform(F.split(strip(text), f"[{SPACE_CLASS}]+"), bare)
+def plain(token: Column) -> Column:
+    """The bare word of a token in lower case."""
+    return F.lower(bare(token))
+
+
+def text_tokens(text: Column) -> Column:
+    """Runs of characters between white space, in order; a blank text has one empty token."""
+    return F.split(strip(text), f"[{SPACE_CLASS}]+")
 
 
 def _listed(frame: DataFrame, *columns: str) -> list[tuple]:
@@ -82,8 +87,8 @@ def _is_loud(word: Column) -> Column:
     return F.coalesce((F.upper(word) == word) & (F.lower(word) != word), F.lit(False))
 
 
-def _word_at(words: Column, place: Column) -> Column:
-    return F.coalesce(F.get(words, place), F.lit(""))  # no word is empty
+def _word_at(tokens: Column, place: Column) -> Column:
+    return F.coalesce(plain(F.get(tokens, place)), F.lit(""))  # no word is empty
 
 
 class _Tables:
@@ -98,15 +103,18 @@ class _Tables:
         self.negation = looked_up({word: 1.0 for word, _, negates in changes if negates})
         self.idiom = looked_up(fv.IDIOMS)
         self.knows_least = "least" in words
+        phrases = [*fv.IDIOMS, *(word for word, boost, _ in changes if boost)]
+        # what else than a single word can be looked up starts with one of these
+        self.in_phrases = sorted({p.split(" ")[0] for p in phrases if p and " " in p})
 
 
-def _with_context(hits: Column, words: Column, lower: Column, tables: _Tables) -> Column:
+def _with_context(hits: Column, tokens: Column, mixed: Column, tables: _Tables) -> Column:
     """Each hit with the three words before it (back1 to back3), what they are, and the two after it."""
 
     def spelled(at: Column) -> Column:
-        back = [_word_at(lower, at - k).alias(f"back{k}") for k in range(4)]
-        loud = [_is_loud(F.get(words, at - k)).alias(f"loud{k}") for k in range(4)]
-        return F.struct(at.alias("at"), *back, *loud, *[_word_at(lower, at + k).alias(f"next{k}") for k in (1, 2)])
+        back = [_word_at(tokens, at - k).alias(f"back{k}") for k in range(4)]
+        loud = [F.when(mixed, _is_loud(F.get(tokens, at - k))).otherwise(False).alias(f"loud{k}") for k in range(4)]
+        return F.struct(at.alias("at"), *back, *loud, *[_word_at(tokens, at + k).alias(f"next{k}") for k in (1, 2)])
 
     def known(hit: Column) -> Column:
         out = hit.withField("base", tables.valence(hit["back0"]))
@@ -123,26 +131,31 @@ def _with_context(hits: Column, words: Column, lower: Column, tables: _Tables) -
     )
 
 
-def _first_value(hit: Column, mixed: Column, tables: _Tables) -> Column:
-    """The valence with what "no" does to it, louder in capitals."""
+def _first_value(tables: _Tables, hit: Column) -> Column:
+    """The valence with what "no" does to it."""
     refused = hit["back1"].isin("no") | hit["back2"].isin("no") | (hit["back3"].isin("no") & hit["back1"].isin("or", "nor"))
     value = (
         F.when(refused, hit["base"] * fv.NEGATION_FACTOR)
         .when((hit["back0"] == "no") & tables.valence(hit["next1"]).isNotNull(), 0.0)
         .otherwise(hit["base"])
     )
-    return hit.withField("value", value).withField("louder", mixed & hit["loud0"])
+    return hit.withField("value", value)
 
 
 def _toward(value: Column, size: float) -> Column:
     return F.when(value > 0, size).otherwise(-size)
 
 
-def _boosted(k: int, mixed: Column, hit: Column) -> Column:
+def _louder(hit: Column) -> Column:
+    value = hit["value"]
+    return hit.withField("value", value + F.when(hit["loud0"], _toward(value, fv.CAPITALS_BOOST)).otherwise(0.0))
+
+
+def _boosted(k: int, hit: Column) -> Column:
     """The value moved by a degree word k words before."""
     value, boost = hit["value"], hit[f"boost{k}"]
     signed = F.when(value < 0, -boost).otherwise(boost)
-    signed = signed + F.when(mixed & hit[f"loud{k}"], _toward(value, fv.CAPITALS_BOOST)).otherwise(0.0)
+    signed = signed + F.when(hit[f"loud{k}"], _toward(value, fv.CAPITALS_BOOST)).otherwise(0.0)
     moved = value + F.when(boost != 0, signed * fv.DISTANCE_DAMPING[k - 1]).otherwise(0.0)
     return hit.withField("value", F.when(hit[f"counts{k}"], moved).otherwise(value))
 
@@ -162,7 +175,7 @@ def _turned(k: int, tables: _Tables, hit: Column) -> Column:
     return hit.withField("value", F.when(hit[f"counts{k}"], hit["value"] * factor).otherwise(hit["value"]))
 
 
-def _in_idioms(hit: Column, tables: _Tables) -> Column:
+def _in_idioms(tables: _Tables, hit: Column) -> Column:
     """Fixed phrases around a word that has three words before it."""
 
     def phrase(first: int, last: int) -> Column:
@@ -175,7 +188,9 @@ def _in_idioms(hit: Column, tables: _Tables) -> Column:
         value = F.coalesce(F.when(hit[f"next{last}"] != "", tables.idiom(phrase(0, last))), value)
     for span in ((-3, -1), (-3, -2), (-2, -1)):
         value = value + F.coalesce(tables.boost(phrase(*span)), F.lit(0.0))
-    return hit.withField("value", F.when(hit["counts3"], value).otherwise(hit["value"]))
+    begins = [hit[f"back{k}"].isin(tables.in_phrases) for k in range(4)]
+    phrased = begins[0] | begins[1] | begins[2] | begins[3]
+    return hit.withField("value", F.when(hit["counts3"] & phrased, value).otherwise(hit["value"]))
 
 
 def _after_least(hit: Column, tables: _Tables) -> Column:
@@ -185,23 +200,23 @@ def _after_least(hit: Column, tables: _Tables) -> Column:
     return F.when(least, hit["value"] * fv.NEGATION_FACTOR).otherwise(hit["value"])
 
 
-def _hit_total(hits: Column, words: Column, lower: Column, mixed: Column, tables: _Tables) -> Column:
-    """Sum of the valences of all hits of a post. One step over the hits per rule, so that no value is worked out twice."""
-    found = _with_context(hits, words, lower, tables)
-    found = F.transform(found, lambda h: _first_value(h, mixed, tables))
-    louder = lambda h: h["value"] + F.when(h["louder"], _toward(h["value"], fv.CAPITALS_BOOST)).otherwise(0.0)
-    found = F.transform(found, lambda h: h.withField("value", louder(h)))
+def _hit_total(hits: Column, tokens: Column, mixed: Column, turn: Column, tables: _Tables) -> Column:
+    """Sum of the valences of all hits of a post; ``turn`` is the place of the contrast word, -1 without.
+
+    One step over the hits per rule, so that no value is worked out twice.
+    """
+    found = _with_context(hits, tokens, mixed, tables)
+    steps = [partial(_first_value, tables), _louder]
     for k in (1, 2, 3):
-        found = F.transform(found, partial(_boosted, k, mixed))
-        found = F.transform(found, partial(_turned, k, tables))
-    found = F.transform(found, lambda h: _in_idioms(h, tables))
-    turn = F.array_position(lower, F.lit(fv.CONTRAST_WORD)) - 1  # -1 without the word
+        steps += [partial(_boosted, k), partial(_turned, k, tables)]
+    for step in [*steps, partial(_in_idioms, tables)]:
+        found = F.transform(found, step)
 
     def weighed(h: Column) -> Column:
         weight = F.when((turn < 0) | (h["at"] == turn), 1.0).when(h["at"] < turn, fv.BEFORE_BUT).otherwise(fv.AFTER_BUT)
         return _after_least(h, tables) * weight
 
-    return F.aggregate(F.transform(found, weighed), F.lit(0.0), lambda total, x: total + x)
+    return F.aggregate(found, F.lit(0.0), lambda total, h: total + weighed(h))
 
 
 def _emphasis(text: Column) -> Column:
@@ -223,7 +238,7 @@ def sentiment_lexicon_join(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     known = known.select("word", F.col("valence").cast("double").alias("valence"))
     if known.limit(MAX_WORDS + 1).count() <= MAX_WORDS:
         known = F.broadcast(known)
-    words = F.transform(text_words(_full_text(posts)), F.lower)
+    words = F.transform(text_tokens(_full_text(posts)), plain)
     # The outer form: for the inner one a filter on the array would split the text twice.
     each = posts.select("post_id", F.posexplode_outer(words).alias("at", "word")).filter(F.col("word").isNotNull())
     return each.join(known, "word").select("post_id", (F.col("at") + 1).alias("at"), "word", "valence")
@@ -245,20 +260,23 @@ def attach_sentiment(
     if lexicon is None:
         return sentiment_neutral_fallback(posts)
     tables = _Tables(lexicon, modifiers)
-    text, words, lower, hits = (F.col(f"_{name}") for name in ("text", "words", "lower", "hits"))
-    found = posts.withColumn("_text", _full_text(posts)).withColumn("_words", text_words(text))
-    found = found.withColumn("_lower", F.transform(words, F.lower))
-    places = F.transform(lower, lambda word, i: F.when(tables.valence(word).isNotNull(), i))
+    text, tokens, hits = (F.col(f"_{name}") for name in ("text", "tokens", "hits"))
+    found = posts.withColumn("_text", _full_text(posts)).withColumn("_tokens", text_tokens(text))
+    places = F.transform(F.transform(tokens, plain), lambda word, i: F.when(tables.valence(word).isNotNull(), i))
     found = found.withColumn("_hits", F.array_compact(places))
     # Some words, but not all, are in capitals; a text without any capital is told apart at once.
-    loud = (F.lower(text) != text) & F.exists(words, _is_loud) & F.exists(words, lambda w: ~_is_loud(w))
+    loud = (F.lower(text) != text) & F.exists(tokens, _is_loud) & F.exists(tokens, lambda t: ~_is_loud(t))
     found = found.withColumn("_mixed", (F.size(hits) > 0) & loud)
-    found = found.withColumn("_total", F.when(F.size(hits) > 0, _hit_total(hits, words, lower, F.col("_mixed"), tables)))
+    turns = (F.size(hits) > 0) & F.lower(text).contains(fv.CONTRAST_WORD)
+    turn = F.when(turns, F.array_position(F.transform(tokens, plain), F.lit(fv.CONTRAST_WORD)) - 1).otherwise(-1)
+    found = found.withColumn("_turn", turn)
+    summed = _hit_total(hits, tokens, F.col("_mixed"), F.col("_turn"), tables)
+    found = found.withColumn("_total", F.when(F.size(hits) > 0, summed))
     total = F.col("_total")
     found = found.withColumn("_total", total + F.signum(total) * _emphasis(text))
     compound = F.round(total / F.sqrt(total * total + fv.NORMALISATION_ALPHA), 4) + 0.0
     scored = found.withColumn("compound", F.coalesce(compound, F.lit(0.0)))
-    scored = scored.drop("_text", "_words", "_lower", "_hits", "_mixed", "_total")
+    scored = scored.drop("_text", "_tokens", "_hits", "_mixed", "_turn", "_total")
     return scored.withColumn("sent_label", sentiment_label(F.col("compound")))
 
 
