@@ -43,6 +43,10 @@ EMPTY_SHARE = 0.08
 SKETCH_BITS = 1.5
 #: Documents of a key are compared in blocks of so many.
 BLOCK = 1000
+#: Rows of whole blocks, pairs of them and words of their sketches that a task works on at once.
+ROWS_AT_ONCE = 8000
+PAIRS = 1 << 20
+PAIR_WORDS = 1 << 20
 
 SETS = "doc_id long, text_hash long, set_id long, n_shingles long, digest binary, sketch binary"
 KEYS = "key long, set_id long"
@@ -199,17 +203,37 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "hub", "set_id"])
 
 
+def bits_apart(sketches: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hamming distance of pairs of sketches, the longer of a pair folded to the length of the other."""
+    lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    place, rows = np.zeros(len(sketches), np.int64), {}
+    for length in np.unique(lengths).tolist():
+        mine = np.flatnonzero(lengths == length)
+        place[mine] = np.arange(len(mine))
+        rows[length] = np.frombuffer(b"".join(sketches[i] for i in mine), np.uint64).reshape(len(mine), -1)
+    apart = np.zeros(len(left), np.int64)
+    kind = lengths[left] * (1 << 32) + lengths[right]
+    for pair in np.unique(kind).tolist():
+        one, two = pair >> 32, pair & ((1 << 32) - 1)
+        words = min(one, two) // 8
+        for part in np.array_split(np.flatnonzero(kind == pair), -(-int((kind == pair).sum()) * words // PAIR_WORDS)):
+            a, b = (folded(rows[n][place[side[part]]], words) for n, side in ((one, left), (two, right)))
+            apart[part] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return apart
+
+
 def _near(percent: int):
     """Of (a, b, sizes, sketches): pairs whose sketches do not rule a link out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for na, sa, nb, sb in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                a, b = np.frombuffer(sa, np.uint8), np.frombuffer(sb, np.uint8)
-                size = min(len(a), len(b))
-                apart = int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
-                keep.append(apart <= most_different(na + nb, percent) and 100 * min(na, nb) >= percent * max(na, nb))
+            n = batch.num_rows
+            na, nb = (batch.column(i).to_numpy() for i in (2, 4))
+            sketches = batch.column(3).to_pylist() + batch.column(5).to_pylist()
+            apart = bits_apart(sketches, np.arange(n), np.arange(n, 2 * n))
+            keep = (apart <= (100 - percent) * (na + nb) // (100 + percent)) & (
+                100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            )
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return run
@@ -235,43 +259,80 @@ def _linked(shingle: int, percent: int):
     return run
 
 
+def close_pairs(group, comps, sizes, sketches, side, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group and different components whose sketches do not rule a link out, and how far apart they are.
+
+    Rows are ordered by group and size, so that the partners of a row that fit by size are a
+    range behind it. Pairs are made and tried some at a time, whatever the groups' sizes.
+    """
+    order = np.lexsort((sizes, group))
+    group, comps, sizes, side = (x[order] for x in (group, comps, sizes, side))
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    rank = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    # a block of two parts of a key compares one with the other only
+    two_sided = (np.maximum.reduceat(side, starts) > np.minimum.reduceat(side, starts))[rank]
+    # group and size as one number that grows with the order
+    wide = int(sizes.max()) * 100 // percent + 2
+    last = np.searchsorted(rank * wide + sizes, rank * wide + sizes * 100 // percent, "right")
+    counts = last - np.arange(len(order)) - 1
+    upto = np.cumsum(counts)
+    at = 0
+    while at < len(order):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+        some = counts[at:end]
+        left = np.repeat(np.arange(at, end), some)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some)
+        at = end
+        fit = (comps[left] != comps[right]) & (~two_sided[left] | (side[left] != side[right]))
+        left, right = left[fit], right[fit]
+        if not len(left):
+            continue
+        used = np.unique(np.concatenate([left, right]))
+        apart = bits_apart([sketches[i] for i in order[used]], np.searchsorted(used, left), np.searchsorted(used, right))
+        both = sizes[left] + sizes[right]
+        close = apart <= (100 - percent) * both // (100 + percent)
+        yield order[left[close]], order[right[close]], apart[close] / both[close]
+
+
 def _blocks(percent: int, nearest: bool):
     """Of rows sorted by (key, low, high): pairs of other components that sketches do not rule out.
 
-    ``nearest`` keeps the closest one of each document only.
+    ``nearest`` keeps the closest one of each document only. Whole groups are compared some
+    thousand rows at a time, as most of them are small.
     """
 
-    def compare(ids, comps, sizes, sketches, side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(ids)):
-            best = None
-            other = comps != comps[i] if nearest else comps > comps[i]
-            fit = other & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
-            fit &= side != side[i] if side.any() and not side.all() else True
-            others = np.flatnonzero(fit)
-            for length in {len(sketches[k]) for k in others}:
-                same = others[[len(sketches[k]) == length for k in others]]
-                rows = np.stack([np.frombuffer(sketches[k], np.uint8) for k in same])
-                size = min(length, len(sketches[i]))
-                mine = folded(np.frombuffer(sketches[i], np.uint8), size)
-                apart = np.bitwise_count(folded(rows, size) ^ mine).sum(axis=1, dtype=np.int64)
-                close = apart <= (100 - percent) * (sizes[same] + sizes[i]) // (100 + percent)
-                if nearest and close.any():
-                    k = np.flatnonzero(close)[np.argmin(apart[close])]
-                    best = min(best or (np.inf, 0), (apart[k] / (sizes[same[k]] + sizes[i]), same[k]))
-                elif not nearest:
-                    yield np.full(close.sum(), ids[i]), ids[same[close]]
-            if best is not None:
-                yield ids[i : i + 1], ids[best[1]][None]
+    def compare(groups: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(groups).combine_chunks().to_batches()[0]
+        group = np.repeat(np.arange(len(groups)), [g.num_rows for g in groups])
+        ids, comps, sizes, side = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 7))
+        found = list(close_pairs(group, comps, sizes, rows.column(6).to_pylist(), side, percent))
+        if not found:
+            return None
+        a, b, apart = (np.concatenate(x) for x in zip(*found))
+        if nearest:
+            a, b, apart = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
+            best = np.lexsort((ids[b], apart, a))
+            best = best[np.concatenate([[True], a[best][1:] != a[best][:-1]])] if len(best) else best
+            a, b = a[best], b[best]
+        a, b = ids[a], ids[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for rows in complete_groups(batches, 3):
-            ids, comps, sizes, side = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 7))
-            found = list(compare(ids, comps, sizes, rows.column(6).to_pylist(), side))
-            if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
-                )
+            if rows.num_rows < 2:
+                continue
+            held.append(rows)
+            size += rows.num_rows + rows.nbytes // 4096  # long texts have long sketches
+            if size >= ROWS_AT_ONCE:
+                found = compare(held)
+                if found is not None:
+                    yield found
+                held, size = [], 0
+        found = compare(held) if held else None
+        if found is not None:
+            yield found
 
     return run
 
@@ -291,12 +352,12 @@ def complete_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa
         for a, b in zip(edges[:-1], edges[1:]):
             key = tuple(c[a] for c in cols)
             if held and key != last:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held = []
             held.append(batch.slice(a, b - a))
             last = key
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def set_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ together; sources without words get target 0. An empty table gives an empty resu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postscope.llm.shared import written
@@ -90,21 +90,17 @@ def _thresholds(rows: DataFrame, budgets: dict[int, float]) -> dict[int, int]:
     return limits
 
 
-def mix_sources(
-    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES
-) -> DataFrame:
-    """Size, target and taken words of every document of (doc_id, source, text).
+def row_digits() -> Column:
+    """What decides whether a row is taken once more: a hash of its id and its text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    digits = F.substring(F.md5(F.concat_ws("/", name, F.md5(text))), 1, HASH_BITS // 4)
+    return F.conv(digits, 16, 10).cast("long")
 
-    A source whose target exceeds its size is taken whole as often as it fits, and a
-    hash-chosen part once more.
-    """
-    spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, HASH_BITS // 4)
-    rows = docs.select(
-        "doc_id", "source", size.alias("size"), F.conv(digits, 16, 10).cast("long").alias("hash")
-    )
-    rows = written(rows, "sizes")
+
+def mix_plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """Per source of (source, size, hash): its size, target, whole copies and the hash below which a row has one more."""
+    spark = rows.sparkSession
     totals = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources to mix")
@@ -112,30 +108,58 @@ def mix_sources(
     sizes = [r["size"] for r in totals]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
     full = [int(t / s) if s else 0 for t, s in zip(targets, sizes)]
-    plan = literal_rows(
-        spark,
-        [(i, r["source"], r["size"], targets[i], full[i]) for i, r in enumerate(totals)],
-        "sid int, name string, source_size long, target double, whole int",
-    ) if totals else spark.createDataFrame([], "sid int, name string, source_size long, target double, whole int")
+    schema = "sid int, name string, source_size long, target double, whole int"
+    cells = [(i, r["source"], r["size"], targets[i], full[i]) for i, r in enumerate(totals)]
+    plan = literal_rows(spark, cells, schema) if cells else spark.createDataFrame([], schema)
     keyed = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["name"]))
     limits = _thresholds(keyed.select("sid", "size", "hash"), {i: targets[i] - full[i] * sizes[i] for i in range(len(sizes))})
-    bound = literal_rows(spark, list(limits.items()), "sid int, below long") if limits else None
-    if bound is None:
-        bound = spark.createDataFrame([], "sid int, below long")
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return keyed.join(F.broadcast(bound), "sid").select(
+    cells = [(*cell, limits[cell[0]]) for cell in cells]
+    schema += ", below long"
+    return literal_rows(spark, cells, schema) if cells else spark.createDataFrame([], schema)
+
+
+def _with_copies(rows: DataFrame, plan: DataFrame, source: str, digits: Column) -> DataFrame:
+    plan = plan.select([F.col(c).alias(f"_{c}") for c in plan.columns])
+    joined = rows.join(F.broadcast(plan), rows[source].eqNullSafe(plan["_name"]))
+    return joined.withColumn("_copies", F.col("_whole") + F.when(digits < F.col("_below"), 1).otherwise(0))
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), row_digits().alias("hash"))
+    return written(rows, "sizes")
+
+
+def mix_sources(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES
+) -> DataFrame:
+    """Size, target and taken words of every document of (doc_id, source, text).
+
+    A source whose target exceeds its size is taken whole as often as it fits, and a
+    hash-chosen part once more. Rows with equal or null ids are chosen each by its own text;
+    rows with equal ids and texts are taken alike.
+    """
+    rows = _sizes(docs)
+    found = _with_copies(rows, mix_plan(rows, weights, share, most), "source", F.col("hash"))
+    return found.select(
         "doc_id",
         "size",
-        "source_size",
-        "target",
-        (F.col("size") * copies).alias("taken"),
-        copies.cast("int").alias("copies"),
+        F.col("_source_size").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("size") * F.col("_copies")).alias("taken"),
+        F.col("_copies").cast("int").alias("copies"),
     )
 
 
-def mixed_documents(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns."""
-    taken = mix.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies"))
+def mixed_documents(
+    docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES
+) -> DataFrame:
+    """The documents as often as the mix of ``mix_sources`` takes them, with their own columns.
+
+    The number of copies follows from the row itself and its source's plan, so no text is
+    moved, and rows with equal or null ids, in whatever sources, are copied each as reported.
+    """
     names = docs.columns
-    joined = docs.join(taken.where("_mix_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*names)
+    plan = mix_plan(_sizes(docs), weights, share, most)
+    taken = _with_copies(docs, plan, "source", row_digits()).where("_copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)

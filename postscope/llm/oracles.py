@@ -33,7 +33,7 @@ WITH d AS (
 ), over AS (
   SELECT p.source, p.norm, p.first_id FROM
     (SELECT source, norm, count(*) AS docs, min(doc_id) AS first_id FROM per_doc GROUP BY ALL) p
-    JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source WHERE docs > 10 AND docs > 0.01 * host_docs
+    JOIN hosts h ON p.source IS NOT DISTINCT FROM h.source WHERE docs > 10 AND docs > least(0.01 * host_docs, 1000)
 ), gone AS (
   SELECT p.doc_id, sum(p.n) AS removed FROM per_doc p JOIN over o
     ON p.norm = o.norm AND p.source IS NOT DISTINCT FROM o.source AND p.doc_id <> o.first_id GROUP BY p.doc_id
@@ -135,7 +135,7 @@ FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 ORACLES["op9_mix_sources"] = rf"""
 WITH d AS (
   SELECT doc_id, source, len({WORDS.format("text")}) AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source
 ), w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight FROM s

@@ -138,22 +138,29 @@ def quality_rules(
         row_hash("source", "text").alias("row_hash"),
     )
     profile = written(rows.mapInArrow(_profile, PROFILE), "lines")
-    each = profile.select("row_id", "doc_id", "host", F.explode(F.arrays_zip("line_keys", "line_words")).alias("line"))
-    each = each.select("row_id", "doc_id", "host", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("n"))
+    # Rows with equal id, source and text are one document: one of them is counted.
+    again = profile.groupBy("doc_id", "row_hash").agg(F.count("*").alias("n"), F.min("row_id").alias("one")).where("n > 1")
+    again = sent_if_few(again.select(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), "one"), "repeated-rows")
+    same = profile["doc_id"].eqNullSafe(F.col("_id")) & (profile["row_hash"] == F.col("_hash"))
+    profile = profile.join(again, same, "left").withColumn("counts", F.coalesce(F.col("one") == F.col("row_id"), F.lit(True)))
+    each = profile.select("row_id", "doc_id", "row_hash", "host", "counts", F.explode(F.arrays_zip("line_keys", "line_words")).alias("line"))
+    each = each.select("row_id", "doc_id", "row_hash", "host", "counts", F.col("line.line_keys").alias("key"), F.col("line.line_words").alias("n"))
+    # the line stays in its first document, by id (none comes first), then by content
     counted = (
-        each.groupBy("key")
-        .agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id"), F.min("host").alias("host"))
+        each.where("counts")
+        .groupBy("key")
+        .agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "row_hash")).alias("first"), F.min("host").alias("host"))
         .where(F.col("docs") > min_line_docs)
     )
-    hosts = profile.groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = profile.where("counts").groupBy("host").agg(F.count("*").alias("host_docs"))
     over = (
         counted.join(hosts, counted["host"].eqNullSafe(hosts["host"]))
         .where(F.col("docs") > F.least(line_share * F.col("host_docs"), F.lit(float(max_line_docs))))
-        .select("key", "first_id")
+        .select("key", F.col("first.doc_id").alias("first_id"), F.col("first.row_hash").alias("first_hash"))
     )
     removed = (
         each.join(over, "key")
-        .where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+        .where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("row_hash") == F.col("first_hash"))))
         .groupBy("row_id")
         .agg(F.sum("n").alias("removed_words"), F.collect_list("key").alias("removed_lines"))
     )
@@ -161,7 +168,7 @@ def quality_rules(
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     depleted = F.col("removed_words").isNotNull() & ((left < left_words) | (left < left_share * F.col("n_words")))
     return (
-        profile.drop("line_keys", "line_words", "host")
+        profile.drop("line_keys", "line_words", "host", "_id", "_hash", "one", "counts")
         .join(removed, "row_id", "left")
         .select(
             "doc_id",

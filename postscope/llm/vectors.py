@@ -8,10 +8,11 @@ in which it meets. A block returns one row per vector, its links and the root of
 block's component, so copies of a hot bucket never turn into rows of pairs.
 
 Cases: vectors that are null, empty or zero or hold null or non-finite components link with
-nothing and are components of their own; vectors of different length are never compared;
-rows with equal ids are vectors of their own in links, and share a component where each is
-the first of its class. A row with a null id has the links and component of its class, and
-no component if no row of the class has an id. An empty table gives an empty result.
+nothing and are components of their own; vectors of different length are never compared.
+Classes are compared and joined under names of their own (``class_id``, from their content), so
+rows with equal ids, and rows without one, are vectors of their own in links and components. A
+component is named by its smallest id; without any id it has no name, and its rows are all
+kept. A row without an id is not kept if its component has a name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ BLOCK = 1000
 SEED = 7
 
 KEYED = "vec_id long, digest binary"
-SIGNED = "vec_id long, copies long, dim int, signs array<long>, vector binary"
-LINKS = "vec_id long, links long, root long"
+SIGNED = "class_id long, digest binary, dim int, signs array<long>, vector binary"
+LINKS = "class_id long, links long, root long"
 
 
 def tables_for(count: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
@@ -65,25 +66,34 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["vec_id", "digest"])
 
 
+def class_name(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _signed(bits: int, tables: int):
+    """Signs and double components of one vector of each class of this task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
+        seen: set[bytes] = set()
         place = (1 << np.arange(bits, dtype=np.int64))[:, None]
         for batch in batches:
             out = []
-            for vec_id, n, digest, row in zip(*(column.to_pylist() for column in batch.columns)):
+            for row in batch.column(0).to_pylist():
                 vector = usable(row)
-                if vector is None or vector_digest(vector) != digest:
-                    continue  # another vector of a repeated id
+                digest = None if vector is None else vector_digest(vector)
+                if digest is None or digest in seen:
+                    continue
+                seen.add(digest)
                 dim = len(vector)
                 if dim not in planes:
                     planes[dim] = np.random.Generator(np.random.PCG64(SEED + dim)).standard_normal((dim, tables * bits))
                 side = (vector / np.abs(vector).max() @ planes[dim] > 0).reshape(tables, bits)
-                out.append((vec_id, n, dim, (side @ place)[:, 0].tolist(), vector.tobytes()))
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+                out.append((class_name(digest), digest, dim, (side @ place)[:, 0].tolist(), vector.tobytes()))
+            types = [pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), types)], names=["vec_id", "copies", "dim", "signs", "vector"]
+                    [pa.array(c, t) for c, t in zip(zip(*out), types)], names=["class_id", "digest", "dim", "signs", "vector"]
                 )
 
     return run
@@ -140,7 +150,7 @@ def _compare(threshold: float):
             keep = (links > 0) | (root != ids)
             if keep.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[keep]), pa.array(links[keep]), pa.array(root[keep])], names=["vec_id", "links", "root"]
+                    [pa.array(ids[keep]), pa.array(links[keep]), pa.array(root[keep])], names=["class_id", "links", "root"]
                 )
 
     return run
@@ -153,16 +163,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = keyed.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("vec_id").alias("first_id"), F.count("*").alias("copies")
     )
-    classes = written(classes.where("first_id IS NOT NULL"), "vector-classes")
+    classes = written(classes, "vector-classes")
     bits, tables = tables_for(classes.count(), threshold, recall)
-    chosen = rows.join(classes.select(F.col("first_id").alias("vec_id"), "copies", "digest"), "vec_id")
-    chosen = chosen.select("vec_id", "copies", "digest", "embedding").mapInArrow(_signed(bits, tables), SIGNED)
-    signed = written(chosen.dropDuplicates(["vec_id", "vector"]), "signs")
-    each = signed.select("vec_id", "dim", F.posexplode("signs").alias("table", "bucket"))
+    chosen = rows.select("embedding").mapInArrow(_signed(bits, tables), SIGNED).dropDuplicates(["digest"])
+    signed = written(chosen.join(classes.select("digest", "copies"), "digest"), "signs")
+    each = signed.select("class_id", "dim", F.posexplode("signs").alias("table", "bucket"))
     shared = each.groupBy("dim", "table", "bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = shared.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n")
     placed = each.join(shared, ["dim", "table", "bucket"])
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
         "dim",
@@ -170,25 +179,29 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         "bucket",
         F.least("own", "other").alias("low"),
         F.greatest("own", "other").alias("high"),
-        "vec_id",
+        "class_id",
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    placed = placed.join(signed.select("vec_id", "copies", "signs", "vector"), "vec_id")
+    placed = placed.join(signed.select("class_id", "copies", "signs", "vector"), "class_id")
     group = ["dim", "table", "bucket", "low", "high"]
-    placed = placed.select(*group, "vec_id", "copies", "side", "signs", "vector")
+    placed = placed.select(*group, "class_id", "copies", "side", "signs", "vector")
     found = placed.repartition(*group).sortWithinPartitions(*group).mapInArrow(_compare(threshold), LINKS)
     found = written(found, "vector-links")
-    links = found.groupBy(F.col("vec_id").alias("first_id")).agg(F.sum("links").alias("links"))
-    joined = components(found.where("vec_id <> root").select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    classes = classes.join(links, "first_id", "left").join(joined, F.col("first_id") == F.col("id"), "left")
-    classes = classes.select(
+    links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
+    joined = components(found.where("class_id <> root").select(F.col("class_id").alias("u"), F.col("root").alias("v")))
+    named = signed.select("class_id", "digest").join(classes, "digest")
+    joined = written(joined.join(named.select(F.col("class_id").alias("id"), "first_id"), "id"), "vector-components")
+    least = joined.groupBy("component_id").agg(F.min("first_id").alias("least_id"))
+    joined = joined.join(least, "component_id").select(F.col("id").alias("class_id"), F.lit(True).alias("joined"), "least_id")
+    named = named.join(links, "class_id", "left").join(joined, "class_id", "left").select(
         "digest",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
-        F.coalesce("component_id", "first_id").alias("component_id"),
+        F.when(F.col("joined"), F.col("least_id")).otherwise(F.col("first_id")).alias("component_id"),
+        F.lit(True).alias("usable"),
     )
-    out = keyed.join(classes, "digest", "left").select(
+    out = keyed.join(named, "digest", "left").select(
         "vec_id",
         F.coalesce("links", F.lit(0)).alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
+        F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"),
     )
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

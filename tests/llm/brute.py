@@ -145,8 +145,8 @@ def base_counts(text: str | None) -> tuple:
 
 def quality(rows, min_docs=10, share=0.01) -> list[tuple]:
     """(doc_id, counts, base_failed, kept, text without removed lines) of (doc_id, text, source)."""
-    hosts = Counter(s for _, _, s in rows)
-    docs, first, lines = Counter(), {}, []
+    hosts = Counter(s for _, _, s in set(rows))
+    docs, first, lines, seen = Counter(), {}, [], set()
     for d, t, s in rows:
         found = Counter()
         for line in (t or "").split("\n"):
@@ -155,8 +155,9 @@ def quality(rows, min_docs=10, share=0.01) -> list[tuple]:
                 found[norm] += len(words_of(line))
         lines.append(found)
         for norm in found:
-            docs[norm] += 1
+            docs[norm] += (d, t, s) not in seen
             first[norm] = min(no_null(d), first.get(norm, no_null(d)))
+        seen.add((d, t, s))
     out = []
     for (d, t, s), found in zip(rows, lines):
         over = {x for x in found if docs[x] > min_docs and docs[x] > share * hosts[s] and no_null(d) != first[x]}
@@ -172,6 +173,11 @@ def quality(rows, min_docs=10, share=0.01) -> list[tuple]:
     return out
 
 
+def mix_hash(doc_id, text) -> int:
+    name = "null" if doc_id is None else str(doc_id)
+    return int(hashlib.md5(f"{name}/{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
+
+
 def mix(rows) -> list[tuple]:
     """(doc_id, size, source_size, target, copies), sorting by hash where the operator has thresholds."""
     size = [len(words_of(t)) for _, t, _ in rows]
@@ -196,9 +202,9 @@ def mix(rows) -> list[tuple]:
         whole = int(target[s] / total[s]) if total[s] else 0
         rest, below = target[s] - whole * total[s], 0
         groups: dict[int, int] = defaultdict(int)
-        for n, (d, _, o) in zip(size, rows):
+        for n, (d, text, o) in zip(size, rows):
             if o == s:
-                groups[int(hashlib.md5(("null" if d is None else str(d)).encode()).hexdigest()[:15], 16)] += n
+                groups[mix_hash(d, text)] += n
         for h in sorted(groups):
             if rest <= 0 or below + groups[h] > rest:
                 if rest > 0 and below + groups[h] - rest < rest - below:
@@ -208,7 +214,7 @@ def mix(rows) -> list[tuple]:
             taken[s, h] = True
         taken[s] = whole
     out = []
-    for n, (d, _, s) in zip(size, rows):
-        h = int(hashlib.md5(("null" if d is None else str(d)).encode()).hexdigest()[:15], 16)
+    for n, (d, text, s) in zip(size, rows):
+        h = mix_hash(d, text)
         out.append((d, n, total[s], target[s], taken[s] + taken.get((s, h), False)))
     return out

@@ -191,11 +191,42 @@ def test_mix_sources(docs):
     assert rows_of(mix, "doc_id", "size", "source_size", "copies") == sorted(((*w[:3], w[4]) for w in wanted), key=repr)
     assert sorted(r.target for r in mix.collect()) == pytest.approx(sorted(w[3] for w in wanted))
     assert rows_of(mix, "doc_id", "taken") == sorted(((d, n * c) for d, n, _, _, c in wanted), key=repr)
-    out = mixed_documents(docs, mix)
+    out = mixed_documents(docs)
     assert out.columns == docs.columns
     assert rows_of(out, "doc_id", "text") == sorted(((r[0], r[1]) for r, w in zip(ROWS, wanted) for _ in range(w[4])), key=repr)
 
 
+def test_mixed_rows_of_one_id_are_copied_as_reported(spark):
+    """Rows without an id, or with one id, in sources with different copies."""
+    rows = [(None, "a " * 40, "a"), (None, "b " * 40, "b"), (None, "c " * 400, "c"), (5, "x", "a"), (5, "y y", "c"), (5, "y y", "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    reported = mix_sources(frame).collect()
+    out = mixed_documents(frame).collect()
+    assert sum(r.taken for r in reported) == sum(len(r.text.split()) for r in out)
+    wanted = [row for row, m in zip(rows, brute.mix(rows)) for _ in range(m[4])]
+    assert sorted(map(tuple, out), key=repr) == sorted(wanted, key=repr)
+
+
+def test_rows_without_an_id_in_one_source_are_not_taken_alike(spark):
+    """A source of which no row has an id comes near its target."""
+    rows = [(None, f"word{i} " * 20, "only") for i in range(400)]
+    mix = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert abs(sum(r.taken for r in mix) - mix[0].target) <= 20 and {r.copies for r in mix} == {1, 2}
+
+
+def test_lines_are_counted_in_documents_and_stay_in_one(spark):
+    """One document twelve times is one document; of rows without an id one keeps the line."""
+    line = "this line of eight words is shared here"
+    own = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    few = [(1, f"{own(1)}\n{line}", "s")] * 12 + [(2, f"{own(2)}\n{line}", "s")]
+    none = [(None, f"{own(100 + i)}\n{line}", "t") for i in range(40)] + [(None, f"{own(100)}\n{line}", "t")]
+    frame = spark.createDataFrame(few + none, "doc_id long, text string, source string").repartition(3)
+    found = quality_rules(frame)
+    assert found.where("doc_id IS NOT NULL AND removed_words > 0").count() == 0
+    left = clean_documents(frame, found).where("doc_id IS NULL").collect()
+    assert len(left) == 41 and len({r.text for r in left if line in r.text}) == 1
+
+
 def test_targets_share_the_excess():
     assert fill_targets([100, 100, 100], [5, 2, 1]) == [200.0, 250 * 2 / 3, 250 / 3]
     assert fill_targets([10, 0, 1000], [5, 2, 1]) == [20.0, 0.0, 1495.0]
@@ -304,6 +335,19 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors(frame.where("false")).count() == 0
 
 
+def test_near_vectors_of_equal_and_null_ids(spark):
+    """Links and components belong to vectors, whatever their ids."""
+    a = [1.0, 0.0, 0.0, 0.0]
+    near = lambda x: [1.0, x, 0.0, 0.0]
+    rows = [(9, near(0.01)), (None, near(0.02)), (None, near(0.03)), (5, a), (5, [0.0, 0.0, 0.0, 1.0]), (6, near(0.04)), (7, near(0.05))]
+    rows += [(None, [0.0, 0.0, 1.0, 0.0]), (None, [0.0, 0.0, 1.0, 0.01]), (None, None)]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in found), key=repr)
+    wanted = [(9, 5, 5, False), (None, 5, 5, False), (None, 5, 5, False), (5, 5, 5, True), (5, 0, 5, True), (6, 5, 5, False), (7, 5, 5, False)]
+    wanted += [(None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]
+    assert got == sorted(wanted, key=repr)
+
+
 def test_tables_keep_their_recall():
     for n in (10, 10_000, 10**9):
         bits, tables = tables_for(n)
@@ -370,7 +414,7 @@ def test_empty_tables(spark, empty):
     for frame in (
         quality_rules(empty), clean_documents(empty, quality_rules(empty)), jaccard_components(empty), mix_sources(empty),
         remove_repeated_bytes(empty), remove_repeated_words(empty), piece_digests(empty, model), encode_pieces(empty, model),
-        langid.identify_language(empty), pack_tokens(empty, *byte_ranks()), mixed_documents(empty, mix_sources(empty)),
+        langid.identify_language(empty), pack_tokens(empty, *byte_ranks()), mixed_documents(empty),
         one_of_each(empty, jaccard_components(empty)), documents_without_repeats(empty, remove_repeated_words(empty)),
     ):
         assert frame.collect() == []
