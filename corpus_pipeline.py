@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postscope.llm.jaccard import jaccard_components, one_of_each
-from postscope.llm.mixing import mix_sources, mixed_documents
+from postscope.llm.mixing import mixed_documents
 from postscope.llm.pieces import piece_digests
 from postscope.llm.quality import clean_documents, quality_rules
 from postscope.llm.queries import piece_model
@@ -32,7 +32,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixed_documents(docs, mix_sources(docs))
+    return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
