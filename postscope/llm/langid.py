@@ -108,12 +108,13 @@ def fit(bits: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
 def training_rows(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, list[str]]:
     """N-gram cells, packed to bits, and languages of at most ``train_rows`` labelled rows, as many of each language.
 
-    Rows are chosen by a hash of their id; only ids are ranked, and only the cells (8 KB a
+    Rows whose text has a letter are chosen by a hash of their id; only ids are ranked, and only the cells (8 KB a
     row) come to the driver. Of rows with one id and language the smallest cells are
     learned from, picked in each task and then over all, so that no more rows than are
     chosen arrive.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang")
+    usable = F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}")
+    labelled = docs.where(usable).select("doc_id", "lang")
     languages = labelled.select("lang").distinct().limit(train_rows + 1).count()
     if not languages:
         return np.zeros((0, CELLS // 8), np.uint8), []

@@ -85,8 +85,8 @@ ORACLES["op5_warc"] = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages
 ), f AS (SELECT h, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY h)
 SELECT page_id, n AS payload_bytes, h AS payload_digest,
-  CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first_id < page_id THEN first_id END AS refers_to
+  CASE WHEN first_id < page_id OR page_id IS NULL AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first_id < page_id OR page_id IS NULL THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (h)
 """
 

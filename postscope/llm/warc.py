@@ -7,8 +7,11 @@ Readers get sorted stretches of the index, join neighbouring records into one by
 and read no byte twice.
 
 Cases: a null payload is empty; a null URL is written as an empty one and read back as
-null; rows with equal ids and payloads are records of equal type; equal payloads below
-``min_revisit`` bytes are all responses. An empty table gives no archive and no rows.
+null; rows with equal ids and payloads are records of equal type; a page without id revisits
+the smallest id that has its payload, and is a response where only pages without id have
+it, as there is nothing to refer to; equal payloads below ``min_revisit`` bytes are all
+responses; line ends in a URL are written and read back as ``%0D`` and ``%0A``. An empty
+table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -88,12 +91,12 @@ def parse_record(record: bytes) -> dict:
 
 
 def _revisits(pages: DataFrame, min_revisit: int) -> DataFrame:
-    """(page_id, digest, refers_to) of the pages whose payload a smaller id has as well."""
+    """(page_id, digest, refers_to) of the pages whose payload a smaller id has as well; no id counts as the largest."""
     keys = pages.where(F.octet_length("html") >= min_revisit).select(
         F.col("page_id").cast("long"), F.sha2("html", 256).alias("digest")
     )
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    found = keys.join(first, "digest").where("page_id > refers_to")
+    found = keys.join(first, "digest").where("page_id IS NULL AND refers_to IS NOT NULL OR page_id > refers_to")
     return found.select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to").distinct()
 
 
@@ -104,7 +107,7 @@ def write_warc(
     revisits = written(_revisits(pages, min_revisit), "revisits")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).join(
-        revisits, (F.col("page_id") == F.col("revisit_id")) & (F.col("digest") == F.col("revisit_digest")), "left"
+        revisits, F.col("page_id").eqNullSafe(F.col("revisit_id")) & (F.col("digest") == F.col("revisit_digest")), "left"
     )
     rows = rows.select("page_id", "url", "html", "digest", "refers_to")
 
@@ -147,7 +150,11 @@ def _ranges(index: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int,
 
 
 def read_warc(index: DataFrame) -> DataFrame:
-    """The records that (archive, at, length) rows of an index select, parsed and checked."""
+    """The records that (archive, at, length) rows of an index select, parsed and checked.
+
+    The number of reading tasks follows the bytes of the records, not those of the index,
+    which adaptive execution would go by; there is one for each core at least.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, handle = None, None
@@ -165,7 +172,9 @@ def read_warc(index: DataFrame) -> DataFrame:
 
     spots = index.select("archive", "at", "length")
     stretch = F.floor(F.col("at") / STRETCH_BYTES)
-    placed = spots.repartition("archive", stretch).sortWithinPartitions("archive", "at")
+    size = spots.agg(F.sum("length")).first()[0] or 0
+    tasks = max(size // STRETCH_BYTES + 1, index.sparkSession.sparkContext.defaultParallelism)
+    placed = spots.repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "at")
     return placed.mapInArrow(read, RECORD)
 
 

@@ -19,6 +19,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
 from postscope.llm import jaccard, langid, packing, repeats, vectors, warc  # noqa: E402
 from postscope.llm.jaccard import jaccard_components, one_of_each  # noqa: E402
 from postscope.llm.mixing import fill_targets, mix_sources, mixed_documents  # noqa: E402
@@ -309,6 +311,61 @@ def test_warc(spark, tmp_path):
     assert warc.warc_round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_pages_without_id(spark, tmp_path):
+    rows = [(None, "u", "p" * 200), (3, "v", "p" * 200), (4, "w", "p" * 200), (None, None, "q" * 200), (None, "x", "q" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    index = warc.write_warc(pages, f"file://{tmp_path}")
+    found = [(r.page_id, r.record_type, r.refers_to) for r in warc.read_warc(index).collect()]
+    expected = [(3, "response", None), (4, "revisit", 3), (None, "revisit", 3), (None, "response", None), (None, "response", None)]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_warc_is_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(0, 400, 1, 10).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.md5(F.col("id").cast("string")), 50).alias("html")
+    )
+    records = warc.read_warc(warc.write_warc(pages, f"file://{tmp_path}"))
+    assert records.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert records.count() == 400
+
+
+def test_language_scores_are_kernel_ridge(spark):
+    """With every row a landmark the scores are those of the direct kernel matrix, and cells stand for n-grams."""
+    rng = np.random.default_rng(5)
+    letters = {"aa": "abcdefg ", "bb": "cdefghi ", "cc": "uvwxyz "}
+    labels = [lang for lang in letters for _ in range(12)]
+    texts = ["".join(rng.choice(list(letters[lang]), 20 + 5 * i)) for i, lang in enumerate(labels)]
+
+    def grams(text: str) -> set:
+        return {text[i : i + n] for n in langid.ORDERS for i in range(len(text) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    cells = np.zeros((len(texts), langid.CELLS), np.float32)
+    counts = langid.presence(texts, cells)
+    assert (cells.max(axis=0) > 0).sum() > 0.9 * len(set.union(*sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):  # n-grams in common, but for those that share a cell
+            collisions = len(a | b) - np.maximum(cells[i], cells[j]).sum()
+            assert abs(cells[i] @ cells[j] - len(a & b)) <= collisions
+    hashed = cells @ cells.T / np.sqrt(np.outer(counts, counts))
+    train = np.arange(len(texts)) % 3 > 0
+    model = langid.fit(np.packbits(cells[train] > 0, axis=1), [x for x, t in zip(labels, train) if t], landmarks=10**6)
+    n = int(train.sum())
+    inner = hashed[np.ix_(train, train)].astype(np.float64)
+    middle = np.eye(n) - 1 / n
+    target = np.array([[x == lang for lang in letters] for x, t in zip(labels, train) if t], float)
+    dual = np.linalg.solve(middle @ inner @ middle + langid.RIDGE * n * np.eye(n), target - target.mean(axis=0))
+    direct = (hashed[:, train] - inner.mean(axis=0)) @ middle @ dual + target.mean(axis=0)
+    assert np.abs(model.scores(cells, counts) - direct).max() < 1e-3
+
+
+def test_languages_are_learned_from_texts_with_letters(spark):
+    rows = [(i, None if i < 300 else "zz yy xx", "zz") for i in range(330)] + [(1000 + i, "aa bb cc", "aa") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bits, labels = langid.training_rows(docs, train_rows=20)
+    assert labels.count("zz") == labels.count("aa") == 10
+
+
 def vectors_with_links() -> list[tuple]:
     rng = np.random.default_rng(9)
     base = rng.standard_normal((12, 16))
