@@ -509,6 +509,12 @@ begins AS (
         "round(matched.similarity_score, 6) AS similarity_score FROM matched "
         "ORDER BY matched.similarity_score DESC, post_id LIMIT 50",
     ),
+    "search_balls": sql(
+        MATCHED,
+        select='SELECT post_id, created AS "timestamp", author, subreddit, title, '
+        "round(matched.similarity_score, 6) AS similarity_score FROM matched "
+        "ORDER BY matched.similarity_score DESC, post_id LIMIT 50",
+    ),
     "search_filtered": sql(
         MATCHED,
         select='SELECT post_id, created AS "timestamp", subreddit, title, '
@@ -616,6 +622,21 @@ hits AS (
   FROM posts JOIN keywords ON regexp_matches(title, '(?i)' || keyword)
 ),
 spans AS (SELECT keyword, min(week) AS a, max(week) AS b FROM hits GROUP BY keyword),
+weeks AS (
+  SELECT keyword, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS week FROM spans
+)""",
+        select="SELECT w.week, w.keyword, count(h.week) AS posts FROM weeks w "
+        "LEFT JOIN hits h ON h.keyword = w.keyword AND h.week = w.week GROUP BY 1, 2",
+    ),
+    "keyword_index_trend": sql(
+        f"keywords(keyword) AS (VALUES {values([(k,) for k in dict.fromkeys(fx.KEYWORDS + fx.STOP_WORDS)])})",
+        """
+hits AS (
+  SELECT keyword,
+         CAST(CAST(created AS DATE) + (7 - CAST(isodow(created) AS INTEGER)) AS DATE) AS week
+  FROM posts JOIN keywords ON regexp_matches(title, '(?i)' || keyword)
+),
+spans AS (SELECT keyword, min(week) AS a, max(week) AS b FROM hits GROUP BY keyword),
 weeks AS (
   SELECT keyword, CAST(unnest(generate_series(a, b, INTERVAL 7 DAY)) AS DATE) AS week FROM spans
 )""",

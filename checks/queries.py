@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from checks import fixture as fx
 from postscope.functions import text
 from postscope.operators import (
+    ball_search,
     briefing,
     embedding_jobs,
     filters,
@@ -27,6 +28,7 @@ from postscope.operators import (
     trends,
 )
 from postscope.scratch import scratch_path
+from postscope.session import literal_rows
 from postscope.sources import posts as post_files
 from postscope.sources import vectors as vector_files
 
@@ -367,6 +369,17 @@ def search_shared_link(spark, sf_dir):
     return rounded(best, "similarity_score").select("post_id", "url", "similarity_score")
 
 
+@query
+def search_balls(spark, sf_dir):
+    path = scratch_path(spark, "ball-index")
+    ball_search.build_ball_index(fx.vectors(spark, sf_dir), path, cells=64)
+    index = ball_search.load_ball_index(spark, path)
+    best = ball_search.search_balls(fx.posts(spark, sf_dir), index, query_vector(spark, sf_dir))
+    return rounded(best, "similarity_score").select(
+        "post_id", "timestamp", "author", "subreddit", "title", "similarity_score"
+    )
+
+
 @query
 def topic_weekly_trend(spark, sf_dir):
     posts = fx.posts(spark, sf_dir).join(fx.labels(spark, sf_dir), "post_id")
@@ -463,6 +476,12 @@ def keyword_weekly_trend(spark, sf_dir):
     return trends.keyword_weekly_trend(fx.posts(spark, sf_dir), fx.KEYWORDS)
 
 
+@query
+def keyword_index_trend(spark, sf_dir):
+    keywords = literal_rows(spark, [(k,) for k in fx.KEYWORDS + fx.STOP_WORDS], "keyword string")
+    return trends.keyword_index_trend(fx.posts(spark, sf_dir), keywords)
+
+
 # --- rankings ------------------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postscope import fixed_values as fv
 from postscope.functions import dates
 from postscope.functions.text import matches_any_case
+from postscope.operators.keyword_index import keyword_hits
 from postscope.session import literal_rows
 
 
@@ -128,7 +129,12 @@ def keyword_weekly_trend(posts: DataFrame, keywords: Sequence[str]) -> DataFrame
     hits = posts.select(
         dates.week_end(F.col("timestamp")).alias("week"), F.explode_outer(matched).alias("keyword")
     )
-    weekly = _count_by(hits.filter(F.col("keyword").isNotNull()), F.col("keyword"), F.col("week"))
+    return _filled_weeks(hits.filter(F.col("keyword").isNotNull()))
+
+
+def _filled_weeks(hits: DataFrame) -> DataFrame:
+    """Counts of ``(week, keyword)`` rows, with zeros between the first and the last week of a keyword."""
+    weekly = _count_by(hits, F.col("keyword"), F.col("week"))
     # The weeks of one keyword are few enough for a row: at most some thousands.
     spans = weekly.groupBy("keyword").agg(
         F.sequence(F.min("week"), F.max("week"), F.expr("interval 7 days")).alias("weeks"),
@@ -154,3 +160,9 @@ def topic_weekly_trend(posts: DataFrame) -> DataFrame:
     weeks = spans.select("cluster_id", F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("week"))
     found = weeks.join(counts, ["cluster_id", "week"], "left")
     return found.select("week", "cluster_id", F.coalesce("posts", F.lit(0)).cast("bigint").alias("posts"))
+
+
+def keyword_index_trend(posts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """As ``keyword_weekly_trend`` for a table of any number of keywords in a column ``keyword``."""
+    weekly = posts.select("title", dates.week_end(F.col("timestamp")).alias("week"))
+    return _filled_weeks(keyword_hits(weekly, keywords).select("week", "keyword"))
