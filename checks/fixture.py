@@ -30,6 +30,7 @@ END = dt.date(2024, 8, 31)
 QUERY_POST = 0
 LOOKUP_POST = 42
 SHARED_URL = "HTTPS://youtu.be/2"
+CO_SHARING_SECONDS = 3 * 3600
 KEYWORDS = ["worthless", "thing", "rewh", "und"]
 TITLE_PATTERN = "th(ing|ere)|ción"
 

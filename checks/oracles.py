@@ -359,6 +359,27 @@ def sql(*ctes: str, select: str, recursive: bool = False) -> str:
     return head + ",".join((POSTS, *ctes)) + "\n" + select
 
 
+SHARED_ITEMS = (
+    f"keywords(keyword) AS (VALUES {values([(k,) for k in fx.KEYWORDS])})",
+    # the links and hashtags that the query writes into some texts, as they have to come out
+    """
+added(m, kind, item) AS (VALUES
+  (1, 'url', 'https://a.example/c'), (1, 'hashtag', '#tag'),
+  (2, 'url', 'https://a.example/c'), (2, 'url', 'https://w.example/x_(y)'),
+  (3, 'url', 'https://a.example/c#frag'), (3, 'hashtag', '#äö_1')
+)""",
+    """
+items AS (
+  SELECT post_id, created, author, kind, item FROM posts JOIN added ON m = post_id % 11
+  UNION ALL
+  SELECT post_id, created, author, 'url', url FROM posts WHERE url IS NOT NULL
+  UNION ALL
+  SELECT post_id, created, author, 'keyword', keyword FROM posts
+  JOIN keywords ON contains(lower(title || ' ' || selftext), lower(keyword))
+)""",
+)
+
+
 ORACLES: dict[str, str] = {
     "read_posts": sql(
         select="SELECT post_id, created AS created_at, author, subreddit, title, "
@@ -889,24 +910,15 @@ UNION ALL SELECT 'missing domain', count(*) FILTER (fine AND domain IS NULL) FRO
 UNION ALL SELECT 'missing score', count(*) FILTER (fine) FROM good""",
     ),
     "sharing_network": sql(
-        f"keywords(keyword) AS (VALUES {values([(k,) for k in fx.KEYWORDS])})",
-        # the links and hashtags that the query writes into some texts, as they have to come out
-        """
-added(m, kind, item) AS (VALUES
-  (1, 'url', 'https://a.example/c'), (1, 'hashtag', '#tag'),
-  (2, 'url', 'https://a.example/c'), (2, 'url', 'https://w.example/x_(y)'),
-  (3, 'url', 'https://a.example/c#frag'), (3, 'hashtag', '#äö_1')
-)""",
-        """
-items AS (
-  SELECT post_id, author, kind, item FROM posts JOIN added ON m = post_id % 11
-  UNION ALL
-  SELECT post_id, author, 'url', url FROM posts WHERE url IS NOT NULL
-  UNION ALL
-  SELECT post_id, author, 'keyword', keyword FROM posts
-  JOIN keywords ON contains(lower(title || ' ' || selftext), lower(keyword))
-)""",
+        *SHARED_ITEMS,
         select="SELECT author, kind, item, count(DISTINCT post_id) AS posts FROM items "
         "WHERE author IS NOT NULL GROUP BY author, kind, item",
     ),
+    "co_sharing_accounts": sql(
+        *SHARED_ITEMS,
+        select="SELECT a.author, b.author AS other, count(DISTINCT a.kind || ' ' || a.item) AS items "
+        "FROM items a JOIN items b ON a.kind = b.kind AND a.item = b.item AND a.author < b.author "
+        f"AND abs(epoch_us(a.created) - epoch_us(b.created)) <= {fx.CO_SHARING_SECONDS * 1_000_000} "
+        "GROUP BY 1, 2 HAVING count(DISTINCT a.kind || ' ' || a.item) >= 2",
+    ),
 }

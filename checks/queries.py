@@ -15,6 +15,7 @@ from postscope.functions import text
 from postscope.operators import (
     ball_search,
     briefing,
+    co_sharing,
     embedding_jobs,
     filters,
     ingest,
@@ -810,8 +811,7 @@ def corrupt_line_report(spark, sf_dir):
     return reports.corrupt_line_report(records, ["author", "title", "url", "domain", "score"])
 
 
-@query
-def sharing_network(spark, sf_dir):
+def _tagged_posts(spark, sf_dir):
     kind = F.col("post_id") % 11
     added = (
         F.when(kind == 1, " see [here](https://a.example/c). #Tag")
@@ -819,5 +819,14 @@ def sharing_network(spark, sf_dir):
         .when(kind == 3, " https://a.example/c#frag #ÄÖ_1, a#b")
         .otherwise("")
     )
-    posts = fx.posts(spark, sf_dir).withColumn("selftext", F.concat("selftext", added))
-    return reports.sharing_network(posts, fx.KEYWORDS)
+    return fx.posts(spark, sf_dir).withColumn("selftext", F.concat("selftext", added))
+
+
+@query
+def sharing_network(spark, sf_dir):
+    return reports.sharing_network(_tagged_posts(spark, sf_dir), fx.KEYWORDS)
+
+
+@query
+def co_sharing_accounts(spark, sf_dir):
+    return co_sharing.co_sharing_accounts(_tagged_posts(spark, sf_dir), fx.KEYWORDS, fx.CO_SHARING_SECONDS)

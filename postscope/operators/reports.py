@@ -117,15 +117,12 @@ def corrupt_line_report(records: DataFrame, required: list[str]) -> DataFrame:
     return totals.select(F.inline(pairs))
 
 
-def sharing_network(posts: DataFrame, keywords: list[str] | None = None) -> DataFrame:
-    """``(author, kind, item, posts)``: who shared which hashtag, link or keyword.
-
-    Edges run between an author and an item, never between all authors of an
-    item. An item counts once per post.
-    """
+def shared_items(posts: DataFrame, keywords: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(author, *keep, kind, item)``: each hashtag, link or keyword of each post, once per post."""
     # Made once per post; a plain search for the mark spares most texts the pattern.
     texts = posts.filter(F.col("author").isNotNull()).select(
         "author",
+        *keep,
         F.lower(F.concat_ws(" ", "title", "selftext")).alias("lowered"),
         F.concat_ws(" ", "title", "selftext", "url").alias("linked"),
     )
@@ -150,9 +147,14 @@ def sharing_network(posts: DataFrame, keywords: list[str] | None = None) -> Data
         found.append(
             tagged("keyword", F.array_compact(F.array(F.when(hit, F.lit(keyword)))))
         )
-    return (
-        texts.select("author", F.inline_outer(F.array_distinct(F.concat(*found))))
-        .filter(F.col("item").isNotNull())
-        .groupBy("author", "kind", "item")
-        .agg(F.count(F.lit(1)).alias("posts"))
-    )
+    items = texts.select("author", *keep, F.inline_outer(F.array_distinct(F.concat(*found))))
+    return items.filter(F.col("item").isNotNull())
+
+
+def sharing_network(posts: DataFrame, keywords: list[str] | None = None) -> DataFrame:
+    """``(author, kind, item, posts)``: who shared which hashtag, link or keyword.
+
+    Edges run between an author and an item, never between all authors of an
+    item. An item counts once per post.
+    """
+    return shared_items(posts, keywords).groupBy("author", "kind", "item").agg(F.count(F.lit(1)).alias("posts"))
