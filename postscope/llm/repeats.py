@@ -9,7 +9,8 @@ an anchor. The stages are
 1. anchors: (prefix hash, hash of the surroundings, document, place), combined per task:
    an anchor whose surroundings a smaller document of the same task has is settled there;
 2. groups of equal prefixes, read as a sorted stream: an anchor whose surroundings a smaller
-   document has lies in repeats only and is settled; prefixes of one class are dropped;
+   document has lies in repeats only and is settled; prefixes of one class are dropped (the
+   last prefix of a batch, which may go on, is written as provisional and dropped by a join);
 3. what is left, the edges of repeats, is compared window by window by the caller's solver,
    from the surroundings themselves;
 4. all covered stretches of a document are joined to its text.
@@ -42,7 +43,7 @@ COMBINE_BYTES = 8 << 20
 #: Prefixes with more open surroundings than this are grouped by whole windows instead.
 GROUP_ROWS = 20_000
 #: Low bits of a place; the others tell rows with equal ids apart by their text.
-PLACE_BITS = 40
+PLACE_BITS = 31
 NO_ID = -(1 << 63)
 
 ANCHORS = "prefix long, around long, doc_id long, place long"
@@ -99,6 +100,9 @@ def _anchors(units_of: Callable[[W.Chunk], Units]):
         prefix, around, doc, place = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((place, doc, around, prefix))
         prefix, around, doc, place = prefix[order], around[order], doc[order], place[order]
+        again = np.zeros(len(prefix), bool)  # rows of one id and text say the same
+        again[1:] = np.logical_and.reduce([x[1:] == x[:-1] for x in (prefix, around, doc, place)])
+        prefix, around, doc, place = (x[~again] for x in (prefix, around, doc, place))
         first = np.ones(len(prefix), bool)
         first[1:] = (prefix[1:] != prefix[:-1]) | (around[1:] != around[:-1])
         settled = doc > doc[first][np.cumsum(first) - 1]
@@ -142,17 +146,21 @@ def _anchors(units_of: Callable[[W.Chunk], Units]):
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (prefix, around, doc_id): settled anchors, and open ones of mixed prefixes."""
+    """Of rows sorted by (prefix, around, doc_id): settled anchors, and open ones of mixed prefixes.
 
-    def rows(settled: bool, prefix, doc, place) -> pa.RecordBatch:
+    Open rows of a batch's last prefix that has one class so far are provisional (``settled`` is
+    null). If the prefix is mixed, the first row of its next class is open for certain, so the
+    prefixes of open rows tell which provisional ones are open too.
+    """
+
+    def rows(settled: bool | None, prefix, doc, place) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(doc), settled)), pa.array(prefix), pa.array(doc), pa.array(place)],
+            [pa.array([settled] * len(doc), pa.bool_()), pa.array(prefix), pa.array(doc), pa.array(place)],
             names=["settled", "prefix", "doc_id", "place"],
         )
 
     last = None  # prefix, around and smallest document of the last class
     mixed = False  # whether the last prefix has several classes
-    held: list[tuple] = []  # rows of its only class, while it has one
     for batch in batches:
         prefix, around, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         done = place < 0
@@ -176,11 +184,6 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.bincount(group, weights=new_class, minlength=group[-1] + 1)
         several = classes > 1
         several[0] = mixed or (classes[0] > 0 and last is not None)
-        if held and (several[0] or group[0] != 0 or group[-1] > 0):
-            if several[0] and (group == 0).any():
-                for h in held:
-                    yield rows(False, *h)
-            held = []
         open_ = ~settled & several[group]
         if open_.any():
             yield rows(False, prefix[open_], doc[open_], place[open_])
@@ -188,7 +191,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not mixed:
             tail = ~settled & (group == group[-1])
             if tail.any():
-                held.append((prefix[tail], doc[tail], place[tail]))
+                yield rows(None, prefix[tail], doc[tail], place[tail])
         last = (prefix[-1], around[-1], least[-1])
 
 
@@ -257,6 +260,20 @@ def contexts(batch: pa.RecordBatch, dtype) -> Contexts:
     return Contexts(group, doc, units, first, last)
 
 
+def _unrepeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of contexts sorted by (prefix, doc_id, place): one of each; rows of one id and text bring the same."""
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1)
+        if not len(key):
+            continue
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]).any(axis=1)
+        new[0] = last is None or bool((key[0] != last).any())
+        last = key[-1]
+        yield batch.filter(pa.array(new))
+
+
 def _solve(solver: Callable[[Contexts], tuple[np.ndarray, np.ndarray]], dtype, rows_at_once: int = 8192):
     """Of contexts sorted by prefix: the stretch of each that a smaller document has."""
 
@@ -273,7 +290,7 @@ def _solve(solver: Callable[[Contexts], tuple[np.ndarray, np.ndarray]], dtype, r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for group in complete_groups(batches, 1):
+        for group in complete_groups(_unrepeated(batches), 1):
             if group.num_rows > 1:
                 held.append(group)
                 n += group.num_rows
@@ -350,20 +367,22 @@ def covered(
     sorted_ = anchors.repartition("prefix").sortWithinPartitions("prefix", "around", "doc_id")
     states = written(sorted_.mapInArrow(_settle, STATES), "anchors")
     tag = F.shiftleft(F.shiftright("place", PLACE_BITS), PLACE_BITS)
-    open_ = states.where(~F.col("settled"))
+    certain = states.where(~F.col("settled")).select("prefix", "doc_id", "place")
+    provisional = states.where(F.col("settled").isNull()).select("prefix", "doc_id", "place")
+    open_ = certain.union(written(provisional.join(certain, "prefix", "left_semi"), "mixed-prefixes"))
     hot = open_.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS)
     hot = written(hot.select("prefix", F.lit(True).alias("hot")), "hot-prefixes")
-    spots = open_.groupBy("doc_id", tag.alias("tag")).agg(F.collect_list(F.struct("prefix", "place")).alias("open"))
+    spots = open_.groupBy("doc_id", tag.alias("tag")).agg(F.collect_set(F.struct("prefix", "place")).alias("open"))
     found = rows.join(spots, ["doc_id", "tag"]).select("doc_id", "tag", "text", "open")
     around = written(found.mapInArrow(_context(units_of), CONTEXTS), "surroundings")
-    cool = around.join(hot, "prefix", "left_anti").repartition("prefix").sortWithinPartitions("prefix", "doc_id")
+    cool = around.join(hot, "prefix", "left_anti").repartition("prefix").sortWithinPartitions("prefix", "doc_id", "place")
     solved = cool.select("prefix", "doc_id", "place", "ahead", "units").mapInArrow(_solve(solver, dtype), STRETCHES)
     single = around.join(hot, "prefix", "left_semi").select("prefix", "doc_id", "place", "ahead", "units")
     single = single.mapInArrow(_single_windows(dtype), WINDOWS)
     single = single.repartition("hi", "lo").sortWithinPartitions("hi", "lo", "doc_id").mapInArrow(_first_in, STRETCHES)
     whole = states.where("settled").select("doc_id", "place", F.lit(0).alias("size"))
     marks = whole.union(solved).union(single).groupBy("doc_id", tag.alias("tag")).agg(
-        F.collect_list(F.struct("place", "size")).alias("marks")
+        F.collect_set(F.struct("place", "size")).alias("marks")
     )
     return rows.join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "marks")
 

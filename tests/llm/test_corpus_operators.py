@@ -172,6 +172,42 @@ def test_repeated_words(docs, monkeypatch, hot):
     assert cut.columns == docs.columns and cut.count() == len(ROWS)
 
 
+@pytest.mark.parametrize("remove, wanted_of, columns", [
+    (remove_repeated_bytes, brute.removed_bytes, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]),
+    (remove_repeated_words, brute.removed_words, ["doc_id", "n_words", "n_removed", "kept"]),
+])
+def test_repeats_whose_prefixes_span_batches_and_copies_of_rows(spark, docs, remove, wanted_of, columns):
+    unit = "one two three four five six seven "
+    rows = texts() + [(2000, unit * 40), (2001, "x " + unit * 30 + "y"), (None, unit * 20)] + texts()[:9] * 3
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4")
+    try:
+        found = rows_of(remove(frame), *columns)
+    finally:
+        spark.conf.set(name, before)
+    assert found == sorted(wanted_of([r[:2] for r in rows]), key=repr)
+
+
+def test_open_rows_of_one_class_do_not_wait_in_memory():
+    def batch(prefix, around, doc, places):
+        n = len(places)
+        columns = [[prefix] * n, [around] * n, [doc] * n, places]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["prefix", "around", "doc_id", "place"])
+
+    one_class = [batch(1, 5, 3, list(range(k * 100, k * 100 + 100))) for k in range(20)]
+    read = []
+    stream = repeats._settle(b for b in one_class if read.append(b) is None)
+    for seen, out in enumerate(stream, 1):
+        assert len(read) == seen and out.num_rows == 100 and out.column(0).null_count == 100
+    assert seen == 20
+    mixed = one_class + [batch(1, 6, 9, [7]), batch(1, 6, 9, [8]), batch(2, 1, 1, [1])]
+    states = [r for b in repeats._settle(iter(mixed)) for r in b.to_pylist()]
+    assert [(r["settled"], r["prefix"], r["doc_id"], r["place"]) for r in states[2000:]] == [
+        (False, 1, 9, 7), (False, 1, 9, 8), (None, 2, 1, 1)]
+
+
 def test_rows_of_one_id_keep_their_own_verdicts_and_texts(spark):
     def own(tag, n):
         return " ".join(f"{tag}{i}" for i in range(n))
