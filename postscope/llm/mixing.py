@@ -25,7 +25,7 @@ MOST_COPIES = 2
 WORD = "[^\\x20\\x09-\\x0D]+"
 HASH_BITS = 60
 LEVEL_BITS = 15
-#: A mix is planned over a list of sources; more of them than this is an error.
+#: Up to so many sources are planned as a list that is sent to all tasks; more of them as a table.
 MAX_SOURCES = 10_000
 
 
@@ -90,6 +90,77 @@ def _thresholds(rows: DataFrame, budgets: dict[int, float]) -> dict[int, int]:
     return limits
 
 
+def _target_table(totals: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """The plan of ``fill_targets`` over a table (source, size) of any number of sources.
+
+    Sources at their ceiling and the level of the others follow from each other: every pass
+    sums both, and the level only rises, until no further source is at its ceiling. The driver
+    holds these sums and one count per partition of the sorted sources.
+    """
+    spark = totals.sparkSession
+    in_order = totals.orderBy(F.col("source").asc_nulls_last()).withColumn("place", F.monotonically_increasing_id())
+    in_order = written(in_order, "sources").withColumn("part", F.shiftright("place", 33).cast("int"))
+    before, firsts = 0, []
+    for part, n in sorted(tuple(r) for r in in_order.groupBy("part").count().collect()):
+        firsts.append((part, before))
+        before += n
+    firsts = literal_rows(spark, firsts, "part int, before long")
+    place = F.col("before") + F.col("place").bitwiseAND((1 << 33) - 1)
+    weight = F.array(*[F.lit(float(w)) for w in weights])[(F.col("sid") % len(weights)).cast("int")]
+    sources = in_order.join(F.broadcast(firsts), "part").withColumn("sid", place).withColumn("weight", weight)
+    ceiling = F.col("size") * most
+    whole = sources.agg(F.sum("size").alias("size"), F.sum("weight").alias("weight")).first()
+    budget, left, rest, full = share * whole["size"], share * whole["size"], whole["weight"], 0
+    while True:
+        at_ceiling = F.lit(left) * F.col("weight") >= ceiling * F.lit(rest)
+        sums = sources.agg(
+            F.count_if(at_ceiling).alias("n"),
+            F.sum(F.when(at_ceiling, ceiling).otherwise(0)).alias("size"),
+            F.sum(F.when(at_ceiling, 0.0).otherwise(F.col("weight"))).alias("weight"),
+        ).first()
+        if sums["n"] == full or not sums["weight"]:
+            break
+        full, left, rest = sums["n"], budget - sums["size"], sums["weight"]
+    target = F.when(at_ceiling, ceiling.cast("double")).otherwise(F.lit(left) * F.col("weight") / F.lit(rest))
+    whole_times = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).cast("int")
+    return sources.withColumn("target", target).select(
+        "sid", F.col("source").alias("name"), F.col("size").alias("source_size"), "target", whole_times.alias("whole")
+    )
+
+
+def _threshold_table(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """As ``_thresholds``, with the sources' states in tables: the plan with its column ``below``."""
+    budget = F.col("target") - F.col("whole") * F.col("source_size")
+    states = plan.select("sid", budget.alias("budget"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("under"))
+    done = [states.where("budget <= 0").select("sid", F.lit(0).cast("long").alias("below"))]
+    states = states.where("budget > 0")
+    for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+        inside = rows.join(states, "sid").where(F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix"))
+        cells = inside.groupBy("sid", "budget", "under", F.shiftright("hash", shift).alias("cell")).agg(
+            F.sum("size").alias("size"), F.count("*").alias("docs")
+        )
+        up_to = cells.withColumn("upto", F.expr("under + sum(size) OVER (PARTITION BY sid ORDER BY cell)"))
+        over = up_to.where("upto - under > budget - under").groupBy("sid")
+        over = over.agg(F.min(F.struct("cell", "upto", "size", "docs")).alias("c"))
+        nearer = (F.col("c.upto") - F.col("budget") < F.col("budget") - (F.col("c.upto") - F.col("c.size"))).cast("long")
+        none_over = F.when(F.col("prefix") == 0, 1 << HASH_BITS).otherwise(
+            F.shiftleft(F.col("prefix") + 1, shift + LEVEL_BITS)
+        )
+        ends = (F.col("c.docs") == 1) | F.lit(shift == 0)
+        below = F.when(F.col("c").isNull(), none_over).when(ends, F.shiftleft(F.col("c.cell") + nearer, shift))
+        found = states.join(over, "sid", "left").select(
+            "sid", "budget", F.col("c.cell").alias("prefix"), (F.col("c.upto") - F.col("c.size")).alias("under"),
+            below.cast("long").alias("below"),
+        )
+        found = written(found, "thresholds")
+        done.append(found.where("below IS NOT NULL").select("sid", "below"))
+        states = found.where("below IS NULL").drop("below")
+    limits = done[0]
+    for level in done[1:]:
+        limits = limits.union(level)
+    return plan.join(limits, "sid")
+
+
 def row_digits() -> Column:
     """What decides whether a row is taken once more: a hash of its id and its text."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -101,9 +172,12 @@ def row_digits() -> Column:
 def mix_plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
     """Per source of (source, size, hash): its size, target, whole copies and the hash below which a row has one more."""
     spark = rows.sparkSession
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
+    summed = rows.groupBy("source").agg(F.sum("size").alias("size"))
+    totals = summed.limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources to mix")
+        plan = written(_target_table(summed, weights, share, most), "targets")
+        keyed = rows.join(plan, rows["source"].eqNullSafe(plan["name"])).select("sid", rows["size"], "hash")
+        return written(_threshold_table(keyed, plan), "mix-plan")
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in totals]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
@@ -115,12 +189,12 @@ def mix_plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: in
     limits = _thresholds(keyed.select("sid", "size", "hash"), {i: targets[i] - full[i] * sizes[i] for i in range(len(sizes))})
     cells = [(*cell, limits[cell[0]]) for cell in cells]
     schema += ", below long"
-    return literal_rows(spark, cells, schema) if cells else spark.createDataFrame([], schema)
+    return F.broadcast(literal_rows(spark, cells, schema) if cells else spark.createDataFrame([], schema))
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame, source: str, digits: Column) -> DataFrame:
     plan = plan.select([F.col(c).alias(f"_{c}") for c in plan.columns])
-    joined = rows.join(F.broadcast(plan), rows[source].eqNullSafe(plan["_name"]))
+    joined = rows.join(plan, rows[source].eqNullSafe(plan["_name"]))
     return joined.withColumn("_copies", F.col("_whole") + F.when(digits < F.col("_below"), 1).otherwise(0))
 
 

@@ -21,7 +21,7 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from postscope.llm import jaccard, langid, packing, repeats, vectors, warc  # noqa: E402
+from postscope.llm import jaccard, langid, mixing, packing, repeats, vectors, warc  # noqa: E402
 from postscope.llm.jaccard import jaccard_components, one_of_each  # noqa: E402
 from postscope.llm.mixing import fill_targets, mix_sources, mixed_documents  # noqa: E402
 from postscope.llm.packing import best_fit_rows, pack_tokens, row_positions  # noqa: E402
@@ -234,6 +234,20 @@ def test_mix_sources(docs):
     assert rows_of(out, "doc_id", "text") == sorted(((r[0], r[1]) for r, w in zip(ROWS, wanted) for _ in range(w[4])), key=repr)
 
 
+@pytest.mark.parametrize("share, most", [(1.5, 2), (2.5, 2), (0.3, 1), (0.0, 2)])
+def test_mix_of_more_sources_than_a_list_holds(spark, docs, monkeypatch, share, most):
+    """Planned as tables, a mix is the same as one planned as a list."""
+    own = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("s\u00e9"), F.col("doc_id") % 17)).otherwise(F.col("source"))
+    frame = docs.withColumn("source", own).persist()
+    names = ["doc_id", "size", "source_size", "target", "taken", "copies"]
+    wanted = rows_of(mix_sources(frame, share=share, most=most), *names)
+    wanted_rows = rows_of(mixed_documents(frame, share=share, most=most), "doc_id", "text")
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 1)
+    assert rows_of(mix_sources(frame, share=share, most=most), *names) == wanted
+    assert rows_of(mixed_documents(frame, share=share, most=most), "doc_id", "text") == wanted_rows
+
+
+
 def test_mixed_rows_of_one_id_are_copied_as_reported(spark):
     """Rows without an id, or with one id, in sources with different copies."""
     rows = [(None, "a " * 40, "a"), (None, "b " * 40, "b"), (None, "c " * 400, "c"), (5, "x", "a"), (5, "y y", "c"), (5, "y y", "c")]
@@ -447,6 +461,21 @@ def test_tables_keep_their_recall():
         assert 1 - (1 - (1 - math.acos(0.95) / math.pi) ** bits) ** tables >= 0.9999
 
 
+def test_recall_of_links_among_six_thousand_vectors(spark):
+    """Nine bits and more tables than small inputs take; every link of brute force but 1 in 1,000 is found."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((2000, 32))
+    others = [base + rng.standard_normal(base.shape) * np.linspace(0.2, 0.4, 2000)[:, None] for _ in range(2)]
+    x = np.concatenate([base, *others])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert tables_for(6000)[0] == 9 and 1500 < wanted.sum() < 11_000
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = dict(rows_of(near_vectors(frame.repartition(4)), "vec_id", "n_links"))
+    found = np.array([found[i] for i in range(len(x))])
+    assert (found <= wanted).all() and found.sum() >= 0.999 * wanted.sum()
+
+
 def test_packing(docs):
     import base64
 
