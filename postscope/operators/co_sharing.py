@@ -12,13 +12,16 @@ from postscope.scratch import written
 #: Accounts of one item and stretch of time that one task compares with as many others at a time.
 BLOCK_ROWS = 1_000
 
+#: Pairs are taken from leading items first if all items would make more than so many times their meetings.
+FEWER_MEETINGS = 4
+
 
 def share_cells(posts: DataFrame, keywords: list[str] | None, window: int) -> DataFrame:
     """``(author, key, cell, first, last)``: who shared which item in which cell of time, in microseconds.
 
     Cells are as long as the window, so two shares of a cell are close, and of two in adjacent
     cells the last of the earlier and the first of the later one tell. Repeated shares are one
-    row. Items of a single author, most links of a corpus, are left out.
+    row. Items of a single author, most links of a corpus, are left out, the others numbered.
     """
     shares = (
         shared_items(posts.filter(F.col("timestamp").isNotNull()), keywords, ("timestamp",))
@@ -35,7 +38,9 @@ def share_cells(posts: DataFrame, keywords: list[str] | None, window: int) -> Da
     common = shares.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), (F.min("author") != F.max("author")).alias("several")
     )
-    return written(shares.join(common.filter("several").drop("several"), "key"), "common-shares")
+    numbered = common.filter("several").select("key", "n", F.monotonically_increasing_id().alias("number"))
+    kept = shares.join(written(numbered, "items"), "key").drop("key").withColumnRenamed("number", "key")
+    return written(kept, "common-shares")
 
 
 def _leading(shares: DataFrame, min_items: int) -> DataFrame:
@@ -57,20 +62,37 @@ def _leading(shares: DataFrame, min_items: int) -> DataFrame:
     return shares.join(frequent, ["author", "key"], "left_anti")
 
 
-def _candidates(leading: DataFrame, window: int) -> DataFrame:
-    """Pairs of authors with a common leading item close in time, each once.
+def _sides(shares: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shares as the earlier and as the later one of a meeting: the later one is of the slot or the cell after it."""
+    earlier = shares.select("key", F.col("cell").alias("slot"), "author", F.col("last").alias("left_last"))
+    later = shares.select(
+        "key", F.explode(F.array("cell", F.col("cell") - 1)).alias("slot"), "cell", F.col("author").alias("other"), "first"
+    )
+    return earlier, later
+
+
+def _sizes(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    return earlier.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("lefts")).join(
+        later.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("rights")), ["key", "slot"]
+    )
+
+
+def _compared(shares: DataFrame) -> float:
+    """How many pairs of shares a join by item and cell makes, from the sizes of the cells."""
+    product = F.col("lefts").cast("double") * F.col("rights")
+    return _sizes(*_sides(shares)).agg(F.sum(product).alias("n")).first().n or 0.0
+
+
+def _meetings(shares: DataFrame, window: int) -> DataFrame:
+    """``(author, other, key)``: who shared an item close in time, ``author`` the smaller name, with repetitions.
 
     A share meets those of its own cell and of the next one. The accounts of a hot item's cell
     are dealt to blocks, and each task compares one block with one other.
     """
-    earlier = leading.select("key", F.col("cell").alias("slot"), "author", F.col("last").alias("left_last"))
-    later = leading.select(
-        "key", F.explode(F.array("cell", F.col("cell") - 1)).alias("slot"), "cell", F.col("author").alias("other"), "first"
-    )
+    earlier, later = _sides(shares)
     parts = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
     size = (
-        earlier.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("lefts"))
-        .join(later.groupBy("key", "slot").agg(F.count(F.lit(1)).alias("rights")), ["key", "slot"])
+        _sizes(earlier, later)
         .filter((F.col("lefts") > BLOCK_ROWS) | (F.col("rights") > BLOCK_ROWS))
         .select("key", "slot", parts("lefts").alias("p"), parts("rights").alias("q"))
     )
@@ -95,8 +117,30 @@ def _candidates(leading: DataFrame, window: int) -> DataFrame:
         & (F.col("first") - F.col("left_last") <= window)
     )
     return pairs.filter(same | next_).select(
-        F.least("author", "other").alias("author"), F.greatest("author", "other").alias("other")
-    ).distinct()
+        F.least("author", "other").alias("author"), F.greatest("author", "other").alias("other"), "key"
+    )
+
+
+def _candidates(leading: DataFrame, window: int) -> DataFrame:
+    """Pairs of authors with a common leading item close in time, each once."""
+    return _meetings(leading, window).select("author", "other").distinct()
+
+
+def _load(shares: DataFrame) -> DataFrame:
+    return shares.groupBy("author").agg(F.count(F.lit(1)).alias("shares"))
+
+
+def _with_load(pairs: DataFrame, load: DataFrame) -> DataFrame:
+    """Pairs with the number of shares of both accounts."""
+    for name in ("author", "other"):
+        pairs = pairs.join(load.select(F.col("author").alias(name), F.col("shares").alias(f"{name}_load")), name)
+    return pairs
+
+
+def _unfolded(pairs: DataFrame, shares: DataFrame) -> float:
+    """How many shares ``_verified`` looks up: those of the account of each pair that has fewer."""
+    least = F.least("author_load", "other_load").cast("double")
+    return _with_load(pairs, _load(shares)).agg(F.sum(least).alias("n")).first().n or 0.0
 
 
 def _verified(pairs: DataFrame, shares: DataFrame, window: int) -> DataFrame:
@@ -105,12 +149,7 @@ def _verified(pairs: DataFrame, shares: DataFrame, window: int) -> DataFrame:
     The account with fewer shares is unfolded and looked up at the other one, so an account
     with very many shares is never unfolded once per partner.
     """
-    load = shares.groupBy("author").agg(F.count(F.lit(1)).alias("shares"))
-
-    def with_load(rows: DataFrame, name: str) -> DataFrame:
-        return rows.join(load.select(F.col("author").alias(name), F.col("shares").alias(f"{name}_load")), name)
-
-    pairs = with_load(with_load(pairs, "author"), "other")
+    pairs = _with_load(pairs, _load(shares))
     swapped = F.col("other_load") < F.col("author_load")
 
     def pick(yes: str, no: str) -> Column:
@@ -144,10 +183,19 @@ def co_sharing_accounts(
     without author or time are left out. An item that very many share makes pairs only among
     accounts that have ``min_items - 1`` items at least as frequent besides it; with
     ``min_items = 1`` every pair within the window is a result.
+
+    Where that spares little, or pairs hold so many shares that looking these up would be more
+    than all meetings, meetings are counted as they are: both ways have the same result.
     """
     if window_seconds < 1 or min_items < 1:
         raise ValueError("window_seconds and min_items must be positive")
     window = window_seconds * 1_000_000
     shares = share_cells(posts, keywords, window)
-    pairs = written(_candidates(_leading(shares, min_items), window), "account-pairs")
-    return _verified(pairs, shares, window).filter(F.col("items") >= min_items)
+    leading = _leading(shares, min_items)
+    meetings = _compared(shares)
+    if min_items > 1 and meetings > FEWER_MEETINGS * _compared(leading):
+        pairs = written(_candidates(leading, window), "account-pairs")
+        if _unfolded(pairs, shares) <= meetings:
+            return _verified(pairs, shares, window).filter(F.col("items") >= min_items)
+    counted = _meetings(shares, window).groupBy("author", "other").agg(F.count_distinct("key").alias("items"))
+    return counted.filter(F.col("items") >= min_items)

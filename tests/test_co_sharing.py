@@ -76,3 +76,22 @@ def test_empty_and_wrong_parameters(spark):
         co_sharing.co_sharing_accounts(empty, window_seconds=0)
     with pytest.raises(ValueError):
         co_sharing.co_sharing_accounts(empty, min_items=0)
+
+
+def test_pairs_that_meet_rarely_but_share_much_are_counted_from_their_meetings(spark, monkeypatch):
+    """Thirty accounts, each pair close in time at few of a hundred items: nothing is looked up pair by pair."""
+    rows = [(100 * a + i, f"a{a:02}", START + dt.timedelta(hours=3 * ((a * i) % 29)), f"#i{i}", None, None, 1)
+            for a in range(30) for i in range(100)]
+    monkeypatch.setattr(co_sharing, "_verified", lambda *_: pytest.fail("pairs were looked up"))
+    posts = spark.createDataFrame(rows, SCHEMA)
+    found = co_sharing.co_sharing_accounts(posts, None, HOUR, 2).collect()
+    assert sorted(map(tuple, found)) == brute(rows, HOUR, 2) and len(found) == 435
+
+
+@pytest.mark.parametrize("looked_up", [True, False])
+def test_both_ways_to_count_agree(spark, monkeypatch, looked_up):
+    rows = some_posts()
+    monkeypatch.setattr(co_sharing, "FEWER_MEETINGS", 0)
+    monkeypatch.setattr(co_sharing, "_unfolded", lambda *_: 0.0 if looked_up else float("inf"))
+    found = co_sharing.co_sharing_accounts(spark.createDataFrame(rows, SCHEMA), None, HOUR, 2).collect()
+    assert sorted(map(tuple, found)) == brute(rows, HOUR, 2) and found
