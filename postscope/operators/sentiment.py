@@ -2,9 +2,10 @@
 
 Inputs are ``lexicon(word, valence)`` and, where the built-in word lists do not fit,
 ``modifiers(word, boost, negates)``. Both are word lists of bounded size: they are read on
-the driver while the plan is built and become look-up tables in the plan. A post's words are
-looked up inside its row; only the hits get the words around them and their valence, and the
-rules are steps over these few hits. Texts stay in the JVM, and nothing is shuffled.
+the driver while the plan is built and become look-up tables in the plan. One pattern finds the
+words of a post that may be in the lexicon; only these are looked up, get the words around them
+and their valence, and the rules are steps over these few hits. Texts are not split into all
+their words, they stay in the JVM, and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,18 +13,23 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postscope import fixed_values as fv
 from postscope.functions.text import SPACE_CLASS, strip
+from postscope.functions.word_search import BLANK, MAX_PATTERN_WORDS, TOKEN, token_pattern, unused_characters
 from postscope.session import literal_rows
 
 # A longer word list is an error: it would no longer be small for driver and tasks.
 MAX_WORDS = 1_000_000
 
+#: Hits of a text whose numbers of tokens are summed up.
+MAX_SUMS = 4_096
+
 
 def default_modifiers(spark: SparkSession) -> DataFrame:
     """Degree words and negations of the published rules."""
@@ -87,8 +93,58 @@ def _is_loud(word: Column) -> Column:
     return F.coalesce((F.upper(word) == word) & (F.lower(word) != word), F.lit(False))
 
 
-def _word_at(tokens: Column, place: Column) -> Column:
-    return F.coalesce(plain(F.get(tokens, place)), F.lit(""))  # no word is empty
+def _word(token: Column) -> Column:
+    return F.coalesce(plain(token), F.lit(""))  # no word is empty
+
+
+def _tokens(part: Column) -> Column:
+    return F.regexp_extract_all(part, F.lit(TOKEN), F.lit(0))
+
+
+def _ends(pieces: Column) -> Column:
+    """The first three and the last three or more tokens of each piece of text, fewer if it has fewer."""
+    first = f"^{BLANK}*+(?:{TOKEN}{BLANK}*+){{0,3}}"
+
+    def cut(piece: Column) -> Column:
+        # Whole tokens from the end, but perhaps fewer than three where blanks follow one another.
+        near = F.substring_index(piece, " ", -6)
+        return F.struct(_tokens(F.regexp_extract(piece, first, 0)).alias("first"), _tokens(near).alias("last"), piece.alias("piece"))
+
+    def whole(cut: Column) -> Column:
+        last = F.when(F.size(cut["last"]) >= 3, cut["last"]).otherwise(_tokens(cut["piece"]))
+        return F.struct(cut["first"].alias("first"), last.alias("last"))
+
+    return F.transform(F.transform(pieces, cut), whole)
+
+
+def _pieces(text: Column, words: list[str]) -> Column:
+    """The text cut before each token that may be one of the words; the first piece is before all of them."""
+    mark, other = unused_characters(words, 2)
+    pattern = token_pattern(words)
+    padded = F.concat(F.lit(" "), F.replace(text, F.lit(mark), F.lit(other)))
+    return F.split(F.regexp_replace(padded, pattern, f"{mark}$0"), mark) if pattern else F.array(padded)
+
+
+def _around(pieces: Column) -> Column:
+    """Of pieces with their ends: each found token with the tokens before it and from it on."""
+
+    def joined(i: Column, name: str, steps: tuple[int, ...]) -> Column:
+        none = F.array().cast("array<string>")
+        return F.concat(*[F.coalesce(F.get(pieces, i + k)[name], none) for k in steps])
+
+    each = F.transform(pieces, lambda p, i: F.struct(
+        i.alias("at"), joined(i, "last", (-3, -2, -1)).alias("before"), joined(i, "first", (0, 1, 2)).alias("after")
+    ))
+    return F.filter(each, lambda h: h["at"] > 0)
+
+
+def _all_around(text: Column) -> Column:
+    """Each token with those before it and from it on, as ``_around`` has them, for lists too long for a pattern."""
+    tokens = text_tokens(text)
+    return F.transform(tokens, lambda t, i: F.struct(
+        i.alias("at"), F.slice(tokens, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))).alias("before"),
+        F.slice(tokens, i + 1, 3).alias("after"),
+    ))
 
 
 class _Tables:
@@ -98,6 +154,7 @@ class _Tables:
         spark = lexicon.sparkSession
         words = {word: float(value) for word, value in _listed(lexicon, "word", "valence") if word is not None}
         changes = _listed(default_modifiers(spark) if modifiers is None else modifiers, "word", "boost", "negates")
+        self.words = [*words, fv.CONTRAST_WORD]
         self.valence = looked_up(words)
         self.boost = looked_up({word: float(boost) for word, boost, _ in changes if boost})
         self.negation = looked_up({word: 1.0 for word, _, negates in changes if negates})
@@ -108,13 +165,20 @@ class _Tables:
         self.in_phrases = sorted({p.split(" ")[0] for p in phrases if p and " " in p})
 
 
-def _with_context(hits: Column, tokens: Column, mixed: Column, tables: _Tables) -> Column:
+def _heard(hit: Column) -> list[Column]:
+    """The token of a hit and the three before it."""
+    before = hit["before"]
+    return [F.get(hit["after"], F.lit(0)), *[F.get(before, F.size(before) - k) for k in (1, 2, 3)]]
+
+
+def _with_context(hits: Column, mixed: Column, tables: _Tables) -> Column:
     """Each hit with the three words before it (back1 to back3), what they are, and the two after it."""
 
-    def spelled(at: Column) -> Column:
-        back = [_word_at(tokens, at - k).alias(f"back{k}") for k in range(4)]
-        loud = [F.when(mixed, _is_loud(F.get(tokens, at - k))).otherwise(False).alias(f"loud{k}") for k in range(4)]
-        return F.struct(at.alias("at"), *back, *loud, *[_word_at(tokens, at + k).alias(f"next{k}") for k in (1, 2)])
+    def spelled(hit: Column) -> Column:
+        tokens, after = _heard(hit), hit["after"]
+        back = [_word(token).alias(f"back{k}") for k, token in enumerate(tokens)]
+        loud = [F.when(mixed, _is_loud(token)).otherwise(False).alias(f"loud{k}") for k, token in enumerate(tokens)]
+        return F.struct(hit["at"].alias("at"), *back, *loud, *[_word(F.get(after, F.lit(k))).alias(f"next{k}") for k in (1, 2)])
 
     def known(hit: Column) -> Column:
         out = hit.withField("base", tables.valence(hit["back0"]))
@@ -200,12 +264,12 @@ def _after_least(hit: Column, tables: _Tables) -> Column:
     return F.when(least, hit["value"] * fv.NEGATION_FACTOR).otherwise(hit["value"])
 
 
-def _hit_total(hits: Column, tokens: Column, mixed: Column, turn: Column, tables: _Tables) -> Column:
+def _hit_total(hits: Column, mixed: Column, turn: Column, tables: _Tables) -> Column:
     """Sum of the valences of all hits of a post; ``turn`` is the place of the contrast word, -1 without.
 
     One step over the hits per rule, so that no value is worked out twice.
     """
-    found = _with_context(hits, tokens, mixed, tables)
+    found = _with_context(hits, mixed, tables)
     steps = [partial(_first_value, tables), _louder]
     for k in (1, 2, 3):
         steps += [partial(_boosted, k), partial(_turned, k, tables)]
@@ -219,6 +283,11 @@ def _hit_total(hits: Column, tokens: Column, mixed: Column, turn: Column, tables
     return F.aggregate(found, F.lit(0.0), lambda total, h: total + weighed(h))
 
 
+def _has_quiet(text: Column) -> Column:
+    """Whether a token is not in capitals, as is one with a small letter a to z."""
+    return F.when(text.rlike("[a-z]"), True).otherwise(F.exists(text_tokens(text), lambda t: ~_is_loud(t)))
+
+
 def _emphasis(text: Column) -> Column:
     def count(mark: str) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
@@ -228,19 +297,42 @@ def _emphasis(text: Column) -> Column:
     return F.least(count("!"), F.lit(fv.EXCLAMATION_MAX)) * fv.EXCLAMATION_BOOST + asked
 
 
+def _numbered(texts: DataFrame, words: list[str]) -> DataFrame:
+    """``(post_id, hits)``: tokens that may be one of the words, at the number of tokens before them."""
+    counted = F.transform(_pieces(F.col("text"), words), lambda p: F.struct(
+        F.regexp_extract(p, TOKEN, 0).alias("token"), F.regexp_count(p, F.lit(TOKEN)).alias("n")
+    ))
+    before = F.aggregate("pieces", F.array().cast("array<int>"), lambda ns, p: F.concat(
+        ns, F.array(F.coalesce(F.get(ns, F.size(ns) - 1), F.lit(0)) + p["n"])
+    ))
+    # The sums are copied once per hit, so a text with very many hits is rather split into all its words.
+    texts = texts.select("post_id", "text", counted.alias("pieces"))
+    texts = texts.select("post_id", "text", "pieces", F.when(F.size("pieces") <= MAX_SUMS, before).alias("before"))
+    hit = lambda at, token: F.struct(at.alias("at"), plain(token).alias("word"))
+    found = F.transform("pieces", lambda p, i: hit(F.get("before", i - 1), p["token"]))
+    every = F.transform(text_tokens(F.col("text")), lambda t, i: hit(i, t))
+    return texts.select("post_id", F.when(F.col("before").isNull(), every).otherwise(found).alias("hits"))
+
+
 def sentiment_lexicon_join(posts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``(post_id, at, word, valence)`` of every token found in the lexicon, counted from 1.
 
     Words are joined with the lexicon, which is sent to all tasks if it is as short as
-    lexicons are, so that only hits move on.
+    lexicons are, so that only hits move on. Of a list short enough for a pattern only words
+    that may be in it are taken from the texts, at the number of tokens before them.
     """
     known = lexicon.filter(F.col("word").isNotNull()).dropDuplicates(["word"])
     known = known.select("word", F.col("valence").cast("double").alias("valence"))
-    if known.limit(MAX_WORDS + 1).count() <= MAX_WORDS:
+    listed = [row.word for row in known.select("word").limit(MAX_WORDS + 1).collect()]
+    if len(listed) <= MAX_WORDS:
         known = F.broadcast(known)
-    words = F.transform(text_tokens(_full_text(posts)), plain)
     # The outer form: for the inner one a filter on the array would split the text twice.
-    each = posts.select("post_id", F.posexplode_outer(words).alias("at", "word")).filter(F.col("word").isNotNull())
+    if len(listed) <= MAX_PATTERN_WORDS and "" not in listed:
+        places = _numbered(posts.select("post_id", _full_text(posts).alias("text")), listed)
+        each = places.select("post_id", F.inline_outer("hits")).filter(F.col("at").isNotNull())
+    else:
+        words = F.transform(text_tokens(_full_text(posts)), plain)
+        each = posts.select("post_id", F.posexplode_outer(words).alias("at", "word")).filter(F.col("word").isNotNull())
     return each.join(known, "word").select("post_id", (F.col("at") + 1).alias("at"), "word", "valence")
 
 
@@ -260,23 +352,31 @@ def attach_sentiment(
     if lexicon is None:
         return sentiment_neutral_fallback(posts)
     tables = _Tables(lexicon, modifiers)
-    text, tokens, hits = (F.col(f"_{name}") for name in ("text", "tokens", "hits"))
-    found = posts.withColumn("_text", _full_text(posts)).withColumn("_tokens", text_tokens(text))
-    places = F.transform(F.transform(tokens, plain), lambda word, i: F.when(tables.valence(word).isNotNull(), i))
-    found = found.withColumn("_hits", F.array_compact(places))
-    # Some words, but not all, are in capitals; a text without any capital is told apart at once.
-    loud = (F.lower(text) != text) & F.exists(tokens, _is_loud) & F.exists(tokens, lambda t: ~_is_loud(t))
-    found = found.withColumn("_mixed", (F.size(hits) > 0) & loud)
-    turns = (F.size(hits) > 0) & F.lower(text).contains(fv.CONTRAST_WORD)
-    turn = F.when(turns, F.array_position(F.transform(tokens, plain), F.lit(fv.CONTRAST_WORD)) - 1).otherwise(-1)
-    found = found.withColumn("_turn", turn)
-    summed = _hit_total(hits, tokens, F.col("_mixed"), F.col("_turn"), tables)
+    text, hits, near = (F.col(f"_{name}") for name in ("text", "hits", "near"))
+    found = posts.withColumn("_text", _full_text(posts))
+    if len(tables.words) <= MAX_PATTERN_WORDS and "" not in tables.words:
+        found = found.withColumn("_ends", _pieces(text, tables.words))
+        found = found.withColumn("_ends", F.when(F.size("_ends") > 1, _ends(F.col("_ends"))))
+        found = found.withColumn("_near", F.coalesce(_around(F.col("_ends")), F.array()))
+    else:
+        found = found.withColumn("_ends", F.lit(None)).withColumn("_near", _all_around(text))
+
+    def own(h: Column) -> Column:
+        return plain(F.get(h["after"], F.lit(0)))
+
+    found = found.withColumn("_hits", F.filter(near, lambda h: tables.valence(own(h)).isNotNull()))
+    # Some words, but not all, are in capitals; without one at a hit it makes no difference.
+    loud = F.exists(hits, lambda h: reduce(or_, map(_is_loud, _heard(h))))
+    found = found.withColumn("_mixed", F.when(loud, _has_quiet(text)).otherwise(False))
+    turn = F.get(F.filter(near, lambda h: own(h) == fv.CONTRAST_WORD), F.lit(0))["at"]
+    found = found.withColumn("_turn", F.when(F.size(hits) > 0, F.coalesce(turn, F.lit(-1))).otherwise(-1))
+    summed = _hit_total(hits, F.col("_mixed"), F.col("_turn"), tables)
     found = found.withColumn("_total", F.when(F.size(hits) > 0, summed))
     total = F.col("_total")
-    found = found.withColumn("_total", total + F.signum(total) * _emphasis(text))
+    found = found.withColumn("_total", F.when(total.isNotNull(), total + F.signum(total) * _emphasis(text)))
     compound = F.round(total / F.sqrt(total * total + fv.NORMALISATION_ALPHA), 4) + 0.0
     scored = found.withColumn("compound", F.coalesce(compound, F.lit(0.0)))
-    scored = scored.drop("_text", "_tokens", "_hits", "_mixed", "_turn", "_total")
+    scored = scored.drop("_text", "_ends", "_near", "_hits", "_mixed", "_turn", "_total")
     return scored.withColumn("sent_label", sentiment_label(F.col("compound")))
 
 

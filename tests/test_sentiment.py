@@ -131,3 +131,27 @@ def test_shares_fill_missing_labels_with_zero(spark):
               for r in sentiment.sentiment_share_by_cluster(labelled).collect()}
     assert shares == {"Cluster 0": (0.5, 0.0, 0.5), "Cluster 1": (0.0, 1.0, 0.0)}
     assert sentiment.sentiment_share_by_cluster(labelled.limit(0)).count() == 0
+
+
+def test_words_found_by_a_pattern_are_those_of_all_tokens(spark, lexicon, monkeypatch):
+    texts = ["", " ", "good", "\u3000GOOD!\x1fbad", "x  y\n\nz not  good, but (bad)", "a b c d never so good", "no no, nothing :) :-)",
+             "İstanbul ΣΑΣ σας Kelvin \ufdd0good", "the least good of all BUT BAD", "very\t\t\t\tgood kind of bad " * 9, "GOOD BAD", "日本 GOOD é"]
+    posts = spark.createDataFrame([(i, t, t[::-1]) for i, t in enumerate(texts)], "post_id int, title string, selftext string")
+    more = spark.createDataFrame([("i̇stanbul", 1.5), ("σας", -1.0), ("kelvin", 0.5), ("日本", 0.25), ("a", 0.1), (":d", 2.0)], "word string, valence double")
+    words = lexicon.select("word", "valence").unionByName(more)
+
+    def found():
+        hits = sentiment.sentiment_lexicon_join(posts, words).collect()
+        return sorted(map(tuple, sentiment.sentiment_compound(posts, words).collect())), sorted(map(tuple, hits))
+
+    by_pattern = found()
+    monkeypatch.setattr(sentiment, "MAX_SUMS", 1)
+    assert found() == by_pattern and len(by_pattern[1]) > 40
+    monkeypatch.setattr(sentiment, "MAX_PATTERN_WORDS", 0)
+    assert found() == by_pattern
+
+
+def test_texts_are_not_split_into_all_words(spark, lexicon):
+    posts = spark.createDataFrame([(1, "good", "bad")], "post_id int, title string, selftext string")
+    plan = sentiment.attach_sentiment(posts, lexicon)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(btrim(_text" not in plan.split("LogicalRDD")[0].replace("ELSE exists(split(btrim(_text", "")
