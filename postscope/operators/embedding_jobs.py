@@ -20,7 +20,10 @@ _LEADS[[c[0] for c in _WIDE_SPACES]] = True
 
 def clean_embedding_text(text: Column) -> Column:
     """Newlines and tabs become blanks, white space at the ends goes, blank text becomes a marker."""
-    flat = strip(F.translate(F.coalesce(text, F.lit("")), "\n\t", "  "))
+    flat = F.coalesce(text, F.lit(""))
+    for mark in "\n\t":  # as bytes, which translate would take one character at a time
+        flat = F.replace(flat, F.lit(mark), F.lit(" "))
+    flat = strip(flat)
     return F.when(flat == "", fv.NO_CONTENT).otherwise(flat)
 
 

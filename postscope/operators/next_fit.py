@@ -213,10 +213,12 @@ def _packed(budget: int, names: list[str]):
 def next_fit(items: DataFrame, order: list[str], size: str, budget: int, block_bits: int = BLOCK_BITS) -> DataFrame:
     """The items with the number of their ``batch`` in one pass in the given order, counted from 0.
 
-    ``size`` must be between 0 and the budget. The items are ranged by their order, written
-    once, and moved once more by block; only ids and sizes should be among their columns.
+    ``size`` must be between 0 and the budget. The items are written as they come, as ranges are
+    taken from a sample and what makes the sizes would be done twice; then they are ranged by their order,
+    written once more, and moved by block; only ids and sizes should be among their columns.
     """
     spark = items.sparkSession
+    items = written(items, "items")
     names = items.columns
     placed = items.repartitionByRange(*order).sortWithinPartitions(*order)
     # A row's number: its partition's place in the order, then its own in the partition.

@@ -149,3 +149,10 @@ def test_a_text_beyond_the_budget_is_an_error(spark):
     prepared = spark.createDataFrame([(1, 5), (7, 300)], "post_id bigint, n_tokens int")
     with pytest.raises(Exception, match="larger than the budget: post 7"):
         jobs.token_budget_batches(prepared, budget=100).collect()
+
+
+def test_texts_are_not_translated_by_character(spark):
+    posts = spark.createDataFrame([(1, " a\tb\n\nc\n")], "post_id int, text_col string")
+    prepared = jobs.prepare_embedding_text(posts)
+    assert "translate" not in prepared._jdf.queryExecution().optimizedPlan().toString()
+    assert prepared.first().text == "a b  c"
