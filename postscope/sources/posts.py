@@ -11,6 +11,9 @@ CORRUPT_COLUMN = "_corrupt_record"
 # Fixed value: JSON time format; the default of the writer stops at milliseconds.
 TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
+#: Lines of a file of posts at most.
+FILE_RECORDS = 50_000
+
 
 def read_posts(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
@@ -34,8 +37,12 @@ def read_posts(
 
 
 def write_posts_json(posts: DataFrame, path: str) -> None:
-    """Write one JSON record per line, nulls left out."""
-    posts.write.mode("errorifexists").option("timestampNTZFormat", TIME_FORMAT).json(path)
+    """Write one JSON record per line, nulls left out, in packed files of a bounded number of lines.
+
+    A packed file is read by one task, so none may grow with the posts.
+    """
+    packed = {"compression": "gzip", "maxRecordsPerFile": FILE_RECORDS, "timestampNTZFormat": TIME_FORMAT}
+    posts.write.mode("errorifexists").options(**packed).json(path)
 
 
 def write_posts_table(posts: DataFrame, table: str, buckets: int) -> None:
