@@ -185,3 +185,41 @@ def test_stream_closes_days_and_drops_late_rows(spark, tmp_path):
     assert run() == [("2024-01-01", 2)]
     arrive("3.json", [(5, "2024-01-01T11:00:00"), (6, "2024-01-02T20:00:00"), (7, "2024-01-05T00:00:00")])
     assert run() == [("2024-01-01", 2), ("2024-01-02", 2), ("2024-01-03", 1)]  # row 5 came too late
+
+
+def test_only_titles_move_for_queries_without_texts(spark, no_broadcast):
+    plan = physical(fx.posts(spark, SF_DIR).select("post_id", "title"))
+    moved = plan.split("Exchange hashpartitioning(doc_id")[1:]
+    columns = [part.split("\n")[1] for part in moved]
+    assert any("replace(substring(text" in c for c in columns)
+    assert not any(re.search(r"[\[ ]text#\d+(,|\]$)", re.sub(r"substring\(text#\d+,", "", c)) for c in columns)
+
+
+def test_posts_with_scores_move_no_text_by_post(spark, no_broadcast):
+    from checks import queries
+
+    plan = physical(queries.matched(spark, SF_DIR))
+    above = plan[: plan.index("Exchange hashpartitioning")]
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(post_id" not in above
+
+
+def test_sizes_are_made_once_for_batches(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    items = spark.range(500).selectExpr("id AS post_id", "1 AS n_tokens").mapInArrow(count, "post_id long, n_tokens int")
+    assert embedding_jobs.token_budget_batches(items, 10).count() == 500
+    assert made.value == 500
+
+
+def test_posts_are_written_packed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(post_files, "FILE_RECORDS", 100)
+    posts = fx.posts(spark, SF_DIR)
+    post_files.write_posts_json(posts.repartition(2), str(tmp_path / "posts"))
+    files = list((tmp_path / "posts").glob("part-*"))
+    assert len(files) >= 10 and all(f.name.endswith(".json.gz") for f in files)
+    assert post_files.read_posts(spark, str(tmp_path / "posts"), posts.schema).count() == 1000
