@@ -233,3 +233,10 @@ def test_metadata_is_written(spark, tmp_path):
     assert top.count() == 10 and top.agg(F.min("score")).first()[0] == 20
     days = spark.read.option("header", True).csv(str(tmp_path / "meta" / "daily_counts_csv"))
     assert [tuple(r) for r in days.collect()] == [("2024-01-01", "30")]
+
+
+def test_hashtags_are_sought_from_their_mark(spark):
+    assert reports.HASHTAG.startswith("#")
+    text = "#a b#c \u3000#d (#e ##f \U0001F600#g #h#i\x85#j"
+    posts = spark.createDataFrame([(1, "u", None, text, None)], "post_id int, author string, title string, selftext string, url string")
+    assert {r.item for r in reports.sharing_network(posts).collect()} == {"#a", "#d", "#h", "#j"}
