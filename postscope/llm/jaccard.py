@@ -45,8 +45,8 @@ SKETCH_BITS = 1.5
 BLOCK = 1000
 #: Rows of whole blocks, pairs of them and words of their sketches that a task works on at once.
 ROWS_AT_ONCE = 8000
-PAIRS = 1 << 20
-PAIR_WORDS = 1 << 20
+PAIRS = 1 << 18
+PAIR_WORDS = 1 << 18
 
 SETS = "doc_id long, text_hash long, set_id long, n_shingles long, digest binary, sketch binary"
 KEYS = "key long, set_id long"
@@ -295,28 +295,38 @@ def close_pairs(group, comps, sizes, sketches, side, percent: int) -> Iterator[t
         yield order[left[close]], order[right[close]], apart[close] / both[close]
 
 
+def closest(a: np.ndarray, b: np.ndarray, apart: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs: for each a the one that is least apart, equals by the id of b."""
+    best = np.lexsort((ids[b], apart, a))
+    best = best[np.concatenate([[True], a[best][1:] != a[best][:-1]])] if len(best) else best
+    return a[best], b[best], apart[best]
+
+
 def _blocks(percent: int, nearest: bool):
     """Of rows sorted by (key, low, high): pairs of other components that sketches do not rule out.
 
     ``nearest`` keeps the closest one of each document only. Whole groups are compared some
-    thousand rows at a time, as most of them are small.
+    thousand rows at a time, as most of them are small; of the pairs made, those of one turn
+    are held.
     """
 
-    def compare(groups: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def named(ids, a, b) -> pa.RecordBatch:
+        a, b = ids[a], ids[b]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def compare(groups: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(groups).combine_chunks().to_batches()[0]
         group = np.repeat(np.arange(len(groups)), [g.num_rows for g in groups])
         ids, comps, sizes, side = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5, 7))
-        found = list(close_pairs(group, comps, sizes, rows.column(6).to_pylist(), side, percent))
-        if not found:
-            return None
-        a, b, apart = (np.concatenate(x) for x in zip(*found))
-        if nearest:
-            a, b, apart = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])
-            best = np.lexsort((ids[b], apart, a))
-            best = best[np.concatenate([[True], a[best][1:] != a[best][:-1]])] if len(best) else best
-            a, b = a[best], b[best]
-        a, b = ids[a], ids[b]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        best = None
+        for a, b, apart in close_pairs(group, comps, sizes, rows.column(6).to_pylist(), side, percent):
+            if not nearest:
+                yield named(ids, a, b)
+                continue
+            both = [np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart])]
+            best = closest(*(both if best is None else map(np.concatenate, zip(best, both))), ids)
+        if best is not None:
+            yield named(ids, *best[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -326,13 +336,10 @@ def _blocks(percent: int, nearest: bool):
             held.append(rows)
             size += rows.num_rows + rows.nbytes // 4096  # long texts have long sketches
             if size >= ROWS_AT_ONCE:
-                found = compare(held)
-                if found is not None:
-                    yield found
+                yield from compare(held)
                 held, size = [], 0
-        found = compare(held) if held else None
-        if found is not None:
-            yield found
+        if held:
+            yield from compare(held)
 
     return run
 

@@ -7,6 +7,7 @@ import hashlib
 import math
 import os
 import sys
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -21,7 +22,7 @@ import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from postscope.llm import jaccard, langid, mixing, packing, repeats, vectors, warc  # noqa: E402
+from postscope.llm import jaccard, langid, mixing, packing, quality, repeats, vectors, warc  # noqa: E402
 from postscope.llm.jaccard import jaccard_components, one_of_each  # noqa: E402
 from postscope.llm.mixing import fill_targets, mix_sources, mixed_documents  # noqa: E402
 from postscope.llm.packing import best_fit_rows, pack_tokens, row_positions  # noqa: E402
@@ -129,6 +130,46 @@ def test_jaccard_in_small_blocks_with_chains(spark, monkeypatch):
     assert len({c for d, (_, c) in found.items() if d < 200}) < 25
 
 
+@pytest.mark.parametrize("nearest", [True, False])
+def test_blocks_hold_the_pairs_of_one_turn(nearest):
+    """4,000 sets of one key that are all close and all apart: eight million pairs."""
+    n, rng = 4000, np.random.default_rng(7)
+    flips = [np.packbits(row, bitorder="little").tobytes() for row in (rng.random((n, 64)) < 0.05).astype(np.uint8)]
+    zero, one = np.zeros(n, np.int64), np.ones(n, np.int64)
+    columns = [zero, zero, zero, np.arange(n), np.arange(n), 60 * one, pa.array(flips, pa.binary()), zero]
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list("klhscnxd"))
+    tracemalloc.start()
+    found = set()
+    for batch in jaccard._blocks(80, nearest)(iter([rows])):
+        if nearest:
+            found |= set(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    if nearest:
+        bits = np.unpackbits(np.frombuffer(b"".join(flips), np.uint8).reshape(n, 8), axis=1).astype(np.int16)
+        wanted = set()
+        for i in range(n):
+            apart = np.abs(bits - bits[i]).sum(axis=1)
+            apart[i] = 99
+            j = int(apart.argmin())  # of equals the smallest id
+            if apart[j] <= 20 * 120 // 180:
+                wanted.add((min(i, j), max(i, j)))
+        assert found == wanted
+
+
+def test_lines_are_cut_some_rows_at_a_time():
+    """A batch of 16 MB leaves as batches of about one, with the same rows."""
+    texts = [f"keep {i}\ngone\n" + "x" * 4000 for i in range(4000)] + [None, ""]
+    gone = [[quality.line_key("h", b"gone")] if i % 3 else None for i in range(len(texts))]
+    columns = [pa.array(texts), pa.array(["h"] * len(texts)), pa.array(gone, pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["text", "source", "keys"])
+    out = list(quality._cut_lines(0, 1, 2)(iter([batch])))
+    assert max(sum(len(t or "") for t in b.column(0).to_pylist()) for b in out) <= 1 << 20
+    found = [t for b in out for t in b.column(0).to_pylist()]
+    assert found == [t.replace("gone\n", "") if t and g else t for t, g in zip(texts, gone)]
+
+
 def test_piece_keys_always_meet():
     """Random sets at the threshold share a key, whatever their size."""
     rng = np.random.default_rng(5)
