@@ -53,27 +53,25 @@ def prune_vocabulary(
 
     Terms in fewer than ``min_df`` posts or more than the share ``max_df`` go
     first, then the most frequent ``max_features`` stay, equals by term. Document
-    and term counts come from one pass: each term is marked where it first occurs
-    in its post, so nothing is grouped by post.
+    and term counts come from one pass and one row per term of a post: the terms of a
+    post are sorted and each is marked where it first occurs, so nothing is grouped by post.
     """
     total = terms.agg(F.count(F.lit(1))).scalar()
-    marks = F.concat(
-        F.transform(
-            F.array_distinct("terms"),
-            lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf")),
-        ),
-        F.transform(
-            F.col("terms"),
-            lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf")),
+    in_order = terms.select(F.sort_array("terms").alias("terms"))
+    marks = F.transform(
+        F.col("terms"),
+        lambda t, i: F.struct(
+            t.alias("term"),
+            (~t.eqNullSafe(F.get(F.col("terms"), i - 1))).cast("int").alias("first"),
         ),
     )
     counts = (
         # The outer form keeps Catalyst from tokenizing every title twice, once for a
         # filter on the array's size.
-        terms.select(F.inline_outer(marks))
+        in_order.select(F.inline_outer(marks))
         .filter(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+        .agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf"))
     )
     kept = counts.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * total))
     return kept.orderBy(F.desc("tf"), "term").limit(max_features)

@@ -17,9 +17,12 @@ from postscope import fixed_values as fv
 from postscope.operators.filters import enough_titles, filter_nonblank_title
 from postscope.operators.ingest import column_or
 from postscope.operators.keywords import prune_vocabulary, tfidf_vectors, tokenize_ngrams
+from postscope.scratch import written
 
 # Vectors of one partition while clusters are trained.
 _TRAIN_ROWS = 50_000
+# Vectors that starts trained side by side hold in all.
+_HELD_ROWS = 8_000_000
 
 
 def cluster_count_rule(
@@ -39,14 +42,15 @@ def topic_vectors(
 ) -> tuple[DataFrame, list[str]] | None:
     """TF-IDF vectors of the non-blank titles and the term of each of their positions.
 
-    None below five titles or without any term.
+    None below five titles or without any term. Training and map pass over the vectors many
+    times, so they are written once; titles are not joined and split again for each pass.
     """
     if not enough_titles(posts):
         return None
     terms = tokenize_ngrams(filter_nonblank_title(posts), stop_words, clean=None)
     vocabulary = prune_vocabulary(terms, min_df=1, max_df=1.0, max_features=max_features)
     vectors, names = tfidf_vectors(terms, vocabulary)
-    return (vectors, names) if names else None
+    return (written(vectors, "topic-vectors"), names) if names else None
 
 
 def topic_model(
@@ -60,23 +64,28 @@ def topic_model(
 
     Rows are dealt and ordered by ``post_id`` into a number of partitions that follows
     from their count, so that starts, and with them labels, do not depend on how the data
-    is laid out. They are kept for the time of the training, on disk where memory is
-    short; a lost block is computed again from the posts.
+    is laid out. They are kept on disk for the time of the training; a lost block is computed
+    again. A start reads them once and holds them as objects, on disk where memory is short,
+    for its many passes; as many starts go side by side as hold a bounded number of rows.
     """
     rows = vectors.count()
     parts = rows // _TRAIN_ROWS + 1
     kept = vectors.select("post_id", "features").repartition(parts, "post_id").sortWithinPartitions("post_id")
-    kept = kept.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = kept.persist(StorageLevel.DISK_ONLY)
     try:
         k = cluster_count_rule(rows, max_clusters)
+        # KMeans holds what it is given only if that is not persisted itself. It would else
+        # decode every vector in each of its passes.
+        features = kept.select("features")
 
         def train(start: int):
             return KMeans(
                 k=k, seed=seed + start, featuresCol="features", predictionCol="cluster_id"
-            ).fit(kept)
+            ).fit(features)
 
         # The starts are independent jobs over the same kept vectors.
-        with ThreadPool(min(parallelism, starts)) as pool:
+        together = max(1, min(parallelism, starts, _HELD_ROWS // max(1, rows)))
+        with ThreadPool(together) as pool:
             models = pool.map(inheritable_thread_target(kept.sparkSession)(train), range(starts))
         return min(models, key=lambda model: model.summary.trainingCost)
     finally:

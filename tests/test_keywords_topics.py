@@ -3,8 +3,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import StorageLevel
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
+from postscope import fixed_values as fv
 from postscope.functions.text import clean_title
 from postscope.operators import filters, keywords, topics
 
@@ -126,6 +129,41 @@ def test_clusters_separate_topics_and_repeat(spark):
     assert again == labels
 
 
+def test_passes_read_written_vectors(spark):
+    vectors, _ = topics.topic_vectors(topic_posts(spark), STOP)
+    plan = vectors._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan
+    assert "UDF" not in plan and "regexp" not in plan
+
+
+def test_starts_hold_decoded_vectors_and_equal_kmeans(spark, monkeypatch):
+    vectors, _ = topics.topic_vectors(topic_posts(spark), STOP)
+    fit, levels = KMeans.fit, []
+
+    def seen(self, frame):
+        levels.append(frame.storageLevel)
+        return fit(self, frame)
+
+    monkeypatch.setattr(KMeans, "fit", seen)
+    model = topics.topic_model(vectors, starts=3)
+    # KMeans decodes every vector in each pass over a frame that is persisted itself.
+    assert levels == [StorageLevel.NONE] * 3
+    dealt = vectors.repartition(1).sortWithinPartitions("post_id")
+    plain = [fit(KMeans(k=3, seed=fv.TOPIC_SEED + i), dealt) for i in range(3)]
+    best = min(plain, key=lambda found: found.summary.trainingCost)
+    assert np.array_equal(model.clusterCenters(), best.clusterCenters())
+
+
+def test_vocabulary_counts_repeated_terms(spark):
+    rows = [(1, ["b", "a", "b", "b"]), (2, ["b"]), (3, []), (4, None), (5, [None, "a"])]
+    terms = spark.createDataFrame(rows, "post_id long, terms array<string>")
+    found = keywords.prune_vocabulary(terms, min_df=1, max_df=1.0)
+    assert [tuple(r) for r in found.collect()] == [("b", 2, 4), ("a", 2, 2)]
+    # One row per term of a post reaches the counts.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(") == 1
+
+
 def test_projection_equals_numpy(spark):
     posts = topic_posts(spark)
     vectors, _ = topics.topic_vectors(posts, STOP)
