@@ -58,20 +58,14 @@ def prune_vocabulary(
     """
     total = terms.agg(F.count(F.lit(1))).scalar()
     in_order = terms.select(F.sort_array("terms").alias("terms"))
-    marks = F.transform(
-        F.col("terms"),
-        lambda t, i: F.struct(
-            t.alias("term"),
-            (~t.eqNullSafe(F.get(F.col("terms"), i - 1))).cast("int").alias("first"),
-        ),
-    )
+    # The outer form keeps Catalyst from tokenizing every title twice, once for a
+    # filter on the array's size.
+    placed = in_order.select("terms", F.posexplode_outer("terms").alias("at", "term"))
+    first = ~F.col("term").eqNullSafe(F.get("terms", F.col("at") - 1))
     counts = (
-        # The outer form keeps Catalyst from tokenizing every title twice, once for a
-        # filter on the array's size.
-        in_order.select(F.inline_outer(marks))
-        .filter(F.col("term").isNotNull())
+        placed.filter(F.col("term").isNotNull())
         .groupBy("term")
-        .agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("tf"))
+        .agg(F.count_if(first).alias("df"), F.count(F.lit(1)).alias("tf"))
     )
     kept = counts.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * total))
     return kept.orderBy(F.desc("tf"), "term").limit(max_features)
