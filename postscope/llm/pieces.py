@@ -22,6 +22,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postscope.llm.shared import small_batches
+
 MARK = "▁"
 #: A task's table is begun anew beyond so many chunks, which bounds its memory.
 TABLE_ENTRIES = 400_000
@@ -30,7 +32,7 @@ DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class ChunkTable:
-    """Ids and surfaces of distinct chunks of one model.
+    """Ids of distinct chunks of one model, and surfaces of those that do not decode to themselves.
 
     A chunk is a run of markers with the characters up to the next marker, cut at line
     breaks as well where no piece of several characters holds one.
@@ -70,7 +72,8 @@ class ChunkTable:
         shown = self.codec.decode([self.guard + i for _, i in found], num_threads=1) if found else []
         for (chunk, i), text in zip(found, shown):
             self.ids[chunk] = " ".join(map(str, i))
-            self.surface[chunk] = text[len(GUARD) :]
+            if text[len(GUARD) :] != chunk:
+                self.surface[chunk] = text[len(GUARD) :]
 
     def codec_rows(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """Decimal ids with the end id, joined by blanks, and decoded text of each text."""
@@ -79,7 +82,7 @@ class ChunkTable:
         ids, surface, end = self.ids, self.surface, str(self.end)
         out = []
         for parts in cut:
-            text = "".join([surface[c] for c in parts])
+            text = "".join([surface.get(c, c) for c in parts])
             out.append((" ".join([*[ids[c] for c in parts], end]), text[1:] if text[:1] == " " else text))
         return out
 
@@ -102,6 +105,7 @@ def _some(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, list[str | N
 
 def encode_pieces(docs: DataFrame, model: bytes) -> DataFrame:
     """Every row of ``docs`` (its doc_id) with its number of ids, the ids and the decoded text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +128,7 @@ def encode_pieces(docs: DataFrame, model: bytes) -> DataFrame:
 
 def piece_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """As ``encode_pieces``, with digests in place of ids and text, which then never leave the task."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

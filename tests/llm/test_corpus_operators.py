@@ -26,11 +26,11 @@ from postscope.llm import jaccard, langid, mixing, packing, quality, repeats, ve
 from postscope.llm.jaccard import jaccard_components, one_of_each  # noqa: E402
 from postscope.llm.mixing import fill_targets, mix_sources, mixed_documents  # noqa: E402
 from postscope.llm.packing import best_fit_rows, pack_tokens, row_positions  # noqa: E402
-from postscope.llm.pieces import encode_pieces, piece_digests  # noqa: E402
+from postscope.llm.pieces import ChunkTable, encode_pieces, piece_digests  # noqa: E402
 from postscope.llm.quality import clean_documents, quality_rules  # noqa: E402
 from postscope.llm.queries import QUERIES, byte_ranks, piece_model  # noqa: E402
 from postscope.llm.radix import remove_repeated_bytes  # noqa: E402
-from postscope.llm.shared import components  # noqa: E402
+from postscope.llm.shared import BATCH_BYTES, BATCH_SETTING, components, written  # noqa: E402
 from postscope.llm.suffix_trees import documents_without_repeats, remove_repeated_words  # noqa: E402
 from postscope.llm.vectors import near_vectors, tables_for  # noqa: E402
 
@@ -170,6 +170,49 @@ def test_lines_are_cut_some_rows_at_a_time():
     assert found == [t.replace("gone\n", "") if t and g else t for t, g in zip(texts, gone)]
 
 
+def test_long_rows_reach_python_tasks_in_small_batches(spark):
+    """2,000 texts of 20 KB in one task came as one batch of 40 MB; a bound of the session's own holds."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "b"])
+
+    rows = spark.range(0, 2000, 1, 1).selectExpr("repeat(cast(id % 10 AS string), 20000) AS text")
+    try:
+        for given, most in ((None, BATCH_BYTES + (1 << 20)), (str(16 << 20), 17 << 20)):
+            spark.conf.unset(BATCH_SETTING) if given is None else spark.conf.set(BATCH_SETTING, given)
+            found = written(rows.mapInArrow(sizes, "n long, b long"), "sizes").collect()
+            assert sum(r.n for r in found) == 2000
+            assert most / 2 < max(r.b for r in found) < most
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+
+
+def test_sets_of_a_batch_are_made_some_texts_at_a_time():
+    """A batch of 8 MB: arrays of 8 bytes for each of its bytes are held for some texts only."""
+    texts = [" ".join(f"w{(i * 7 + k) % 9973}" for k in range(700)) for i in range(2000)]
+    numbers = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([numbers, numbers, pa.array(texts)], names=["doc_id", "text_hash", "text"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in jaccard._sets(5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts)
+    assert peak < 32 << 20
+
+
+def test_chunk_table_holds_surfaces_that_differ_only():
+    table = ChunkTable(piece_model())
+    texts = [r[1] for r in ROWS] + ["plain words of a text", "ﬁne ½ wide\u3000blank\ttab\x01"]
+    rows = table.codec_rows(texts)
+    assert len(table.surface) < len(table.ids) / 2
+    assert all(chunk != shown for chunk, shown in table.surface.items())
+    codec = sentencepiece.SentencePieceProcessor(model_proto=piece_model())
+    for text, (ids, decoded) in zip(texts, rows):
+        wanted = codec.encode(text or "", add_eos=True)
+        assert (ids, decoded) == (" ".join(map(str, wanted)), codec.decode(wanted))
+
+
 def test_piece_keys_always_meet():
     """Random sets at the threshold share a key, whatever their size."""
     rng = np.random.default_rng(5)
