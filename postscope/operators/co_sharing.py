@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postscope.operators.account_blocks import block_number, block_work, pairs_of_blocks
 from postscope.operators.reports import shared_items
 from postscope.scratch import written
 
@@ -15,6 +16,9 @@ BLOCK_ROWS = 1_000
 #: Pairs are taken from leading items first if all items would make more than so many times their meetings.
 FEWER_MEETINGS = 4
 
+#: Up to so many meetings are moved by a shuffle; of more, blocks of accounts are compared where that is less work.
+MOVED_MEETINGS = 1_000_000
+
 
 def share_cells(posts: DataFrame, keywords: list[str] | None, window: int) -> DataFrame:
     """``(author, key, cell, first, last)``: who shared which item in which cell of time, in microseconds.
@@ -185,17 +189,25 @@ def co_sharing_accounts(
     ``min_items = 1`` every pair within the window is a result.
 
     Where that spares little, or pairs hold so many shares that looking these up would be more
-    than all meetings, meetings are counted as they are: both ways have the same result.
+    than all meetings, meetings are counted as they are; where these would be many to move, each
+    block of accounts meets each other in one task. All ways have the same result.
     """
     if window_seconds < 1 or min_items < 1:
         raise ValueError("window_seconds and min_items must be positive")
     window = window_seconds * 1_000_000
     shares = share_cells(posts, keywords, window)
-    leading = _leading(shares, min_items)
     meetings = _compared(shares)
-    if min_items > 1 and meetings > FEWER_MEETINGS * _compared(leading):
-        pairs = written(_candidates(leading, window), "account-pairs")
-        if _unfolded(pairs, shares) <= meetings:
-            return _verified(pairs, shares, window).filter(F.col("items") >= min_items)
+    size = _load(shares).agg(F.count(F.lit(1)).alias("accounts"), F.sum("shares").alias("shares")).first()
+    accounts, rows = size.accounts, size.shares or 0
+    blocks = block_number(accounts, rows, shares.sparkSession.sparkContext.defaultParallelism)
+    work = meetings if meetings <= MOVED_MEETINGS else min(meetings, block_work(accounts, rows, meetings, blocks))
+    if min_items > 1:
+        leading = _leading(shares, min_items)
+        if work > FEWER_MEETINGS * _compared(leading):
+            pairs = written(_candidates(leading, window), "account-pairs")
+            if _unfolded(pairs, shares) <= work:
+                return _verified(pairs, shares, window).filter(F.col("items") >= min_items)
+    if work < meetings:
+        return pairs_of_blocks(shares, window, min_items, blocks)
     counted = _meetings(shares, window).groupBy("author", "other").agg(F.count_distinct("key").alias("items"))
     return counted.filter(F.col("items") >= min_items)
