@@ -93,3 +93,20 @@ def test_block_numbers():
     assert account_blocks.block_number(3, 100, 8) == 3
     assert account_blocks.block_number(90_000, 10, 8) == 45
     assert account_blocks.block_number(5_000, 90_000_000, 8) == 90
+
+
+def test_batches_of_blocks_are_bounded_unless_the_session_bounds_them(spark):
+    setting = account_blocks.BATCH_SETTING
+    before = spark.conf.get(setting, None)
+    shares = spark.createDataFrame([("a", 1, 0, 5, 5), ("b", 1, 0, 6, 6)], "author string, key long, cell long, first long, last long")
+    try:
+        spark.conf.set(setting, "1234567")
+        found = account_blocks.pairs_of_blocks(shares, HOUR, 1, 2).collect()
+        assert [tuple(r) for r in found] == [("a", "b", 1)] and spark.conf.get(setting) == "1234567"
+        spark.conf.unset(setting)
+        account_blocks.pairs_of_blocks(shares, HOUR, 1, 2)
+        assert spark.conf.get(setting) == str(account_blocks.BATCH_BYTES)
+    finally:
+        spark.conf.unset(setting)
+        if before is not None:
+            spark.conf.set(setting, before)
